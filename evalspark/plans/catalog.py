@@ -44,5 +44,5 @@ def query(name: str):
 
 def load_all() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     # Importing the modules registers their queries.
-    from . import queries_core  # noqa: F401
+    from . import queries_core, queries_results  # noqa: F401
     return dict(QUERIES)

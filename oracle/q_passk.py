@@ -1,26 +1,8 @@
-"""DuckDB oracle statements, one per checked catalog entry.
-
-Written independently of the Spark code, straight from the operator
-definitions; doubles are rounded to 9 places as on the Spark side.
-"""
+"""Oracle statements: pass@k."""
 
 from __future__ import annotations
 
-from .views import with_views
-
-ORACLE: dict[str, str] = {}
-
-
-def oracle(name: str, *views: str):
-    def deco(body: str) -> str:
-        ORACLE[name] = with_views(body, *views)
-        return body
-    return deco
-
-
-def _reg(name: str, body: str, *views: str) -> None:
-    ORACLE[name] = with_views(body, *views)
-
+from .base import _reg
 
 # ---------------------------------------------------------------- pass@k
 PK1 = """
