@@ -2,7 +2,7 @@
 
 Each entry is ``(spark, sf_dir) -> DataFrame``; it reads the driver's
 tables through :class:`~evalspark.sources.views.Views`, runs the operator on
-the whole tables and rounds double columns to 9 places so that results can
+the whole tables and rounds double columns to 6 places so that results can
 be compared with another engine (float sums differ in the last digits).
 """
 
@@ -19,7 +19,7 @@ from ..sources.views import Views
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
-def rounded(df: DataFrame, places: int = 9) -> DataFrame:
+def rounded(df: DataFrame, places: int = 6) -> DataFrame:
     """Round every double column (top level) to ``places``."""
     cols = []
     for f in df.schema.fields:
@@ -44,5 +44,5 @@ def query(name: str):
 
 def load_all() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     # Importing the modules registers their queries.
-    from . import queries_core, queries_results  # noqa: F401
+    from . import queries_core, queries_ops, queries_results  # noqa: F401
     return dict(QUERIES)

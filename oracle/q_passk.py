@@ -19,11 +19,11 @@ est AS (
 """
 
 _reg("pk1_pass_at_k_per_problem",
-     "WITH " + PK1 + "SELECT model, problem_id, n, c, k, round(p, 9) AS pass_at_k FROM est",
+     "WITH " + PK1 + "SELECT model, problem_id, n, c, k, round(p, 6) AS pass_at_k FROM est",
      "eval_samples")
 
 _reg("pk2_pass_at_k",
-     "WITH " + PK1 + "SELECT model, k, round(avg(p), 9) AS pass_at_k FROM est GROUP BY model, k",
+     "WITH " + PK1 + "SELECT model, k, round(avg(p), 6) AS pass_at_k FROM est GROUP BY model, k",
      "eval_samples")
 
 _reg("pk2_pass_at_k_by_template", """
@@ -37,14 +37,14 @@ est AS (
               ELSE 1 - list_reduce(list_transform(range(n - c + 1, n + 1), lambda i: 1 - least(k, n) / i),
                                    lambda a, b: a * b, CAST(1 AS DOUBLE)) END AS p
   FROM counts, ks)
-SELECT model, template, k, round(avg(p), 9) AS pass_at_k FROM est GROUP BY ALL
+SELECT model, template, k, round(avg(p), 6) AS pass_at_k FROM est GROUP BY ALL
 """, "eval_samples")
 
 _reg("pk4_pass_at_k_report", "WITH " + PK1 + """,
 tot AS (SELECT model, count(*) AS num_problems, CAST(sum(n) AS BIGINT) AS total_samples,
                sum(c) / sum(n) AS success_rate FROM counts GROUP BY model)
-SELECT e.model, e.k, t.num_problems, t.total_samples, round(t.success_rate, 9) AS success_rate,
-       round(avg(e.p), 9) AS pass_at_k
+SELECT e.model, e.k, t.num_problems, t.total_samples, round(t.success_rate, 6) AS success_rate,
+       round(avg(e.p), 6) AS pass_at_k
 FROM est e JOIN tot t USING (model)
 GROUP BY e.model, e.k, t.num_problems, t.total_samples, t.success_rate
 """, "eval_samples")
@@ -55,8 +55,8 @@ tot AS (SELECT model, count(*) AS num_problems, CAST(sum(n) AS BIGINT) AS total_
 rep AS (SELECT e.model, e.k, t.num_problems, t.total_samples, t.success_rate, avg(e.p) AS pass_at_k
         FROM est e JOIN tot t USING (model)
         GROUP BY e.model, e.k, t.num_problems, t.total_samples, t.success_rate)
-SELECT model, k, num_problems, total_samples, round(success_rate, 9) AS success_rate,
-       round(pass_at_k, 9) AS pass_at_k,
+SELECT model, k, num_problems, total_samples, round(success_rate, 6) AS success_rate,
+       round(pass_at_k, 6) AS pass_at_k,
        CAST(row_number() OVER (PARTITION BY k ORDER BY pass_at_k DESC, model) AS INTEGER) AS rank
 FROM rep
 """, "eval_samples")
@@ -70,21 +70,21 @@ _reg("pk5_pass_at_k_plugin", f"""
 WITH agg AS (SELECT model, template, count(*) AS n, count(*) FILTER (WHERE passed) AS c
              FROM eval_samples GROUP BY model, template),
 ks AS (SELECT unnest([1, 5, 10, 100]) AS k)
-SELECT model, template, n, c, k, round({PLUGIN.format(short='k > n')}, 9) AS pass_at_k FROM agg, ks
+SELECT model, template, n, c, k, round({PLUGIN.format(short='k > n')}, 6) AS pass_at_k FROM agg, ks
 """, "eval_samples")
 
 _reg("pk5_pass_at_k_plugin_real", f"""
 WITH agg AS (SELECT model, template, count(*) AS n, count(*) FILTER (WHERE passed) AS c
              FROM eval_samples GROUP BY model, template),
 ks AS (SELECT unnest([1, 5, 10, 100]) AS k)
-SELECT model, template, n, c, k, round({PLUGIN.format(short='k >= n')}, 9) AS pass_at_k FROM agg, ks
+SELECT model, template, n, c, k, round({PLUGIN.format(short='k >= n')}, 6) AS pass_at_k FROM agg, ks
 """, "eval_samples")
 
 _reg("pk7_best_of_templates", f"""
 WITH pp AS (SELECT model, problem_id, bool_or(passed) AS solved FROM eval_samples GROUP BY model, problem_id),
 agg AS (SELECT model, count(*) AS n, count(*) FILTER (WHERE solved) AS c FROM pp GROUP BY model),
 ks AS (SELECT unnest([1, 5, 10, 100]) AS k)
-SELECT model, n, c, k, round({PLUGIN.format(short='k > n')}, 9) AS pass_at_k FROM agg, ks
+SELECT model, n, c, k, round({PLUGIN.format(short='k > n')}, 6) AS pass_at_k FROM agg, ks
 """, "eval_samples")
 
 _reg("pk8_cross_language_pass_at_k", """
@@ -103,7 +103,7 @@ wide AS (SELECT model, language,
                 max(pk) FILTER (WHERE k = 1) AS p1, max(pk) FILTER (WHERE k = 5) AS p5,
                 max(pk) FILTER (WHERE k = 10) AS p10 FROM pl GROUP BY ALL)
 SELECT model, count(*) AS languages_completed, count(*) FILTER (WHERE p1 = 0) AS languages_zero,
-       round(avg(p1), 9) AS mean_pass_at_1, round(avg(p5), 9) AS mean_pass_at_5,
-       round(avg(p10), 9) AS mean_pass_at_10
+       round(avg(p1), 6) AS mean_pass_at_1, round(avg(p5), 6) AS mean_pass_at_5,
+       round(avg(p10), 6) AS mean_pass_at_10
 FROM wide GROUP BY model
 """, "eval_samples")

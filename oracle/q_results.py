@@ -36,7 +36,7 @@ def ncdf(x: str) -> str:
 
 
 _reg("io2_preprocess_results", R(
-    "SELECT event_id, model, task, round(score, 9) AS score, round(execution_time, 9) AS execution_time, "
+    "SELECT event_id, model, task, round(score, 6) AS score, round(execution_time, 6) AS execution_time, "
     "success, language FROM res"), "eval_results")
 
 _reg("pj1_task_language", """
@@ -86,14 +86,14 @@ FROM res"""), "eval_results")
 
 _reg("st4_normal_cdf", f"""
 WITH xs AS (SELECT event_id, (score - 0.5) * 8 AS x FROM eval_results)
-SELECT event_id, round(x, 9) AS x, round({ncdf('x')}, 9) AS cdf FROM xs""", "eval_results")
+SELECT event_id, round(x, 6) AS x, round({ncdf('x')}, 6) AS cdf FROM xs""", "eval_results")
 
 _reg("ag1_summary_statistics", R("""
-SELECT count(*) AS total, round(avg(score), 9) AS score_mean, round(median(score), 9) AS score_median,
-       round(stddev_samp(score), 9) AS score_std, round(min(score), 9) AS score_min, round(max(score), 9) AS score_max,
-       round(quantile_cont(score, 0.25), 9) AS score_q25, round(quantile_cont(score, 0.75), 9) AS score_q75,
-       round(avg(CAST(success AS DOUBLE)), 9) AS success_rate, round(avg(execution_time), 9) AS time_mean,
-       round(median(execution_time), 9) AS time_median, round(stddev_samp(execution_time), 9) AS time_std
+SELECT count(*) AS total, round(avg(score), 6) AS score_mean, round(median(score), 6) AS score_median,
+       round(stddev_samp(score), 6) AS score_std, round(min(score), 6) AS score_min, round(max(score), 6) AS score_max,
+       round(quantile_cont(score, 0.25), 6) AS score_q25, round(quantile_cont(score, 0.75), 6) AS score_q75,
+       round(avg(CAST(success AS DOUBLE)), 6) AS success_rate, round(avg(execution_time), 6) AS time_mean,
+       round(median(execution_time), 6) AS time_median, round(stddev_samp(execution_time), 6) AS time_std
 FROM res"""), "eval_results")
 
 _reg("ag2_report_metadata", R("""
@@ -101,31 +101,31 @@ SELECT count(*) AS total_evaluations, min(ts) AS "start", max(ts) AS "end",
        count(DISTINCT model) AS models_analyzed, count(DISTINCT task) AS tasks_analyzed FROM res"""), "eval_results")
 
 _reg("ag3_model_statistics", R("""
-SELECT model, count(*) AS sample_size, round(avg(score), 9) AS mean_score, round(stddev_samp(score), 9) AS std_score,
-       round(avg(CAST(success AS DOUBLE)), 9) AS success_rate FROM res GROUP BY model"""), "eval_results")
+SELECT model, count(*) AS sample_size, round(avg(score), 6) AS mean_score, round(stddev_samp(score), 6) AS std_score,
+       round(avg(CAST(success AS DOUBLE)), 6) AS success_rate FROM res GROUP BY model"""), "eval_results")
 
 _reg("ag4_language_statistics", R("""
-SELECT language, count(*) AS sample_size, round(avg(score), 9) AS mean_score, round(stddev_samp(score), 9) AS std_score,
-       round(avg(CAST(success AS DOUBLE)), 9) AS success_rate, count(DISTINCT model) AS models_tested
+SELECT language, count(*) AS sample_size, round(avg(score), 6) AS mean_score, round(stddev_samp(score), 6) AS std_score,
+       round(avg(CAST(success AS DOUBLE)), 6) AS success_rate, count(DISTINCT model) AS models_tested
 FROM res GROUP BY language"""), "eval_results")
 
 SUCC = """count(*) AS total_tasks, count(*) FILTER (WHERE score > 0) AS successful_tasks,
-       round(coalesce(avg(score) FILTER (WHERE score > 0), 0), 9) AS average_score,
-       round(coalesce(avg(execution_time) FILTER (WHERE score > 0), 0), 9) AS average_time,
-       round(count(*) FILTER (WHERE score > 0) / count(*), 9) AS success_rate"""
+       round(coalesce(avg(score) FILTER (WHERE score > 0), 0), 6) AS average_score,
+       round(coalesce(avg(execution_time) FILTER (WHERE score > 0), 0), 6) AS average_time,
+       round(count(*) FILTER (WHERE score > 0) / count(*), 6) AS success_rate"""
 
 _reg("ag5_suite_model_summary", R(f"""
-SELECT suite_name, model, {SUCC}, round(sum(execution_time), 9) AS total_execution_time
+SELECT suite_name, model, {SUCC}, round(sum(execution_time), 6) AS total_execution_time
 FROM res GROUP BY suite_name, model"""), "eval_results")
 
 _reg("ag6_suite_task_analysis", R("""
-SELECT task, round(count(*) FILTER (WHERE score > 0) / count(*), 9) AS success_rate,
-       round(coalesce(avg(score) FILTER (WHERE score > 0), 0), 9) AS average_score, count(*) AS total
+SELECT task, round(count(*) FILTER (WHERE score > 0) / count(*), 6) AS success_rate,
+       round(coalesce(avg(score) FILTER (WHERE score > 0), 0), 6) AS average_score, count(*) AS total
 FROM res GROUP BY task"""), "eval_results")
 
 _reg("ag7_harness_utilization", R("""
 WITH g AS (SELECT harness, count(*) AS count FROM res GROUP BY harness)
-SELECT harness, count, round(count * 100.0 / sum(count) OVER (), 9) AS percentage FROM g"""), "eval_results")
+SELECT harness, count, round(count * 100.0 / sum(count) OVER (), 6) AS percentage FROM g"""), "eval_results")
 
 _reg("ag5_7_suite_summary_grouping_sets", R("""
 WITH g AS (
@@ -136,16 +136,16 @@ WITH g AS (
          sum(execution_time) AS total_time
   FROM res GROUP BY GROUPING SETS ((suite_name, model), (task), (harness), ()))
 SELECT CASE gid WHEN 3 THEN 'suite_model' WHEN 13 THEN 'task' WHEN 14 THEN 'harness' ELSE 'all' END AS level,
-       suite_name, model, task, harness, total, successful, round(average_score, 9) AS average_score,
-       round(average_time, 9) AS average_time, round(total_time, 9) AS total_time,
-       round(successful / total, 9) AS success_rate,
-       round(total * 100.0 / max(total) FILTER (WHERE gid = 15) OVER (), 9) AS percentage
+       suite_name, model, task, harness, total, successful, round(average_score, 6) AS average_score,
+       round(average_time, 6) AS average_time, round(total_time, 6) AS total_time,
+       round(successful / total, 6) AS success_rate,
+       round(total * 100.0 / max(total) FILTER (WHERE gid = 15) OVER (), 6) AS percentage
 FROM g"""), "eval_results")
 
 _reg("ag8_enhanced_model_summary", R(f"""
 SELECT model, {SUCC},
        round(coalesce(count(*) FILTER (WHERE score > 0 AND coalesce(is_conversational, false))
-                      / nullif(count(*) FILTER (WHERE score > 0), 0), 0), 9) AS conversational_rate
+                      / nullif(count(*) FILTER (WHERE score > 0), 0), 0), 6) AS conversational_rate
 FROM res GROUP BY model"""), "eval_results")
 
 _reg("ag9_strategy_effectiveness", R("""
@@ -156,17 +156,17 @@ WITH g AS (
          coalesce(avg(score) FILTER (WHERE score > 0), 0) AS average_score
   FROM res WHERE prompting_strategy IS NOT NULL GROUP BY prompting_strategy)
 SELECT prompting_strategy, total, successful, conversational, conversational_successes,
-       round(average_score, 9) AS average_score, round(successful / total, 9) AS success_rate,
-       round((total - conversational) / total, 9) AS non_conversational_rate,
+       round(average_score, 6) AS average_score, round(successful / total, 6) AS success_rate,
+       round((total - conversational) / total, 6) AS non_conversational_rate,
        CAST(row_number() OVER (ORDER BY successful / total DESC, prompting_strategy) AS INTEGER) AS rank
 FROM g"""), "eval_results")
 
 _reg("ag24_model_language_pivot", R("""
-SELECT model, round(avg(score) FILTER (WHERE language = 'cpp'), 9) AS cpp,
-       round(avg(score) FILTER (WHERE language = 'java'), 9) AS java,
-       round(avg(score) FILTER (WHERE language = 'javascript'), 9) AS javascript,
-       round(avg(score) FILTER (WHERE language = 'python'), 9) AS python,
-       round(avg(score) FILTER (WHERE language = 'unknown'), 9) AS unknown
+SELECT model, round(avg(score) FILTER (WHERE language = 'cpp'), 6) AS cpp,
+       round(avg(score) FILTER (WHERE language = 'java'), 6) AS java,
+       round(avg(score) FILTER (WHERE language = 'javascript'), 6) AS javascript,
+       round(avg(score) FILTER (WHERE language = 'python'), 6) AS python,
+       round(avg(score) FILTER (WHERE language = 'unknown'), 6) AS unknown
 FROM res GROUP BY model"""), "eval_results")
 
 _reg("ag25_score_histogram", R("""
@@ -177,18 +177,18 @@ b AS (SELECT CASE WHEN hi = lo THEN 1
       FROM res, mm),
 c AS (SELECT bin, count(*) AS cnt FROM b GROUP BY bin),
 bins AS (SELECT CAST(unnest(range(1, 21)) AS INTEGER) AS bin)
-SELECT bins.bin, round(lo + (bins.bin - 1) * ((hi - lo) / 20), 9) AS bin_start,
-       round(lo + bins.bin * ((hi - lo) / 20), 9) AS bin_end, coalesce(cnt, 0) AS count
+SELECT bins.bin, round(lo + (bins.bin - 1) * ((hi - lo) / 20), 6) AS bin_start,
+       round(lo + bins.bin * ((hi - lo) / 20), 6) AS bin_end, coalesce(cnt, 0) AS count
 FROM bins CROSS JOIN mm LEFT JOIN c ON c.bin = bins.bin"""), "eval_results")
 
 _reg("wn1_model_ranking", R("""
 WITH g AS (SELECT model, avg(score) AS m FROM res GROUP BY model)
-SELECT model, round(m, 9) AS mean_score, CAST(row_number() OVER (ORDER BY m DESC, model) AS INTEGER) AS position
+SELECT model, round(m, 6) AS mean_score, CAST(row_number() OVER (ORDER BY m DESC, model) AS INTEGER) AS position
 FROM g"""), "eval_results")
 
 _reg("wn4_difficulty_ranking", R("""
 WITH g AS (SELECT language, avg(score) AS m FROM res GROUP BY language)
-SELECT language, round(m, 9) AS mean_score, CAST(row_number() OVER (ORDER BY m, language) AS INTEGER) AS position,
+SELECT language, round(m, 6) AS mean_score, CAST(row_number() OVER (ORDER BY m, language) AS INTEGER) AS position,
        CASE WHEN m < 0.5 THEN 'hard' ELSE 'easy' END AS difficulty FROM g"""), "eval_results")
 
 _reg("wn7_weekly_trends", R("""
@@ -201,9 +201,9 @@ _reg("wn8_best_worst_gap", R("""
 WITH g AS (SELECT suite_name, model, avg(score) AS m FROM res GROUP BY suite_name, model),
 r AS (SELECT *, row_number() OVER (PARTITION BY suite_name ORDER BY m DESC, model) AS b,
                 row_number() OVER (PARTITION BY suite_name ORDER BY m, model DESC) AS w FROM g)
-SELECT suite_name, round(max(m), 9) AS best_score, round(min(m), 9) AS worst_score, count(*) AS groups,
+SELECT suite_name, round(max(m), 6) AS best_score, round(min(m), 6) AS worst_score, count(*) AS groups,
        max(model) FILTER (WHERE b = 1) AS best, max(model) FILTER (WHERE w = 1) AS worst,
-       round(max(m) - min(m), 9) AS gap
+       round(max(m) - min(m), 6) AS gap
 FROM r GROUP BY suite_name"""), "eval_results")
 
 
@@ -218,7 +218,7 @@ st AS (SELECT count(*) AS groups, sum(n_g) AS n, min(n_g) AS min_n, sum(r_g * r_
 ti AS (SELECT sum(pow(t, 3) - t) AS tie FROM t)
 SELECT groups, CAST(n AS BIGINT) AS n,
        round(CASE WHEN 1 - tie / (CAST(n AS DOUBLE) ^ 3 - n) > 0
-                  THEN (12.0 / (n * (n + 1.0)) * s - 3 * (n + 1.0)) / (1 - tie / (CAST(n AS DOUBLE) ^ 3 - n)) END, 9) AS h
+                  THEN (12.0 / (n * (n + 1.0)) * s - 3 * (n + 1.0)) / (1 - tie / (CAST(n AS DOUBLE) ^ 3 - n)) END, 6) AS h
 FROM st, ti WHERE groups >= 2 AND min_n >= 5""")
 
 
@@ -229,7 +229,7 @@ _reg("st2_score_trend", R("""
 WITH b AS (SELECT score AS y, epoch_us(ts) / 1e6 AS x FROM res WHERE score IS NOT NULL AND ts IS NOT NULL),
 c AS (SELECT y, x - (SELECT min(x) FROM b) AS x FROM b),
 a AS (SELECT count(*) AS n, regr_slope(y, x) AS slope, regr_r2(y, x) AS r2 FROM c)
-SELECT n, round(slope * 86400, 9) AS slope_per_day, round(r2, 9) AS r_squared,
+SELECT n, round(slope * 86400, 6) AS slope_per_day, round(r2, 6) AS r_squared,
        CASE WHEN slope > 0 THEN 'improving' WHEN slope < 0 THEN 'declining' ELSE 'stable' END AS trend_direction
 FROM a WHERE n >= 5"""), "eval_results")
 
@@ -243,24 +243,24 @@ q AS (SELECT *, sqrt(pool * (1 - pool) * (1.0 / n1 + 1.0 / n2)) AS se,
 z AS (SELECT *, CASE WHEN se = 0 THEN CAST(0 AS DOUBLE) ELSE (ra - rb) / se END AS zz,
              CASE WHEN se = 0 THEN CASE WHEN ra = rb THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END
                   ELSE 2 * (1 - {ncdf('abs((ra - rb) / se)')}) END AS pval FROM q)
-SELECT group_a, group_b, n1, n2, round(ra, 9) AS rate_a, round(rb, 9) AS rate_b, round(zz, 9) AS z_score,
-       round(least(pval, 1), 9) AS p_value, pval < 0.05 AS significant,
-       round(CASE WHEN pv > 0 THEN (ra - rb) / sqrt(pv) ELSE 0 END, 9) AS effect_size
+SELECT group_a, group_b, n1, n2, round(ra, 6) AS rate_a, round(rb, 6) AS rate_b, round(zz, 6) AS z_score,
+       round(least(pval, 1), 6) AS p_value, pval < 0.05 AS significant,
+       round(CASE WHEN pv > 0 THEN (ra - rb) / sqrt(pv) ELSE 0 END, 6) AS effect_size
 FROM z""", "eval_samples")
 
 _reg("st5_template_sensitivity", """
 WITH r AS (SELECT model, template, avg(CAST(passed AS DOUBLE)) AS rate FROM eval_samples GROUP BY model, template)
-SELECT model, count(*) AS templates, round(avg(rate), 9) AS mean_score,
-       round(coalesce(stddev_samp(rate), 0), 9) AS std_dev, round(min(rate), 9) AS min_score,
-       round(max(rate), 9) AS max_score, round(max(rate) - min(rate), 9) AS sensitivity
+SELECT model, count(*) AS templates, round(avg(rate), 6) AS mean_score,
+       round(coalesce(stddev_samp(rate), 0), 6) AS std_dev, round(min(rate), 6) AS min_score,
+       round(max(rate), 6) AS max_score, round(max(rate) - min(rate), 6) AS sensitivity
 FROM r GROUP BY model""", "eval_samples")
 
 _reg("st5_template_sensitivity_real", """
 WITH r AS (SELECT model, template, avg(CAST(passed AS DOUBLE)) AS rate FROM eval_samples GROUP BY model, template)
-SELECT model, count(*) AS templates, round(avg(rate), 9) AS mean_score,
-       round(stddev_pop(rate), 9) AS std_dev, round(min(rate), 9) AS min_score,
-       round(max(rate), 9) AS max_score,
-       round(CASE WHEN avg(rate) > 0 THEN stddev_pop(rate) / avg(rate) ELSE 0 END, 9) AS sensitivity
+SELECT model, count(*) AS templates, round(avg(rate), 6) AS mean_score,
+       round(stddev_pop(rate), 6) AS std_dev, round(min(rate), 6) AS min_score,
+       round(max(rate), 6) AS max_score,
+       round(CASE WHEN avg(rate) > 0 THEN stddev_pop(rate) / avg(rate) ELSE 0 END, 6) AS sensitivity
 FROM r GROUP BY model""", "eval_samples")
 
 _reg("st6_performance_insights", R("""
@@ -283,13 +283,13 @@ rows AS (
   UNION ALL SELECT 'easiest_language', easy.language, easy.m FROM easy, cnt WHERE nl > 1
   UNION ALL SELECT 'high_execution_time', NULL, mt FROM o WHERE mt > 60
   UNION ALL SELECT 'fast_execution', NULL, mt FROM o WHERE mt < 5)
-SELECT code, subject, round(value, 9) AS value FROM rows"""), "eval_results")
+SELECT code, subject, round(value, 6) AS value FROM rows"""), "eval_results")
 
 _reg("st7_template_report", """
 WITH agg AS (SELECT model, template, count(*) AS n, count(*) FILTER (WHERE passed) AS c
              FROM eval_samples GROUP BY model, template),
 ks AS (SELECT unnest([1, 5, 10, 100]) AS k)
 SELECT model, template, n AS total_samples, c, k,
-       round(CASE WHEN n = 0 THEN 0 WHEN k > n THEN c / n ELSE 1 - pow(1 - c / n, k) END, 9) AS pass_at_k,
-       round(c / n, 9) AS success_rate
+       round(CASE WHEN n = 0 THEN 0 WHEN k > n THEN c / n ELSE 1 - pow(1 - c / n, k) END, 6) AS pass_at_k,
+       round(c / n, 6) AS success_rate
 FROM agg, ks""", "eval_samples")
