@@ -107,18 +107,11 @@ def cache_stats(cache: DataFrame, now: str, language: str = "language", model: s
 
 
 # ----------------------------------------------------------------- WN-12
-def global_row_index(df: DataFrame, order: Sequence[str], partitions: int | None = None) -> DataFrame:
+def global_row_index(df: DataFrame, order: Sequence[str]) -> DataFrame:
     """1-based position of every row in ``order`` (must be unique) without a
-    single-task sort: range partitions, local row numbers, partition totals
-    (one row per partition) broadcast back as offsets."""
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rp = df.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id())
-    local = rp.withColumn("_ln", F.row_number().over(Window.partitionBy("_pid").orderBy(*order)))
-    tot = rp.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    off = tot.withColumn("_off", F.coalesce(F.sum("_n").over(
-        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return (local.join(F.broadcast(off.select("_pid", "_off")), "_pid")
-            .withColumn("row_index", F.col("_off") + F.col("_ln")).drop("_pid", "_ln", "_off"))
+    single-task sort: chunked running counts (``sequence.prefix_sums``)."""
+    from .sequence import prefix_sums
+    return prefix_sums(df, [], order).withColumnRenamed("seq", "row_index")
 
 
 def eviction_candidates(cache: DataFrame, fraction: float = 0.2,

@@ -16,28 +16,18 @@ from ..functions.tails import chi2_sf_col, t_two_sided_col
 
 
 # ----------------------------------------------------------------- ST-1
-def distinct_value_ranks(counts: DataFrame, value: str, weight: str = "t",
-                         partitions: int | None = None) -> DataFrame:
+def distinct_value_ranks(counts: DataFrame, value: str, weight: str = "t") -> DataFrame:
     """Midrank of every distinct value without a single-task global sort.
 
     ``counts`` has one row per distinct ``value`` with its multiplicity
-    ``weight``. The table is range-partitioned on the value; each partition
-    computes a local running sum (window per partition id), partition totals
-    (one row per partition, a bounded number) give each partition's offset,
-    and the offsets are joined back with a broadcast. midrank = rows before
-    + (t + 1) / 2.
+    ``weight``. Running sums of the weights come from chunked prefix sums
+    (``sequence.prefix_sums``: value-range chunks, per-chunk totals as
+    offsets); midrank = rows before + (t + 1) / 2.
     """
-    n = partitions or int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rp = counts.repartitionByRange(n, value).withColumn("_pid", F.spark_partition_id())
-    local = rp.withColumn("_cum", F.sum(weight).over(
-        Window.partitionBy("_pid").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
-    totals = rp.groupBy("_pid").agg(F.sum(weight).alias("_tot"))
-    offsets = totals.withColumn(
-        "_off", F.coalesce(F.sum("_tot").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
-                           F.lit(0)))
-    out = local.join(F.broadcast(offsets.select("_pid", "_off")), "_pid")
-    before = F.col("_off") + F.col("_cum") - F.col(weight)
-    return out.select(value, weight, (before + (F.col(weight) + 1) / 2.0).alias("midrank"))
+    from ..operators.sequence import prefix_sums
+    p = prefix_sums(counts, [], [value], {"w": F.col(weight)})
+    before = F.col("cum_w") - F.col(weight)
+    return p.select(value, weight, (before + (F.col(weight) + 1) / 2.0).alias("midrank"))
 
 
 def kruskal_wallis(df: DataFrame, value: str, group: str, min_samples: int = 5,

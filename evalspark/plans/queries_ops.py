@@ -133,7 +133,7 @@ def _wn12(v):
 
 @query("wn12_age_purge")
 def _wn12p(v):
-    return ops.age_purge(v.cache_entries, "1998-08-02", 24 * 365 * 5).select("entry_id", "ts")
+    return ops.age_purge(v.cache_entries, "1998-08-02", 24 * 365 * 2).select("entry_id", "ts")
 
 
 @query("io11_upsert_by_key")

@@ -183,7 +183,7 @@ SELECT entry_id, ts, row_index FROM r WHERE row_index <= floor(n * 0.2)""", "cac
 
 _reg("wn12_age_purge", """
 SELECT entry_id, ts FROM cache_entries
-WHERE ts < TIMESTAMP '1998-08-02 00:00:00' - INTERVAL (24 * 365 * 5) HOUR""", "cache_entries")
+WHERE ts < TIMESTAMP '1998-08-02 00:00:00' - INTERVAL (24 * 365 * 2) HOUR""", "cache_entries")
 
 NEW = """(SELECT * REPLACE (ts + INTERVAL 30 DAY AS ts, score / 2 AS score) FROM cache_entries)"""
 _reg("io11_upsert_by_key", f"""
