@@ -44,5 +44,5 @@ def query(name: str):
 
 def load_all() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     # Importing the modules registers their queries.
-    from . import queries_bandit, queries_core, queries_ops, queries_results, queries_text  # noqa: F401
+    from . import queries_bandit, queries_core, queries_more, queries_ops, queries_results, queries_text  # noqa: F401
     return dict(QUERIES)

@@ -79,14 +79,18 @@ SELECT gen_id, coalesce(length({strip('raw_text')}) >= 5 AND length({strip('raw_
 FROM generations""", G)
 
 
-def _lang_score(kws, syn) -> str:
-    kw = " + ".join(f"CAST(regexp_matches(raw_text, {re2(p, 'mi')}) AS INTEGER)" for p in kws)
-    sy = " + ".join(f"CAST(regexp_matches(raw_text, {re2(p, 'm')}) AS INTEGER)" for p in syn)
+def _lang_score(kws, syn, c: str = "raw_text") -> str:
+    kw = " + ".join(f"CAST(regexp_matches({c}, {re2(p, 'mi')}) AS INTEGER)" for p in kws)
+    sy = " + ".join(f"CAST(regexp_matches({c}, {re2(p, 'm')}) AS INTEGER)" for p in syn)
     total = float(len(kws) + len(syn))
     return (f"least((({kw}) + 0.5 * ({sy})) * CASE WHEN ({kw}) > 2 THEN 1.5 ELSE 1.0 END / {total}, 1.0)")
 
 
-_scores = ",\n  ".join(f"{_lang_score(k, s)} AS s_{name}" for name, k, s in TX.LANGUAGE_PATTERNS)
+def lang_scores(c: str = "raw_text") -> str:
+    return ",\n  ".join(f"{_lang_score(k, s, c)} AS s_{name}" for name, k, s in TX.LANGUAGE_PATTERNS)
+
+
+_scores = lang_scores()
 _names = [n for n, _, _ in TX.LANGUAGE_PATTERNS]
 _best = f"greatest({', '.join('s_' + n for n in _names)})"
 _pick = "CASE " + " ".join(f"WHEN s_{n} = best THEN '{n}'" for n in _names) + " END"
