@@ -45,5 +45,6 @@ def query(name: str):
 def load_all() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     # Importing the modules registers their queries.
     from . import (queries_bandit, queries_core, queries_io, queries_more, queries_ops,  # noqa: F401
+                   queries_stream,
                    queries_results, queries_text)
     return dict(QUERIES)
