@@ -100,20 +100,29 @@ def _code(name: Column) -> Column:
     return F.element_at(m, name)
 
 
-def domain_score(prompt: Column | str) -> Column:
-    """Highest weighted domain score (substring matches), normalised by the
-    winning domain's range; ties go to the domain listed first."""
-    low = F.lower(col(prompt))
-    cands = []
-    for i, (name, kws, (lo, hi)) in enumerate(DOMAINS):
-        s = sum((F.when(F.contains(low, F.lit(k)), F.lit(w)).otherwise(F.lit(0.0)) for k, w in kws.items()),
-                F.lit(0.0))
-        cands.append(F.struct(s.alias("s"), F.lit(-i).alias("o"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")))
+def domain_sums(low: Column) -> list[Column]:
+    """Weighted keyword sum of every domain over a lower-cased prompt."""
+    return [sum((F.when(F.contains(low, F.lit(k)), F.lit(w)).otherwise(F.lit(0.0)) for k, w in kws.items()),
+                F.lit(0.0)) for _, kws, _ in DOMAINS]
+
+
+def domain_from_sums(sums: list[Column]) -> Column:
+    """Highest sum, normalised by the winning domain's range; ties go to the
+    domain listed first; no keyword -> 0."""
+    cands = [F.struct(s.alias("s"), F.lit(-i).alias("o"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"))
+             for i, (s, (_, _, (lo, hi))) in enumerate(zip(sums, DOMAINS))]
     best = F.greatest(*cands)
     norm = (best["s"] - best["lo"]) / (best["hi"] - best["lo"])
     return F.when(best["s"] <= 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(norm, F.lit(1.0))))
 
 
+def domain_score(prompt: Column | str) -> Column:
+    """Highest weighted domain score (substring matches), normalised by the
+    winning domain's range; ties go to the domain listed first. (As one
+    expression; ``with_prompt_features`` computes the sums as columns.)"""
+    return domain_from_sums(domain_sums(F.lower(col(prompt))))
+
+
 def detected_domains(prompt: Column | str) -> Column:
     low = F.lower(col(prompt))
     return F.filter(F.array(*[F.when(contains_any(low, list(kws)), F.lit(name)) for name, kws, _ in DOMAINS]),
@@ -188,7 +197,7 @@ def model_preference(model: Column | str) -> Column:
     return out.otherwise(F.lit(0.5))
 
 
-def prompt_features(prompt: Column | str, model: Column | str) -> Column:
+def prompt_features(prompt: Column | str, model: Column | str, domain: Column | None = None) -> Column:
     """TX-15: struct of the eleven features; a blank prompt gives zeros
     (except the model preference)."""
     p = col(prompt)
@@ -204,7 +213,7 @@ def prompt_features(prompt: Column | str, model: Column | str) -> Column:
         "prompt_complexity": complexity,
         "context_length": length,
         "completion_type": _code(completion_type(p)),
-        "code_domain": domain_score(p),
+        "code_domain": domain if domain is not None else domain_score(p),
         "indentation_level": indentation_level(p),
         "nesting_level": nest,
         "has_function_def": F.when(p.rlike(java_regex(r"def\s+\w+\s*\([^)]*\)\s*:")), 1.0).otherwise(0.0),
@@ -218,6 +227,19 @@ def prompt_features(prompt: Column | str, model: Column | str) -> Column:
     return F.struct(*fields)
 
 
+def with_prompt_features(df, prompt: str, model: Column | str, out: str = "features"):
+    """TX-15 as DataFrame steps: the lower-cased prompt and the eight domain
+    sums become columns first, so every expression stays small enough for
+    whole-stage codegen and is evaluated once per row."""
+    from pyspark.sql import DataFrame  # noqa: F401
+    d = df.withColumn("_low", F.lower(F.col(prompt)))
+    names = [f"_dom{i}" for i in range(len(DOMAINS))]
+    d = d.select("*", *[s.alias(n) for s, n in zip(domain_sums(F.col("_low")), names)])
+    d = d.withColumn("_domain", domain_from_sums([F.col(n) for n in names]))
+    d = d.withColumn(out, prompt_features(prompt, model, domain=F.col("_domain")))
+    return d.drop("_low", "_domain", *names)
+
+
 def feature_vector(features: Column) -> Column:
     """The eleven features as ``array<double>`` in the fixed order."""
     return F.array(*[features[n] for n in FEATURE_NAMES])

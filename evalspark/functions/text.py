@@ -30,17 +30,27 @@ def java_regex(pattern: str, multiline: bool = False, ignorecase: bool = False)
     return f"(?{flags}){p}"
 
 
+# the ASCII whitespace that Python's str.strip() removes (and Java's \s matches)
+_WS = " \t\n\x0b\x0c\r"
+
+
 def pystrip(c: Column | str) -> Column:
     """Python ``str.strip()``: remove leading and trailing whitespace (not only spaces)."""
-    return F.regexp_replace(col(c), r"^\s+|\s+$", "")
+    return F.btrim(col(c), F.lit(_WS))
 
 
 def pylstrip(c: Column | str) -> Column:
-    return F.regexp_replace(col(c), r"^\s+", "")
+    return F.ltrim(col(c), F.lit(_WS))
 
 
 def contains_any(text: Column, phrases: Sequence[str]) -> Column:
-    return F.exists(F.array(*[F.lit(p) for p in phrases]), lambda p: F.contains(text, p))
+    """Any phrase contained. An OR of ``contains`` (not a lambda over a
+    literal array): ``text`` is then evaluated once per row by common
+    subexpression elimination instead of once per phrase."""
+    out = F.lit(False)
+    for p in phrases:
+        out = out | F.contains(text, F.lit(p))
+    return out
 
 
 def lines(c: Column | str) -> Column:
@@ -77,7 +87,10 @@ COMMENT_WORDS_NEW = ["this", "the", "here", "explanation", "note", "example", "a
 
 
 def _starts_any(s: Column, prefixes: Sequence[str]) -> Column:
-    return F.exists(F.array(*[F.lit(p) for p in prefixes]), lambda p: F.startswith(s, p))
+    out = F.lit(False)
+    for p in prefixes:
+        out = out | F.startswith(s, F.lit(p))
+    return out
 
 
 def prefix_clean(text: Column | str, variant: str = "new") -> Column:

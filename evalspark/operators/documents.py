@@ -35,6 +35,13 @@ def ngrams(words: Column, n: int) -> Column:
     return F.when(F.size(words) >= n, grams).otherwise(F.array().cast("array<string>"))
 
 
+def ngram_hashes(words: Column, n: int) -> Column:
+    """64-bit hashes of the word n-grams (``xxhash64`` of each n-word slice);
+    no n-gram string is built."""
+    h = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.xxhash64(F.slice(words, i, n)))
+    return F.when(F.size(words) >= n, h).otherwise(F.array().cast("array<bigint>"))
+
+
 def ngram_contamination(corpus: DataFrame, items: DataFrame, n: int = 8, doc_id: str = "doc_id",
                         item_id: str = "item_id", text: str = "text") -> DataFrame:
     """DX-1 (specified in the documents): for every (document, item) that
@@ -44,14 +51,15 @@ def ngram_contamination(corpus: DataFrame, items: DataFrame, n: int = 8, doc_id:
     N-grams are compared by their 64-bit ``xxhash64``. The item side is
     checked against ``BROADCAST_NGRAM_LIMIT`` before it is broadcast.
     """
-    grams = lambda c: F.filter(ngrams(tokens(c), n), lambda g: g != "")
-    it = (items.select(item_id, F.explode(F.array_distinct(grams(text))).alias("g"))
-          .select(item_id, F.xxhash64("g").alias("h")).distinct())
+    # tokens are materialised as a column first: a lambda that referenced the tokenising
+    # expression itself would re-run the regex for every n-gram position
+    it = (items.select(item_id, tokens(text).alias("_w"))
+          .select(item_id, F.explode(F.array_distinct(ngram_hashes(F.col("_w"), n))).alias("h")).distinct())
     totals = it.groupBy(item_id).agg(F.count(F.lit(1)).alias("item_ngrams"))
     n_item = it.count()
     side = F.broadcast(it) if n_item <= BROADCAST_NGRAM_LIMIT else it
-    docs = corpus.select(doc_id, F.explode(F.array_distinct(F.transform(grams(text), lambda g: F.xxhash64(g))))
-                         .alias("h"))
+    docs = (corpus.select(doc_id, tokens(text).alias("_w"))
+            .select(doc_id, F.explode(F.array_distinct(ngram_hashes(F.col("_w"), n))).alias("h")))
     hits = docs.join(side, "h").groupBy(doc_id, item_id).agg(F.count(F.lit(1)).alias("shared_ngrams"))
     return (hits.join(F.broadcast(totals), item_id)
             .withColumn("containment", F.col("shared_ngrams") / F.col("item_ngrams")))

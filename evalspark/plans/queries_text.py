@@ -51,7 +51,8 @@ def _tx13(v):
 def _tx15(v):
     g = v.generations
     model = F.concat(F.lit("phi3.5:"), F.col("model"))
-    return g.select("gen_id", FE.prompt_features("prompt", model).alias("f")).select("gen_id", "f.*")
+    return FE.with_prompt_features(g.select("gen_id", "prompt", model.alias("m")), "prompt", "m", "f") \
+        .select("gen_id", "f.*")
 
 
 @query("tx16_prompt_profile")
