@@ -55,7 +55,10 @@ def cache_key(df: DataFrame, strategy: str = "aggressive", task: str = "task_nam
     not byte-identical to Python's ``json.dumps`` -- and hashed with SHA-256
     (first 16 hex = params hash). key = SHA-256 of task|model|language|hash.
     """
-    m = F.from_json(F.col(parameters), "map<string,string>")
+    # The canonical text depends only on the parameter text, which repeats across evaluations:
+    # canonicalise each distinct text once, then join it back (AQE broadcasts the small side).
+    texts = df.select(F.col(parameters).alias("_ptext")).distinct()
+    m = F.from_json(F.col("_ptext"), "map<string,string>")
     keep = lambda k, v: (~k.isin(*EXCLUDED_PARAMS)) & (~k.startswith("_"))
     if strategy == "conservative":
         keep2 = lambda k, v: keep(k, v) & k.isin(*CRITICAL_PARAMS)
@@ -65,9 +68,11 @@ def cache_key(df: DataFrame, strategy: str = "aggressive", task: str = "task_nam
     canon = F.array_join(F.transform(F.array_sort(F.map_entries(kept)),
                                      lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("null")))),
                          "&")
-    phash = F.substring(F.sha2(canon, 256), 1, 16)
-    key = F.sha2(F.concat_ws("|", F.col(task), F.col(model), F.lower(F.col(language)), phash), 256)
-    return df.withColumn("params_canonical", canon).withColumn("params_hash", phash).withColumn("cache_key", key)
+    canon_df = texts.select("_ptext", canon.alias("params_canonical"))
+    canon_df = canon_df.withColumn("params_hash", F.substring(F.sha2(F.col("params_canonical"), 256), 1, 16))
+    j = df.join(canon_df, df[parameters].eqNullSafe(canon_df["_ptext"]), "left").drop("_ptext")
+    key = F.sha2(F.concat_ws("|", F.col(task), F.col(model), F.lower(F.col(language)), F.col("params_hash")), 256)
+    return j.withColumn("cache_key", key)
 
 
 # ----------------------------------------------------------------- JN-8

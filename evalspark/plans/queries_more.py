@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as TX
 from ..operators import aggs, documents as DX, joins, leaderboard as LB, responses as RS
+from ..sources.views import spread
 from .catalog import query
 
 
@@ -175,12 +176,12 @@ def _jn5(v):
 # ------------------------------------------------------------------ documented operators
 @query("dx1_ngram_contamination")
 def _dx1(v):
-    return DX.ngram_contamination(v.table("documents"), v.table("benchmark"), n=8)
+    return DX.ngram_contamination(spread(v.table("documents")), v.table("benchmark"), n=8)
 
 
 @query("dx1_ngram_contamination_13")
 def _dx1b(v):
-    return DX.ngram_contamination(v.table("documents"), v.table("benchmark"), n=13)
+    return DX.ngram_contamination(spread(v.table("documents")), v.table("benchmark"), n=13)
 
 
 @query("dx2_paraphrase_drop")
