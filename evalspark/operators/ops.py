@@ -190,7 +190,7 @@ def health_check(classified: DataFrame, order: Sequence[str] = ("ts", "event_id"
     by = list(by)
     from .ranking import last_n
     total = classified.groupBy(*by).agg(F.count(F.lit(1)).alias("errors"))
-    last = last_n(classified, by, order, 10).groupBy(*by).agg(
+    last = last_n(classified, by, order, 10, salt_col=order[-1]).groupBy(*by).agg(
         F.count_if(F.col("severity") == "critical").alias("critical_last_10"))
     j = total.join(last, by) if by else total.crossJoin(last)
     return j.withColumn("healthy", (F.col("errors") < 5) | (F.col("critical_last_10") == 0))

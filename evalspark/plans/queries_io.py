@@ -92,3 +92,23 @@ def _io9(v):
 @query("io12_latest_n")
 def _io12(v):
     return ranking.latest_n(v.feedback, 100).select("event_id", "model", "strategy", "quality_score", "ts")
+
+
+@query("io4_flatten_strategy_results")
+def _io4(v):
+    """Nested research-result rows (model -> test_cases[] -> results[]) built per feedback row, flattened back."""
+    fb = v.feedback
+    case = F.struct(F.concat(F.lit("case_"), F.col("event_id").cast("string")).alias("test_name"),
+                    F.lit("x").alias("expected"),
+                    F.array(F.struct("strategy", "success", "quality_score")).alias("results"))
+    nested = fb.select("model", F.array(case).alias("test_cases"))
+    return io.flatten_strategy_results(nested)
+
+
+@query("io6_write_organized_round_trip")
+def _io6(v):
+    """IO-5 catalog written in the three layouts (IO-6); the by-benchmark layout read back."""
+    cat = io.catalog_result_files(_files(v).select("event_id", "file_name", "content"))
+    paths = io.write_organized(cat.select("event_id", "type", "timestamp", "date", "model", "benchmark"),
+                               _scratch(v, "organized"))
+    return v.spark.read.parquet(paths["by_benchmark"]).select("event_id", "type", "timestamp", "benchmark")

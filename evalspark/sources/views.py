@@ -34,8 +34,11 @@ def spread(df: DataFrame) -> DataFrame:
     (one small parquet file) over all cores before CPU-heavy per-row work.
     Reads only plan metadata; a large input (many splits) is left untouched,
     so at scale this adds no shuffle."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    except Exception:  # noqa: BLE001  (no RDD access, e.g. a Spark Connect session)
+        return df
 
 
 class Views:

@@ -73,3 +73,13 @@ SELECT run_id, metric, round(value, 6) AS value FROM (SELECT * FROM found UNION
 _reg("io12_latest_n", """
 SELECT event_id, model, strategy, round(quality_score, 6) AS quality_score, ts FROM feedback
 ORDER BY ts DESC, event_id DESC LIMIT 100""", "feedback")
+
+_reg("io4_flatten_strategy_results", """
+SELECT model, 'case_' || CAST(event_id AS VARCHAR) AS test_name, 'x' AS expected, strategy, success,
+       round(quality_score, 6) AS quality_score FROM feedback""", "feedback")
+
+_reg("io6_write_organized_round_trip", f"""
+WITH {FILES}
+SELECT event_id, CASE prefix WHEN 'metrics_' THEN 'metrics' ELSE 'generations' END AS type, ep AS timestamp,
+       task AS benchmark
+FROM named WHERE prefix <> 'suite_'""", "eval_results")
