@@ -20,13 +20,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
-    """Round every double column (top level) to ``places``."""
+    """Round every double column (top level) to ``places``; session-zone
+    timestamps become wall-clock (NTZ) values in UTC, so results do not
+    depend on the time zone of the process that collects them."""
     cols = []
     for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            cols.append(F.round(F.col(f"`{f.name}`"), places).alias(f.name))
+            cols.append(F.round(c, places).alias(f.name))
+        elif isinstance(f.dataType, T.TimestampType):
+            cols.append(c.cast("timestamp_ntz").alias(f.name))
         else:
-            cols.append(F.col(f"`{f.name}`"))
+            cols.append(c)
     return df.select(*cols)
 
 

@@ -32,7 +32,7 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
     b = SparkSession.builder.master(master).appName(app)
     conf = dict(SCALE_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    conf["spark.driver.memory"] = os.environ.get("EVALSPARK_DRIVER_MEMORY", "8g")
+    conf["spark.driver.memory"] = os.environ.get("EVALSPARK_DRIVER_MEMORY", "4g")
     if extra:
         conf.update(extra)
     for k, v in conf.items():
