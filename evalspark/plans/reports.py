@@ -22,3 +22,45 @@ def pass_at_k_leaderboard(samples: DataFrame, ks: Iterable[int] = (1, 5, 10),
                                  with_interval=with_interval)
     w = Window.partitionBy("k").orderBy(F.desc("pass_at_k"), F.asc("model"))
     return rep.withColumn("rank", F.row_number().over(w))
+
+
+def analytics_report(results: DataFrame, metric_keys=(), min_samples: int = 5,
+                     confidence: float = 0.95) -> dict[str, DataFrame]:
+    """Flow B (files -> analytics report): IO-2, then AG-1..4, WN-1/4/7 and
+    ST-1/2/6 over the cleaned results. Each entry is a lazy DataFrame; the
+    cleaned results are planned once per consumer (persist them first when
+    several entries are written in one job)."""
+    from ..operators import aggs, ranking, stats
+
+    r = aggs.preprocess_results(results, metric_keys)
+    return {
+        "metadata": aggs.report_metadata(r, "timestamp" if "timestamp" in r.columns else "ts"),
+        "summary_statistics": aggs.summary_statistics(r),
+        "model_statistics": aggs.model_statistics(r),
+        "model_ranking": ranking.model_ranking(r),
+        "language_statistics": aggs.language_statistics(r),
+        "difficulty_ranking": ranking.difficulty_ranking(r),
+        "weekly_trends": ranking.weekly_trends(r, "timestamp" if "timestamp" in r.columns else "ts"),
+        "score_trend": stats.score_trend(r, ts="timestamp" if "timestamp" in r.columns else "ts",
+                                         min_samples=min_samples, confidence=confidence),
+        "kruskal_models": stats.kruskal_wallis(r, "score", "model", min_samples, confidence),
+        "kruskal_languages": stats.kruskal_wallis(r, "score", "language", min_samples, confidence),
+        "insights": stats.performance_insights(r),
+    }
+
+
+def suite_report(results: DataFrame, suites: DataFrame, suite: str, path: str | None = None,
+                 max_results_per_document: int = 10_000) -> dict[str, DataFrame]:
+    """Flow A (suite run -> report): JN-3 expands the suite over the models
+    seen in the results, JN-4 fills missing pairs as ``failed``, one GROUPING
+    SETS pass gives AG-5/6/7; with ``path`` the documents are written (IO-7)."""
+    from ..operators import aggs, joins
+    from ..sources import io
+
+    expected = joins.expand_suite(suites, results.select("model"), suite)
+    completed = joins.complete_failed(expected, results).withColumn("suite_name", F.lit(suite))
+    out = {"expected": expected, "completed": completed, "summary": aggs.suite_summary(completed)}
+    if path:
+        done = completed.withColumn("ts", F.current_timestamp())
+        io.write_suite_report(done, path, max_results_per_document, order=("ts", "model", "task"))
+    return out
