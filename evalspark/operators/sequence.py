@@ -60,7 +60,8 @@ def prefix_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     every ``name -> expr`` in ``cols``, ``cum_<name>`` = inclusive running sum.
 
     ``order`` must be unique within a key (e.g. (ts, event_id)); its first
-    column (time or number) defines the chunks.
+    column (time or number) defines the chunks -- a key is only split when
+    that column varies within it.
     """
     keys, order = list(keys), list(order)
     cols = dict(cols or {})
