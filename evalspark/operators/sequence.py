@@ -36,6 +36,20 @@ def _numeric(df: DataFrame, c: str) -> Column:
     return F.col(c).cast("double")
 
 
+def _join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` that also matches NULL keys (a NULL group is a group)."""
+    keys = list(keys)
+    if not keys:
+        return left.crossJoin(F.broadcast(right))
+    r = right.select(*[F.col(k).alias(f"_rk_{k}") for k in keys],
+                     *[F.col(c) for c in right.columns if c not in keys])
+    cond = None
+    for k in keys:
+        c = left[k].eqNullSafe(r[f"_rk_{k}"])
+        cond = c if cond is None else cond & c
+    return left.join(r, cond, how).drop(*[f"_rk_{k}" for k in keys])
+
+
 def with_chunks(df: DataFrame, keys: Sequence[str], first_order: str,
                 rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
     """Add ``_chunk``: slice number of ``first_order`` within the key
@@ -47,7 +61,7 @@ def with_chunks(df: DataFrame, keys: Sequence[str], first_order: str,
     st = base.groupBy(*keys).agg(F.min("_t").alias("_lo"), F.max("_t").alias("_hi"),
                                  F.count(F.lit(1)).alias("_n"))
     st = st.withColumn("_c", F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(float(rows_per_chunk)))))
-    j = base.join(st, keys) if keys else base.crossJoin(F.broadcast(st))
+    j = _join_keys(base, st, keys)
     width = (F.col("_hi") - F.col("_lo")) / F.col("_c")
     chunk = F.when((F.col("_hi") == F.col("_lo")) | (F.col("_c") == 1), F.lit(0)).otherwise(
         F.least(F.floor((F.col("_t") - F.col("_lo")) / width), F.col("_c") - 1))
@@ -80,7 +94,7 @@ def prefix_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     # one row per (key, chunk): the offsets window runs over chunk totals only
     off = tot.select(*keys, "_chunk", F.coalesce(F.sum("_tc").over(wo), F.lit(0)).alias("_oc"),
                      *[F.sum(f"_t_{name}").over(wo).alias(f"_o_{name}") for name in cols])
-    out = local.join(off, [*keys, "_chunk"])
+    out = _join_keys(local, off, [*keys, "_chunk"])
     out = out.withColumn("seq", (F.col("_oc") + F.col("_lc")).cast("long"))
     for name in cols:
         zero = F.lit(0).cast(out.schema[f"_l_{name}"].dataType)
@@ -100,7 +114,7 @@ def lagged(df: DataFrame, keys: Sequence[str], lag: int, cols: Sequence[str], pr
     (``seq - lag``); missing (before the start) gives NULL."""
     keys = list(keys)
     prev = df.select(*keys, (F.col("seq") + lag).alias("seq"), *[F.col(c).alias(f"{prefix}{c}") for c in cols])
-    return df.join(prev, keys + ["seq"], "left")
+    return _join_keys(df, prev, keys + ["seq"], "left")
 
 
 def window_sum(cum: str, lag_cum: str) -> Column:
