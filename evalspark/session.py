@@ -65,3 +65,37 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if sc is not None:
         sc.setCheckpointDir(d)
     return d
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``evalspark`` importable in the Python workers (pandas UDFs refer
+    to its functions by module): zip the package once per process and add it
+    with ``addPyFile`` (``addArtifacts`` on Spark Connect) once per
+    application. Executors fetch the zip from the driver's file server."""
+    import zipfile
+
+    try:
+        app = spark.sparkContext.applicationId
+    except Exception:  # noqa: BLE001
+        app = "connect"
+    if app in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    out = os.path.join(tempfile.mkdtemp(prefix="evalspark-pyfiles-"), "evalspark.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for d, _, files in os.walk(pkg):
+            if "__pycache__" in d:
+                continue
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(d, f)
+                    z.write(full, os.path.relpath(full, root))
+    try:
+        spark.sparkContext.addPyFile(out)
+    except Exception:  # noqa: BLE001  (Spark Connect)
+        spark.addArtifacts(out, pyfile=True)
+    _SHIPPED.add(app)

@@ -45,8 +45,10 @@ class Views:
     """Lazily built views over one scale-factor folder."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
+        from ..session import ship_package
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        ship_package(spark)
         # Every date/time expression below is evaluated in UTC.
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 

@@ -141,7 +141,8 @@ def _phase_step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) ->
                 out.append((key[0], count, ts, phase, to))
                 phase = to
     state.update((phase, count, buf))
-    yield pd.DataFrame(out, columns=[f.name for f in PHASE_OUT.fields])
+    if out:
+        yield pd.DataFrame(out, columns=[f.name for f in PHASE_OUT.fields])
 
 
 def stream_phase(feedback: DataFrame, watermark: str = WATERMARK) -> DataFrame:
