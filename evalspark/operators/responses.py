@@ -1,8 +1,9 @@
 """Generated-response operators (TX-1..5, TX-8, TX-10, TX-14, TX-19, AG-16).
 
-Python's parser defines TX-1..4 and TX-10, so those run as Arrow-batched
-pandas UDFs (``functions.pyparse``), parallel over rows; everything around
-them (per-line views, joins, per-model rates) is Spark.
+Python's parser defines TX-1..4, so those run as Arrow-batched pandas UDFs
+(``functions.pyparse``), parallel over rows; TX-10, TX-14, TX-19 and
+everything around them (per-line views, joins, per-model rates) are Spark
+expressions.
 """
 
 from __future__ import annotations
@@ -50,13 +51,6 @@ def _parses_udf():
     return parses
 
 
-def _extract_udf():
-    @F.pandas_udf(T.StringType())
-    def extract(texts: pd.Series) -> pd.Series:
-        return pyparse.extract_code_batch(texts)
-    return extract
-
-
 # ----------------------------------------------------------------- TX-1 .. TX-5
 def process_responses(df: DataFrame, raw: str = "raw_text", http_success: str = "http_success",
                       threshold: float | str = 0.3) -> DataFrame:
@@ -115,9 +109,66 @@ def compare_cleaners(df: DataFrame, raw: str = "raw_text", http_success: str = "
 
 
 # ----------------------------------------------------------------- TX-10
+def _acceptable(code: Column) -> Column:
+    """Has ``def `` and ``return`` and more code marks than prose marks (on the stripped code)."""
+    c = TX.pystrip(code)
+    low = F.lower(c)
+    code_marks = sum((F.contains(c, F.lit(m)).cast("int") for m in pyparse.CODE_MARKS), F.lit(0))
+    text_marks = sum((F.contains(low, F.lit(m)).cast("int") for m in pyparse.TEXT_MARKS), F.lit(0))
+    return (c != "") & F.contains(c, F.lit("def ")) & F.contains(c, F.lit("return")) & (code_marks > text_marks)
+
+
 def extract_code(df: DataFrame, text: str = "raw_text", out: str = "code") -> DataFrame:
-    """TX-10: code extracted from a mixed text/code response."""
-    return df.withColumn(out, _extract_udf()(F.col(text)))
+    """TX-10: code extracted from a mixed text/code response, in Spark.
+
+    Candidates in order -- closed fences, open fences (a trailing fence
+    removed), def-blocks (Java regex with the same look-ahead; ``\\z`` is
+    Python's ``\\Z``), the indented block after the last ``def`` line that
+    precedes the first top-level line -- and the first acceptable one wins;
+    else the stripped text. The indented block is index arithmetic over the
+    line array (no per-line state), with the lines materialised as a column
+    so the lambdas do not re-split the text.
+    """
+    t = F.coalesce(F.col(text), F.lit(""))
+    cands = []
+    for p in pyparse.CLOSED_FENCES:
+        jp = "(?s)" + p
+        cands.append(F.when(t.rlike(jp), TX.pystrip(F.regexp_extract(t, jp, 1))))
+    for p in pyparse.OPEN_FENCES:
+        jp = "(?s)" + p
+        c = TX.pystrip(F.regexp_extract(t, jp, 1))
+        c = F.when(F.endswith(c, F.lit("```")), TX.pystrip(F.left(c, F.length(c) - 3))).otherwise(c)
+        cands.append(F.when(t.rlike(jp), c))
+    for p in pyparse.DEF_BLOCKS:
+        jp = "(?s)" + p.replace(r"\Z", r"\z")
+        cands.append(F.when(t.rlike(jp), TX.pystrip(F.regexp_extract(t, jp, 1))))
+    # indented block over the lines without skip markers
+    skip = lambda l: TX.contains_any(l, pyparse.SKIP_LINE_MARKS)
+    d = df.withColumn("_ls", F.filter(F.split(t, "\n"), lambda l: ~skip(l)))
+    n = F.size("_ls")
+    idx = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
+    is_def = lambda i: F.startswith(TX.pystrip(F.get(F.col("_ls"), i - 1)), F.lit("def "))
+    d = d.withColumn("_d0", F.array_min(F.filter(idx, lambda i: (i <= n) & is_def(i))))
+    top = lambda i: ((TX.pystrip(F.get(F.col("_ls"), i - 1)) != "") & ~F.startswith(F.get(F.col("_ls"), i - 1), F.lit(" "))
+                     & ~is_def(i))
+    d = d.withColumn("_b", F.coalesce(F.array_min(F.filter(idx, lambda i: (i <= n) & (i > F.col("_d0")) & top(i))),
+                                      n + 1))
+    d = d.withColumn("_ds", F.array_max(F.filter(idx, lambda i: (i <= n) & (i < F.col("_b")) & is_def(i))))
+    d = d.withColumn("_ind", F.length(F.get(F.col("_ls"), F.col("_ds") - 1)) - F.length(TX.pylstrip(F.get(F.col("_ls"), F.col("_ds") - 1))))
+    keep = lambda i: ((TX.pystrip(F.get(F.col("_ls"), i - 1)) == "")
+                      | F.startswith(F.get(F.col("_ls"), i - 1), F.repeat(F.lit(" "), F.col("_ind") + 4))
+                      | (F.startswith(F.get(F.col("_ls"), i - 1), F.repeat(F.lit(" "), F.col("_ind")))
+                         & (TX.pystrip(F.get(F.col("_ls"), i - 1)) != "")))
+    body = F.transform(F.filter(F.sequence(F.col("_ds") + 1, F.greatest(F.col("_b") - 1, F.col("_ds") + 1)),
+                                lambda i: (i < F.col("_b")) & keep(i)), lambda i: F.get(F.col("_ls"), i - 1))
+    block = F.when(F.col("_ds").isNotNull(),
+                   F.array_join(F.concat(F.array(F.get(F.col("_ls"), F.col("_ds") - 1)), body), "\n"))
+    cands.append(block)
+    result = None
+    for c in cands:
+        result = F.when(_acceptable(c), c) if result is None else result.when(_acceptable(c), c)
+    result = result.otherwise(TX.pystrip(t))
+    return d.withColumn(out, result).drop("_ls", "_d0", "_b", "_ds", "_ind")
 
 
 # ----------------------------------------------------------------- TX-14 / AG-16

@@ -177,3 +177,22 @@ def test_tx7_prefix_clean(spark):
     r = df.select(TX.prefix_clean("t", "old").alias("o"), TX.prefix_clean("t", "new").alias("n")).first()
     assert r.o == "def f():\n    return 1"
     assert r.n == "def f():\n    return 1"
+
+
+EXTRACT_CASES = [
+    "Here is the code:\n```python\ndef add(a, b):\n    return a + b\n```\nDone.",
+    "```python\ndef f(x):\n    if x == 1:\n        return 2",
+    "```\ndef g():\n    return 3\n```",
+    "Explanation first.\ndef h(n):\n    total = 0\n    for i in range(n):\n        total += i\n    return total\nprint(h(3))",
+    "Steps:\n1. think\ndef k(a):\n    return a * 2\n\n    # trailing\nresult = k(2)",
+    "no code at all",
+    "def broken(:\n  retur",
+    "",
+]
+
+
+def test_tx10_spark_matches_python_definition(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(EXTRACT_CASES)], "id int, raw_text string")
+    got = {r.id: r.code for r in RS.extract_code(df).collect()}
+    for i, t in enumerate(EXTRACT_CASES):
+        assert got[i] == pyparse.extract_code(t), (i, t)
