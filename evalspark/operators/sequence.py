@@ -41,6 +41,8 @@ def _join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
     keys = list(keys)
     if not keys:
         return left.crossJoin(F.broadcast(right))
+    if not any(left.schema[k].nullable for k in keys):
+        return left.join(right, keys, how)
     r = right.select(*[F.col(k).alias(f"_rk_{k}") for k in keys],
                      *[F.col(c) for c in right.columns if c not in keys])
     cond = None
