@@ -231,7 +231,6 @@ def with_prompt_features(df, prompt: str, model: Column | str, out: str = "featu
     """TX-15 as DataFrame steps: the lower-cased prompt and the eight domain
     sums become columns first, so every expression stays small enough for
     whole-stage codegen and is evaluated once per row."""
-    from pyspark.sql import DataFrame  # noqa: F401
     d = df.withColumn("_low", F.lower(F.col(prompt)))
     names = [f"_dom{i}" for i in range(len(DOMAINS))]
     d = d.select("*", *[s.alias(n) for s, n in zip(domain_sums(F.col("_low")), names)])

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..operators import passk
 from .catalog import query
 from .reports import pass_at_k_leaderboard

@@ -7,7 +7,6 @@ fixed by the configuration (tens of rows), never by the data.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # fixed values: task name -> programming language
 TASK_LANGUAGE = {

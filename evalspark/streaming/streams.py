@@ -10,7 +10,7 @@ tests, with its checkpoint in the shared checkpoint folder.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -89,7 +89,6 @@ def stream_upsert(stream: DataFrame, key: str, path: str, ts: str = "ts", tie: s
     ``<path>/batch_id=<n>`` (overwrite of its own directory, so a retried
     batch replaces itself -- exactly once). ``current_upsert_table`` gives the
     merged table. Returns the started query."""
-    from ..operators.ops import upsert_by_key  # noqa: F401  (same rule, applied per batch)
     s = event_time(stream, ts).withWatermark(ts, watermark).dropDuplicatesWithinWatermark()
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
