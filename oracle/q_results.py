@@ -293,3 +293,20 @@ SELECT model, template, n AS total_samples, c, k,
        round(CASE WHEN n = 0 THEN 0 WHEN k > n THEN c / n ELSE 1 - pow(1 - c / n, k) END, 6) AS pass_at_k,
        round(c / n, 6) AS success_rate
 FROM agg, ks""", "eval_samples")
+
+
+def _kw_p(group: str) -> str:
+    """KW H with its chi-square p-value; the closed form for an even number of
+    degrees of freedom: exp(-H/2) * sum_{i < df/2} (H/2)^i / i!."""
+    base = _kw(group)
+    head, tail = base.rsplit("SELECT groups, CAST(n AS BIGINT) AS n,", 1)
+    tail = tail.replace("round(CASE WHEN", "(CASE WHEN").replace("END, 6) AS h", "END) AS h")
+    tail = tail.replace("FROM st, ti WHERE groups >= 2 AND min_n >= 5", "FROM st, ti WHERE groups >= 2 AND min_n >= 5)")
+    p = ("exp(-h / 2) * list_sum(list_transform(range(0, CAST((groups - 1) / 2 AS BIGINT)), "
+         "lambda i: pow(h / 2, i) / factorial(CAST(i AS INTEGER))))")
+    return (head.rstrip() + ",\nkw AS (SELECT groups, CAST(n AS BIGINT) AS n," + tail
+            + f"\nSELECT groups, n, round(h, 6) AS h, round(CASE WHEN (groups - 1) % 2 = 0 THEN {p} END, 6) AS p_value,"
+            + f"\n       CASE WHEN (groups - 1) % 2 = 0 THEN {p} < 0.05 END AS significant FROM kw")
+
+
+_reg("st1_kruskal_wallis_with_p", _kw_p("model"), "eval_results")
