@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .ranking import top_k_per_group
-from .sequence import lagged, prefix_sums
+from .sequence import lagged, materialize, prefix_sums
 
 ORDER = ("ts", "event_id")
 
@@ -188,7 +188,8 @@ def diversity_flags(feedback: DataFrame, arms: Sequence[str], window: int = 20,
     """
     arms = list(arms)
     cols = {f"n{i}": (F.col(arm) == a).cast("long") for i, a in enumerate(arms)}
-    p = prefix_sums(feedback, [model], order, cols)
+    # the numbered rows are read three times (two lag joins): materialise them once
+    p = materialize(prefix_sums(feedback, [model], order, cols))
     cum = [f"cum_n{i}" for i in range(len(arms))]
     p = lagged(p, [model], 1, cum, "p1_")
     p = lagged(p, [model], window + 1, cum, "pw_")

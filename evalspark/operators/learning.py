@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ranking import early_late_delta, top_k_per_group
-from .sequence import lagged, prefix_sums
+from .sequence import lagged, materialize, prefix_sums
 
 ORDER = ("ts", "event_id")
 
@@ -37,14 +37,14 @@ def session_rollup(feedback: DataFrame, user: str = "session_user", gap_minutes:
     ``gap_minutes``): interactions, successes, mean quality, strategies
     explored, best strategy by mean quality (ties -> name), and the gain of
     the last 5 over the first 5 when the session has at least 10 rows."""
-    p = prefix_sums(feedback, [user], order)
+    p = materialize(prefix_sums(feedback, [user], order))
     p = lagged(p, [user], 1, ["ts"], "prev_")
     new = (F.col("prev_ts").isNull() |
            (F.col("ts").cast("timestamp") >= F.col("prev_ts").cast("timestamp")
             + F.make_interval(mins=F.lit(gap_minutes))))
     p = p.withColumn("_new", new.cast("long")).withColumnRenamed("seq", "user_seq")
     s = prefix_sums(p.drop("prev_ts"), [user], order, {"sess": F.col("_new")}).withColumnRenamed("cum_sess", "session_no")
-    s = s.drop("seq")
+    s = materialize(s.drop("seq"))   # read by the bounds, the join back and the best-strategy branch
     bounds = s.groupBy(user, "session_no").agg(F.min("user_seq").alias("_first"), F.max("user_seq").alias("_last"),
                                                F.min("ts").alias("session_start"), F.max("ts").alias("session_end"))
     j = s.join(bounds, [user, "session_no"])
@@ -126,10 +126,12 @@ def phase_path(feedback: DataFrame, model: str = "model", success: str = "succes
     after the previous transition where its rule holds. Output per model:
     the position (and time) of each transition and the final phase.
     """
-    p = prefix_sums(feedback, [model], order, {"s": F.col(success).cast("long")})
+    p = materialize(prefix_sums(feedback, [model], order, {"s": F.col(success).cast("long")})
+                    .select(model, "seq", "ts", "cum_s"))
     p = lagged(p, [model], window, ["cum_s"], "w_")
     rate = (F.col("cum_s") - F.coalesce(F.col("w_cum_s"), F.lit(0))) / F.least(F.col("seq"), F.lit(window))
-    p = p.select(model, "seq", "ts", rate.alias("rate"))
+    # the three transition searches read the same numbered rows
+    p = materialize(p.select(model, "seq", "ts", rate.alias("rate")))
     out = p.select(model).distinct()
     prev = None
     for frm, to, n_min, s_min in TRANSITIONS:

@@ -119,6 +119,16 @@ def lagged(df: DataFrame, keys: Sequence[str], lag: int, cols: Sequence[str], pr
     return _join_keys(df, prev, keys + ["seq"], "left")
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut the lineage of a table that several branches of a plan read
+    (self-joins of numbered rows): ``checkpoint()`` into the shared folder
+    named by ``spark.checkpoint.dir`` -- computed once, survives executor
+    loss, and keeps the downstream plan from re-deriving it per branch."""
+    from ..session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def window_sum(cum: str, lag_cum: str) -> Column:
     """Sum over the window (seq - k, seq] from inclusive prefix sums."""
     return F.col(cum) - F.coalesce(F.col(lag_cum), F.lit(0))
