@@ -340,6 +340,7 @@ def adaptation_analytics(rows: DataFrame, model: str = "model", quality: str = "
     """BD-10: requests, success rate, adaptation efficiency (first 10 vs last
     10 quality, clamp(2 gain, 0, 1) when >= 10 rows), quality trend over
     w = min(20, n div 2) first and last rows, exploration share of the last 50."""
+    rows = materialize(rows)   # read three times below; upstream is the replay (a Python solve)
     n = rows.groupBy(model).agg(F.count(F.lit(1)).alias("total_requests"),
                                 F.count_if(F.col(success)).alias("successful_adaptations"))
     first20 = top_k_per_group(rows, [model], [F.asc(c) for c in order], 20, salt_col)

@@ -158,8 +158,9 @@ def feedback_signals(conversations: DataFrame, conv: str = "conv_id", turn: str
     the next user turn of an assistant turn (user number + 1) and the
     previous user message are 1:1 equi-joins, never pairs of turns.
     """
-    from .sequence import prefix_sums
-    p = prefix_sums(conversations, [conv], [turn], {"u": (F.col(role) == "user").cast("long")})
+    from .sequence import materialize, prefix_sums
+    # numbered turns are read by three branches (users, previous user turn, assistant turns)
+    p = materialize(prefix_sums(conversations, [conv], [turn], {"u": (F.col(role) == "user").cast("long")}))
     users = p.filter(F.col(role) == "user").select(conv, F.col("cum_u").alias("_u"), F.col(text).alias("_t"))
     prev = users.select(conv, (F.col("_u") + 1).alias("_u"), F.col("_t").alias("_p"))
     users = users.join(prev, [conv, "_u"], "left")

@@ -89,8 +89,11 @@ def prefix_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     local = base.withColumn("_lc", F.count(F.lit(1)).over(w))
     for name in cols:
         local = local.withColumn(f"_l_{name}", F.sum(f"_v_{name}").over(w))
-    tot = base.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_tc"),
-                                            *[F.sum(f"_v_{name}").alias(f"_t_{name}") for name in cols])
+    # chunk totals from the running values themselves (the last row of each chunk), so the
+    # input is shuffled once for the window and the totals reuse that exchange
+    tot = local.groupBy(*keys, "_chunk").agg(F.max("_lc").alias("_tc"),
+                                             *[F.max_by(f"_l_{name}", F.col("_lc")).alias(f"_t_{name}")
+                                               for name in cols])
     wo = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy("_chunk") \
         .rowsBetween(Window.unboundedPreceding, -1)
     # one row per (key, chunk): the offsets window runs over chunk totals only
