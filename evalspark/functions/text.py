@@ -190,12 +190,47 @@ LANGUAGE_PATTERNS = [
 ]
 
 
+_SPECIAL = set("\\[](){}^$.*+?|")
+
+
+def required_literal(pattern: str) -> str | None:
+    """A substring every match of ``pattern`` contains, read off its start:
+    the word after a leading ``\\b`` or a leading run of plain characters
+    (a character followed by a quantifier is not required). None if unsure."""
+    m = re.match(r"\\b([A-Za-z_]+)", pattern)
+    if m:
+        rest = pattern[m.end():]
+        word = m.group(1)
+        if rest[:1] in ("*", "?", "{", "+"):
+            word = word[:-1]
+        return word or None
+    run = ""
+    for i, ch in enumerate(pattern):
+        if ch in _SPECIAL and not (ch in "{}" and i == 0):
+            break
+        run += ch
+    if run and pattern[len(run):len(run) + 1] in ("*", "?", "{", "+"):
+        run = run[:-1]
+    return run or None
+
+
+def _hit(code: Column, pattern: str, multiline: bool, ignorecase: bool) -> Column:
+    """rlike behind a cheap ``contains`` guard on a literal the match needs
+    (And short-circuits, so most rows never reach the regex engine)."""
+    lit = required_literal(pattern)
+    rx = code.rlike(java_regex(pattern, multiline, ignorecase))
+    if not lit:
+        return rx
+    guard = F.contains(F.lower(code), F.lit(lit.lower())) if ignorecase else F.contains(code, F.lit(lit))
+    return guard & rx
+
+
 def language_score(code: Column, keywords: Sequence[str], syntax: Sequence[str]) -> Column:
     """Score of one language: keyword hits +1 (multiline, ignore case), syntax
     hits +0.5 (multiline), x1.5 when more than two keywords hit, divided by
     the number of patterns, capped at 1."""
-    kw = sum((F.when(code.rlike(java_regex(p, True, True)), 1).otherwise(0) for p in keywords), F.lit(0))
-    syn = sum((F.when(code.rlike(java_regex(p, True)), 1).otherwise(0) for p in syntax), F.lit(0))
+    kw = sum((F.when(_hit(code, p, True, True), 1).otherwise(0) for p in keywords), F.lit(0))
+    syn = sum((F.when(_hit(code, p, True, False), 1).otherwise(0) for p in syntax), F.lit(0))
     raw = kw + F.lit(0.5) * syn
     boost = F.when(kw > 2, F.lit(1.5)).otherwise(F.lit(1.0))
     return F.least(raw * boost / F.lit(float(len(keywords) + len(syntax))), F.lit(1.0))
