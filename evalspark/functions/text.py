@@ -236,10 +236,43 @@ def language_score(code: Column, keywords: Sequence[str], syntax: Sequence[str])
     return F.least(raw * boost / F.lit(float(len(keywords) + len(syntax))), F.lit(1.0))
 
 
+def _sql_str(x: str) -> str:
+    return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _sql_hit(c: str, pattern: str, multiline: bool, ignorecase: bool) -> str:
+    lit = required_literal(pattern)
+    rx = f"{c} RLIKE {_sql_str(java_regex(pattern, multiline, ignorecase))}"
+    if not lit:
+        return f"({rx})"
+    guard = (f"contains(lower({c}), {_sql_str(lit.lower())})" if ignorecase else f"contains({c}, {_sql_str(lit)})")
+    return f"({guard} AND {rx})"
+
+
+def detect_language_sql(c: str) -> str:
+    """TX-12 as one SQL expression over column ``c`` (same rule as
+    ``detect_language``). Built as text and parsed once by Catalyst, which
+    avoids thousands of client calls for a 90-pattern expression."""
+    cands = []
+    for i, (name, kws, syn) in enumerate(LANGUAGE_PATTERNS):
+        kw = " + ".join(f"CASE WHEN {_sql_hit(c, p, True, True)} THEN 1 ELSE 0 END" for p in kws)
+        sy = " + ".join(f"CASE WHEN {_sql_hit(c, p, True, False)} THEN 1 ELSE 0 END" for p in syn)
+        total = float(len(kws) + len(syn))
+        score = (f"least((({kw}) + 0.5D * ({sy})) * CASE WHEN ({kw}) > 2 THEN 1.5D ELSE 1.0D END / {total}D, 1.0D)")
+        cands.append(f"named_struct('score', {score}, 'neg_order', {-i}, 'language', '{name}')")
+    best = f"greatest({', '.join(cands)})"
+    blank = f"({c} IS NULL OR btrim({c}, {_sql_str(_WS)}) = '')"
+    return (f"named_struct('language', CASE WHEN {blank} OR b.score < 0.2D THEN 'unknown' ELSE b.language END, "
+            f"'confidence', CASE WHEN {blank} OR b.score < 0.2D THEN 0.0D ELSE b.score END)").replace(
+        "b.score", f"{best}.score").replace("b.language", f"{best}.language")
+
+
 def detect_language(code: Column | str) -> Column:
     """TX-12: struct(language, confidence). Best score wins, ties go to the
     language listed first; a best score below 0.2 (or blank code) is
     ``unknown`` with confidence 0."""
+    if isinstance(code, str):
+        return F.expr(detect_language_sql(f"`{code}`"))
     c = col(code)
     cands = [F.struct(language_score(c, kws, syn).alias("score"), F.lit(-i).alias("neg_order"),
                       F.lit(name).alias("language"))

@@ -221,7 +221,7 @@ def output_match(tests: DataFrame, problem: str = "problem_id", code: str = "cod
     """TX-19: a test passes iff the run succeeded and the trimmed output
     equals the trimmed expected output; per problem tests, passed, pass rate.
     When the code's language (TX-12) is unknown nothing passes."""
-    lang = TX.detect_language(F.col(code))["language"]
+    lang = TX.detect_language(code)["language"]
     ok = (F.coalesce(F.col(success), F.lit(False)) & (TX.pystrip(stdout) == TX.pystrip(expected))
           & (lang != "unknown"))
     t = tests.withColumn("passed", F.coalesce(ok, F.lit(False)))
