@@ -233,7 +233,12 @@ def with_prompt_features(df, prompt: str, model: Column | str, out: str = "featu
     whole-stage codegen and is evaluated once per row."""
     d = df.withColumn("_low", F.lower(F.col(prompt)))
     names = [f"_dom{i}" for i in range(len(DOMAINS))]
-    d = d.select("*", *[s.alias(n) for s, n in zip(domain_sums(F.col("_low")), names)])
+    # the 123 keyword tests are written as SQL text and parsed once (cheap to plan)
+    sums = []
+    for _, kws, _ in DOMAINS:
+        terms = " + ".join(f"CASE WHEN contains(_low, '{k}') THEN {w}D ELSE 0.0D END" for k, w in kws.items())
+        sums.append(F.expr(f"(0.0D + {terms})"))
+    d = d.select("*", *[s.alias(n) for s, n in zip(sums, names)])
     d = d.withColumn("_domain", domain_from_sums([F.col(n) for n in names]))
     d = d.withColumn(out, prompt_features(prompt, model, domain=F.col("_domain")))
     return d.drop("_low", "_domain", *names)
