@@ -88,6 +88,9 @@ def early_late_delta(df: DataFrame, by: Sequence[str], value: str, order: Sequen
                      .otherwise(F.lit(0.0)).alias("learning_rate"))
 
 
+SALT_THRESHOLD = 2_000_000   # rows per group above which the two-phase (salted) ranking is used
+
+
 def top_k_per_group(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int,
                     salt_col: str | None = None, salts: int = 64) -> DataFrame:
     """The first ``k`` rows of every group by ``order`` -- exact, skew-proof.
@@ -99,6 +102,11 @@ def top_k_per_group(df: DataFrame, by: Sequence[str], order: Sequence[Column], k
     per group.
     """
     by = list(by)
+    if salt_col is not None and by:
+        # one aggregate row decides: salting only pays when some group is large
+        big = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n").alias("m")).first()
+        if big is None or big.m is None or big.m <= SALT_THRESHOLD:
+            salt_col = None
     if salt_col is None:
         w = Window.partitionBy(*by).orderBy(*order)
         return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k).drop("_rn")
