@@ -77,3 +77,18 @@ def test_ties_break_by_name(spark):
     assert [x.model for x in ranking.model_ranking(r).orderBy("position").collect()] == ["a", "b"]
     g = ranking.best_worst_gap(r).first()
     assert g.best == "a" and g.worst == "b" and g.gap == 0.0
+
+
+def test_report_flows(spark, views):
+    from evalspark.plans import reports
+    from evalspark.sources import reference_data as ref
+    rep = reports.analytics_report(views.eval_results)
+    assert rep["summary_statistics"].count() == 1
+    assert rep["model_ranking"].count() == rep["model_statistics"].count()
+    sr = reports.suite_report(aggs.preprocess_results(views.eval_results), ref.suites_df(spark), "standard")
+    # every expected (model, task) pair is present after completion
+    exp = {(r.model, r.task) for r in sr["expected"].select("model", "task").collect()}
+    got = {(r.model, r.task) for r in sr["completed"].select("model", "task").distinct().collect()}
+    assert exp <= got
+    levels = {r.level for r in sr["summary"].select("level").distinct().collect()}
+    assert levels == {"suite_model", "task", "harness", "all"}
