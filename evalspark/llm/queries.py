@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import simhash, token_files, url_filters
+from . import langid, simhash, token_files, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -28,6 +29,23 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def remainder(n: int):
+    """crc32 of the document's id, as text, modulo n."""
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def language_model(docs: DataFrame) -> langid.Model:
+    """The model of the query and the pipeline: learned from the rows whose remainder is not 2."""
+    return langid.fit(docs.where(remainder(4) != 2), langid.sentencepiece_vocabulary(tokenizer_path("piece_bpe_32k.model")))
+
+
+@query("op1_language_id")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.predict(docs.select("doc_id", "text"), language_model(docs))
+    return found.select("doc_id", F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 @query("op2_simple8b_token_files")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_digests(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
