@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, simhash, token_files, url_filters
+from . import langid, repeats, simhash, token_files, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -51,6 +51,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_digests(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+@query("op5_suffix_array_repeats")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removal_report(table(spark, sf_dir, "documents"), length=400)
+
+
 @query("op7_golay_simhash")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3)
