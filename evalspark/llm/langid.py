@@ -232,12 +232,13 @@ def fit(labelled: DataFrame, pieces: list[str], text_col: str = "text", lang_col
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with the last columns lang_pred and score.
+    """``docs`` with the last columns lang_pred and score, in place of any of these names.
 
     Null and empty texts and texts without a letter are ``und`` with score 0, as are
     all texts of a model without languages. Repeated rows get equal results; equal
     scores go to the first language by name.
     """
+    docs = docs.drop("lang_pred", "score")
     prepared(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)

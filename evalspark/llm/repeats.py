@@ -377,12 +377,15 @@ def removal_report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """``docs`` with every repeated span cut out of its text, and a last column
-    ``n_removed`` (bytes). A character that a span covers only in part stays."""
+    ``n_removed`` (bytes), in place of any of this name. A character that a span covers
+    only in part stays."""
+    docs = docs.drop("n_removed")
     spans, _ = repeated_spans(docs, id_col, text_col, length)
     keyed = docs.withColumns({"__" + k: c for k, c in {"id": F.col(id_col).cast("long"), "t1": F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), "t2": F.xxhash64(F.lit(1), F.coalesce(F.col(text_col), F.lit("")))}.items()})
     own = spans.select(F.col("doc_id").alias("__d"), F.col("t1").alias("__u1"), F.col("t2").alias("__u2"), F.col("spans").alias("__spans"))
     joined = keyed.join(own, keyed["__id"].eqNullSafe(own["__d"]) & (keyed["__t1"] == own["__u1"]) & (keyed["__t2"] == own["__u2"]), "left").select(*docs.columns, "__spans")
-    at = docs.columns.index(text_col)
+    names = docs.columns
+    at = names.index(text_col)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -393,7 +396,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 sizes.append(len((text or "").encode()) - len((new or "").encode()))
             columns = batch.columns[:-1]
             columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(sizes, pa.int64())], [*docs.columns, "n_removed"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(sizes, pa.int64())], [*names, "n_removed"])
 
     return joined.mapInArrow(cut, T.StructType([*docs.schema.fields, T.StructField("n_removed", T.LongType())]))
 
