@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, repeats, simhash, token_files, url_filters
+from . import bpe, decontaminate, langid, repeats, simhash, token_files, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -59,6 +59,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_and_decode(docs, tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
 
 
+@query("op4_template_decontamination")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
 @query("op5_suffix_array_repeats")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.removal_report(table(spark, sf_dir, "documents"), length=400)
@@ -74,7 +79,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages"))
 
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op4_template_decontamination": decontaminate.oracle()}
 
 
 def load_all() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
