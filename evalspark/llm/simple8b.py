@@ -17,6 +17,7 @@ BITS = np.array([60, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], np.int64)
 COUNTS = np.array([1] + [60 // int(b) for b in BITS[1:]], np.int64)
 _LIMITS = (np.uint64(1) << BITS[1:].astype(np.uint64)) - np.uint64(1)
 _SPAN = int(COUNTS.max())
+_WIDE = 8  # from this selector on, an id's width alone limits a word to COUNTS[_WIDE] ids
 
 
 def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -38,9 +39,14 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     span = np.arange(_SPAN)
     step = 0
     while len(live):  # one word of every unfinished block a step
-        window = np.maximum.accumulate(classes[live[:, None], at[live][:, None] + span], axis=1)
-        fits = window[:, COUNTS[1:] - 1] <= np.arange(1, len(BITS))
-        selector = np.where(fits.any(axis=1), fits.argmax(axis=1) + 1, 0)
+        selector = np.zeros(len(live), np.int64)
+        wide = classes[live, at[live]] >= _WIDE
+        for pick, low in ((np.nonzero(wide)[0], _WIDE), (np.nonzero(~wide)[0], 1)):
+            if len(pick):
+                own = live[pick]
+                window = np.maximum.accumulate(classes[own[:, None], at[own][:, None] + span[:COUNTS[low]]], axis=1)
+                fits = window[:, COUNTS[low:] - 1] <= np.arange(low, len(BITS))
+                selector[pick] = np.where(fits.any(axis=1), fits.argmax(axis=1) + low, 0)
         where.append(live * BLOCK + at[live])
         chosen.append(selector)
         order.append(live * (BLOCK + 1) + step)

@@ -1,8 +1,8 @@
 """Token-id files: documents encoded with a public tokenizer and written as
 Simple-8b coded shards.
 
-The written table is one row per segment (at least ``SEGMENT_IDS`` ids, whole
-documents): the documents' ids and lengths, the packed words, the first word of
+The written table is one row per segment (whole documents, ``SEGMENT_IDS`` ids or a
+little more, fewer at the end of an Arrow batch): the documents' ids and lengths, the packed words, the first word of
 every block and the escaped values. Parts are consecutive ranges of doc_id, so
 (part, segment, position) is ascending doc_id order and the offset of a document
 in the whole id stream is known from the part totals alone.
@@ -18,6 +18,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ END_ID = 1
 SEGMENT_SCHEMA = ("part int, segment int, first_id long, n_ids long, doc_ids array<long>, doc_lengths array<long>, "
                   "words binary, block_offsets binary, escapes binary")
 # Letters whose lower case is the same letter by letter and that need no normalisation.
-_LETTERS = "a-zà-öø-ÿ"
+_LETTERS = "a-zß-öø-ÿ"
 _PLAIN = re.compile("[ -&(-~À-ÖØ-öø-ÿ]*").fullmatch
 _PARTS = re.compile(rf"[{_LETTERS}]+|[0-9]|[^\s{_LETTERS}0-9]+").findall
 
@@ -83,26 +84,36 @@ class WordEncoder:
                 table.append([rank(w)])
         per_part = self._ids(list(parts))
         sizes = np.fromiter(map(len, per_part), np.int64, len(per_part))
-        flat = np.fromiter((i for ids in per_part for i in ids), np.int64, int(sizes.sum()))
+        flat = np.fromiter(chain.from_iterable(per_part), np.int32, int(sizes.sum()))
         starts = np.cumsum(sizes) - sizes
         counts = np.fromiter(map(len, table), np.int64, len(table))
-        refs = np.fromiter((p for row in table for p in row), np.int64, int(counts.sum()))
+        refs = np.fromiter(chain.from_iterable(table), np.int32, int(counts.sum()))
         ends = np.concatenate([[0], np.cumsum(sizes[refs])])
         stops = np.cumsum(counts)
         return flat[ragged(starts[refs], sizes[refs])], ends[stops] - ends[stops - counts]
 
-    def texts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts one after another, number of ids of each)."""
+    def segments(self, texts: list[str | None], least: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """Runs of texts of ``least`` ids or more (the last: fewer): (first text, end,
+        their ids one after another, number of ids of each)."""
         index = _Index()
         rank = index.__getitem__
-        refs = [np.fromiter(map(rank, (t or "").replace("\n", " ").split(" ")), np.int64) for t in texts]
+        refs = [np.fromiter(map(rank, self._spaced(t).split(" ")), np.int32) for t in texts]
         flat, sizes = self.words(list(index))
+        del index, rank
         starts = np.cumsum(sizes) - sizes
-        use = np.concatenate(refs) if refs else np.zeros(0, np.int64)
-        ends = np.concatenate([[0], np.cumsum(sizes[use])])
-        stops = np.cumsum([len(r) for r in refs], dtype=np.int64)
-        first = np.concatenate([[0], stops[:-1]]) if refs else stops
-        return flat[ragged(starts[use], sizes[use])], ends[stops] - ends[first]
+        lengths = np.fromiter((sizes[r].sum() for r in refs), np.int64, len(refs))
+        first = held = 0
+        for i, n in enumerate(lengths.tolist()):
+            held += n
+            if held >= least or i == len(refs) - 1:
+                use = np.concatenate(refs[first:i + 1])
+                yield first, i + 1, flat[ragged(starts[use], sizes[use])], lengths[first:i + 1]
+                first, held = i + 1, 0
+
+    def _spaced(self, text: str | None) -> str:
+        """The text with spaces for line ends; in lower case if that is all the same."""
+        text = (text or "").replace("\n", " ")
+        return text.lower() if _PLAIN(text) and not any(s in text for s in self.special) else text
 
 
 def _segment(part: int, number: int, first: int, doc_ids: list, lengths: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
@@ -124,27 +135,14 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, id_col: str =
 
         encoder = None
         part, number, first = TaskContext.get().partitionId(), 0, 0
-        doc_ids: list = []
-        sizes: list = []
-        held: list = []
-
         for batch in batches:
             encoder = encoder or WordEncoder(vocabulary.value)
-            texts = batch.column(1).to_pylist()
-            ids, lengths = encoder.texts(texts)
-            ends = np.cumsum(lengths)
-            whole = np.full(len(ids) + len(texts), end_id, np.int64)
-            whole[ragged(ends - lengths + np.arange(len(texts)), lengths)] = ids
-            doc_ids += batch.column(0).to_pylist()
-            sizes.append(lengths + 1)
-            held.append(whole)
-            if sum(map(len, held)) >= SEGMENT_IDS:
-                made = _segment(part, number, first, doc_ids, np.concatenate(sizes), np.concatenate(held))
-                number, first = number + 1, first + sum(map(len, held))
-                doc_ids, sizes, held = [], [], []
-                yield made
-        if doc_ids:
-            yield _segment(part, number, first, doc_ids, np.concatenate(sizes), np.concatenate(held))
+            doc_ids = batch.column(0).to_pylist()
+            for a, b, ids, lengths in encoder.segments(batch.column(1).to_pylist(), SEGMENT_IDS):
+                whole = np.full(len(ids) + b - a, end_id, np.int32)
+                whole[ragged(np.cumsum(lengths) - lengths + np.arange(b - a), lengths)] = ids
+                yield _segment(part, number, first, doc_ids[a:b], lengths + 1, whole)
+                number, first = number + 1, first + len(whole)
 
     key = F.col(id_col).cast("long")
     (docs.select(key.alias("id"), F.col(text_col).alias("text")).repartitionByRange("id").sortWithinPartitions("id")
