@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, repeats, simhash, token_files, url_filters
+from . import bpe, decontaminate, langid, repeats, simhash, token_files, topk, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -69,6 +69,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.removal_report(table(spark, sf_dir, "documents"), length=400)
 
 
+@query("op6_norm_bucketed_topk")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
 @query("op7_golay_simhash")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3)
@@ -79,7 +84,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages"))
 
 
-ORACLE: dict[str, str] = {"op4_template_decontamination": decontaminate.oracle()}
+ORACLE: dict[str, str] = {"op4_template_decontamination": decontaminate.oracle(), "op6_norm_bucketed_topk": topk.oracle()}
 
 
 def load_all() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
