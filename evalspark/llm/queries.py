@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, repeats, simhash, token_files, topk, toxicity, url_filters
+from . import bpe, decontaminate, html_text, langid, repeats, simhash, token_files, topk, toxicity, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -87,6 +87,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out, "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+@query("op9_layout_aware_html")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.with_text(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", "text")
+
+
 @query("op10_url_filter")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages"))
