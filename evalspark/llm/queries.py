@@ -101,4 +101,6 @@ ORACLE: dict[str, str] = {"op4_template_decontamination": decontaminate.oracle()
 
 
 def load_all() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    import corpus_pipeline
+
+    return QUERIES | {"pipeline": corpus_pipeline.run}
