@@ -8,7 +8,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir, ship_package
 
@@ -78,3 +79,17 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     ends = np.cumsum(lengths)
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
+
+
+def hash_sample(rows: DataFrame, by: str, hashed: str, counts: dict, n: int) -> DataFrame:
+    """At most ``n`` rows of each value of ``by``: those with the smallest values of the
+    long column ``hashed`` (a hash). ``counts`` are the rows of each value; from them a
+    bound on the hash follows, so that tasks pass on about n rows a value in all, not n
+    each. Where a value has n rows or fewer, all of them."""
+    bounds = {k: int((1 << 64) * min(1.0, (n + 6 * n ** 0.5) / max(c, 1))) - (1 << 63) for k, c in counts.items()}
+    if not bounds:
+        return rows.limit(0)
+    entries = [F.lit(x) for k, b in bounds.items() for x in (k, min(b, (1 << 63) - 1))]
+    few = rows.where(F.col(hashed) <= F.create_map(*entries)[F.col(by)])
+    order = Window.partitionBy(by).orderBy(hashed, *(c for c in rows.columns if c not in (by, hashed)))
+    return few.withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= n).drop("__rank")

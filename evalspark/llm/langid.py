@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import prepared
+from .common import hash_sample, prepared
 
 FIT_DOCS = 400       # labelled rows a language that the probabilities are fitted on, at most
 FIT_CHARS = 20_000   # of a fitted row, so many characters at most (fitting only)
@@ -211,8 +211,8 @@ def fit(labelled: DataFrame, pieces: list[str], text_col: str = "text", lang_col
     """Fit on at most ``FIT_DOCS`` rows of each language of ``labelled`` (rows with a
     null language or text are left out)."""
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
-    # per (language, task) the rows of smallest hash, then per language: nothing is gathered but FIT_DOCS rows a group
-    picked = rows.select("lang", F.substring("text", 1, FIT_CHARS).alias("text"), F.xxhash64("text").alias("h")).selectExpr("lang", "text", "row_number() over (partition by lang order by h, text) as r").where(F.col("r") <= FIT_DOCS)
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a language
+    picked = hash_sample(rows.select("lang", F.xxhash64("text").alias("h"), F.substring("text", 1, FIT_CHARS).alias("text")), "lang", "h", sizes, FIT_DOCS)
     counts: dict[str, Counter] = {}
     for lang, text in picked.select("lang", "text").toLocalIterator():
         counts.setdefault(lang, Counter()).update(words_of(text))
