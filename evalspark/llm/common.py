@@ -3,6 +3,7 @@ string buffers, file shipping."""
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -93,3 +94,10 @@ def hash_sample(rows: DataFrame, by: str, hashed: str, counts: dict, n: int) ->
     few = rows.where(F.col(hashed) <= F.create_map(*entries)[F.col(by)])
     order = Window.partitionBy(by).orderBy(hashed, *(c for c in rows.columns if c not in (by, hashed)))
     return few.withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= n).drop("__rank")
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of tables that nothing refers to any
+    more; it learns of them when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -3,13 +3,12 @@
 Every byte that lies in a string of ``length`` bytes which also starts anywhere else
 is found, over all texts, without sorting all suffixes:
 
-1. Anchors. In every window of ``length`` bytes the 32-byte gram of smallest hash
-   (leftmost on ties) is its anchor. Equal windows have equal anchors at equal
-   places, so only suffixes at anchors need comparing: about one position in
-   ``length / 2``.
-2. Contexts. An anchor's context is what a window holding it can reach: up to
-   ``length - 32`` bytes to its left and ``length`` from its start. Anchors are
-   counted by gram and context hash. A context that occurs twice is covered whole;
+1. Anchors. In every window of ``length`` bytes the gram of ``GRAM`` bytes with the
+   smallest hash (leftmost on ties) is its anchor. Equal windows have equal anchors at
+   equal places, so only suffixes at anchors need comparing: two positions in
+   ``length - GRAM``, about.
+2. Contexts. An anchor's context is the union of the windows that chose it. Anchors
+   are counted by gram and context hash. A context that occurs twice is covered whole;
    an anchor whose gram occurs once is done. What stays are grams with several
    distinct contexts, one occurrence each.
 3. Suffix arrays. The contexts of a gram are sorted by what follows the anchor
@@ -39,10 +38,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import prepared, stored, utf8_buffers
+from .common import prepared, release, stored, utf8_buffers
 
 LENGTH = 400
-GRAM = 32
+GRAM = 128  # a power of two
 GROUP = 4096   # distinct contexts of a gram that one suffix array holds, at most
 STEP = 64
 CHUNK = 1 << 18  # bytes handled at once when anchors are chosen
@@ -69,10 +68,11 @@ def _window_minimum(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(low[:len(keys) - width + 1], low[width - size:len(keys) - size + 1]) if size < width else low
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, gram hashes) of the anchors of all windows of ``length`` bytes that
-    lie within one of the texts ``data[offsets[i]:offsets[i + 1]]``."""
-    places, grams = [], []
+def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(positions, gram hashes, first bytes, ends) of the anchors of all windows of
+    ``length`` bytes that lie within one of the texts ``data[offsets[i]:offsets[i + 1]]``;
+    first and end are those of the union of the windows that chose the anchor."""
+    found: list[tuple] = []
     i, n = 0, len(offsets) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + CHUNK, side="right")) - 1)
@@ -86,21 +86,27 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tupl
             h = _gram_hashes(part)
             key = (h & ~np.uint64(0xFFFFFFFF)) | np.arange(len(h), dtype=np.uint64)
             at = (_window_minimum(key, length - GRAM + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            window = np.arange(len(at))
             if j > i + 1:  # windows that cross the end of a text do not count
                 inside = np.zeros(len(at), bool)
                 for a, b in zip(own[:-1].tolist(), own[1:].tolist()):
                     if b - a >= length:
                         inside[a:b - length + 1] = True
-                at = at[inside]
-            at = np.unique(at)
-            places.append(at + first + start)
-            grams.append(h[at].view(np.int64))
+                at, window = at[inside], window[inside]
+            if len(at):  # the windows of an anchor follow each other
+                edge = np.flatnonzero(np.diff(at)) + 1
+                low, high = np.append(0, edge), np.append(edge - 1, len(at) - 1)
+                base = first + start
+                found.append((at[low] + base, h[at[low]].view(np.int64), window[low] + base, window[high] + base + length))
         i = j
-    if not places:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    places, grams = np.concatenate(places), np.concatenate(grams)
-    places, keep = np.unique(places, return_index=True)
-    return places, grams[keep]
+    if not found:
+        return tuple(np.zeros(0, np.int64) for _ in range(4))
+    at, grams, low, high = (np.concatenate(x) for x in zip(*found))
+    places, keep, owner = np.unique(at, return_index=True, return_inverse=True)
+    first, end = low[keep].copy(), high[keep].copy()
+    np.minimum.at(first, owner, low)  # an anchor at the border of two pieces
+    np.maximum.at(end, owner, high)
+    return places, grams[keep], first, end
 
 
 # --- the interval tree ---------------------------------------------------------
@@ -190,29 +196,29 @@ def _depth(lcp: list[int], first: int, last: int) -> int:
 
 # --- Spark ---------------------------------------------------------------------
 
-ANCHORS = "gram long, context long, doc_id long, t1 long, t2 long, at int, first int, last int"
-SPANS = "doc_id long, t1 long, t2 long, first int, last int"
+ANCHORS = "gram long, context long, doc_id long, t long, at int, before int, after int"
+SPANS = "doc_id long, t long, first int, last int"
+KEY = ["doc_id", "t"]
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    # a text is known by two 64-bit hashes; rows with equal id and text are one to all that follows
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"))
+    # rows with equal id and text are one to all that follows; t stands for the text
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("t"))
 
 
 def _anchor_rows(texts: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8_buffers(batch.column(1))
-            at, gram = anchors(data, offsets, length)
+            at, gram, first, end = anchors(data, offsets, length)
             doc = np.searchsorted(offsets, at, side="right") - 1
-            raw, begin, end = memoryview(data.tobytes()), offsets[doc], offsets[doc + 1]
-            first, last = np.maximum(begin, at + GRAM - length), np.minimum(end, at + length)
+            raw = memoryview(data.tobytes())
             digest = xxhash.xxh3_64_intdigest
             # the hash holds the anchor's place in the context too
-            context = np.fromiter((digest(raw[a:b], c - a) for a, b, c in zip(first.tolist(), last.tolist(), at.tolist())), np.uint64, len(at)).view(np.int64)
+            context = np.fromiter((digest(raw[a:b], c - a) for a, b, c in zip(first.tolist(), end.tolist(), at.tolist())), np.uint64, len(at)).view(np.int64)
             own = pa.array(doc)
-            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(context), *(batch.column(k).take(own) for k in (0, 2, 3)), *(pa.array(x - begin, pa.int32()) for x in (at, first, last))], [c.split()[0] for c in ANCHORS.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(context), batch.column(0).take(own), batch.column(2).take(own), *(pa.array(x, pa.int32()) for x in (at - offsets[doc], at - first, end - at))], [c.split()[0] for c in ANCHORS.split(", ")])
 
     return texts.mapInArrow(run, ANCHORS)
 
@@ -220,15 +226,15 @@ def _anchor_rows(texts: DataFrame, length: int) -> DataFrame:
 def _tree_spans(contexts: DataFrame, length: int) -> DataFrame:
     """Spans of the occurrences of grams with at most GROUP contexts (sorted by gram)."""
     def spans(rows: list[dict]) -> Iterator[tuple]:
-        before = [(r["text"][:r["at"] - r["first"]], r["text"][r["at"] - r["first"]:]) for r in rows]
+        sides = [(r["text"][:r["before"]], r["text"][r["before"]:]) for r in rows]
         low, high = [None] * len(rows), [None] * len(rows)
-        for left, right, members in maximal_repeats(before, length):
+        for left, right, members in maximal_repeats(sides, length):
             for m in members:  # repeats of one anchor all hold it: their union is one span
                 low[m] = left if low[m] is None else max(low[m], left)
                 high[m] = right if high[m] is None else max(high[m], right)
         for r, x, y in zip(rows, low, high):
             if x is not None:
-                yield r["doc_id"], r["t1"], r["t2"], r["at"] - x, r["at"] + y
+                yield r["doc_id"], r["t"], r["at"] - x, r["at"] + y
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[dict] = []
@@ -247,11 +253,11 @@ def _tree_spans(contexts: DataFrame, length: int) -> DataFrame:
 
 
 def _span_batch(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], [c.split()[0] for c in SPANS.split(", ")])
 
 
-PIECES = "h1 long, h2 long, doc_id long, t1 long, t2 long, first int, text binary"
+PIECES = "h1 long, h2 long, doc_id long, t long, first int, text binary"
 
 
 def _pieces(contexts: DataFrame, length: int) -> DataFrame:
@@ -260,12 +266,12 @@ def _pieces(contexts: DataFrame, length: int) -> DataFrame:
     size = length - STEP + 1
 
     def rows(r: dict) -> Iterator[tuple]:
-        text, at, first = r["text"], r["at"] - r["first"], r["first"]
+        text, at, first = r["text"], r["before"], r["at"] - r["before"]
         for q in range(at, -1, -STEP):
             if q + size <= len(text):
                 digest = xxhash.xxh3_128_intdigest(text[q:q + size], at - q)
                 low = max(0, q - STEP + 1)
-                yield *_halves(digest), r["doc_id"], r["t1"], r["t2"], first + low, text[low:q + length]
+                yield *_halves(digest), r["doc_id"], r["t"], first + low, text[low:q + length]
 
     return _exploded(contexts, rows, PIECES)
 
@@ -275,7 +281,7 @@ def _windows(pieces: DataFrame, length: int) -> DataFrame:
     def rows(r: dict) -> Iterator[tuple]:
         text = r["text"]
         for a in range(len(text) - length + 1):
-            yield *_halves(xxhash.xxh3_128_intdigest(text[a:a + length])), r["doc_id"], r["t1"], r["t2"], r["first"] + a
+            yield *_halves(xxhash.xxh3_128_intdigest(text[a:a + length])), r["doc_id"], r["t"], r["first"] + a
 
     return _exploded(pieces, rows, PIECES.removesuffix(", text binary"))
 
@@ -304,42 +310,42 @@ def _repeated(rows: DataFrame) -> DataFrame:
     return rows.join(twice, ["h1", "h2"], "left_semi")
 
 
-KEY = ["doc_id", "t1", "t2"]
-
-
 def _on_key(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
     """Join on the document key (a null id equals a null id); columns of ``b`` but the key are added."""
     b = b.select(*(F.col(k).alias(f"__{k}") if k in KEY else F.col(k) for k in b.columns))
-    on = a["t1"].eqNullSafe(b["__t1"]) & a["t2"].eqNullSafe(b["__t2"]) & a["doc_id"].eqNullSafe(b["__doc_id"])
-    return a.join(b, on, how).drop("__t1", "__t2", "__doc_id")
+    return a.join(b, (a["t"] == b["__t"]) & a["doc_id"].eqNullSafe(b["__doc_id"]), how).drop("__t", "__doc_id")
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
     """(spans, texts) of all texts that hold a repeated string of ``length`` bytes.
 
-    spans: doc_id, t1, t2 (two hashes of the text) and the array of (first, last) byte
-    spans that such strings cover, unordered, they may overlap. texts: the same key
-    and the text, at least for every text with spans.
+    spans: doc_id, t (a hash of the text) and the array of (first, last) byte spans
+    that such strings cover, unordered, they may overlap. texts: the same key and the
+    text, at least for every text with spans.
     """
-    prepared(docs.sparkSession)
+    spark = prepared(docs.sparkSession)
     texts = _texts(docs, id_col, text_col)
     marks = stored(_anchor_rows(texts, length), "anchors")
     counts = marks.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*KEY, "at")).alias("one"))
-    grams = counts.groupBy("gram").agg(F.count(F.lit(1)).alias("contexts"), F.sum("n").alias("total")).where("total > 1").drop("total")
+    # what occurs once need only be compared where its gram has other contexts
+    grams = counts.groupBy("gram").agg(F.count(F.lit(1)).alias("contexts"), F.sum("n").alias("total"), F.min("n").alias("least")).where("total > 1").drop("total")
     known = counts.join(grams, "gram")
-    found = marks.join(known, ["gram", "context"]).select(
-        *KEY, F.struct("gram", "at", "first", "last", (F.col("n") > 1).alias("copy"), F.when(F.col("contexts") > 1, F.struct(*KEY, "at").eqNullSafe(F.col("one"))).otherwise(False).alias("compare"), (F.col("contexts") > group).alias("hot")).alias("a"))
+    compare = F.when((F.col("contexts") > 1) & (F.col("least") == 1), F.struct(*KEY, "at").eqNullSafe(F.col("one"))).otherwise(F.lit(False))
+    found = marks.join(known, ["gram", "context"]).select(*KEY, F.struct("gram", "at", "before", "after", (F.col("n") > 1).alias("copy"), compare.alias("compare"), (F.col("contexts") > group).alias("hot")).alias("a")).where("a.copy or a.compare")
     per_text = found.groupBy(*KEY).agg(F.collect_set("a").alias("anchors"))
     held = stored(_on_key(texts, per_text, "inner"), "repeat-texts")
+    release(spark)
     anchor = held.select(*KEY, F.explode("anchors").alias("a"), F.col("text").cast("binary").alias("text"))
-    contexts = stored(anchor.where("a.compare").select(*KEY, "a.gram", "a.hot", "a.at", "a.first", F.expr("substring(text, a.first + 1, a.last - a.first)").alias("text")), "contexts")
+    contexts = anchor.where("a.compare").select(*KEY, "a.gram", "a.hot", "a.at", "a.before", F.expr("substring(text, a.at - a.before + 1, a.before + a.after)").alias("text"))
     # repeated rows bring a context twice; equal contexts of one gram are one anyway
-    cold = contexts.where("not hot").repartition("gram").sortWithinPartitions("gram")
-    copies = held.select(*KEY, F.explode("anchors").alias("a")).where("a.copy").select(*KEY, "a.first", "a.last")
+    cold = _tree_spans(contexts.where("not hot").repartition("gram").sortWithinPartitions("gram"), length)
+    copies = held.select(*KEY, F.explode("anchors").alias("a")).where("a.copy").selectExpr(*KEY, "a.at - a.before as first", "a.at + a.after as last")
     pieces = stored(_repeated(stored(_pieces(contexts.where("hot"), length), "pieces")), "pieces-twice")
     windows = _repeated(stored(_windows(pieces, length), "windows")).select(*KEY, "first", (F.col("first") + length).alias("last"))
-    spans = copies.union(_tree_spans(cold, length)).union(windows)
-    return spans.groupBy(*KEY).agg(F.collect_set(F.struct("first", "last")).alias("spans")), held.select(*KEY, "text")
+    spans = copies.union(cold).union(windows)
+    grouped = stored(spans.groupBy(*KEY).agg(F.collect_set(F.struct("first", "last")).alias("spans")), "spans")
+    release(spark)
+    return grouped, held.select(*KEY, "text")
 
 
 def merged(spans) -> list[tuple[int, int]]:
@@ -366,11 +372,11 @@ def removal_report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 kept = hashlib.sha256()
                 for a, b in zip(edges[::2], edges[1::2]):
                     kept.update(raw[a:b])
-                rows.append((r["doc_id"], r["t1"], r["t2"], sum(b - a for a, b in runs), len(runs), kept.hexdigest()))
-            types = [*[pa.int64()] * 5, pa.string()]
+                rows.append((r["doc_id"], r["t"], sum(b - a for a, b in runs), len(runs), kept.hexdigest()))
+            types = [*[pa.int64()] * 4, pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate(types)], [*KEY, "n_removed", "n_spans", "kept"])
 
-    done = _on_key(texts, spans, "inner").mapInArrow(cut, "doc_id long, t1 long, t2 long, n_removed long, n_spans long, kept string").dropDuplicates(KEY)
+    done = _on_key(texts, spans, "inner").mapInArrow(cut, "doc_id long, t long, n_removed long, n_spans long, kept string").dropDuplicates(KEY)
     every = _texts(docs, "doc_id", "text").select(*KEY, F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole"))
     return _on_key(every, done, "left").select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept", "whole").alias("kept_sha256"))
 
@@ -381,9 +387,9 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     only in part stays."""
     docs = docs.drop("n_removed")
     spans, _ = repeated_spans(docs, id_col, text_col, length)
-    keyed = docs.withColumns({"__" + k: c for k, c in {"id": F.col(id_col).cast("long"), "t1": F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), "t2": F.xxhash64(F.lit(1), F.coalesce(F.col(text_col), F.lit("")))}.items()})
-    own = spans.select(F.col("doc_id").alias("__d"), F.col("t1").alias("__u1"), F.col("t2").alias("__u2"), F.col("spans").alias("__spans"))
-    joined = keyed.join(own, keyed["__id"].eqNullSafe(own["__d"]) & (keyed["__t1"] == own["__u1"]) & (keyed["__t2"] == own["__u2"]), "left").select(*docs.columns, "__spans")
+    keyed = docs.withColumns({"__id": F.col(id_col).cast("long"), "__t": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
+    own = spans.select(F.col("doc_id").alias("__d"), F.col("t").alias("__u"), F.col("spans").alias("__spans"))
+    joined = keyed.join(own, keyed["__id"].eqNullSafe(own["__d"]) & (keyed["__t"] == own["__u"]), "left").select(*docs.columns, "__spans")
     names = docs.columns
     at = names.index(text_col)
 
