@@ -22,6 +22,7 @@ from __future__ import annotations
 import base64
 import heapq
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +33,10 @@ from pyspark.sql import types as T
 from .common import prepared, ragged
 
 BATCH_CHARS = 8_000_000   # of text that a task encodes at once (a longer text: alone)
-PIECES = 100_000          # pieces in one recursive query
+PIECES = 60_000           # pieces in one recursive query
+KNOWN = 400_000           # pieces whose tokens a worker remembers; then it begins anew
 LONG_PIECE = 512
-MEMORY = "400MB"          # of a task's DuckDB; it spills to the task's temporary folder beyond
+MEMORY = "300MB"          # of a task's DuckDB; it spills to the task's temporary folder beyond
 
 CONTRACT = """
 with recursive step(n, piece, pos, follows, token, next_token, rank) as (
@@ -80,6 +82,7 @@ class Codec:
         import duckdb
 
         self.ranks, self.find = ranks, splitter(pattern).findall
+        self._forget()
         self.byte_tokens = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
         merges = [(ranks[t[:k]] << 32 | ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY})
@@ -144,16 +147,26 @@ class Codec:
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         return np.concatenate([np.asarray(f, np.int32) for f in found]) if found else np.zeros(0, np.int32), sizes
 
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}  # piece -> its number
+        self.tokens, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64)  # of all known pieces
+
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, number of ids of each)."""
-        index: dict[str, int] = {}
-        refs = [np.fromiter((index.setdefault(p, len(index)) for p in self.find(t)) if t else (), np.int64) for t in texts]
-        tokens, sizes = self.pieces([p.encode() for p in index])
-        starts = np.cumsum(sizes) - sizes
-        use = np.concatenate(refs) if refs else np.zeros(0, np.int64)
-        ends = np.concatenate([[0], np.cumsum(sizes[use])])
-        stops = np.cumsum([len(r) for r in refs], dtype=np.int64)
-        return tokens[ragged(starts[use], sizes[use])], ends[stops] - ends[stops - [len(r) for r in refs]]
+        if len(self.known) > KNOWN:
+            self._forget()
+        index, had = self.known, len(self.known)
+        number = index.setdefault
+        refs = [np.fromiter((number(p, len(index)) for p in self.find(t)) if t else (), np.int32) for t in texts]
+        new = [p.encode() for p in islice(index, had, None)]
+        tokens, sizes = self.pieces(new)
+        self.tokens, self.sizes = np.concatenate([self.tokens, tokens]), np.concatenate([self.sizes, sizes])
+        starts = np.cumsum(self.sizes) - self.sizes
+        use = np.concatenate(refs) if refs else np.zeros(0, np.int32)
+        ends = np.concatenate([[0], np.cumsum(self.sizes[use])])
+        counts = np.array([len(r) for r in refs], np.int64)
+        stops = np.cumsum(counts)
+        return self.tokens[ragged(starts[use], self.sizes[use])], ends[stops] - ends[stops - counts]
 
     def decode(self, ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
         """The bytes of each run of ``lengths`` ids."""
@@ -167,6 +180,15 @@ class Codec:
         return out
 
 
+_CODECS: list[tuple[dict, str, Codec]] = []  # of this worker: at most one, kept from task to task
+
+
+def _codec(ranks: dict[bytes, int], pattern: str) -> Codec:
+    if not _CODECS or _CODECS[0][0] is not ranks or _CODECS[0][1] != pattern:
+        _CODECS[:] = [(ranks, pattern, Codec(ranks, pattern))]
+    return _CODECS[0][2]
+
+
 def _slices(batch: pa.RecordBatch, texts: list) -> Iterator[tuple[pa.RecordBatch, list]]:
     """The batch in runs of about ``BATCH_CHARS`` characters."""
     start = size = 0
@@ -187,9 +209,8 @@ def encode_and_decode(docs: DataFrame, ranks_path: str, pattern: str, text_col:
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = None
         for batch in batches:
-            codec = codec or Codec(shipped.value, pattern)
+            codec = _codec(shipped.value, pattern)
             for part, texts in _slices(batch, batch.column(at).to_pylist()):
                 ids, lengths = codec.encode(texts)
                 decoded = codec.decode(ids, lengths)
