@@ -1,8 +1,8 @@
 """LinUCB bandit statistics over a feedback table (BD-*).
 
 Feedback rows: (event_id, model, strategy = arm, x array<double> context,
-quality_score = reward, success, ts). The dimension d is taken from the
-data (``size(x)``).
+quality_score = reward, success, ts). The dimension d is a parameter; a
+context of any other length is an error.
 
 Scale design:
 * BD-1 keeps A = I + sum x x^T and b = sum r x as d(d+1)/2 + d additive
@@ -30,24 +30,27 @@ from .sequence import lagged, materialize, prefix_sums
 ORDER = ("ts", "event_id")
 
 
-def dimension(feedback: DataFrame, x: str = "x") -> int:
-    """d from the data: the size of the first context vector (one row read)."""
-    r = feedback.select(F.size(x).alias("d")).filter("d > 0").first()
-    return int(r.d) if r else 0
+def context(x: str, d: int) -> Column:
+    """The context column, which must have ``d`` components in every row (a row
+    without a context is left to the caller's sums, which skip NULLs)."""
+    wrong = F.raise_error(F.concat(F.lit(f"context vectors need {d} components, one has "), F.size(F.col(x)).cast("string")))
+    return F.when(F.col(x).isNull() | (F.size(F.col(x)) == d), F.col(x)).otherwise(wrong.cast("array<double>"))
 
 
 def _pairs(d: int) -> list[tuple[int, int]]:
     return [(i, j) for i in range(d) for j in range(i, d)]
 
 
-def arm_statistics(feedback: DataFrame, d: int | None = None, by: Sequence[str] = ("model", "strategy"),
+def arm_statistics(feedback: DataFrame, d: int, by: Sequence[str] = ("model", "strategy"),
                    x: str = "x", reward: str = "quality_score", success: str = "success") -> DataFrame:
     """BD-1: per (model, arm): ``a_packed`` (upper triangle of I + sum x x^T,
     row-major), ``b`` (sum r x), count, reward sum, mean reward, successes."""
-    d = d or dimension(feedback, x)
+    feedback = feedback.withColumn(x, context(x, d))
     xs = [F.col(x)[i] for i in range(d)]
-    aggs = [F.sum(xs[i] * xs[j]).alias(f"_a{i}_{j}") for i, j in _pairs(d)]
-    aggs += [F.sum(F.col(reward) * xs[i]).alias(f"_b{i}") for i in range(d)]
+    # decimal sums: the same whatever the order of rows, tasks and micro-batches
+    exact = lambda c: F.sum(c.cast("decimal(28,12)")).cast("double")
+    aggs = [exact(xs[i] * xs[j]).alias(f"_a{i}_{j}") for i, j in _pairs(d)]
+    aggs += [exact(F.col(reward) * xs[i]).alias(f"_b{i}") for i in range(d)]
     aggs += [F.count(F.lit(1)).alias("count"), F.sum(reward).alias("reward_sum"),
              F.count_if(F.col(success)).alias("successes")]
     g = feedback.groupBy(*by).agg(*aggs)
@@ -134,7 +137,7 @@ def score_contexts(contexts: DataFrame, solved: DataFrame, d: int, alpha: float
 
 
 # ----------------------------------------------------------------- BD-3
-def replay_scores(feedback: DataFrame, d: int | None = None, alpha: float = 2.0, x: str = "x",
+def replay_scores(feedback: DataFrame, d: int, alpha: float = 2.0, x: str = "x",
                   reward: str = "quality_score", by: Sequence[str] = ("model", "strategy"),
                   order: Sequence[str] = ORDER) -> DataFrame:
     """BD-3: at every logged event, its arm's predicted reward, width and UCB
@@ -144,7 +147,7 @@ def replay_scores(feedback: DataFrame, d: int | None = None, alpha: float = 2.0,
     ``prefix_sums`` (exclusive = inclusive minus the row's own term); the
     batched solve runs in ``mapInPandas`` with numpy over each Arrow batch.
     """
-    d = d or dimension(feedback, x)
+    feedback = feedback.withColumn(x, context(x, d))
     by = list(by)
     xs = [F.col(x)[i] for i in range(d)]
     cols = {f"a{i}_{j}": xs[i] * xs[j] for i, j in _pairs(d)}
@@ -225,7 +228,7 @@ def diversity_override(flags: DataFrame, solved: DataFrame, d: int, alpha: float
 def strategy_performance(feedback: DataFrame, arms: Sequence[str], solved: DataFrame | None = None,
                          recent: int = 20, model: str = "model", arm: str = "strategy",
                          reward: str = "quality_score", success: str = "success",
-                         order: Sequence[str] = ORDER, salt_col: str | None = "event_id") -> DataFrame:
+                         order: Sequence[str] = ORDER) -> DataFrame:
     """BD-5: per model and arm: trials, mean reward, success rate, mean and
     population std of the arm's rewards among the model's last ``recent``
     events (mean reward and 0 when none), and ||theta||, tr(A^-1) when
@@ -233,7 +236,7 @@ def strategy_performance(feedback: DataFrame, arms: Sequence[str], solved: DataF
     base = feedback.groupBy(model, arm).agg(F.count(F.lit(1)).alias("total_trials"),
                                             F.avg(reward).alias("mean_reward"),
                                             F.avg(F.col(success).cast("double")).alias("success_rate"))
-    last = top_k_per_group(feedback, [model], [F.desc(c) for c in order], recent, salt_col)
+    last = top_k_per_group(feedback, [model], [F.desc(c) for c in order], recent)
     rec = last.groupBy(model, arm).agg(F.avg(reward).alias("_rm"), F.stddev_pop(reward).alias("_rs"))
     arm_df = feedback.sparkSession.createDataFrame([(a,) for a in arms], f"{arm} string")
     grid = feedback.select(model).distinct().crossJoin(F.broadcast(arm_df))
@@ -255,8 +258,7 @@ def strategy_performance(feedback: DataFrame, arms: Sequence[str], solved: DataF
 
 # ----------------------------------------------------------------- BD-6
 def exploration_stats(feedback: DataFrame, arms: Sequence[str], recent: int = 50, model: str = "model",
-                      arm: str = "strategy", reward: str = "quality_score", order: Sequence[str] = ORDER,
-                      salt_col: str | None = "event_id") -> DataFrame:
+                      arm: str = "strategy", reward: str = "quality_score", order: Sequence[str] = ORDER) -> DataFrame:
     """BD-6: best arm by mean reward (ties -> arm listed first), its share of
     the model's last ``recent`` actions, exploration = 1 - share, diversity =
     arms used in those actions / all arms."""
@@ -267,7 +269,7 @@ def exploration_stats(feedback: DataFrame, arms: Sequence[str], recent: int = 50
     best = (means.withColumn("_o", order_of)
             .withColumn("_r", F.row_number().over(Window.partitionBy(model).orderBy(F.desc("m"), F.asc("_o"))))
             .filter("_r = 1").select(model, F.col(arm).alias("best_arm")))
-    last = top_k_per_group(feedback, [model], [F.desc(c) for c in order], recent, salt_col)
+    last = top_k_per_group(feedback, [model], [F.desc(c) for c in order], recent)
     rec = last.join(best, model).groupBy(model).agg(
         F.count(F.lit(1)).alias("recent_actions"),
         F.count_if(F.col(arm) == F.col("best_arm")).alias("_best_n"),
@@ -292,10 +294,10 @@ def context_insights(feedback: DataFrame, model: str = "model", arm: str = "stra
         F.count(F.lit(1)).alias("n"), F.count_if(F.col(reward) > high).alias("high_quality_count"),
         F.count_if(F.col(reward) < low).alias("low_quality_count"))
     ex = feedback.select(model, arm, reward, F.posexplode(x).alias("feature", "v"))
-    diffs = ex.groupBy(model, arm, "feature").agg(
-        (F.avg(F.when(F.col(reward) > high, F.col("v"))) - F.avg(F.when(F.col(reward) < low, F.col("v"))))
-        .alias("difference"),
-        F.avg(F.when(F.col(reward) > high, F.col("v"))).alias("optimal_value"))
+    # summed as decimals: the same mean whatever the order of the rows
+    mean = lambda keep: F.sum(F.when(keep, F.col("v").cast("decimal(28,12)"))).cast("double") / F.count(F.when(keep, F.col("v")))
+    diffs = ex.groupBy(model, arm, "feature").agg(mean(F.col(reward) > high).alias("optimal_value"), mean(F.col(reward) < low).alias("_low"))
+    diffs = diffs.select(model, arm, "feature", (F.col("optimal_value") - F.col("_low")).alias("difference"), "optimal_value")
     status = (F.when(F.col("n") < min_rows, "insufficient_data")
               .when((F.col("high_quality_count") == 0) | (F.col("low_quality_count") == 0), "insufficient_contrast")
               .otherwise("ok"))
@@ -335,16 +337,15 @@ def adaptation_rows(scored: DataFrame, confidence: str = "ucb", predicted: str =
 
 
 def adaptation_analytics(rows: DataFrame, model: str = "model", quality: str = "quality_score",
-                         success: str = "success", order: Sequence[str] = ORDER,
-                         salt_col: str | None = "event_id") -> DataFrame:
+                         success: str = "success", order: Sequence[str] = ORDER) -> DataFrame:
     """BD-10: requests, success rate, adaptation efficiency (first 10 vs last
     10 quality, clamp(2 gain, 0, 1) when >= 10 rows), quality trend over
     w = min(20, n div 2) first and last rows, exploration share of the last 50."""
     rows = materialize(rows)   # read three times below; upstream is the replay (a Python solve)
     n = rows.groupBy(model).agg(F.count(F.lit(1)).alias("total_requests"),
                                 F.count_if(F.col(success)).alias("successful_adaptations"))
-    first20 = top_k_per_group(rows, [model], [F.asc(c) for c in order], 20, salt_col)
-    last50 = top_k_per_group(rows, [model], [F.desc(c) for c in order], 50, salt_col)
+    first20 = top_k_per_group(rows, [model], [F.asc(c) for c in order], 20)
+    last50 = top_k_per_group(rows, [model], [F.desc(c) for c in order], 50)
     f = (first20.withColumn("_r", F.row_number().over(Window.partitionBy(model).orderBy(*order)))
          .join(n, model)
          .groupBy(model).agg(

@@ -19,7 +19,6 @@ from ..functions.text import contains_any
 from .ranking import top_k_per_group
 
 TOKEN = r"[\p{L}\p{N}]+"
-BROADCAST_NGRAM_LIMIT = 5_000_000   # item n-grams above this go through a shuffle join
 
 
 def tokens(text: Column | str) -> Column:
@@ -48,20 +47,22 @@ def ngram_contamination(corpus: DataFrame, items: DataFrame, n: int = 8, doc_id:
     share at least one word n-gram: shared distinct n-grams, the item's
     distinct n-grams and containment = shared / item n-grams.
 
-    N-grams are compared by their 64-bit ``xxhash64``. The item side is
-    checked against ``BROADCAST_NGRAM_LIMIT`` before it is broadcast.
+    N-grams meet by their 64-bit ``xxhash64``; the words of every hit are then
+    compared, so a collision of hashes is no match. Which side is broadcast, if any,
+    is the planner's choice by size.
     """
-    # tokens are materialised as a column first: a lambda that referenced the tokenising
-    # expression itself would re-run the regex for every n-gram position
-    it = (items.select(item_id, tokens(text).alias("_w"))
-          .select(item_id, F.explode(F.array_distinct(ngram_hashes(F.col("_w"), n))).alias("h")).distinct())
+    # tokens are a column first: a lambda over the tokenising expression would run the regex for every n-gram
+    def grams(df: DataFrame, key: str, words: str) -> DataFrame:
+        """Distinct n-grams of every text: hash, place and the n-gram itself."""
+        t = df.select(key, tokens(text).alias(words))
+        return t.select(key, words, F.posexplode(ngram_hashes(F.col(words), n)).alias(f"{words}_at", "h")) \
+                .select(key, "h", F.array_join(F.slice(words, F.col(f"{words}_at") + 1, n), " ").alias(f"{words}_gram"))
+
+    it = grams(items, item_id, "_iw").distinct()
     totals = it.groupBy(item_id).agg(F.count(F.lit(1)).alias("item_ngrams"))
-    n_item = it.count()
-    side = F.broadcast(it) if n_item <= BROADCAST_NGRAM_LIMIT else it
-    docs = (corpus.select(doc_id, tokens(text).alias("_w"))
-            .select(doc_id, F.explode(F.array_distinct(ngram_hashes(F.col("_w"), n))).alias("h")))
-    hits = docs.join(side, "h").groupBy(doc_id, item_id).agg(F.count(F.lit(1)).alias("shared_ngrams"))
-    return (hits.join(F.broadcast(totals), item_id)
+    hits = (grams(corpus, doc_id, "_dw").join(it, "h").where(F.col("_dw_gram") == F.col("_iw_gram"))
+            .groupBy(doc_id, item_id).agg(F.count_distinct("_iw_gram").alias("shared_ngrams")))
+    return (hits.join(totals, item_id)
             .withColumn("containment", F.col("shared_ngrams") / F.col("item_ngrams")))
 
 
@@ -114,12 +115,10 @@ def confusion_metrics(truth: Column, predicted: Column, df: DataFrame, by: Seque
 def top_k_accuracy(candidates: DataFrame, group: Sequence[str], order: Sequence[Column], expected: str,
                    ks: Sequence[int] = (1, 3, 5), by: Sequence[str] = ()) -> DataFrame:
     """DX-7 (documents): share of groups whose expected candidate is within
-    the first k by ``order``, for each k. Top-k per group is exact and salted."""
+    the first k by ``order``, for each k. Top-k per group is exact."""
     group = list(group)
     kmax = max(ks)
-    # salt on a hash of the whole row: a hot group is ranked in many tasks first
-    salted = candidates.withColumn("_row_hash", F.xxhash64(*[F.col(c) for c in candidates.columns]))
-    top = top_k_per_group(salted, group, order, kmax, salt_col="_row_hash").drop("_row_hash")
+    top = top_k_per_group(candidates, group, order, kmax)
     ranked = top.withColumn("_r", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
     hit = ranked.groupBy(*group).agg(*[F.bool_or((F.col("_r") <= k) & F.col(expected)).alias(f"_h{k}") for k in ks])
     allg = candidates.select(*group).distinct()

@@ -86,7 +86,7 @@ def complete_failed(expected: DataFrame, results: DataFrame, keys: Sequence[str]
     missing = expected.select(*keys).distinct().join(have, keys, "left_anti")
     filled = missing.select(*keys, F.lit("failed").alias("harness"), F.lit(0.0).alias("score"),
                             F.lit(0.0).alias("execution_time"), F.lit(True).alias("filled"))
-    kept = results.join(F.broadcast(expected.select(*keys).distinct()), keys, "left_semi") \
+    kept = results.join(expected.select(*keys).distinct(), keys, "left_semi") \
         .select(*keys, "harness", "score", "execution_time", F.lit(False).alias("filled"))
     return kept.unionByName(filled)
 
@@ -95,10 +95,12 @@ def complete_failed(expected: DataFrame, results: DataFrame, keys: Sequence[str]
 def resolve_cutoff(models: DataFrame, cutoffs: DataFrame, model: str = "model",
                    override: str | None = None) -> DataFrame:
     """JN-6: cutoff of each model: override, exact name, base name before
-    ``:``, else the ``default`` row. Two broadcast left joins."""
+    ``:``, else the ``default`` row (without one: NULL). The cutoffs are a
+    configuration table of a few rows."""
     exact = cutoffs.select(F.col("model").alias("_e"), F.col("cutoff").alias("_ce"))
     base = cutoffs.select(F.col("model").alias("_b"), F.col("cutoff").alias("_cb"))
-    dflt = cutoffs.filter(F.col("model") == "default").select(F.col("cutoff").alias("_cd"))
+    # an aggregate without keys has one row, whether there is a default or not
+    dflt = cutoffs.filter(F.col("model") == "default").agg(F.max("cutoff").alias("_cd"))
     j = (models.join(F.broadcast(exact), F.col(model) == F.col("_e"), "left")
          .join(F.broadcast(base), F.split(F.col(model), ":").getItem(0) == F.col("_b"), "left")
          .crossJoin(F.broadcast(dflt)))
@@ -109,11 +111,15 @@ def resolve_cutoff(models: DataFrame, cutoffs: DataFrame, model: str = "model",
 def temporal_split(problems: DataFrame, cutoffs: DataFrame, model: str = "model",
                    release: str = "release_date", override: str | None = None) -> DataFrame:
     """JN-7: ``clean`` iff release date > the model's cutoff (strict); a
-    NULL release date counts as 1970-01-01, i.e. contaminated."""
+    NULL release date counts as 1970-01-01, i.e. contaminated. A row without
+    a model takes the override or the default cutoff; without any cutoff
+    ``clean`` is NULL."""
     models = problems.select(model).distinct()
     cut = resolve_cutoff(models, cutoffs, model, override)
     rel = F.coalesce(F.col(release), F.lit("1970-01-01").cast("date"))
-    return problems.join(F.broadcast(cut), model).withColumn("clean", rel > F.col("cutoff"))
+    cut = cut.withColumnRenamed(model, "_m")
+    j = problems.join(cut, problems[model].eqNullSafe(cut["_m"]), "left").drop("_m")
+    return j.withColumn("clean", rel > F.col("cutoff"))
 
 
 # ----------------------------------------------------------------- JN-10
@@ -184,7 +190,7 @@ def missing_benchmarks(df: DataFrame, models: Sequence[str] | None = None, model
     have = d.select(model, benchmark).distinct()
     ms = have.select(model).distinct()
     bs = have.select(benchmark).distinct()
-    return ms.crossJoin(F.broadcast(bs)).join(have, [model, benchmark], "left_anti")
+    return ms.crossJoin(bs).join(have, [model, benchmark], "left_anti")
 
 
 def common_benchmarks(df: DataFrame, models: Sequence[str] | None = None, model: str = "model",

@@ -68,8 +68,7 @@ def model_comparison(runs: DataFrame, models: Sequence[str] | None = None, bench
     return latest.withColumn("position", F.row_number().over(w))
 
 
-def model_summary(results: DataFrame, by: str = "model", order: Sequence[str] = ("ts", "event_id"),
-                  salt_col: str | None = "event_id") -> DataFrame:
+def model_summary(results: DataFrame, by: str = "model", order: Sequence[str] = ("ts", "event_id")) -> DataFrame:
     """The per-model summary behind WN-5/WN-6: simple (mbpp) and humaneval
     accuracy, mean accuracy over the other (domain) tasks, and the quality
     improvement of the last 10 over the first 10 results (0 below 10)."""
@@ -79,7 +78,7 @@ def model_summary(results: DataFrame, by: str = "model", order: Sequence[str] =
         F.avg(F.when(F.col("task") == "humaneval", ok)).alias("humaneval_accuracy"))
     dom = (results.filter(~F.col("task").isin("mbpp", "humaneval"))
            .groupBy(by, "task").agg(F.avg(ok).alias("_a")).groupBy(by).agg(F.avg("_a").alias("avg_domain_accuracy")))
-    imp = early_late_delta(results, [by], "score", list(order), k=10, min_rows=10, salt_col=salt_col) \
+    imp = early_late_delta(results, [by], "score", list(order), k=10, min_rows=10) \
         .select(by, F.when(F.col("rows") >= 10, F.col("gain")).otherwise(F.lit(0.0)).alias("quality_improvement"))
     return simple.join(dom, by, "left").join(imp, by, "left")
 

@@ -1,6 +1,6 @@
 """Continuous-learning metrics over the feedback history (LR-*, WN-13).
 
-"Last N" figures use ``top_k_per_group`` (salted, exact); running windows
+"Last N" figures use ``top_k_per_group`` (exact); running windows
 over the ordered history use ``sequence.prefix_sums`` + 1:1 lag joins, so
 no model's whole history is ever sorted in a single task.
 """
@@ -23,9 +23,9 @@ TRANSITIONS = [("exploration", "balanced", 50, 0.3), ("balanced", "exploitation"
                ("exploitation", "refinement", 200, 0.7)]
 
 
-def _ranked_last(df: DataFrame, by: Sequence[str], n: int, order=ORDER, salt_col="event_id") -> DataFrame:
+def _ranked_last(df: DataFrame, by: Sequence[str], n: int, order=ORDER) -> DataFrame:
     """Last ``n`` rows per key with ``_r`` = 1 for the newest."""
-    last = top_k_per_group(df, by, [F.desc(c) for c in order], n, salt_col)
+    last = top_k_per_group(df, by, [F.desc(c) for c in order], n)
     return last.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*[F.desc(c) for c in order])))
 
 
@@ -154,7 +154,7 @@ def strategy_evolution(feedback: DataFrame, model: str = "model", strategy: str
                        quality: str = "quality_score", min_uses: int = 10,
                        order: Sequence[str] = ORDER) -> DataFrame:
     """LR-5: per arm with at least ``min_uses`` uses: first-5 and last-5 mean, gain, uses."""
-    e = early_late_delta(feedback, [model, strategy], quality, list(order), k=5, salt_col="event_id")
+    e = early_late_delta(feedback, [model, strategy], quality, list(order), k=5)
     return e.filter(F.col("rows") >= min_uses).select(
         model, strategy, F.col("early_mean").alias("early_performance"),
         F.col("late_mean").alias("recent_performance"), F.col("gain").alias("improvement"),

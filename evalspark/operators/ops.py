@@ -188,7 +188,7 @@ def health_check(classified: DataFrame, order: Sequence[str] = ("ts", "event_id"
     by = list(by)
     from .ranking import last_n
     total = classified.groupBy(*by).agg(F.count(F.lit(1)).alias("errors"))
-    last = last_n(classified, by, order, 10, salt_col=order[-1]).groupBy(*by).agg(
+    last = last_n(classified, by, order, 10).groupBy(*by).agg(
         F.count_if(F.col("severity") == "critical").alias("critical_last_10"))
     j = total.join(last, by) if by else total.crossJoin(last)
     return j.withColumn("healthy", (F.col("errors") < 5) | (F.col("critical_last_10") == 0))
@@ -282,14 +282,14 @@ def evaluation_metrics(evals: DataFrame, status: str = "status", order: Sequence
 
 
 def resource_recommendations(samples: DataFrame, by: Sequence[str] = ("host",),
-                             order: Sequence[str] = ("ts", "event_id"), salt_col: str | None = "event_id") -> DataFrame:
+                             order: Sequence[str] = ("ts", "event_id")) -> DataFrame:
     """WN-10: per host, mean cpu and memory of the last 10 samples when more
     than 10 exist; codes at 80/20 (cpu), 85/30 (memory), 0.7/0.3 (latest
     cache hit rate, when the column exists)."""
     from .ranking import last_n
     by = list(by)
     n = samples.groupBy(*by).agg(F.count(F.lit(1)).alias("samples"))
-    last = last_n(samples, by, order, 10, salt_col)
+    last = last_n(samples, by, order, 10)
     aggs = [F.avg("cpu_percent").alias("avg_cpu"), F.avg("memory_percent").alias("avg_memory")]
     has_hit = "cache_hit_rate" in samples.columns
     if has_hit:

@@ -113,8 +113,12 @@ def pass_at_k_bootstrap(samples: DataFrame, by=("model",), ks: Iterable[int] = D
     Interval: numpy's linear percentile at (1-conf)/2 and 1-(1-conf)/2.
     """
     by = _cols(by)
-    ks = [int(k) for k in ks]
-    cl = cells(problem_counts(samples, by, problem, passed), by)
+    return cell_bootstrap(cells(problem_counts(samples, by, problem, passed), by), by, ks, n_boot, confidence, seed)
+
+
+def cell_bootstrap(cl: DataFrame, by: Iterable[str], ks: Iterable[int], n_boot: int, confidence: float, seed: int) -> DataFrame:
+    """PK-3 over (n, c) cells."""
+    by, ks = _cols(by), [int(k) for k in ks]
     alpha = (1.0 - confidence) / 2.0
     schema = T.StructType(
         [f for f in cl.schema.fields if f.name in by]
@@ -150,7 +154,7 @@ def pass_at_k_report(samples: DataFrame, by=("model",), ks: Iterable[int] = DEFA
                      passed: str = "passed") -> DataFrame:
     """PK-4: problems, samples, success rate, pass@k and its interval per group.
 
-    The counts are read once; PK-2 and PK-3 both work on the same cells.
+    PK-2 and PK-3 both work on the same cells.
     """
     by = _cols(by)
     counts = problem_counts(samples, by, problem, passed)
@@ -165,7 +169,7 @@ def pass_at_k_report(samples: DataFrame, by=("model",), ks: Iterable[int] = DEFA
            .agg((F.sum(F.col("p") * F.col("w")) / F.sum("w")).alias("pass_at_k")))
     out = totals.join(est, by) if by else totals.crossJoin(est)
     if with_interval:
-        ci = pass_at_k_bootstrap(samples, by, ks, n_boot, confidence, seed, problem, passed)
+        ci = cell_bootstrap(cl, by, ks, n_boot, confidence, seed)
         out = out.join(ci, by + ["k"], "left")
     return out
 

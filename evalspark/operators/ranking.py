@@ -51,35 +51,29 @@ def best_worst_gap(df: DataFrame, by: str = "model", value: str = "score",
     """
     within = list(within)
     g = df.groupBy(*within, by).agg(F.avg(value).alias("m"))
-    agg = g.groupBy(*within).agg(F.max("m").alias("best_score"), F.min("m").alias("worst_score"),
-                                 F.count(F.lit(1)).alias("groups"))
-    bw = Window.partitionBy(*within).orderBy(F.desc("m"), F.asc(by)) if within else \
-        Window.orderBy(F.desc("m"), F.asc(by))
-    ww = Window.partitionBy(*within).orderBy(F.asc("m"), F.desc(by)) if within else \
-        Window.orderBy(F.asc("m"), F.desc(by))
-    r = g.withColumn("_b", F.row_number().over(bw)).withColumn("_w", F.row_number().over(ww))
-    best = r.filter("_b = 1").select(*within, F.col(by).alias("best"))
-    worst = r.filter("_w = 1").select(*within, F.col(by).alias("worst"))
-    out = agg.join(best, within).join(worst, within) if within else agg.crossJoin(best).crossJoin(worst)
+    # a name that sorts first wins best, one that sorts last wins worst: names descending within equal means
+    first = g.groupBy(*within, "m").agg(F.min(by).alias("least"), F.max(by).alias("most"), F.count(F.lit(1)).alias("n"))
+    out = first.groupBy(*within).agg(F.max("m").alias("best_score"), F.min("m").alias("worst_score"), F.sum("n").alias("groups"),
+                                     F.max_by("least", "m").alias("best"), F.min_by("most", "m").alias("worst"))
     return out.withColumn("gap", F.col("best_score") - F.col("worst_score"))
 
 
 # ----------------------------------------------------------------- WN-9
 def early_late_delta(df: DataFrame, by: Sequence[str], value: str, order: Sequence[str], k: int = 5,
-                     min_rows: int | None = None, salt_col: str | None = None) -> DataFrame:
+                     min_rows: int | None = None) -> DataFrame:
     """WN-9: mean of the first k vs the last k rows per group (by ``order``).
 
     gain = late - early; ``learning_rate`` = clamp(2 gain, 0, 1) when the
     group has at least ``min_rows`` rows (default 2k), else 0. First and last
-    k come from ``top_k_per_group`` (salted when ``salt_col`` is given), the
+    k come from ``top_k_per_group``, the
     row count from a partial aggregate; the three are joined on the group.
     """
     by = list(by)
     min_rows = 2 * k if min_rows is None else min_rows
     rows = df.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"))
-    early = (top_k_per_group(df, by, [F.asc(c) for c in order], k, salt_col)
+    early = (top_k_per_group(df, by, [F.asc(c) for c in order], k)
              .groupBy(*by).agg(F.avg(value).alias("early_mean")))
-    late = (top_k_per_group(df, by, [F.desc(c) for c in order], k, salt_col)
+    late = (top_k_per_group(df, by, [F.desc(c) for c in order], k)
             .groupBy(*by).agg(F.avg(value).alias("late_mean")))
     g = rows.join(early, by).join(late, by) if by else rows.crossJoin(early).crossJoin(late)
     gain = F.col("late_mean") - F.col("early_mean")
@@ -88,41 +82,19 @@ def early_late_delta(df: DataFrame, by: Sequence[str], value: str, order: Sequen
                      .otherwise(F.lit(0.0)).alias("learning_rate"))
 
 
-SALT_THRESHOLD = 2_000_000   # rows per group above which the two-phase (salted) ranking is used
-
+def top_k_per_group(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
+    """The first ``k`` rows of every group by ``order``. ``row_number() <= k`` plans as
+    WindowGroupLimit before and after the exchange: a task passes on at most k rows
+    of a group, so a hot group costs k rows a task."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k).drop("_rn")
 
-def top_k_per_group(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int,
-                    salt_col: str | None = None, salts: int = 64) -> DataFrame:
-    """The first ``k`` rows of every group by ``order`` -- exact, skew-proof.
 
-    Phase 1 ranks within (group, salt) where the salt is a hash of
-    ``salt_col`` (a unique row id), so a hot group is spread over ``salts``
-    tasks; each keeps at most k rows. Phase 2 ranks the at most
-    ``salts * k`` survivors per group. Without ``salt_col`` it is one window
-    per group.
-    """
-    by = list(by)
-    if salt_col is not None and by:
-        # one aggregate row decides: salting only pays when some group is large
-        big = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n").alias("m")).first()
-        if big is None or big.m is None or big.m <= SALT_THRESHOLD:
-            salt_col = None
-    if salt_col is None:
-        w = Window.partitionBy(*by).orderBy(*order)
-        return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k).drop("_rn")
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(F.col(salt_col)), F.lit(salts)))
-    w1 = Window.partitionBy(*by, "_salt").orderBy(*order)
-    pre = salted.withColumn("_rn", F.row_number().over(w1)).filter(F.col("_rn") <= k).drop("_rn", "_salt")
-    w2 = Window.partitionBy(*by).orderBy(*order)
-    return pre.withColumn("_rn", F.row_number().over(w2)).filter(F.col("_rn") <= k).drop("_rn")
-
-
-def last_n(df: DataFrame, by: Sequence[str], order: Sequence[str], n: int,
-           salt_col: str | None = None) -> DataFrame:
+def last_n(df: DataFrame, by: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
     """Rows among the last ``n`` per key by ``order`` (see ``top_k_per_group``)."""
     if not by:
         return latest_n(df, n, order)
-    return top_k_per_group(df, by, [F.desc(c) for c in order], n, salt_col)
+    return top_k_per_group(df, by, [F.desc(c) for c in order], n)
 
 
 def latest_n(df: DataFrame, n: int, order: Sequence[str] = ("ts", "event_id")) -> DataFrame:

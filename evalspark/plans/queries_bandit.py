@@ -13,8 +13,11 @@ from .catalog import query
 ARMS = ["code_engine", "silent_generator", "deterministic", "negative_prompt", "format_constraint", "role_based"]
 
 
+CONTEXT = 4  # components of the feedback view's context vectors
+
+
 def _d(v) -> int:
-    return BD.dimension(v.feedback)
+    return CONTEXT
 
 
 @query("bd1_arm_statistics")
@@ -150,5 +153,4 @@ def _wn13(v):
 
 @query("wn9_early_late_delta")
 def _wn9(v):
-    return ranking.early_late_delta(v.eval_results, ["model"], "score", ["ts", "event_id"], k=5, min_rows=10,
-                                    salt_col="event_id")
+    return ranking.early_late_delta(v.eval_results, ["model"], "score", ["ts", "event_id"], k=5, min_rows=10)

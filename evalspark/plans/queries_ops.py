@@ -74,23 +74,19 @@ def _jn10(v):
 
 
 # ------------------------------------------------------------------ set ops
-def _passed_results(v):
-    return v.eval_results.filter(F.col("score") > 0.95)
-
-
 @query("so1_all_benchmarks")
 def _so1(v):
-    return joins.all_benchmarks(_passed_results(v), ["model_0", "model_1"])
+    return joins.all_benchmarks(v.eval_results, ["model_0", "model_1"])
 
 
 @query("so2_missing_benchmarks")
 def _so2(v):
-    return joins.missing_benchmarks(_passed_results(v))
+    return joins.missing_benchmarks(v.eval_results)
 
 
 @query("so2_common_benchmarks")
 def _so2c(v):
-    return joins.common_benchmarks(_passed_results(v))
+    return joins.common_benchmarks(v.eval_results)
 
 
 # ------------------------------------------------------------------ cache

@@ -189,4 +189,4 @@ def _st7(v):
 
 @query("st7_template_report_with_interval")
 def _st7i(v):
-    return stats.template_report(v.eval_samples, ks=(1, 5), n_boot=200)
+    return stats.template_report(v.eval_samples)

@@ -13,6 +13,7 @@ from ..session import checkpoint_dir
 
 from ..streaming import streams as SS
 from .catalog import query
+from .queries_bandit import CONTEXT
 
 
 def _stage(v, df, name: str, fmt: str = "parquet", slices: int = 4) -> str:
@@ -43,7 +44,7 @@ def _ss1(v):
 @query("ss2_stream_arm_statistics")
 def _ss2(v):
     fb = v.feedback
-    d = BD.dimension(fb)
+    d = CONTEXT
     s = _read_stream(v, fb, _stage(v, fb, "feedback"))
     t = SS.run_to_table(SS.stream_arm_statistics(s, d), "complete")
     pairs = BD._pairs(d)
@@ -72,7 +73,7 @@ def _ss3s(v):
 def _ss4(v):
     fb = v.feedback.select("event_id", "session_user", "success", "quality_score", "ts")
     s = _read_stream(v, fb, _stage(v, fb, "sessions"))
-    return SS.run_to_table(SS.stream_sessions(s), "append")
+    return SS.run_to_table(SS.stream_sessions(s), "complete")  # open sessions too
 
 
 @query("ss5_stream_upsert")

@@ -47,8 +47,8 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    Only when the session leaves it unset (tests, local runs) a fresh
-    scratch folder is made and registered.
+    Only a local session (tests, local runs) that leaves it unset gets a fresh
+    scratch folder; elsewhere that is an error, for executors could not share it.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     sc = None
@@ -59,6 +59,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not d and sc is not None:
         d = sc.getCheckpointDir()
     if not d:
+        if sc is None or not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="evalspark-ckpt-")
         try:
             spark.conf.set("spark.checkpoint.dir", d)

@@ -20,7 +20,7 @@ from ..functions.columns import clean_model_name, parse_timestamp
 RESULT_SCHEMA = T.StructType([
     T.StructField("harness", T.StringType()), T.StructField("task", T.StringType()),
     T.StructField("model", T.StringType()), T.StructField("score", T.StringType()),
-    T.StructField("metrics", T.MapType(T.StringType(), T.DoubleType())),
+    T.StructField("metrics", T.MapType(T.StringType(), T.StringType())),
     T.StructField("metadata", T.MapType(T.StringType(), T.StringType())),
     T.StructField("execution_time", T.StringType()),
     T.StructField("prompting_strategy", T.StringType()), T.StructField("is_conversational", T.BooleanType()),
@@ -31,6 +31,17 @@ SUITE_SCHEMA = T.StructType([
 ])
 
 
+def _results(raw: DataFrame) -> DataFrame:
+    """One row per result of suite documents; a metric that is no number is NULL,
+    the others of its map stay."""
+    ex = raw.select(F.explode("results").alias("r"), "suite_name", "timestamp", "file_source", "_mtime")
+    rows = ex.select("r.*", "file_source", F.coalesce(F.col("suite_name"), F.lit("unknown")).alias("suite_name"),
+                     F.coalesce(parse_timestamp("timestamp"), F.col("_mtime")).alias("timestamp"))
+    if "metrics" not in rows.columns:
+        return rows
+    return rows.withColumn("metrics", F.transform_values("metrics", lambda k, v: v.try_cast("double")))
+
+
 # ----------------------------------------------------------------- IO-1
 def read_suite_results(spark: SparkSession, path: str, schema: T.StructType = SUITE_SCHEMA) -> DataFrame:
     """IO-1: suite documents (one JSON document per file, or one per line with
@@ -40,9 +51,7 @@ def read_suite_results(spark: SparkSession, path: str, schema: T.StructType = SU
     raw = (spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
            .select("*", F.col("_metadata.file_name").alias("file_source"),
                    F.col("_metadata.file_modification_time").alias("_mtime")))
-    ex = raw.select(F.explode("results").alias("r"), "suite_name", "timestamp", "file_source", "_mtime")
-    return ex.select("r.*", "file_source", F.coalesce(F.col("suite_name"), F.lit("unknown")).alias("suite_name"),
-                     F.coalesce(parse_timestamp("timestamp"), F.col("_mtime")).alias("timestamp"))
+    return _results(raw)
 
 
 def read_suite_documents_jsonl(spark: SparkSession, path: str, schema: T.StructType = SUITE_SCHEMA) -> DataFrame:
@@ -50,9 +59,19 @@ def read_suite_documents_jsonl(spark: SparkSession, path: str, schema: T.StructT
     raw = (spark.read.schema(schema).json(path)
            .select("*", F.col("_metadata.file_name").alias("file_source"),
                    F.col("_metadata.file_modification_time").alias("_mtime")))
-    ex = raw.select(F.explode("results").alias("r"), "suite_name", "timestamp", "file_source", "_mtime")
-    return ex.select("r.*", "file_source", F.coalesce(F.col("suite_name"), F.lit("unknown")).alias("suite_name"),
-                     F.coalesce(parse_timestamp("timestamp"), F.col("_mtime")).alias("timestamp"))
+    return _results(raw)
+
+
+def by_fitness(df: DataFrame, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejected records) of a JSON source: a record that does not fit the schema
+    is rejected, also where the fields before the wrong one were read.
+
+    Spark parses only the columns a query uses, and a record is corrupt only by what
+    is parsed. The length test, true for any row, uses them all, so that the two sides
+    are each other's complement whatever is selected from them."""
+    parsed = F.length(F.to_json(F.struct(*(F.col(f"`{f.name}`") for f in schema.fields)))) >= 0
+    corrupt = F.col("_corrupt_record")
+    return df.filter(corrupt.isNull() & parsed).drop("_corrupt_record"), df.filter(corrupt.isNotNull() & parsed)
 
 
 # ----------------------------------------------------------------- IO-3
@@ -63,12 +82,8 @@ def read_json_dataset(spark: SparkSession, path: str, schema: T.StructType, fmt:
     r = (spark.read.schema(s).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
          .option("multiLine", fmt == "json").json(path))
     r = r.withColumn("_source", F.col("_metadata.file_name"))
-    good = r.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
-    # a rejected record has every parsed field NULL; testing the first one also keeps the scan
-    # from reading only the corrupt-record column (which Spark refuses)
-    first = schema.fields[0].name
-    bad = r.filter(F.col("_corrupt_record").isNotNull() & F.col(first).isNull()).select("_source", "_corrupt_record")
-    return good, bad
+    good, bad = by_fitness(r, schema)
+    return good, bad.select("_source", "_corrupt_record")
 
 
 # ----------------------------------------------------------------- IO-4
@@ -156,7 +171,9 @@ def parse_harness_logs(logs: DataFrame, kind: str = "code", run: str = "run_id",
     last number of the last line mentioning accuracy / score / eval; runs
     with nothing get pass@1 = 0. language: the ``results`` of the first line
     that is a JSON object with "results" (flattened task.metric); else the
-    last number of the first line mentioning accuracy / score.
+    last number of the first line mentioning accuracy / score; a run with neither
+    has one row without metric and value. Text among the values of a JSON piece or
+    of a result (an alias) is passed over, the numbers beside it stay.
     """
     low = F.lower(F.col(line))
     if kind == "code":
@@ -168,7 +185,8 @@ def parse_harness_logs(logs: DataFrame, kind: str = "code", run: str = "run_id",
                          F.col("m.v").try_cast("double").alias("value"), F.lit(0).alias("src"))
         js = logs.select(run, line_no, F.posexplode(F.regexp_extract_all(F.col(line), F.lit(JSON_PIECE), 0))
                          .alias("pos", "j"))
-        js = js.select(run, line_no, "pos", F.explode(F.from_json("j", "map<string,double>")).alias("metric", "value"))
+        js = js.select(run, line_no, "pos", F.explode(F.from_json("j", "map<string,string>")).alias("metric", "value"))
+        js = js.withColumn("value", F.col("value").try_cast("double"))
         js = js.filter(F.col("metric").startswith("pass@") & F.col("value").isNotNull()).withColumn("src", F.lit(1))
         both = pat.filter(F.col("value").isNotNull()).unionByName(js)
         passk = both.groupBy(run, "metric").agg(F.max_by("value", F.struct("src", line_no, "pos")).alias("value"))
@@ -183,19 +201,21 @@ def parse_harness_logs(logs: DataFrame, kind: str = "code", run: str = "run_id",
             .select(run, F.lit("pass@1").alias("metric"), F.lit(0.0).alias("value"))
         return found.unionByName(empty)
     first_json = (logs.filter(F.trim(F.col(line)).startswith("{") & F.col(line).contains('"results"'))
-                  .withColumn("_r", F.from_json(F.trim(F.col(line)), "struct<results: map<string, map<string, double>>>"))
+                  .withColumn("_r", F.from_json(F.trim(F.col(line)), "struct<results: map<string, map<string, string>>>"))
                   .filter(F.col("_r.results").isNotNull())
                   .groupBy(run).agg(F.min_by("_r.results", F.col(line_no)).alias("results")))
     js = first_json.select(run, F.explode("results").alias("task", "m")).select(
         run, F.explode("m").alias("name", "value"), "task").select(
-        run, F.concat_ws(".", "task", "name").alias("metric"), "value").filter(F.col("value").isNotNull())
+        run, F.concat_ws(".", "task", "name").alias("metric"), F.col("value").try_cast("double").alias("value")).filter(F.col("value").isNotNull())
     fallback = (logs.join(first_json.select(run), run, "left_anti")
                 .filter(low.contains("accuracy") | low.contains("score"))
                 .withColumn("_n", F.element_at(F.regexp_extract_all(F.col(line), F.lit(NUMBER), 1), -1))
                 .filter(F.col("_n").isNotNull())
                 .groupBy(run).agg(F.min_by(F.col("_n").try_cast("double"), F.col(line_no)).alias("value"))
                 .select(run, F.lit("extracted_score").alias("metric"), "value"))
-    return js.unionByName(fallback)
+    found = js.unionByName(fallback)
+    none = logs.select(run).distinct().join(found.select(run).distinct(), run, "left_anti")
+    return found.unionByName(none.select(run, F.lit(None).cast("string").alias("metric"), F.lit(None).cast("double").alias("value")))
 
 
 # ----------------------------------------------------------------- IO-10

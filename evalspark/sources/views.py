@@ -29,18 +29,6 @@ def _case(col: Column, pairs, default=None) -> Column:
     return out.otherwise(default) if default is not None else out
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a table that arrives in fewer splits than the cluster has cores
-    (one small parquet file) over all cores before CPU-heavy per-row work.
-    Reads only plan metadata; a large input (many splits) is left untouched,
-    so at scale this adds no shuffle."""
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-    except Exception:  # noqa: BLE001  (no RDD access, e.g. a Spark Connect session)
-        return df
-
-
 class Views:
     """Lazily built views over one scale-factor folder."""
 
@@ -167,7 +155,7 @@ class Views:
                .when(pk % 7 == 5, F.concat(F.lit("# this sums"), nl, F.lit("for i in range("), size,
                                            F.lit("):"), nl, F.lit("    total = total + i"), nl, nl))
                .otherwise(F.lit("   ")))
-        return spread(p).select(
+        return p.select(
             pk.alias("gen_id"),
             F.concat(F.lit("model_"), (F.col("p_size") % 5).cast("string")).alias("model"),
             F.col("p_brand").alias("problem_id"),

@@ -21,6 +21,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.bandit import arm_statistics
 from ..operators.learning import TRANSITIONS
 from ..session import checkpoint_dir
+from ..sources.io import by_fitness
 
 WATERMARK = "10 minutes"
 
@@ -39,10 +40,8 @@ def stream_results(spark: SparkSession, path: str, schema: T.StructType, fmt: st
     r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     if fmt == "json":
         df = r.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
-        first = schema.fields[0].name
-        good = df.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
-        bad = df.filter(F.col("_corrupt_record").isNotNull() & F.col(first).isNull()).select("_corrupt_record")
-        return good, bad
+        good, bad = by_fitness(df, schema)
+        return good, bad.select("_corrupt_record")
     return r.format(fmt).load(path), None
 
 
@@ -82,14 +81,14 @@ def stream_sessions(feedback: DataFrame, gap: str = "30 minutes", watermark: str
 
 # ----------------------------------------------------------------- SS-5
 def stream_upsert(stream: DataFrame, key: str, path: str, ts: str = "ts", tie: str | None = None,
-                  watermark: str = WATERMARK, checkpoint: str | None = None, trigger_available_now: bool = True):
-    """SS-5: newest row per key. Exact duplicates within the watermark are
-    dropped (``dropDuplicatesWithinWatermark``); every micro-batch is
+                  checkpoint: str | None = None, trigger_available_now: bool = True):
+    """SS-5: newest row per key. There is no watermark: a row counts however
+    late it comes, and an exact duplicate changes nothing. Every micro-batch is
     reduced to its newest row per key (IO-11 semantics) and written to
     ``<path>/batch_id=<n>`` (overwrite of its own directory, so a retried
     batch replaces itself -- exactly once). ``current_upsert_table`` gives the
     merged table. Returns the started query."""
-    s = event_time(stream, ts).withWatermark(ts, watermark).dropDuplicatesWithinWatermark()
+    s = event_time(stream, ts)
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         order = F.struct(F.col(ts), *([F.col(tie)] if tie else []))

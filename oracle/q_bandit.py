@@ -13,11 +13,12 @@ ARMS_SQL = "(SELECT unnest([" + ", ".join(f"'{a}'" for a in ARMS) + "]) AS strat
 ARM_POS = "CASE strategy " + " ".join(f"WHEN '{a}' THEN {i}" for i, a in enumerate(ARMS)) + " END"
 PAIRS = [(i, j) for i in range(D) for j in range(i, D)]
 
-_reg("bd1_arm_statistics", "SELECT model, strategy, " + ", ".join(
-    f"round(sum(x[{i + 1}] * x[{j + 1}]) + {1.0 if i == j else 0.0}, 6) AS a_{i}_{j}" for i, j in PAIRS) + ", "
-     + ", ".join(f"round(sum(quality_score * x[{i + 1}]), 6) AS b_{i}" for i in range(D))
-     + """, count(*) AS count, round(sum(quality_score), 6) AS reward_sum, round(avg(quality_score), 6) AS mean_reward,
-       count(*) FILTER (WHERE success) AS successes FROM feedback GROUP BY model, strategy""", FB)
+for _name in ("bd1_arm_statistics", "ss2_stream_arm_statistics"):
+    _reg(_name, "SELECT model, strategy, " + ", ".join(
+        f"round(sum((x[{i + 1}] * x[{j + 1}])::DECIMAL(28,12)) + {1.0 if i == j else 0.0}, 6)::DOUBLE AS a_{i}_{j}" for i, j in PAIRS) + ", "
+         + ", ".join(f"round(sum((quality_score * x[{i + 1}])::DECIMAL(28,12)), 6)::DOUBLE AS b_{i}" for i in range(D))
+         + """, count(*) AS count, round(sum(quality_score), 6) AS reward_sum, round(avg(quality_score), 6) AS mean_reward,
+           count(*) FILTER (WHERE success) AS successes FROM feedback GROUP BY model, strategy""", FB)
 
 _cnt = ",\n       ".join(f"count(*) FILTER (WHERE b.strategy = '{a}') AS c{i}" for i, a in enumerate(ARMS))
 _under = "concat_ws(',', " + ", ".join(f"CASE WHEN c{i} / n_prev < 0.2 THEN '{a}' END" for i, a in enumerate(ARMS)) + ")"
@@ -99,8 +100,10 @@ s AS (SELECT *, CASE WHEN n < 5 THEN 'insufficient_data'
 ex AS (SELECT model, strategy, quality_score, CAST(i - 1 AS INTEGER) AS feature, x[i] AS v
        FROM feedback, range(1, len(x) + 1) t(i)),
 d AS (SELECT model, strategy, feature,
-             avg(v) FILTER (WHERE quality_score > 0.7) - avg(v) FILTER (WHERE quality_score < 0.3) AS difference,
-             avg(v) FILTER (WHERE quality_score > 0.7) AS optimal_value FROM ex GROUP BY ALL)
+             sum(v::DECIMAL(28,12)) FILTER (WHERE quality_score > 0.7)::DOUBLE / count(v) FILTER (WHERE quality_score > 0.7)
+             - sum(v::DECIMAL(28,12)) FILTER (WHERE quality_score < 0.3)::DOUBLE / count(v) FILTER (WHERE quality_score < 0.3) AS difference,
+             sum(v::DECIMAL(28,12)) FILTER (WHERE quality_score > 0.7)::DOUBLE / count(v) FILTER (WHERE quality_score > 0.7) AS optimal_value
+      FROM ex GROUP BY ALL)
 SELECT s.model, s.strategy, s.n, s.high_quality_count, s.low_quality_count, s.status, d.feature,
        round(d.difference, 6) AS difference, round(d.optimal_value, 6) AS optimal_value
 FROM s JOIN d USING (model, strategy) WHERE s.status = 'ok'

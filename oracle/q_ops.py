@@ -122,14 +122,13 @@ SELECT e.event_id, e.task, coalesce(cat.categories, '') AS categories,
 FROM eval_results e LEFT JOIN cat ON e.task = cat.task LEFT JOIN tg ON e.task = tg.task""", "eval_results")
 
 # ------------------------------------------------------------------ set ops
-PASSED = "(SELECT * FROM eval_results WHERE score > 0.95)"
-_reg("so1_all_benchmarks", f"SELECT DISTINCT task FROM {PASSED} WHERE model IN ('model_0', 'model_1')", "eval_results")
+_reg("so1_all_benchmarks", f"SELECT DISTINCT task FROM eval_results WHERE model IN ('model_0', 'model_1')", "eval_results")
 _reg("so2_missing_benchmarks", f"""
-WITH have AS (SELECT DISTINCT model, task FROM {PASSED})
+WITH have AS (SELECT DISTINCT model, task FROM eval_results)
 SELECT m.model, b.task FROM (SELECT DISTINCT model FROM have) m CROSS JOIN (SELECT DISTINCT task FROM have) b
 EXCEPT SELECT model, task FROM have""", "eval_results")
 _reg("so2_common_benchmarks", f"""
-WITH have AS (SELECT DISTINCT model, task FROM {PASSED})
+WITH have AS (SELECT DISTINCT model, task FROM eval_results)
 SELECT task FROM have GROUP BY task HAVING count(*) = (SELECT count(DISTINCT model) FROM have)""", "eval_results")
 
 # ------------------------------------------------------------------ cache

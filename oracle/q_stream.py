@@ -32,7 +32,7 @@ b AS (SELECT *, sum(CASE WHEN prev IS NULL OR ts >= prev + INTERVAL 30 MINUTE TH
 s AS (SELECT session_user, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS interactions,
              count(*) FILTER (WHERE success) AS successes, round(avg(quality_score), 6) AS average_quality
       FROM b GROUP BY session_user, sn)
-SELECT * FROM s WHERE session_end <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM feedback)""", "feedback")
+SELECT * FROM s""", "feedback")
 
 _reg("ss5_stream_upsert", f"""
 SELECT cache_key, arg_max(entry_id, (ts, entry_id)) AS entry_id, max(ts) AS ts,

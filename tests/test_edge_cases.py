@@ -92,3 +92,85 @@ def test_report_flows(spark, views):
     assert exp <= got
     levels = {r.level for r in sr["summary"].select("level").distinct().collect()}
     assert levels == {"suite_model", "task", "harness", "all"}
+
+
+# ------------------------------------------------------------------ rows that must not get lost
+def test_io1_keeps_the_numbers_beside_a_text_metric(spark, tmp_path):
+    import json
+
+    from evalspark.sources import io
+
+    doc = {"suite_name": "s", "results": [{"task": "t", "model": "m", "score": "0.5", "metrics": {"pass@1": 0.25, "note": "text"}}]}
+    (tmp_path / "a.json").write_text(json.dumps(doc, indent=1))
+    (tmp_path / "b.json").write_text(json.dumps({"results": [{"task": "u"}, {"task": "v", "metrics": None}]}))
+    got = {r.task: (r.metrics, r.suite_name) for r in io.read_suite_results(spark, str(tmp_path)).collect()}
+    assert got == {"t": ({"pass@1": 0.25, "note": None}, "s"), "u": (None, "unknown"), "v": (None, "unknown")}
+
+
+def test_io3_a_partly_read_record_is_rejected_not_lost(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    from evalspark.sources import io
+
+    (tmp_path / "x.jsonl").write_text('{"event_id":1,"value":2}\n{"event_id":2,"value":"abc"}\n{broken\n')
+    schema = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("value", T.DoubleType())])
+    good, bad = io.read_json_dataset(spark, str(tmp_path), schema)
+    assert [r.event_id for r in good.collect()] == [1] == [r.event_id for r in good.select("event_id").collect()]
+    assert sorted(r._corrupt_record for r in bad.collect()) == ['{"event_id":2,"value":"abc"}', "{broken"]
+
+
+def test_io9_language_runs_stay_whole(spark):
+    from evalspark.sources import io
+
+    logs = spark.createDataFrame([("r1", 1, '{"results": {"task": {"acc": 0.5, "alias": "a"}}}'), ("r2", 1, "accuracy: 0.7"), ("r3", 1, "nothing")],
+                                 "run_id string, line_no int, line string")
+    got = {(r.run_id, r.metric, r.value) for r in io.parse_harness_logs(logs, "language").collect()}
+    assert got == {("r1", "task.acc", 0.5), ("r2", "extracted_score", 0.7), ("r3", None, None)}
+    code = spark.createDataFrame([("r1", 1, '{"pass@1": 0.5, "note": "x"}')], "run_id string, line_no int, line string")
+    assert ("r1", "pass@1", 0.5) in {(r.run_id, r.metric, r.value) for r in io.parse_harness_logs(code, "code").collect()}
+
+
+def test_jn6_jn7_keep_rows_without_default_or_model(spark):
+    from evalspark.operators import joins
+
+    cutoffs = spark.createDataFrame([("m", "2023-01-01")], "model string, cutoff string").selectExpr("model", "cast(cutoff as date) cutoff")
+    rows = spark.createDataFrame([(1, "m", "2024-01-01"), (2, None, "2024-01-01"), (3, "other", None)], "id int, model string, release_date string")
+    rows = rows.selectExpr("id", "model", "cast(release_date as date) release_date")
+    got = {r.id: r.clean for r in joins.temporal_split(rows, cutoffs).collect()}
+    assert got == {1: True, 2: None, 3: None}
+    assert joins.resolve_cutoff(rows.select("model").distinct(), cutoffs).count() == 3
+
+
+def test_bandit_refuses_contexts_of_another_length(spark):
+    import pytest
+
+    from evalspark.operators import bandit as BD
+
+    fb = spark.createDataFrame([("m", "a", [1.0, 2.0], 0.5, True), ("m", "a", [1.0, 2.0, 3.0], 0.5, True)],
+                               "model string, strategy string, x array<double>, quality_score double, success boolean")
+    with pytest.raises(Exception, match="2 components"):
+        BD.arm_statistics(fb, 2).collect()
+    assert BD.arm_statistics(spark.createDataFrame([fb.first()], fb.schema), 2).first()["count"] == 1
+
+
+def test_ss5_takes_late_new_keys(spark, tmp_path):
+    from evalspark.streaming import streams as SS
+
+    rows = spark.createDataFrame([("a", "2024-01-01 10:00:00", 1), ("b", "2024-01-01 12:00:00", 2), ("c", "2024-01-01 09:00:00", 3), ("a", "2024-01-01 08:00:00", 4)],
+                                 "k string, ts string, v int").selectExpr("k", "cast(ts as timestamp) ts", "v")
+    src = str(tmp_path / "in")
+    for v in (1, 2, 3, 4):
+        rows.where(f"v = {v}").coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    SS.stream_upsert(stream, "k", str(tmp_path / "out"), checkpoint=str(tmp_path / "ck")).awaitTermination()
+    got = {r.k: r.v for r in SS.current_upsert_table(spark, str(tmp_path / "out"), "k").collect()}
+    assert got == {"a": 1, "b": 2, "c": 3}
+
+
+def test_dx1_needs_equal_words_not_equal_hashes(spark):
+    from evalspark.operators import documents as DX
+
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "x y")], "doc_id int, text string")
+    items = spark.createDataFrame([(7, "B C D!"), (8, "q r s")], "item_id int, text string")
+    got = [tuple(r) for r in DX.ngram_contamination(docs, items, 3).select("doc_id", "item_id", "shared_ngrams", "item_ngrams").collect()]
+    assert got == [(1, 7, 1, 1)]

@@ -22,7 +22,7 @@ def _stream(spark, df, slices=3):
 
 def test_ss2_equals_bd1(spark, views):
     fb = views.feedback
-    d = BD.dimension(fb)
+    d = 4
     got = {(r.model, r.strategy): r for r in SS.run_to_table(SS.stream_arm_statistics(_stream(spark, fb), d)).collect()}
     exp = {(r.model, r.strategy): r for r in BD.arm_statistics(fb, d).collect()}
     assert got.keys() == exp.keys()
