@@ -2,14 +2,14 @@
 
 A plain ``Window.partitionBy(key).orderBy(ts)`` puts every row of a key in
 one task; with one model holding a third of the history that task sorts a
-third of the data. Here every key is cut into *chunks*: consecutive slices
-of its first order column (time), as many as the key's row count needs
-(``rows_per_chunk``). The running counts and sums are computed per
-(key, chunk) -- many tasks for a hot key -- and the per-(key, chunk) totals
-(one row per chunk) give each chunk its offset. Chunks are a deterministic
-function of the data (min, max, count per key), so every branch of the plan
-and every retry after a lost executor computes the same ones; the result is
-exact.
+third of the data. Here a key with more than ``rows_per_chunk`` rows is cut into
+*chunks*: ranges of its whole order tuple, so ties in the first column are split
+by the next. The split points are quantiles of a sample of the key's rows, those
+with the smallest hash of the order tuple: the same rows in every branch of a plan
+and in every retry after a lost executor. The running counts and sums are computed
+per (key, chunk) -- many tasks for a hot key -- and the per-(key, chunk) totals
+(one row per chunk) give each chunk its offset. The result is exact, the plan is
+the same at every size, and nothing runs while it is made.
 
 ``lagged`` then reads the value at ``seq - k`` with a 1:1 equi-join on
 (key, seq), so sliding-window sums are differences of prefix sums -- no
@@ -22,18 +22,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 ROWS_PER_CHUNK = 2_000_000
-
-
-def _numeric(df: DataFrame, c: str) -> Column:
-    t = df.schema[c].dataType
-    if isinstance(t, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(F.col(c).cast("timestamp")).cast("double")
-    if isinstance(t, T.DateType):
-        return F.unix_date(F.col(c)).cast("double")
-    return F.col(c).cast("double")
+SAMPLE = 2048    # rows of a large key that its split points are taken from
+MOST_CHUNKS = 128  # of a key; beyond SAMPLE / 16 the quantiles would be too rough
 
 
 def _join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -52,22 +44,26 @@ def _join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
     return left.join(r, cond, how).drop(*[f"_rk_{k}" for k in keys])
 
 
-def with_chunks(df: DataFrame, keys: Sequence[str], first_order: str,
+def with_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                 rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
-    """Add ``_chunk``: slice number of ``first_order`` within the key
-    (0 .. c-1, c = ceil(rows / rows_per_chunk)); slices are ordered like
-    ``first_order``. Per-key stats are one row per key."""
-    keys = list(keys)
-    t = _numeric(df, first_order)
-    base = df.withColumn("_t", t)
-    st = base.groupBy(*keys).agg(F.min("_t").alias("_lo"), F.max("_t").alias("_hi"),
-                                 F.count(F.lit(1)).alias("_n"))
-    st = st.withColumn("_c", F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(float(rows_per_chunk)))))
-    j = _join_keys(base, st, keys)
-    width = (F.col("_hi") - F.col("_lo")) / F.col("_c")
-    chunk = F.when((F.col("_hi") == F.col("_lo")) | (F.col("_c") == 1), F.lit(0)).otherwise(
-        F.least(F.floor((F.col("_t") - F.col("_lo")) / width), F.col("_c") - 1))
-    return j.withColumn("_chunk", F.coalesce(chunk, F.lit(0)).cast("long")).drop("_t", "_lo", "_hi", "_n", "_c")
+    """Add ``_chunk``, 0 .. c-1 in the order of the tuple ``order``: c is about the
+    key's rows / ``rows_per_chunk``, 1 for a key that has no more than that."""
+    keys, order = list(keys), list(order)
+    tuple_ = F.struct(*(F.col(c).alias(f"o{i}") for i, c in enumerate(order)))
+    large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows_per_chunk)
+    rows = _join_keys(df.select(*keys, tuple_.alias("_o")), large, keys).withColumn("_h", F.xxhash64("_o"))
+    if keys:
+        w = Window.partitionBy(*keys).orderBy("_h", "_o")
+        sample = rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= SAMPLE)
+    else:
+        sample = rows.orderBy("_h", "_o").limit(SAMPLE)
+    points = sample.groupBy(*keys).agg(F.sort_array(F.collect_list("_o")).alias("_s"), F.max("_n").alias("_n"))
+    c = F.least(F.ceil(F.col("_n") / F.lit(float(rows_per_chunk))), F.lit(MOST_CHUNKS))
+    points = points.withColumn("_c", c.cast("int")).select(*keys, F.expr(
+        "transform(sequence(1, greatest(_c - 1, 1)), i -> get(_s, least(cast(i * size(_s) / _c as int), size(_s) - 1)))").alias("_points"))
+    j = _join_keys(df, points, keys, "left") if keys else df.crossJoin(points.agg(F.first("_points").alias("_points")))
+    chunk = F.when(F.col("_points").isNull(), F.lit(0)).otherwise(F.size(F.filter("_points", lambda p: p <= tuple_)))
+    return j.withColumn("_chunk", chunk.cast("long")).drop("_points")
 
 
 def prefix_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str],
@@ -75,25 +71,14 @@ def prefix_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     """Add ``seq`` (1-based position within the key by ``order``) and, for
     every ``name -> expr`` in ``cols``, ``cum_<name>`` = inclusive running sum.
 
-    ``order`` must be unique within a key (e.g. (ts, event_id)); its first
-    column (time or number) defines the chunks -- a key is only split when
-    that column varies within it.
+    ``order`` must be unique within a key (e.g. (ts, event_id)).
     """
     keys, order = list(keys), list(order)
     cols = dict(cols or {})
     base = df
     for name, expr in cols.items():
         base = base.withColumn(f"_v_{name}", expr)
-    # Adaptive: one aggregate row says whether any key needs splitting. When
-    # every key fits in one chunk a plain per-key window is exact and cheaper.
-    biggest = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n").alias("m")).first()
-    if keys and (biggest is None or biggest.m is None or biggest.m <= rows_per_chunk):
-        w1 = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        out = base.withColumn("seq", F.count(F.lit(1)).over(w1).cast("long"))
-        for name in cols:
-            out = out.withColumn(f"cum_{name}", F.sum(f"_v_{name}").over(w1))
-        return out.drop(*[f"_v_{name}" for name in cols])
-    base = with_chunks(base, keys, order[0], rows_per_chunk)
+    base = with_chunks(base, keys, order, rows_per_chunk)
     w = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = base.withColumn("_lc", F.count(F.lit(1)).over(w))
     for name in cols:

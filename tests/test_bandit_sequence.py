@@ -91,3 +91,22 @@ def test_two_proportion_zero_variance(spark):
     rows = [("a", True)] * 4 + [("b", True)] * 3
     r = stats.two_proportion_test(spark.createDataFrame(rows, "model string, passed boolean"), "model").first()
     assert r.p_value == 1.0 and r.z_score == 0.0 and r.effect_size == 0.0
+
+
+def test_chunks_split_ties_of_the_first_column(spark):
+    rows = spark.range(20_000).selectExpr("id", "case when id % 10 < 9 then 1.0 else rand(3) end as score", "'k' as k")
+    for keys in (["k"], []):
+        sizes = [r["count"] for r in SQ.with_chunks(rows, keys, ["score", "id"], rows_per_chunk=1000).groupBy("_chunk").count().collect()]
+        assert max(sizes) <= 2000 and len(sizes) >= 15
+    got = SQ.prefix_sums(rows, [], ["score", "id"], {"one": F.lit(1)}, rows_per_chunk=1000)
+    assert got.where("seq <> cum_one").count() == 0 and got.select("seq").distinct().count() == 20_000
+    first = got.orderBy("seq").select("score", "id").collect()
+    assert [tuple(r) for r in first] == sorted(tuple(r) for r in first)
+
+
+def test_prefix_sums_plan_runs_no_job(spark):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("plan-only", "plan")
+    SQ.prefix_sums(spark.range(10).selectExpr("id", "id % 2 as k"), ["k"], ["id"])
+    assert not tracker.getJobIdsForGroup("plan-only")
+    spark.sparkContext.setJobGroup("", "")
