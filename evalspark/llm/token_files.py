@@ -18,7 +18,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +35,23 @@ SEGMENT_SCHEMA = ("part int, segment int, first_id long, n_ids long, doc_ids arr
 # Letters whose lower case is the same letter by letter and that need no normalisation.
 _LETTERS = "a-zß-öø-ÿ"
 _PLAIN = re.compile("[ -&(-~À-ÖØ-öø-ÿ]*").fullmatch
+_LETTER_RUN = re.compile(f"[{_LETTERS}]+").fullmatch
+KNOWN = 700_000  # words whose ids a worker remembers; then it begins anew
 _PARTS = re.compile(rf"[{_LETTERS}]+|[0-9]|[^\s{_LETTERS}0-9]+").findall
 
 
+def _byte_symbols() -> dict[int, str]:
+    """Character -> the symbols that byte-level vocabularies write for its UTF-8 bytes:
+    a printable Latin-1 byte is itself, the others follow from U+0100 in order."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in shown]
+    symbol = {b: chr(b if b in shown else 256 + rest.index(b)) for b in range(256)}
+    return {c: "".join(symbol[b] for b in chr(c).encode()) for c in range(128, 256)}
+
+
+_SYMBOLS = _byte_symbols()
+
+
 class _Index(dict):
     """key -> its rank in order of first sight."""
 
@@ -49,7 +63,7 @@ class _Index(dict):
 class WordEncoder:
     """Whole texts to ids, equal to ``Tokenizer.encode(text, add_special_tokens=False)``
     of a tokenizer that drops white space: the ids of a text are those of its words,
-    so each distinct word of a batch is encoded once. Words of plain letters, digits
+    so each distinct word is encoded once. Words of plain letters, digits
     and symbols are taken apart further at the borders the tokenizer itself splits
     at; any other word goes to the tokenizer as it is."""
 
@@ -58,14 +72,20 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, added)) or r"(?!)").search
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = _Index()  # word -> its number
+        self.flat, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64)  # ids of all known words
 
     def _ids(self, strings: list[str]) -> list[list[int]]:
         out: list = [None] * len(strings)
         rest = []
         for i, s in enumerate(strings):
-            if s.isascii() and s.isalpha() and s.islower():
-                out[i] = [t.id for t in self.tokenizer.model.tokenize(s)]
+            if _LETTER_RUN(s):  # one piece of the tokenizer: its model alone
+                out[i] = [t.id for t in self.tokenizer.model.tokenize(s if s.isascii() else s.translate(_SYMBOLS))]
             else:
                 rest.append(i)
         for i, e in zip(rest, self.tokenizer.encode_batch_fast([strings[i] for i in rest], add_special_tokens=False)):
@@ -78,7 +98,9 @@ class WordEncoder:
         rank = parts.__getitem__
         table = []
         for w in words:
-            if _PLAIN(w) and not any(s in w for s in self.special):
+            if _LETTER_RUN(w):
+                table.append((rank(w),))
+            elif _PLAIN(w) and not self.special(w):
                 table.append([rank(p) for p in _PARTS(w.lower())])
             else:
                 table.append([rank(w)])
@@ -95,11 +117,13 @@ class WordEncoder:
     def segments(self, texts: list[str | None], least: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """Runs of texts of ``least`` ids or more (the last: fewer): (first text, end,
         their ids one after another, number of ids of each)."""
-        index = _Index()
-        rank = index.__getitem__
+        if len(self.known) > KNOWN:
+            self._forget()
+        had, rank = len(self.known), self.known.__getitem__
         refs = [np.fromiter(map(rank, self._spaced(t).split(" ")), np.int32) for t in texts]
-        flat, sizes = self.words(list(index))
-        del index, rank
+        new_flat, new_sizes = self.words(list(islice(self.known, had, None)))
+        self.flat, self.sizes = np.concatenate([self.flat, new_flat]), np.concatenate([self.sizes, new_sizes])
+        flat, sizes = self.flat, self.sizes
         starts = np.cumsum(sizes) - sizes
         lengths = np.fromiter((sizes[r].sum() for r in refs), np.int64, len(refs))
         first = held = 0
@@ -113,7 +137,16 @@ class WordEncoder:
     def _spaced(self, text: str | None) -> str:
         """The text with spaces for line ends; in lower case if that is all the same."""
         text = (text or "").replace("\n", " ")
-        return text.lower() if _PLAIN(text) and not any(s in text for s in self.special) else text
+        return text.lower() if _PLAIN(text) and not self.special(text) else text
+
+
+_ENCODERS: list[tuple[str, WordEncoder]] = []  # of this worker: at most one, kept from task to task
+
+
+def _encoder(tokenizer_json: str) -> WordEncoder:
+    if not _ENCODERS or _ENCODERS[0][0] != tokenizer_json:
+        _ENCODERS[:] = [(tokenizer_json, WordEncoder(tokenizer_json))]
+    return _ENCODERS[0][1]
 
 
 def _segment(part: int, number: int, first: int, doc_ids: list, lengths: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
@@ -133,10 +166,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, id_col: str =
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder = None
         part, number, first = TaskContext.get().partitionId(), 0, 0
         for batch in batches:
-            encoder = encoder or WordEncoder(vocabulary.value)
+            encoder = _encoder(vocabulary.value)
             doc_ids = batch.column(0).to_pylist()
             for a, b, ids, lengths in encoder.segments(batch.column(1).to_pylist(), SEGMENT_IDS):
                 whole = np.full(len(ids) + b - a, end_id, np.int32)
