@@ -97,7 +97,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages"))
 
 
-ORACLE: dict[str, str] = {"op4_template_decontamination": decontaminate.oracle(), "op6_norm_bucketed_topk": topk.oracle()}
+ORACLE: dict[str, str] = {"op4_template_decontamination": decontaminate.oracle(), "op6_norm_bucketed_topk": topk.oracle(), "op10_url_filter": url_filters.oracle()}
 
 
 def load_all() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -124,3 +124,15 @@ def judge(pages: DataFrame, rules: dict[str, str] = RULES, block_list: Iterable[
 
     host, path = url_parts(url_col)
     return pages.select(F.col(id_col).cast("long").alias("page_id"), host.alias("host"), path.alias("path")).mapInArrow(probe, "page_id long, host string, path string, rule string, verdict string")
+
+
+def oracle(pages: str = "pages", rules: dict[str, str] = RULES, block_list: Iterable[str] = BLOCK_LIST) -> str:
+    """The same in DuckDB's SQL, entries compared one by one."""
+    entries = ", ".join(f"('{r}', '{v}', true)" for r, v in rules.items()) + ", " + ", ".join(f"('{b}', 'block', false)" for b in block_list)
+    return f"""
+with entries(entry, verdict, is_rule) as (values {entries}),
+cut as (select *, entry[:instr(entry, '/') - 1] as h, entry[instr(entry, '/'):] as p from entries),
+parts as (select page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{UPPER}', '{LOWER}') as host,
+                 coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path, row_number() over () as n from {pages}),
+fits as (select n, max((is_rule, len(entry), entry, c.verdict)) as best from parts join cut c on (host = h or ends_with(host, '.' || h)) and starts_with(path, p) group by n)
+select page_id, host, path, case when best[1] then best[3] end as rule, coalesce(best[4], 'allow') as verdict from parts left join fits using (n)"""
