@@ -44,54 +44,47 @@ def cacheable(df: DataFrame, strategy: str, has_pass_metric: Column | None = Non
 
 # ----------------------------------------------------------------- PJ-11
 def cache_key(df: DataFrame, strategy: str = "aggressive", task: str = "task_name", model: str = "model_name",
-              language: str = "language", parameters: str = "parameters") -> DataFrame:
-    """PJ-11: parameters hash and cache key.
+              language: str = "language", parameters: str = "parameters", code: str | None = None) -> DataFrame:
+    """PJ-11: parameters hash and cache key, per row.
 
     ``parameters`` is JSON text. Irrelevant keys (7 named, ``_``-prefixed)
     are dropped; ``conservative`` keeps only the 7 critical keys. The kept
     entries are sorted by key and joined as ``k=v&k=v`` -- a canonical text,
     not byte-identical to Python's ``json.dumps`` -- and hashed with SHA-256
-    (first 16 hex = params hash). key = SHA-256 of task|model|language|hash.
+    (first 16 hex = params hash). key = SHA-256 of task|model|language|hash, and
+    of |code hash (16 hex) where the column ``code`` is given and not empty.
     """
-    # The canonical text depends only on the parameter text, which repeats across evaluations:
-    # canonicalise each distinct text once, then join it back (AQE broadcasts the small side).
-    texts = df.select(F.col(parameters).alias("_ptext")).distinct()
-    m = F.from_json(F.col("_ptext"), "map<string,string>")
-    keep = lambda k, v: (~k.isin(*EXCLUDED_PARAMS)) & (~k.startswith("_"))
-    if strategy == "conservative":
-        keep2 = lambda k, v: keep(k, v) & k.isin(*CRITICAL_PARAMS)
-    else:
-        keep2 = keep
-    kept = F.map_filter(F.coalesce(m, F.create_map().cast("map<string,string>")), keep2)
+    m = F.coalesce(F.from_json(F.col(parameters), "map<string,string>"), F.create_map().cast("map<string,string>"))
+    relevant = lambda k, v: ~k.isin(*EXCLUDED_PARAMS) & ~k.startswith("_")
+    critical = lambda k, v: relevant(k, v) & k.isin(*CRITICAL_PARAMS)
+    kept = F.map_filter(m, critical if strategy == "conservative" else relevant)
     canon = F.array_join(F.transform(F.array_sort(F.map_entries(kept)),
-                                     lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("null")))),
-                         "&")
-    canon_df = texts.select("_ptext", canon.alias("params_canonical"))
-    canon_df = canon_df.withColumn("params_hash", F.substring(F.sha2(F.col("params_canonical"), 256), 1, 16))
-    j = df.join(canon_df, df[parameters].eqNullSafe(canon_df["_ptext"]), "left").drop("_ptext")
-    key = F.sha2(F.concat_ws("|", F.col(task), F.col(model), F.lower(F.col(language)), F.col("params_hash")), 256)
-    return j.withColumn("cache_key", key)
+                                     lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("null")))), "&")
+    short = lambda c: F.substring(F.sha2(c, 256), 1, 16)
+    out = df.withColumn("params_canonical", canon).withColumn("params_hash", short(F.col("params_canonical")))
+    parts = [F.col(task), F.col(model), F.lower(F.col(language)), F.col("params_hash")]
+    if code:
+        out = out.withColumn("code_hash", F.when(F.col(code) != "", short(F.col(code))))
+        parts.append(F.col("code_hash"))  # concat_ws leaves a NULL out
+    return out.withColumn("cache_key", F.sha2(F.concat_ws("|", *parts), 256))
 
 
 # ----------------------------------------------------------------- JN-8
-def cache_lookup(requests: DataFrame, cache: DataFrame, now: str, ttl_seconds: int,
-                 key: str = "cache_key", ts: str = "ts") -> tuple[DataFrame, DataFrame]:
-    """JN-8: split requests into hits and misses.
-
-    A hit has an entry with the same key and ``ts > now - ttl``. The cache
-    is reduced to the set of fresh keys first (filter pushed to the scan,
-    distinct keys), then a semi join gives hits and an anti join misses.
-    """
+def cache_lookup_flags(requests: DataFrame, cache: DataFrame, now: str, ttl_seconds: int,
+                       key: str = "cache_key", ts: str = "ts") -> DataFrame:
+    """JN-8: every request with ``hit``: there is an entry with the same key and
+    ``ts > now - ttl``. One left join with the distinct fresh keys (the filter is
+    pushed to the scan)."""
     fresh = (cache.filter(_ts(ts) > F.lit(now).cast("timestamp") - F.make_interval(secs=F.lit(ttl_seconds)))
-             .select(key).distinct())
-    return requests.join(fresh, key, "left_semi"), requests.join(fresh, key, "left_anti")
+             .select(F.col(key).alias("_fresh")).distinct())
+    return requests.join(fresh, F.col(key) == F.col("_fresh"), "left").withColumn("hit", F.col("_fresh").isNotNull()).drop("_fresh")
 
 
-def cache_lookup_flags(requests: DataFrame, cache: DataFrame, now: str, ttl_seconds: int,
-                       key: str = "cache_key", ts: str = "ts") -> DataFrame:
-    """JN-8 as one frame: every request with ``hit`` true/false."""
-    hits, misses = cache_lookup(requests, cache, now, ttl_seconds, key, ts)
-    return hits.withColumn("hit", F.lit(True)).unionByName(misses.withColumn("hit", F.lit(False)))
+def cache_lookup(requests: DataFrame, cache: DataFrame, now: str, ttl_seconds: int,
+                 key: str = "cache_key", ts: str = "ts") -> tuple[DataFrame, DataFrame]:
+    """JN-8: the hits and the misses of :func:`cache_lookup_flags`."""
+    flags = cache_lookup_flags(requests, cache, now, ttl_seconds, key, ts)
+    return flags.filter("hit").drop("hit"), flags.filter("not hit").drop("hit")
 
 
 # ----------------------------------------------------------------- AG-20

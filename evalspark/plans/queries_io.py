@@ -89,6 +89,18 @@ def _io9(v):
     return io.parse_harness_logs(_logs(v), "code")
 
 
+@query("io9_parse_language_harness_logs")
+def _io9l(v):
+    """Runs of the language harness: a JSON results line with an alias beside the numbers, score lines, or neither."""
+    r = v.eval_results
+    result = F.concat(F.lit('{"results": {"'), F.col("task"), F.lit('": {"acc": '), F.col("score").cast("string"), F.lit(', "alias": "'), F.col("task"), F.lit('"}}}'))
+    line = (F.when((F.col("task") == "mbpp") & (F.col("model") != "model_1"), result)
+            .when((F.col("task") == "multiple-js") & (F.col("model") != "model_2"), F.concat(F.lit("accuracy "), F.col("execution_time").cast("string")))
+            .otherwise(F.concat(F.lit("progress "), F.col("event_id").cast("string"))))
+    logs = r.select(F.concat(F.col("model"), F.lit("/"), F.col("suite_name")).alias("run_id"), F.col("event_id").alias("line_no"), line.alias("line"))
+    return io.parse_harness_logs(logs, "language")
+
+
 @query("io12_latest_n")
 def _io12(v):
     return ranking.latest_n(v.feedback, 100).select("event_id", "model", "strategy", "quality_score", "ts")

@@ -70,6 +70,21 @@ empty AS (SELECT DISTINCT run_id, 'pass@1' AS metric, 0.0 AS value FROM logs
 SELECT run_id, metric, round(value, 6) AS value FROM (SELECT * FROM found UNION ALL SELECT * FROM empty)""",
      "eval_results")
 
+_reg("io9_parse_language_harness_logs", r"""
+WITH logs AS (
+  SELECT model || '/' || suite_name AS run_id, event_id AS line_no,
+         CASE WHEN task = 'mbpp' AND model <> 'model_1' THEN '{"results": {"' || task || '": {"acc": ' || CAST(score AS VARCHAR) || ', "alias": "' || task || '"}}}'
+              WHEN task = 'multiple-js' AND model <> 'model_2' THEN 'accuracy ' || CAST(execution_time AS VARCHAR)
+              ELSE 'progress ' || CAST(event_id AS VARCHAR) END AS line
+  FROM eval_results),
+j AS (SELECT run_id, arg_min(line, line_no) AS line FROM logs WHERE starts_with(line, '{') GROUP BY run_id),
+js AS (SELECT run_id, 'mbpp.acc' AS metric, TRY_CAST(json_extract_string(line, '$.results.mbpp.acc') AS DOUBLE) AS value FROM j),
+fb AS (SELECT run_id, 'extracted_score' AS metric, arg_min(TRY_CAST(regexp_extract_all(line, '(\d+\.?\d*)', 1)[-1] AS DOUBLE), line_no) AS value
+       FROM logs WHERE contains(line, 'accuracy') AND run_id NOT IN (SELECT run_id FROM j) GROUP BY run_id),
+found AS (SELECT * FROM js WHERE value IS NOT NULL UNION ALL SELECT * FROM fb),
+none AS (SELECT DISTINCT run_id, CAST(NULL AS VARCHAR) AS metric, CAST(NULL AS DOUBLE) AS value FROM logs WHERE run_id NOT IN (SELECT run_id FROM found))
+SELECT run_id, metric, round(value, 6) AS value FROM (SELECT * FROM found UNION ALL SELECT * FROM none)""", "eval_results")
+
 _reg("io12_latest_n", """
 SELECT event_id, model, strategy, round(quality_score, 6) AS quality_score, ts FROM feedback
 ORDER BY ts DESC, event_id DESC LIMIT 100""", "feedback")

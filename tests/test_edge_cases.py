@@ -174,3 +174,27 @@ def test_dx1_needs_equal_words_not_equal_hashes(spark):
     items = spark.createDataFrame([(7, "B C D!"), (8, "q r s")], "item_id int, text string")
     got = [tuple(r) for r in DX.ngram_contamination(docs, items, 3).select("doc_id", "item_id", "shared_ngrams", "item_ngrams").collect()]
     assert got == [(1, 7, 1, 1)]
+
+
+def test_pj11_code_is_part_of_the_key(spark):
+    import hashlib
+
+    from evalspark.operators import ops
+
+    df = spark.createDataFrame([(1, "t", "m", "Python", '{"n_samples": 5, "debug": true}', "x = 1"), (2, "t", "m", "Python", '{"n_samples": 5}', "x = 2"),
+                                (3, "t", "m", "Python", '{"n_samples": 5}', None), (4, "t", "m", "Python", None, "")],
+                               "id int, task_name string, model_name string, language string, parameters string, code string")
+    plain = {r.id: r.cache_key for r in ops.cache_key(df).collect()}
+    coded = {r.id: r.cache_key for r in ops.cache_key(df, code="code").collect()}
+    assert plain[1] == plain[2] == plain[3] and len({coded[1], coded[2], coded[3]}) == 3
+    assert coded[3] == plain[3] and coded[4] == plain[4]
+    short = lambda s: hashlib.sha256(s.encode()).hexdigest()[:16]
+    assert coded[1] == hashlib.sha256(f"t|m|python|{short('n_samples=5')}|{short('x = 1')}".encode()).hexdigest()
+
+
+def test_jn8_reads_each_side_once(spark, views):
+    from evalspark.operators import ops
+
+    keyed = ops.cache_key(views.cache_entries).select("entry_id", "cache_key", "ts")
+    plan = ops.cache_lookup_flags(keyed.select("entry_id", "cache_key"), keyed, "1998-08-02", 86400)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1
