@@ -2,11 +2,8 @@
 
 Every aggregate here is a hash aggregate with a map-side partial step, so a
 hot key (one model with a third of all rows) is pre-reduced in every task
-before the shuffle; no operator collects the rows of a group. Exact
-median / quantiles use Spark's ``percentile`` (value -> count maps merged
-across tasks, memory bounded by the distinct values of a group); pass
-``approx=True`` for ``percentile_approx`` when a group holds billions of
-distinct values.
+before the shuffle; no operator collects the rows of a group. Quantiles are
+exact, from running counts over the distinct values (``operators.quantiles``).
 """
 
 from __future__ import annotations
@@ -17,10 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import task_language, tier
-
-
-def _pct(c: str, p: float, approx: bool) -> Column:
-    return F.percentile_approx(c, p, 10000) if approx else F.percentile(c, F.lit(p))
+from .quantiles import quantiles
 
 
 def pass_columns(df: DataFrame) -> list[str]:
@@ -44,22 +38,25 @@ def preprocess_results(df: DataFrame, metric_keys: Sequence[str] = ()) -> DataFr
 
 
 # ----------------------------------------------------------------- AG-1
-def summary_statistics(df: DataFrame, approx: bool = False) -> DataFrame:
-    """AG-1: one row of score, success and time statistics (sample std)."""
-    aggs = [
-        F.count(F.lit(1)).alias("total"),
-        F.avg("score").alias("score_mean"), _pct("score", 0.5, approx).alias("score_median"),
-        F.stddev_samp("score").alias("score_std"), F.min("score").alias("score_min"),
-        F.max("score").alias("score_max"), _pct("score", 0.25, approx).alias("score_q25"),
-        _pct("score", 0.75, approx).alias("score_q75"),
+def summary_statistics(df: DataFrame) -> DataFrame:
+    """AG-1: one row of score, success and time statistics (sample std, exact
+    quartiles). The two columns' quantiles are found together, as two groups."""
+    plain = [
+        F.count(F.lit(1)).alias("total"), F.avg("score").alias("score_mean"), F.stddev_samp("score").alias("score_std"),
+        F.min("score").alias("score_min"), F.max("score").alias("score_max"),
         F.avg(F.col("success").cast("double")).alias("success_rate"),
-        F.avg("execution_time").alias("time_mean"),
-        _pct("execution_time", 0.5, approx).alias("time_median"),
-        F.stddev_samp("execution_time").alias("time_std"),
-    ]
+        F.avg("execution_time").alias("time_mean"), F.stddev_samp("execution_time").alias("time_std")]
     for c in pass_columns(df):
-        aggs += [F.avg(F.col(f"`{c}`")).alias(f"{c}_mean"), F.stddev_samp(F.col(f"`{c}`")).alias(f"{c}_std")]
-    return df.agg(*aggs)
+        plain += [F.avg(F.col(f"`{c}`")).alias(f"{c}_mean"), F.stddev_samp(F.col(f"`{c}`")).alias(f"{c}_std")]
+    long = df.select(F.expr("stack(2, 'score', cast(score as double), 'time', cast(execution_time as double)) as (name, value)"))
+    q = quantiles(long, ["name"], "value", {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    of = lambda name, c: F.max(F.when(F.col("name") == name, F.col(c)))
+    row = q.agg(of("score", "q50").alias("score_median"), of("score", "q25").alias("score_q25"),
+                of("score", "q75").alias("score_q75"), of("time", "q50").alias("time_median"))
+    out = df.agg(*plain).crossJoin(row)  # one row each
+    first = ["total", "score_mean", "score_median", "score_std", "score_min", "score_max", "score_q25", "score_q75",
+             "success_rate", "time_mean", "time_median", "time_std"]
+    return out.select(*first, *(f"`{c}`" for c in out.columns if c not in first))
 
 
 # ----------------------------------------------------------------- AG-2

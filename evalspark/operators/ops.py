@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles
+
 # fixed values: parameters that never change a result, and the ones that do
 EXCLUDED_PARAMS = ["save_results", "results_dir", "debug", "verbose", "timestamp", "session_id", "output_file"]
 CRITICAL_PARAMS = ["n_samples", "temperature", "limit", "max_length_generation", "target_language",
@@ -198,7 +200,6 @@ def performance_metrics(tasks: DataFrame, samples: DataFrame, run: str = "run_id
     t = tasks.groupBy(run).agg(
         wall.alias("total_execution_time"), F.count(F.lit(1)).alias("tasks"),
         F.avg("execution_time").alias("average_task_time"),
-        F.percentile("execution_time", F.lit(0.5)).alias("median_task_time"),
         F.min("execution_time").alias("min_task_time"), F.max("execution_time").alias("max_task_time"),
         F.count_if(F.col("success")).alias("successful_tasks"),
         F.count_if(~F.coalesce(F.col("success"), F.lit(False))).alias("failed_tasks"),
@@ -207,7 +208,8 @@ def performance_metrics(tasks: DataFrame, samples: DataFrame, run: str = "run_id
     s = samples.groupBy(run).agg(
         F.max("memory_mb").alias("peak_memory_mb"), F.avg("memory_mb").alias("average_memory_mb"),
         F.coalesce(F.avg(F.when(F.col("cpu_percent") > 0, F.col("cpu_percent"))), F.lit(0.0)).alias("cpu_usage_percent"))
-    j = t.join(s, run, "left")
+    median = quantiles(tasks, [run], "execution_time", {"median_task_time": 0.5})
+    j = t.join(median, run, "left").join(s, run, "left")
     return j.select(
         "*", (F.col("successful_tasks") / F.col("tasks")).alias("success_rate"),
         F.when(F.col("total_execution_time") > 0, F.col("tasks") / F.col("total_execution_time"))

@@ -110,3 +110,14 @@ def test_prefix_sums_plan_runs_no_job(spark):
     SQ.prefix_sums(spark.range(10).selectExpr("id", "id % 2 as k"), ["k"], ["id"])
     assert not tracker.getJobIdsForGroup("plan-only")
     spark.sparkContext.setJobGroup("", "")
+
+
+def test_quantiles_equal_percentile_with_ties_and_nulls(spark):
+    from evalspark.operators.quantiles import quantiles
+
+    df = spark.range(3000).selectExpr("case when id % 7 = 0 then null else pow(id % 97, 1.5) end as v", "case when id % 3 < 2 then 'a' when id < 4 then 'b' end as k")
+    got = {r.k: (r.lo, r.mid, r.hi) for r in quantiles(df, ["k"], "v", {"lo": 0.1, "mid": 0.5, "hi": 0.93}).collect()}
+    exp = {r.k: tuple(r.p) for r in df.groupBy("k").agg(F.percentile("v", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.93))).alias("p")).collect()}
+    assert got.keys() == exp.keys()
+    for k in exp:
+        assert got[k] == pytest.approx(exp[k], rel=1e-12)
