@@ -34,34 +34,27 @@ def ngrams(words: Column, n: int) -> Column:
     return F.when(F.size(words) >= n, grams).otherwise(F.array().cast("array<string>"))
 
 
-def ngram_hashes(words: Column, n: int) -> Column:
-    """64-bit hashes of the word n-grams (``xxhash64`` of each n-word slice);
-    no n-gram string is built."""
-    h = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.xxhash64(F.slice(words, i, n)))
-    return F.when(F.size(words) >= n, h).otherwise(F.array().cast("array<bigint>"))
-
-
 def ngram_contamination(corpus: DataFrame, items: DataFrame, n: int = 8, doc_id: str = "doc_id",
                         item_id: str = "item_id", text: str = "text") -> DataFrame:
     """DX-1 (specified in the documents): for every (document, item) that
     share at least one word n-gram: shared distinct n-grams, the item's
     distinct n-grams and containment = shared / item n-grams.
 
-    N-grams meet by their 64-bit ``xxhash64``; the words of every hit are then
-    compared, so a collision of hashes is no match. Which side is broadcast, if any,
-    is the planner's choice by size.
+    N-grams meet by their 64-bit ``xxhash64``, and a meeting counts only if a second,
+    independent hash agrees too (128 bits in all). Which side is broadcast, if any, is
+    the planner's choice by size.
     """
     # tokens are a column first: a lambda over the tokenising expression would run the regex for every n-gram
-    def grams(df: DataFrame, key: str, words: str) -> DataFrame:
-        """Distinct n-grams of every text: hash, place and the n-gram itself."""
-        t = df.select(key, tokens(text).alias(words))
-        return t.select(key, words, F.posexplode(ngram_hashes(F.col(words), n)).alias(f"{words}_at", "h")) \
-                .select(key, "h", F.array_join(F.slice(words, F.col(f"{words}_at") + 1, n), " ").alias(f"{words}_gram"))
+    def grams(df: DataFrame, key: str, second: str) -> DataFrame:
+        """n-grams of every text as (key, hash, second hash)."""
+        t = df.select(key, tokens(text).alias("_w"))
+        pair = lambda i: F.struct(F.xxhash64(F.slice("_w", i, n)).alias("h"), F.xxhash64(F.lit(n), F.slice("_w", i, n)).alias(second))
+        return t.filter(F.size("_w") >= n).select(key, F.inline(F.transform(F.sequence(F.lit(1), F.size("_w") - (n - 1)), pair)))
 
-    it = grams(items, item_id, "_iw").distinct()
+    it = grams(items, item_id, "_i").distinct()
     totals = it.groupBy(item_id).agg(F.count(F.lit(1)).alias("item_ngrams"))
-    hits = (grams(corpus, doc_id, "_dw").join(it, "h").where(F.col("_dw_gram") == F.col("_iw_gram"))
-            .groupBy(doc_id, item_id).agg(F.count_distinct("_iw_gram").alias("shared_ngrams")))
+    hits = (grams(corpus, doc_id, "_d").join(it, "h").where("_d = _i")
+            .groupBy(doc_id, item_id).agg(F.count_distinct("h", "_i").alias("shared_ngrams")))
     return (hits.join(totals, item_id)
             .withColumn("containment", F.col("shared_ngrams") / F.col("item_ngrams")))
 
