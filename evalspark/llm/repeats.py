@@ -326,7 +326,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = prepared(docs.sparkSession)
     texts = _texts(docs, id_col, text_col)
     every = stored(_anchor_rows(texts, length), "anchors")
-    twice = every.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
+    # a table of its own, so that the join deals out both sides and can split a gram with very many rows
+    twice = stored(every.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "repeated-grams")
     marks = stored(every.join(twice, "gram", "left_semi"), "repeated-anchors")
     release(spark)
     counts = marks.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*KEY, "at")).alias("one"))
