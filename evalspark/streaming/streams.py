@@ -12,6 +12,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -125,10 +126,14 @@ def _phase_step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) ->
         buf = list(buf)
     else:
         phase, count, buf = "exploration", 0, []
-    rows = pd.concat(list(pdfs)).sort_values(["ts", "event_id"])
+    # the frames of a micro-batch come in any order: 17 bytes a row are kept of each, not the frame
+    parts = [(f["ts"].to_numpy("datetime64[ns]").astype("int64"), f["event_id"].to_numpy("int64"), f["success"].fillna(False).to_numpy(bool)) for f in pdfs]
+    times, ids, flags = (np.concatenate(c) for c in zip(*parts))
+    order = np.lexsort((ids, times))
     out = []
     rules = {frm: (to, n, s) for frm, to, n, s in TRANSITIONS}
-    for ts, ok in zip(rows["ts"], rows["success"]):
+    for at in order:
+        ts, ok = pd.Timestamp(times[at]), flags[at]
         count += 1
         buf.append(1 if ok else 0)
         if len(buf) > 50:
