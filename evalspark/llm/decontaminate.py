@@ -61,7 +61,8 @@ def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "tex
     told = one.select("item_id", words("text").alias("item_words")).select("item_id", "item_words", template("item_words").alias("item_template")).withColumn("key", F.xxhash64("item_words"))
     told = stored(told, "items")
     placeholders = f"'{NUMBER}', '{NAME}', '{UNIT}'"
-    rows = told.select("key", "item_template", F.posexplode(windows("item_template")).alias("item_at", "window"))
+    # items of equal words (other punctuation or white space) share a key: their windows count once
+    rows = told.select("key", "item_template").dropDuplicates(["key"]).select("key", "item_template", F.posexplode(windows("item_template")).alias("item_at", "window"))
     rows = rows.where(F.expr(f"size(filter(slice(item_template, item_at + 1, {WINDOW}), w -> w not in ({placeholders}))) >= {LITERALS}")).drop("item_template")
     # windows of too few literals are not counted among an item's windows
     counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("windows"))

@@ -238,6 +238,24 @@ def test_reparameterised_questions(spark):
     assert decontaminate.clean(docs, items.limit(0)).count() == docs.count()
 
 
+def against_oracle(docs, items):
+    con = duckdb.connect()
+    for name, columns, table in (("documents", "doc_id bigint, text varchar", docs), ("benchmark", "item_id bigint, text varchar", items)):
+        con.execute(f"create table {name} ({columns})")
+        con.executemany(f"insert into {name} values (?, ?)", table)
+    return sorted(con.execute(decontaminate.oracle()).fetchall())
+
+
+def test_items_of_equal_words(spark):
+    """Items that differ in punctuation only, of 8 to 12 words."""
+    texts = ["what is the sum of all digits in base ten", "which of these words is the odd one here", "name the largest prime that divides both of the given sums exactly"]
+    items = [(10 * i + k, t + end) for i, t in enumerate(texts) for k, end in enumerate(("", "?", " ..."))]
+    docs = [(i, f"so then: {t}. and more") for i, t in enumerate(texts)] + [(9, "nothing of the sort is in this quite ordinary text about pears")]
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    want = against_oracle(docs, items)
+    assert len(want) == 9 and rows(got.drop("text_hash")) == want
+
+
 def test_decontamination_has_no_python(spark):
     docs, items = (queries.table(spark, SF, t) for t in ("documents", "benchmark"))
     plan = decontaminate.contaminated(docs, items)._jdf.queryExecution().toString()
