@@ -12,6 +12,11 @@ to one to the document's, so a question with other numbers, names or units is ca
 and a text that only has the item's shape by chance, with values that do not map, is
 not.
 
+Where templates do not reach that, the item's words themselves are compared as well,
+whatever their case and however few literals a window has: a lower-cased copy, or one
+of mostly names and numbers, is held if the windows of either kind make ``RUN`` (all,
+if it has fewer). The SQL has no such rows.
+
 Null texts have no words. Items of fewer than ``WINDOW`` words cannot be told from
 ordinary text and match nothing. Items that repeat a text count as the one with the
 smallest id (an item without an id counts only where the text has no id at all, and
@@ -50,23 +55,38 @@ def template(column: str) -> Column:
     return F.transform(F.col(column), kind)
 
 
-def windows(column: str) -> Column:
-    """Hashes of all windows of a column of template words, in order."""
-    return F.expr(f"case when size({column}) >= {WINDOW} then transform(sequence(1, size({column}) - {WINDOW - 1}), i -> xxhash64(slice({column}, i, {WINDOW}))) end")
+def folded(column: str) -> Column:
+    """A column of words in lower case."""
+    return F.transform(F.col(column), F.lower)
+
+
+def windows(column: str, seed: str = "") -> str:
+    """All windows of a column of words in order: (at, hash)."""
+    made = f"transform(sequence(0, size({column}) - {WINDOW}), i -> struct(i as at, xxhash64({seed}slice({column}, i + 1, {WINDOW})) as window))"
+    return f"case when size({column}) >= {WINDOW} then {made} else cast(array() as array<struct<at: int, window: bigint>>) end"
+
+
+def literal_windows(column: str) -> str:
+    """The same of lower-cased words; no hash is that of a template's window."""
+    return windows(column, f"{WINDOW}, ")
 
 
 def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(distinct items with words and template, their windows with enough literals)."""
+    """(distinct items with words and template, their template windows with enough
+    literals and all their literal windows)."""
     one = items.groupBy(F.col(text_col).alias("text")).agg(F.min(F.col(id_col).cast("long")).alias("item_id"))
     told = one.select("item_id", words("text").alias("item_words")).select("item_id", "item_words", template("item_words").alias("item_template")).withColumn("key", F.xxhash64("item_words"))
     told = stored(told, "items")
     placeholders = f"'{NUMBER}', '{NAME}', '{UNIT}'"
     # items of equal words (other punctuation or white space) share a key: their windows count once
-    rows = told.select("key", "item_template").dropDuplicates(["key"]).select("key", "item_template", F.posexplode(windows("item_template")).alias("item_at", "window"))
-    rows = rows.where(F.expr(f"size(filter(slice(item_template, item_at + 1, {WINDOW}), w -> w not in ({placeholders}))) >= {LITERALS}")).drop("item_template")
-    # windows of too few literals are not counted among an item's windows
-    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("windows"))
-    return told, stored(rows.join(counts, "key"), "item-windows")
+    each = told.dropDuplicates(["key"]).withColumn("item_folded", folded("item_words"))
+    typed = each.select("key", "item_template", F.inline(F.expr(windows("item_template"))).alias("item_at", "window"))
+    typed = typed.where(F.expr(f"size(filter(slice(item_template, item_at + 1, {WINDOW}), w -> w not in ({placeholders}))) >= {LITERALS}")).drop("item_template")
+    literal = each.select("key", F.inline(F.expr(literal_windows("item_folded"))).alias("item_at", "window"))
+    # windows of too few literals are not counted among an item's template windows
+    probes = typed.withColumn("typed", F.lit(True)).unionByName(literal.withColumn("typed", F.lit(False)))
+    counts = probes.groupBy("key").agg(F.count_if("typed").alias("windows"), F.count_if(~F.col("typed")).alias("literals"))
+    return told, stored(probes.join(counts, "key"), "item-windows")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -75,19 +95,22 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     told, probes = item_windows(items)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     keyed = base.select("doc_id", F.xxhash64("text").alias("text_hash"), words("text").alias("words"))
-    rows = keyed.select("doc_id", "text_hash", template("words").alias("template")).select("doc_id", "text_hash", F.posexplode(windows("template")).alias("at", "window"))
+    forms = keyed.select("doc_id", "text_hash", template("words").alias("template"), folded("words").alias("folded"))
+    rows = forms.select("doc_id", "text_hash", F.inline(F.expr(f"concat({windows('template')}, {literal_windows('folded')})")).alias("at", "window"))
     # left to the planner: the benchmark's windows are broadcast if the written table is under the threshold
     hits = rows.join(probes, "window")
-    runs = hits.groupBy("doc_id", "text_hash", "key", "windows", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.collect_set("item_at").alias("places"))
-    runs = stored(runs.where(F.size("places") >= F.least(F.lit(RUN), F.col("windows"))), "runs")
+    runs = hits.groupBy("doc_id", "text_hash", "key", "windows", "literals", (F.col("at") - F.col("item_at")).alias("shift")).agg(
+        F.collect_set(F.when(F.col("typed"), F.col("item_at"))).alias("by_template"), F.collect_set("item_at").alias("by_any"))
+    runs = runs.withColumn("typed", F.expr(f"windows > 0 and size(by_template) >= least({RUN}, windows)")).where(f"typed or size(by_any) >= least({RUN}, literals)")
+    runs = stored(runs.select("doc_id", "text_hash", "key", "shift", "typed", F.when(F.col("typed"), F.col("by_template")).otherwise(F.col("by_any")).alias("places")), "runs")
     texts = stored(keyed.join(runs.select("doc_id", "text_hash").distinct().withColumnsRenamed({"doc_id": "d", "text_hash": "t"}), F.expr("doc_id <=> d and text_hash <=> t"), "left_semi").dropDuplicates(["doc_id", "text_hash"]), "run-texts")
     aligned = runs.withColumnsRenamed({"doc_id": "d", "text_hash": "t"}).join(texts, F.expr("doc_id <=> d and text_hash <=> t")).join(told, "key")
     covered = aligned.withColumn("positions", F.expr(f"array_distinct(flatten(transform(places, p -> sequence(p, p + {WINDOW - 1}))))"))
     placeholders = f"'{NUMBER}', '{NAME}', '{UNIT}'"
     slots = covered.withColumn("slots", F.expr(f"array_distinct(transform(filter(positions, p -> item_template[p] in ({placeholders})), p -> struct(item_template[p] as kind, lower(item_words[p]) as a, lower(words[p + shift]) as b)))"))
     consistent = slots.where("size(array_distinct(transform(slots, s -> struct(s.kind, s.a)))) = size(slots) and size(array_distinct(transform(slots, s -> struct(s.kind, s.b)))) = size(slots)")
-    found = consistent.select("doc_id", "text_hash", "item_id", F.size("places").alias("windows"), F.size("slots").alias("slots"), F.expr("size(filter(slots, s -> s.a <> s.b))").alias("changed"))
-    best = found.groupBy("doc_id", "text_hash", "item_id").agg(F.max(F.struct("windows", (-F.col("changed")).alias("same"), "slots")).alias("m"))
+    found = consistent.select("doc_id", "text_hash", "item_id", "typed", F.size("places").alias("windows"), F.size("slots").alias("slots"), F.expr("size(filter(slots, s -> s.a <> s.b))").alias("changed"))
+    best = found.groupBy("doc_id", "text_hash", "item_id").agg(F.max(F.struct("typed", "windows", (-F.col("changed")).alias("same"), "slots")).alias("m"))
     return best.select("doc_id", "item_id", F.col("m.windows").cast("long").alias("windows"), F.col("m.slots").cast("long").alias("slots"), (-F.col("m.same")).cast("long").alias("changed"), "text_hash")
 
 
@@ -98,7 +121,7 @@ def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
 
 
 def oracle(documents: str = "documents", benchmark: str = "benchmark") -> str:
-    """The same in DuckDB's SQL, windows compared as lists of words."""
+    """The template part in DuckDB's SQL, windows compared as lists of words."""
     quoted = lambda values: ", ".join(f"'{v}'" for v in values)
     kind = rf"case when w in ({quoted(NUMBERS)}) or regexp_matches(w, '^\p{{N}}') then '{NUMBER}' when w <> lower(w) then '{NAME}' when w in ({quoted(UNITS)}) then '{UNIT}' else w end"
     slots = f"'{NUMBER}', '{NAME}', '{UNIT}'"

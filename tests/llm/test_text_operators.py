@@ -256,6 +256,22 @@ def test_items_of_equal_words(spark):
     assert len(want) == 9 and rows(got.drop("text_hash")) == want
 
 
+def test_copies_in_another_case(spark):
+    names = "Ann Lee met Bob Ray then Cy Fox saw Di Kim and Ed Poe near Rome in May"  # no window with three literals throughout
+    numbers = "Add 11 22 33 44 55 66 77 88 99 and 12 13 14"
+    items = spark.createDataFrame([(1, ITEM), (2, names), (3, numbers)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"so here it is: {t}. and more of it") for i, t in enumerate((names, names.lower(), names.upper(), numbers, numbers.replace("44", "45").replace("77", "78"), ITEM.upper(), ITEM.lower()))], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.changed for r in decontaminate.contaminated(docs, items).collect()}
+    assert got == {(0, 2): 0, (1, 2): 0, (2, 2): 0, (3, 3): 0, (5, 1): 0, (6, 1): 0}
+
+
+def test_rows_of_the_sql_stay(spark):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    assert rows(queries.QUERIES["op4_template_decontamination"](spark, SF)) == sorted(con.execute(decontaminate.oracle()).fetchall(), key=repr)
+
+
 def test_decontamination_has_no_python(spark):
     docs, items = (queries.table(spark, SF, t) for t in ("documents", "benchmark"))
     plan = decontaminate.contaminated(docs, items)._jdf.queryExecution().toString()
