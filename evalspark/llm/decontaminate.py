@@ -15,7 +15,9 @@ not.
 Where templates do not reach that, the item's words themselves are compared as well,
 whatever their case and however few literals a window has: a lower-cased copy, or one
 of mostly names and numbers, is held if the windows of either kind make ``RUN`` (all,
-if it has fewer). The SQL has no such rows.
+if it has fewer). And along an alignment that has over half of an item's windows word
+for word, a slot that does not map hides nothing: it is a copy with an edit. The SQL
+has neither of these rows.
 
 Null texts have no words. Items of fewer than ``WINDOW`` words cannot be told from
 ordinary text and match nothing. Items that repeat a text count as the one with the
@@ -100,17 +102,18 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     # left to the planner: the benchmark's windows are broadcast if the written table is under the threshold
     hits = rows.join(probes, "window")
     runs = hits.groupBy("doc_id", "text_hash", "key", "windows", "literals", (F.col("at") - F.col("item_at")).alias("shift")).agg(
-        F.collect_set(F.when(F.col("typed"), F.col("item_at"))).alias("by_template"), F.collect_set("item_at").alias("by_any"))
+        F.collect_set(F.when(F.col("typed"), F.col("item_at"))).alias("by_template"), F.collect_set(F.when(~F.col("typed"), F.col("item_at"))).alias("by_word"), F.collect_set("item_at").alias("by_any"))
+    runs = runs.withColumn("copy", F.expr(f"size(by_word) >= least({RUN}, literals) and 2 * size(by_word) > literals"))
     runs = runs.withColumn("typed", F.expr(f"windows > 0 and size(by_template) >= least({RUN}, windows)")).where(f"typed or size(by_any) >= least({RUN}, literals)")
-    runs = stored(runs.select("doc_id", "text_hash", "key", "shift", "typed", F.when(F.col("typed"), F.col("by_template")).otherwise(F.col("by_any")).alias("places")), "runs")
+    runs = stored(runs.select("doc_id", "text_hash", "key", "shift", "typed", "copy", F.when(F.col("typed"), F.col("by_template")).otherwise(F.col("by_any")).alias("places")), "runs")
     texts = stored(keyed.join(runs.select("doc_id", "text_hash").distinct().withColumnsRenamed({"doc_id": "d", "text_hash": "t"}), F.expr("doc_id <=> d and text_hash <=> t"), "left_semi").dropDuplicates(["doc_id", "text_hash"]), "run-texts")
     aligned = runs.withColumnsRenamed({"doc_id": "d", "text_hash": "t"}).join(texts, F.expr("doc_id <=> d and text_hash <=> t")).join(told, "key")
     covered = aligned.withColumn("positions", F.expr(f"array_distinct(flatten(transform(places, p -> sequence(p, p + {WINDOW - 1}))))"))
     placeholders = f"'{NUMBER}', '{NAME}', '{UNIT}'"
     slots = covered.withColumn("slots", F.expr(f"array_distinct(transform(filter(positions, p -> item_template[p] in ({placeholders})), p -> struct(item_template[p] as kind, lower(item_words[p]) as a, lower(words[p + shift]) as b)))"))
-    consistent = slots.where("size(array_distinct(transform(slots, s -> struct(s.kind, s.a)))) = size(slots) and size(array_distinct(transform(slots, s -> struct(s.kind, s.b)))) = size(slots)")
-    found = consistent.select("doc_id", "text_hash", "item_id", "typed", F.size("places").alias("windows"), F.size("slots").alias("slots"), F.expr("size(filter(slots, s -> s.a <> s.b))").alias("changed"))
-    best = found.groupBy("doc_id", "text_hash", "item_id").agg(F.max(F.struct("typed", "windows", (-F.col("changed")).alias("same"), "slots")).alias("m"))
+    consistent = slots.withColumn("maps", F.expr("size(array_distinct(transform(slots, s -> struct(s.kind, s.a)))) = size(slots) and size(array_distinct(transform(slots, s -> struct(s.kind, s.b)))) = size(slots)")).where("maps or copy")
+    found = consistent.select("doc_id", "text_hash", "item_id", F.expr("typed and maps").alias("first"), F.size("places").alias("windows"), F.size("slots").alias("slots"), F.expr("size(filter(slots, s -> s.a <> s.b))").alias("changed"))
+    best = found.groupBy("doc_id", "text_hash", "item_id").agg(F.max(F.struct("first", "windows", (-F.col("changed")).alias("same"), "slots")).alias("m"))
     return best.select("doc_id", "item_id", F.col("m.windows").cast("long").alias("windows"), F.col("m.slots").cast("long").alias("slots"), (-F.col("m.same")).cast("long").alias("changed"), "text_hash")
 
 

@@ -265,6 +265,14 @@ def test_copies_in_another_case(spark):
     assert got == {(0, 2): 0, (1, 2): 0, (2, 2): 0, (3, 3): 0, (5, 1): 0, (6, 1): 0}
 
 
+def test_an_edit_does_not_hide_a_copy(spark):
+    item = ("The farmer of the valley planted rows of beans along the river. The rain came late that spring and the beans stayed small. "
+            "The farmer of the hill waited for the sun before planting and lost nothing at all. The question is which of them sold more beans at the market")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, item), (2, item.replace("The rain", "Rain that")), (3, item.replace("The rain", "Much rain")), (4, item.replace("The ", "A ", 1).replace("The rain", "My rain").replace("The farmer of the hill", "His farmer of the hill"))], "doc_id long, text string")
+    assert sorted(r.doc_id for r in decontaminate.contaminated(docs, items).collect()) == [1, 2, 3, 4]
+
+
 def test_rows_of_the_sql_stay(spark):
     con = duckdb.connect()
     for t in ("documents", "benchmark"):
