@@ -16,11 +16,11 @@ Where templates do not reach that, the item's words themselves are compared as w
 whatever their case and however few literals a window has: a lower-cased copy, or one
 of mostly names and numbers, is held if the windows of either kind make ``RUN`` (all,
 if it has fewer). And along an alignment that has over half of an item's windows word
-for word, a slot that does not map hides nothing: it is a copy with an edit. The SQL
-has neither of these rows.
+for word, a slot that does not map hides nothing: it is a copy with an edit. An item of
+fewer than ``WINDOW`` words is held where all its words stand in a row, in any case;
+one of a few common words is in ordinary texts as well. The SQL has no such rows.
 
-Null texts have no words. Items of fewer than ``WINDOW`` words cannot be told from
-ordinary text and match nothing. Items that repeat a text count as the one with the
+Null texts have no words. Items that repeat a text count as the one with the
 smallest id (an item without an id counts only where the text has no id at all, and
 is given as null). Rows that repeat doc_id and text give one row.
 """
@@ -62,20 +62,20 @@ def folded(column: str) -> Column:
     return F.transform(F.col(column), F.lower)
 
 
-def windows(column: str, seed: str = "") -> str:
-    """All windows of a column of words in order: (at, hash)."""
-    made = f"transform(sequence(0, size({column}) - {WINDOW}), i -> struct(i as at, xxhash64({seed}slice({column}, i + 1, {WINDOW})) as window))"
-    return f"case when size({column}) >= {WINDOW} then {made} else cast(array() as array<struct<at: int, window: bigint>>) end"
+def windows(column: str, n: int = WINDOW, seed: str = "") -> str:
+    """All windows of ``n`` of a column of words in order: (at, hash)."""
+    made = f"transform(sequence(0, size({column}) - {n}), i -> struct(i as at, xxhash64({seed}slice({column}, i + 1, {n})) as window))"
+    return f"case when size({column}) >= {n} then {made} else cast(array() as array<struct<at: int, window: bigint>>) end"
 
 
-def literal_windows(column: str) -> str:
+def literal_windows(column: str, n: int = WINDOW) -> str:
     """The same of lower-cased words; no hash is that of a template's window."""
-    return windows(column, f"{WINDOW}, ")
+    return windows(column, n, f"{n}, ")
 
 
-def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, list[int]]:
     """(distinct items with words and template, their template windows with enough
-    literals and all their literal windows)."""
+    literals and all their literal windows, the lengths of items under ``WINDOW`` words)."""
     one = items.groupBy(F.col(text_col).alias("text")).agg(F.min(F.col(id_col).cast("long")).alias("item_id"))
     told = one.select("item_id", words("text").alias("item_words")).select("item_id", "item_words", template("item_words").alias("item_template")).withColumn("key", F.xxhash64("item_words"))
     told = stored(told, "items")
@@ -84,21 +84,24 @@ def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "tex
     each = told.dropDuplicates(["key"]).withColumn("item_folded", folded("item_words"))
     typed = each.select("key", "item_template", F.inline(F.expr(windows("item_template"))).alias("item_at", "window"))
     typed = typed.where(F.expr(f"size(filter(slice(item_template, item_at + 1, {WINDOW}), w -> w not in ({placeholders}))) >= {LITERALS}")).drop("item_template")
-    literal = each.select("key", F.inline(F.expr(literal_windows("item_folded"))).alias("item_at", "window"))
+    lengths = sorted(r["n"] for r in told.select(F.size("item_words").alias("n")).where(f"n between 1 and {WINDOW - 1}").distinct().collect())  # at most WINDOW - 1
+    whole = "".join(f" when {n} then {literal_windows('item_folded', n)}" for n in lengths)
+    literal = each.select("key", F.inline(F.expr(f"case size(item_folded){whole} else {literal_windows('item_folded')} end" if lengths else literal_windows("item_folded"))).alias("item_at", "window"))
     # windows of too few literals are not counted among an item's template windows
     probes = typed.withColumn("typed", F.lit(True)).unionByName(literal.withColumn("typed", F.lit(False)))
     counts = probes.groupBy("key").agg(F.count_if("typed").alias("windows"), F.count_if(~F.col("typed")).alias("literals"))
-    return told, stored(probes.join(counts, "key"), "item-windows")
+    return told, stored(probes.join(counts, "key"), "item-windows"), lengths
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, item_id, windows (matched), slots (distinct values compared), changed
     (of them, how many differ), text_hash: one row per document and item it holds."""
-    told, probes = item_windows(items)
+    told, probes, lengths = item_windows(items)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     keyed = base.select("doc_id", F.xxhash64("text").alias("text_hash"), words("text").alias("words"))
     forms = keyed.select("doc_id", "text_hash", template("words").alias("template"), folded("words").alias("folded"))
-    rows = forms.select("doc_id", "text_hash", F.inline(F.expr(f"concat({windows('template')}, {literal_windows('folded')})")).alias("at", "window"))
+    kinds = ", ".join([windows("template"), *(literal_windows("folded", n) for n in (*lengths, WINDOW))])
+    rows = forms.select("doc_id", "text_hash", F.inline(F.expr(f"concat({kinds})")).alias("at", "window"))
     # left to the planner: the benchmark's windows are broadcast if the written table is under the threshold
     hits = rows.join(probes, "window")
     runs = hits.groupBy("doc_id", "text_hash", "key", "windows", "literals", (F.col("at") - F.col("item_at")).alias("shift")).agg(
@@ -108,7 +111,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     runs = stored(runs.select("doc_id", "text_hash", "key", "shift", "typed", "copy", F.when(F.col("typed"), F.col("by_template")).otherwise(F.col("by_any")).alias("places")), "runs")
     texts = stored(keyed.join(runs.select("doc_id", "text_hash").distinct().withColumnsRenamed({"doc_id": "d", "text_hash": "t"}), F.expr("doc_id <=> d and text_hash <=> t"), "left_semi").dropDuplicates(["doc_id", "text_hash"]), "run-texts")
     aligned = runs.withColumnsRenamed({"doc_id": "d", "text_hash": "t"}).join(texts, F.expr("doc_id <=> d and text_hash <=> t")).join(told, "key")
-    covered = aligned.withColumn("positions", F.expr(f"array_distinct(flatten(transform(places, p -> sequence(p, p + {WINDOW - 1}))))"))
+    covered = aligned.withColumn("positions", F.expr(f"array_distinct(flatten(transform(places, p -> sequence(p, p + least({WINDOW}, size(item_words)) - 1))))"))
     placeholders = f"'{NUMBER}', '{NAME}', '{UNIT}'"
     slots = covered.withColumn("slots", F.expr(f"array_distinct(transform(filter(positions, p -> item_template[p] in ({placeholders})), p -> struct(item_template[p] as kind, lower(item_words[p]) as a, lower(words[p + shift]) as b)))"))
     consistent = slots.withColumn("maps", F.expr("size(array_distinct(transform(slots, s -> struct(s.kind, s.a)))) = size(slots) and size(array_distinct(transform(slots, s -> struct(s.kind, s.b)))) = size(slots)")).where("maps or copy")

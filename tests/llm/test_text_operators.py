@@ -273,6 +273,14 @@ def test_an_edit_does_not_hide_a_copy(spark):
     assert sorted(r.doc_id for r in decontaminate.contaminated(docs, items).collect()) == [1, 2, 3, 4]
 
 
+def test_short_items(spark):
+    items = spark.createDataFrame([(1, "What is the capital of France?"), (2, "Add 7 to 9."), (3, "Who was Ed"), (4, "?!"), (5, "What is the capital of France"), (6, "1 2 3 4 5 6 7 8 9")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "So: what is the capital of france, then"), (2, "What is the capital of Spain?"), (3, "add 7 to 9"), (4, "add 7 to 8, who was"), (5, "who was ed"), (6, "0 1 2 3 4 5 6 7 8 9 10"), (7, "1 2 3 4 5 6 7 8"), (8, ""), (9, None)], "doc_id long, text string")
+    found = decontaminate.contaminated(docs, items).collect()
+    assert sorted((r.doc_id, r.item_id) for r in found) == [(1, 1), (1, 5), (3, 2), (5, 3), (6, 6)] and not any(r.changed for r in found)
+    assert sorted(r.doc_id for r in decontaminate.clean(docs, items).collect()) == [2, 4, 7, 8, 9]
+
+
 def test_rows_of_the_sql_stay(spark):
     con = duckdb.connect()
     for t in ("documents", "benchmark"):
