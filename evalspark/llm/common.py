@@ -84,7 +84,8 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def hash_sample(rows: DataFrame, by: str, hashed: str, counts: dict, n: int) -> DataFrame:
     """At most ``n`` rows of each value of ``by``: those with the smallest values of the
-    long column ``hashed`` (a hash). ``counts`` are the rows of each value; from them a
+    long column ``hashed`` (a hash, no two rows of a value alike but by chance, for the
+    bound counts on that). ``counts`` are the rows of each value; from them a
     bound on the hash follows, so that tasks pass on about n rows a value in all, not n
     each. Where a value has n rows or fewer, all of them."""
     bounds = {k: int((1 << 64) * min(1.0, (n + 6 * n ** 0.5) / max(c, 1))) - (1 << 63) for k, c in counts.items()}

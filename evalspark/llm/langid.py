@@ -7,7 +7,7 @@ its words (maximal runs of letters, lower-cased, each with the word-start mark).
 
 The piece probabilities come from expectation maximisation (expected piece counts
 over all segmentations, forward-backward) on the word counts of a sample of labelled
-rows: ``FIT_DOCS`` rows a language, those with the smallest hash of text. Everything
+rows: ``FIT_DOCS`` distinct texts a language, those with the smallest hash. Everything
 else covers all rows.
 """
 
@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from .common import hash_sample, prepared
 
-FIT_DOCS = 400       # labelled rows a language that the probabilities are fitted on, at most
+FIT_DOCS = 400       # distinct labelled texts a language that the probabilities are fitted on, at most
 FIT_CHARS = 20_000   # of a fitted row, so many characters at most (fitting only)
 ROUNDS = 3           # of expectation maximisation
 MAX_PIECE = 8        # longest piece used, in characters
@@ -208,11 +208,11 @@ class Model:
 
 
 def fit(labelled: DataFrame, pieces: list[str], text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Fit on at most ``FIT_DOCS`` rows of each language of ``labelled`` (rows with a
+    """Fit on at most ``FIT_DOCS`` distinct texts of each language of ``labelled`` (rows with a
     null language or text are left out)."""
-    rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a language
-    picked = hash_sample(rows.select("lang", F.xxhash64("text").alias("h"), F.substring("text", 1, FIT_CHARS).alias("text")), "lang", "h", sizes, FIT_DOCS)
+    rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
+    sizes = {r["lang"]: r["n"] for r in rows.select("lang", "h").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a language
+    picked = hash_sample(rows.select("lang", "h", F.substring("text", 1, FIT_CHARS).alias("text")).dropDuplicates(["lang", "h"]), "lang", "h", sizes, FIT_DOCS)
     counts: dict[str, Counter] = {}
     for lang, text in picked.select("lang", "text").toLocalIterator():
         counts.setdefault(lang, Counter()).update(words_of(text))

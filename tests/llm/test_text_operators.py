@@ -91,6 +91,17 @@ def test_language_id_edges(spark):
 
 # --- toxicity -------------------------------------------------------------------
 
+def test_copies_do_not_crowd_out_a_language(spark):
+    """A language of 20,000 copies of a text and 100 others: all 101 texts are learned from."""
+    copies = spark.range(20_000).selectExpr("'the same old line' as text", "'en' as lang")
+    others = spark.range(100).selectExpr("concat('word', translate(cast(id as string), '0123456789', 'abcdefghij')) as text", "'en' as lang")
+    pieces = sorted({langid.START} | set("abcdefghijlmnorstw") | {"word", "same"})
+    model = langid.fit(copies.unionByName(others), pieces)
+    assert model.languages == ["en"]
+    table = dict(zip(model.pieces, model.probabilities[:, 0]))
+    assert 50 < table["word"] / table["same"] < 200  # 100 texts with the one, 1 with the other
+
+
 def test_label_model_recovers_rates_and_finds_correlated_voters():
     rng = np.random.default_rng(0)
     y = rng.random(40_000) < 0.2
