@@ -40,9 +40,13 @@ IMPLIED = {
     "body": ({"head"}, set()),
 }
 IMPLIED["tbody"] = IMPLIED["tfoot"] = IMPLIED["caption"] = IMPLIED["colgroup"] = IMPLIED["thead"]
+PARTS = frozenset("tr thead tbody tfoot colgroup".split())  # of a table, with other parts in them
+ROW = frozenset("td th caption col".split())
 SCOPE = frozenset("table td th caption button object template".split())  # end tags inside don't close what is outside
-_TOKEN = re.compile(r"<!--(?:.*?-->|>|->|.*\Z)|<[!?][^>]*>?|</(?![a-zA-Z])[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.DOTALL)
-_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+# of a tag: a quote opens a value only right after =, elsewhere it is a character of a name or value
+_VALUE = r"(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+|(?=>))"
+_TOKEN = re.compile(rf"<!--(?:.*?-->|>|->|.*\Z)|<[!?][^>]*>?|</(?![a-zA-Z])[^>]*>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+{_VALUE}|(?!\s*+=)))*+)>", re.DOTALL)
+_ATTRIBUTE = re.compile(rf"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+({_VALUE}|\Z))?")
 _INVISIBLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.IGNORECASE)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
@@ -59,7 +63,7 @@ class Node:
 def _attributes(source: str) -> dict[str, str]:
     found: dict[str, str] = {}
     for name, value in _ATTRIBUTE.findall(source):
-        found.setdefault(name.lower(), unescape(value.strip("\"'")) if value else "")
+        found.setdefault(name.lower(), unescape(value[1:-1] if value[0] in "\"'" else value) if value else "")
     return found
 
 
@@ -112,6 +116,14 @@ def parse(page: str) -> Node:
             close(i)
         if tag in IMPLIED and (i := find(*IMPLIED[tag])):
             close(i)
+        if tag in ROW or tag in PARTS or tag == "form":
+            # a part of a table ends what is open in it outside of cells; a form there holds nothing
+            i = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag in SCOPE or stack[i].tag in PARTS), 0)
+            if stack[i].tag == "table" or stack[i].tag in PARTS:
+                if tag != "form":
+                    close(i + 1)
+                elif i == len(stack) - 1:
+                    continue
         if tag[0] == "h" and tag in ("h1", "h2", "h3", "h4", "h5", "h6") and stack[-1].tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
             close(len(stack) - 1)
         source = m[3]
@@ -299,14 +311,26 @@ def _rows(node: Node) -> Iterator[Node]:
         yield loose[0]
 
 
+def _outside(node: Node) -> Iterator[Node | str]:
+    """What stands in a table outside of its cells, in order, captions included."""
+    for child in node.children:
+        if isinstance(child, str):
+            yield child
+        elif visible(child):
+            if child.tag in PARTS:
+                yield from _outside(child)
+            elif child.tag not in ("td", "th", "col"):
+                yield child
+
+
 def table(node: Node) -> list[str]:
     """Caption and rows of a table, with aligned columns two spaces apart."""
     lines: list[str] = []
-    for child in node.children:  # captions, and what browsers move in front of a table
+    for child in _outside(node):  # captions, and what browsers move in front of a table
         own = Lines()
         if isinstance(child, str):
             own.add(child)
-        elif child.tag not in ("tr", "thead", "tbody", "tfoot", "td", "th", "colgroup", "col") and visible(child):
+        else:
             element(child, own, False)
         lines += own.done()
     grid: list[dict[int, tuple[list[str], int]]] = []

@@ -167,6 +167,21 @@ def test_html_deep_and_broken_pages():
     assert html_text.extract("<td colspan=999 rowspan=999>" * 50) == ""
 
 
+@pytest.mark.parametrize("page,text", [
+    ('<p>a <a href="x"">b</a> c</p><p title=don\'t>d</p><p>e "f" it\'s</p>', 'a b c\n\nd\n\ne "f" it\'s'),
+    ("<p title = 'x > y' hidden>no</p><p title=\"a>b\">yes</p><p class= >z</p>", "yes\n\nz"),
+    ("<img alt=it's><b>x</b> 'y'<i =\">z</i>", "x 'y'z"),
+    ("<p>a</p><a href=\"x>b</a>", "a"),
+    ("<table><tr><form><td>a</td><td>b</td></form></tr></table>", "a  b"),
+    ("<table><tbody><form><tr><td>a</td></tr></form></tbody></table>c", "a\n\nc"),
+    ("<table><tr>stray<b>bold</b><td>a</td></tr><tbody>more<tr><td>b</td></tr></tbody></table>", "stray\nbold\nmore\na\nb"),
+    ("<table><tr><div>x<td>a</td></div></tr><tr hidden>no<td>no</td></tr></table>", "x\na"),
+    ("<table><tr><td><form>in a cell</form></td></tr></table>", "in a cell"),
+])
+def test_html_loses_no_text(page, text):
+    assert html_text.extract(page) == text
+
+
 def test_html_query(spark):
     pages = spark.createDataFrame([(1, "<p>a", "t"), (1, "<p>a", "t"), (None, None, None)], "page_id long, html string, text string")
     got = html_text.with_text(pages)
