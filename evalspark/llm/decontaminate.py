@@ -63,9 +63,9 @@ def folded(column: str) -> Column:
 
 
 def windows(column: str, n: int = WINDOW, seed: str = "") -> str:
-    """All windows of ``n`` of a column of words in order: (at, hash)."""
-    made = f"transform(sequence(0, size({column}) - {n}), i -> struct(i as at, xxhash64({seed}slice({column}, i + 1, {n})) as window))"
-    return f"case when size({column}) >= {n} then {made} else cast(array() as array<struct<at: int, window: bigint>>) end"
+    """Hashes of all windows of ``n`` of a column of words, in order."""
+    made = f"transform(sequence(1, size({column}) - {n - 1}), i -> xxhash64({seed}slice({column}, i, {n})))"
+    return f"case when size({column}) >= {n} then {made} else cast(array() as array<bigint>) end"
 
 
 def literal_windows(column: str, n: int = WINDOW) -> str:
@@ -82,13 +82,13 @@ def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "tex
     placeholders = f"'{NUMBER}', '{NAME}', '{UNIT}'"
     # items of equal words (other punctuation or white space) share a key: their windows count once
     each = told.dropDuplicates(["key"]).withColumn("item_folded", folded("item_words"))
-    typed = each.select("key", "item_template", F.inline(F.expr(windows("item_template"))).alias("item_at", "window"))
+    typed = each.select("key", "item_template", F.posexplode(F.expr(windows("item_template"))).alias("item_at", "window"))
     typed = typed.where(F.expr(f"size(filter(slice(item_template, item_at + 1, {WINDOW}), w -> w not in ({placeholders}))) >= {LITERALS}")).drop("item_template")
     lengths = sorted(r["n"] for r in told.select(F.size("item_words").alias("n")).where(f"n between 1 and {WINDOW - 1}").distinct().collect())  # at most WINDOW - 1
     whole = "".join(f" when {n} then {literal_windows('item_folded', n)}" for n in lengths)
-    literal = each.select("key", F.inline(F.expr(f"case size(item_folded){whole} else {literal_windows('item_folded')} end" if lengths else literal_windows("item_folded"))).alias("item_at", "window"))
+    literal = each.select("key", F.least(F.size("item_folded"), F.lit(WINDOW)).alias("length"), F.posexplode(F.expr(f"case size(item_folded){whole} else {literal_windows('item_folded')} end" if lengths else literal_windows("item_folded"))).alias("item_at", "window"))
     # windows of too few literals are not counted among an item's template windows
-    probes = typed.withColumn("typed", F.lit(True)).unionByName(literal.withColumn("typed", F.lit(False)))
+    probes = typed.withColumn("length", F.lit(0)).unionByName(literal).withColumn("typed", F.col("length") == 0)
     counts = probes.groupBy("key").agg(F.count_if("typed").alias("windows"), F.count_if(~F.col("typed")).alias("literals"))
     return told, stored(probes.join(counts, "key"), "item-windows"), lengths
 
@@ -99,15 +99,20 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     told, probes, lengths = item_windows(items)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     keyed = base.select("doc_id", F.xxhash64("text").alias("text_hash"), words("text").alias("words"))
-    forms = keyed.select("doc_id", "text_hash", template("words").alias("template"), folded("words").alias("folded"))
-    kinds = ", ".join([windows("template"), *(literal_windows("folded", n) for n in (*lengths, WINDOW))])
-    rows = forms.select("doc_id", "text_hash", F.inline(F.expr(f"concat({kinds})")).alias("at", "window"))
+    forms = keyed.select("doc_id", "text_hash", F.size("words").alias("n_words"), template("words").alias("template"), folded("words").alias("folded"))
+    # one array of hashes a document: of its template, then of its words by the lengths; a hit tells which, so its place in the text follows
+    kinds = [windows("template"), *(literal_windows("folded", n) for n in (WINDOW, *lengths))]
+    rows = forms.select("doc_id", "text_hash", "n_words", F.posexplode(F.expr(f"concat({', '.join(kinds)})")).alias("place", "window"))
+    before, skipped = "case length when 0 then 0", ["0"]
+    for kind, n in ((WINDOW, WINDOW), *zip((WINDOW, *lengths), lengths)):
+        skipped.append(f"greatest(n_words - {kind - 1}, 0)")
+        before += f" when {n} then {' + '.join(skipped)}"
     # left to the planner: the benchmark's windows are broadcast if the written table is under the threshold
-    hits = rows.join(probes, "window")
-    runs = hits.groupBy("doc_id", "text_hash", "key", "windows", "literals", (F.col("at") - F.col("item_at")).alias("shift")).agg(
-        F.collect_set(F.when(F.col("typed"), F.col("item_at"))).alias("by_template"), F.collect_set(F.when(~F.col("typed"), F.col("item_at"))).alias("by_word"), F.collect_set("item_at").alias("by_any"))
-    runs = runs.withColumn("copy", F.expr(f"size(by_word) >= least({RUN}, literals) and 2 * size(by_word) > literals"))
+    hits = rows.join(probes, "window").withColumn("shift", F.expr(f"place - ({before} end) - item_at"))
+    runs = hits.groupBy("doc_id", "text_hash", "key", "windows", "literals", "shift").agg(F.collect_set(F.expr("if(typed, item_at, -1 - item_at)")).alias("both"))
+    runs = runs.selectExpr("*", "filter(both, p -> p >= 0) as by_template", "transform(filter(both, p -> p < 0), p -> -1 - p) as by_word").withColumn("by_any", F.array_union("by_template", "by_word"))
     runs = runs.withColumn("typed", F.expr(f"windows > 0 and size(by_template) >= least({RUN}, windows)")).where(f"typed or size(by_any) >= least({RUN}, literals)")
+    runs = runs.withColumn("copy", F.expr(f"size(by_word) >= least({RUN}, literals) and 2 * size(by_word) > literals"))
     runs = stored(runs.select("doc_id", "text_hash", "key", "shift", "typed", "copy", F.when(F.col("typed"), F.col("by_template")).otherwise(F.col("by_any")).alias("places")), "runs")
     texts = stored(keyed.join(runs.select("doc_id", "text_hash").distinct().withColumnsRenamed({"doc_id": "d", "text_hash": "t"}), F.expr("doc_id <=> d and text_hash <=> t"), "left_semi").dropDuplicates(["doc_id", "text_hash"]), "run-texts")
     aligned = runs.withColumnsRenamed({"doc_id": "d", "text_hash": "t"}).join(texts, F.expr("doc_id <=> d and text_hash <=> t")).join(told, "key")
