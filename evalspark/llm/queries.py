@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_text, langid, repeats, simhash, token_files, topk, toxicity, url_filters
+from . import bpe, cuckoo, decontaminate, html_text, langid, repeats, simhash, token_files, topk, toxicity, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -97,7 +97,12 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages"))
 
 
-ORACLE: dict[str, str] = {"op4_template_decontamination": decontaminate.oracle(), "op6_norm_bucketed_topk": topk.oracle(), "op10_url_filter": url_filters.oracle()}
+@query("op12_cuckoo_exact_dedup")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cuckoo.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+ORACLE: dict[str, str] = {"op4_template_decontamination": decontaminate.oracle(), "op6_norm_bucketed_topk": topk.oracle(), "op10_url_filter": url_filters.oracle(), "op12_cuckoo_exact_dedup": cuckoo.oracle()}
 
 
 def load_all() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
