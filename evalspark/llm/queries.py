@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, cuckoo, decontaminate, html_text, langid, repeats, simhash, token_files, topk, toxicity, url_filters
+from . import bpe, conversations, cuckoo, decontaminate, html_text, langid, repeats, simhash, token_files, topk, toxicity, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -97,6 +97,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages"))
 
 
+@query("op11_conversation_repair")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_report(table(spark, sf_dir, "conversations"))
+
+
 @query("op12_cuckoo_exact_dedup")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cuckoo.exact_duplicates(table(spark, sf_dir, "documents"))

@@ -1,14 +1,18 @@
 """Exact dedup, conversation repair and cross-tokenizer alignment against brute force."""
 
 import hashlib
+import heapq
+import random
 import re
+import zlib
 from collections import defaultdict
 
 import duckdb
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from evalspark.llm import cuckoo, queries
+from evalspark.llm import conversations, cuckoo, queries
 
 SF, TINY = "/root/testdata/sf0.01", "/root/testdata/sf0.001"
 
@@ -110,3 +114,139 @@ def test_exact_dedup_moves_a_row_a_batch_of_a_hot_group(spark):
     merged = members.mapInArrow(cuckoo._merged, "signature binary, keep_id long, copies long")
     assert merged.groupBy("signature").count().agg({"count": "max"}).first()[0] <= members.rdd.getNumPartitions() * 4
     assert cuckoo.decisions(index, spark).where("kept").count() == 1 + 20_000 - 6667
+
+
+# --- conversation repair ----------------------------------------------------------
+
+PATTERN = re.compile(r"(s?(ua)+)?").fullmatch
+BLANKS = " \t\n\x0b\x0c\r"
+
+
+def _may_start(initials):
+    """A beginning of the pattern?"""
+    body = initials[1:] if initials[:1] == "s" else initials
+    return all(c == "ua"[i % 2] for i, c in enumerate(body))
+
+
+def _cheapest(rows):
+    """(cost, audit, repaired rows) of (role, text, fault) rows: uniform-cost search over
+    (rows read, initials written) with (cost, audit) as the key."""
+    heap, seen = [(0, "", 0, "", ())], set()
+    while heap:
+        cost, audit, i, initials, out = heapq.heappop(heap)
+        if i == len(rows) and PATTERN(initials):
+            return cost, audit, out
+        if (i, initials) in seen:
+            continue
+        seen.add((i, initials))
+        offers = [(cost + 2, audit + "I", i, r[0], (r, "")) for r in ("user", "assistant")]
+        if i < len(rows):
+            role, text, fault = rows[i]
+            offers.append((cost + 3, audit + "D", i + 1, "", None))
+            if fault not in ("blank", "duplicate"):
+                more = fault == "truncated"
+                offers.append((cost + more, audit + "K", i + 1, role[:1], (role, text)))
+                offers += [(cost + 2 + more, audit + "R", i + 1, r[0], (r, text)) for r in ("user", "assistant")]
+        for c, a, j, new, row in offers:
+            if _may_start(initials + new):
+                heapq.heappush(heap, (c, a, j, initials + new, out if row is None else (*out, row)))
+
+
+def _faults(rows):
+    """(role, text) rows with the first fault of each."""
+    seen, out = set(), []
+    for role, text in rows:
+        bare = text.rstrip(BLANKS)
+        fault = "blank" if not bare else "duplicate" if (role, text) in seen else "truncated" if bare[-1] not in ".!?" else ""
+        seen.add((role, text))
+        out.append((role, text, fault))
+    return out
+
+
+def _reported(rows):
+    """The report's columns for (turn, role, text) rows in order."""
+    faults = _faults([(r, t) for _, r, t in rows])
+    cost, audit, out = _cheapest(faults)
+    known = [t for t, _, _ in rows if t is not None]
+    gaps = max(known) - min(known) + 1 - len(set(known)) if known else 0
+    pairs = [a[1][:1] + b[1][:1] for a, b in zip(rows, rows[1:])]
+    counts = [sum(f == k for _, _, f in faults) for k in ("blank", "duplicate", "truncated")]
+    digest = hashlib.sha256("\n".join(f"{r}:{t}" for r, t in out).encode()).hexdigest()
+    return gaps, *counts, sum(p not in ("su", "ua", "au") for p in pairs), cost, audit, digest
+
+
+def _expected_repairs(rows, damage):
+    convs = defaultdict(list)
+    for conv, turn, role, text in rows:
+        own = convs[conv]
+        role, text = " " if role is None else role, " " if text is None else text
+        kind = zlib.crc32(f"{' ' if conv is None else conv}:{' ' if turn is None else turn}".encode()) % 20 if damage else 9
+        text = "" if kind == 1 else re.sub("[.!?]", "", text) if kind == 2 else text
+        own += [(turn, "user" if kind == 4 else role, text)] * (0 if kind == 0 else 2 if kind == 3 else 1)
+    order = lambda r: (r[0] is not None, r[0] or 0, r[1], hashlib.sha256(f"{len(r[1])}:{r[1]}{r[2]}".encode()).digest())
+    return {conv: _reported(sorted(own, key=order)) for conv, own in convs.items()}
+
+
+REPORT = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
+def test_repair_query(spark):
+    rows = duckdb.sql(f"select conv_id, turn, role, text from '{SF}/conversations.parquet'").fetchall()
+    got = queries.QUERIES["op11_conversation_repair"](spark, SF).collect()
+    assert {r["conv_id"]: tuple(r[c] for c in REPORT) for r in got} == _expected_repairs(rows, True)
+    assert len(got) == len({r[0] for r in rows})
+
+
+def _random_conversations(rng, n):
+    roles = ["system", "user", "assistant", "user", "assistant", "tool", "", None, "Sys", "student"]
+    texts = ["Yes.", "No", "", " \t", None, "a\n", "Really?  ", "x" * 3000 + "!", "\x0b.", "é"]
+    return [(rng.choice([None, 1, 2, 3, 4, 5, 6]), rng.choice([None, *range(6)]), rng.choice(roles), rng.choice(texts)) for _ in range(n)]
+
+
+@pytest.mark.parametrize("block", [1, 2, 256])
+def test_repair_of_odd_rows(spark, block, monkeypatch):
+    monkeypatch.setattr(conversations, "BLOCK", block)
+    rows = _random_conversations(random.Random(block), 60)
+    rows += rows[:7] + [(9, None, "user", "Only."), (10, 3, None, None)]
+    df = spark.createDataFrame([(*r, "clash", 1) for r in rows], "conv_id long, turn long, role string, text string, kind string, code int")
+    got = conversations.repair_report(df).collect()
+    assert {r["conv_id"]: tuple(r[c] for c in REPORT) for r in got} == _expected_repairs(rows, True)
+    assert conversations.repair_report(df.limit(0)).count() == 0
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 19), max_size=7), st.integers(1, 3))
+def test_repair_weights_equal_search(codes, block):
+    """Blocks of any length, put together, give the cheapest audit."""
+    names = {0: "x", 1: "s", 2: "u", 3: "a", 4: ""}
+    faults = {0: "", 1: "truncated", 2: "blank", 3: "duplicate"}
+    joined = conversations.Joined()
+    for k in range(0, len(codes), block):
+        joined.append(conversations.block_paths(bytes(codes[k:k + block])))
+    want = _cheapest([(names[c % 5], "", faults[c // 5]) for c in codes])
+    assert joined.end() == want[:2]
+
+
+def test_repair_of_one_long_conversation(spark):
+    """All rows of one conversation, in many ranges and blocks, texts that repeat."""
+    rng = random.Random(5)
+    rows = [(1, t, rng.choice(["user", "assistant", "assistant"]), rng.choice(["Yes.", f"Well {t}.", f"cut {t}"])) for t in range(3000) for _ in range(1 + (t % 50 == 0))]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    done = conversations.repair(df)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    got = done.report.first()
+    ordered = sorted(rows, key=lambda r: (r[1], r[2], hashlib.sha256(f"{len(r[2])}:{r[2]}{r[3]}".encode()).digest()))
+    faults = _faults([(r, t) for _, _, r, t in ordered])
+    field = conversations.Field(3 * len(rows))  # one integer for the whole conversation
+    best = {0: 0}
+    for role, _, fault in faults:
+        best = field.row(field.inserted(best), {"u": 2, "a": 3}[role[0]] + 5 * ["", "truncated", "blank", "duplicate"].index(fault))
+    wide = conversations.Joined()
+    wide.field, wide.best = field, best
+    assert (got["cost"], got["audit"]) == wide.end()
+    out = done.rows.orderBy("seq", "place").collect()
+    assert PATTERN("".join(r["role"][0] for r in out))
+    assert got["gaps"] == 0 and got["duplicate"] == sum(f == "duplicate" for _, _, f in faults)
+    assert done.edits.selectExpr("count(distinct shiftright(seq, 33))").first()[0] > 1
