@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, conversations, cuckoo, decontaminate, html_text, langid, repeats, simhash, token_files, topk, toxicity, url_filters
+from . import alignment, bpe, conversations, cuckoo, decontaminate, html_text, langid, repeats, simhash, token_files, topk, toxicity, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -107,6 +107,14 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cuckoo.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query("op13_tokenizer_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    return alignment.align(docs, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"), public_tokenizers.PATTERN)
+
+
 ORACLE: dict[str, str] = {"op4_template_decontamination": decontaminate.oracle(), "op6_norm_bucketed_topk": topk.oracle(), "op10_url_filter": url_filters.oracle(), "op12_cuckoo_exact_dedup": cuckoo.oracle()}
 
 

@@ -8,11 +8,15 @@ import zlib
 from collections import defaultdict
 
 import duckdb
+import numpy as np
+import public_tokenizers as P
 import pytest
+import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
-from evalspark.llm import conversations, cuckoo, queries
+from evalspark.llm import alignment, conversations, cuckoo, queries
 
 SF, TINY = "/root/testdata/sf0.01", "/root/testdata/sf0.001"
 
@@ -250,3 +254,113 @@ def test_repair_of_one_long_conversation(spark):
     assert PATTERN("".join(r["role"][0] for r in out))
     assert got["gaps"] == 0 and got["duplicate"] == sum(f == "duplicate" for _, _, f in faults)
     assert done.edits.selectExpr("count(distinct shiftright(seq, 33))").first()[0] > 1
+
+
+# --- cross-tokenizer alignment ------------------------------------------------------
+
+ODD = ["", None, " ", "a", "  two  spaces ", "a\n b\n\n  c", "It's  don't\tx\x1cy\x85z\xa0q É é ΣΑΣ İstanbul <|endoftext|> a<s>b</s> <unk> <0x41>", "日本語 🙂 ½ 12,3 auß teöß", "A" * 3000, "a\nb\r\nc",
+       "hello  world\n\n x", " " * 50, "é" * 700, "a \u2581 b", "\u2581", "x\u2581", "don't I'll 123 Ⅷ ٣ á", "\t\r\n \x0b\x0c", "x\u2009 y\u3000z \u2028 w.\x1c  v", "\x00\x01 \x00", "the cat " * 5000, "a\t b\xa0 c .\n d", "\n"]
+
+
+def _sides():
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    tok.encode_special_tokens = True
+    b = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    byte_of = {s: x for x, s in alignment.byte_symbols().items()}
+    a_bytes = lambda i: bytes(byte_of[c] for c in tok.id_to_token(i))
+    piece = lambda i: bytes([int(b.id_to_piece(i)[3:5], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace("\u2581", " ").encode()
+    return tok, b, a_bytes, piece
+
+
+def _plain_alignment(texts):
+    """Whole texts through both libraries, byte ranges compared one by one."""
+    tok, b, a_bytes, b_bytes = _sides()
+    docs, counts = [], defaultdict(int)
+    for t in texts:
+        a_ids, b_ids = (tok.encode(" " + t, add_special_tokens=False).ids, b.encode(t)) if t else ([], [])
+        whole = (" " + (t or "")).encode()
+        if b"".join(map(a_bytes, a_ids)) != whole or b"".join(map(b_bytes, b_ids)) != whole:
+            a_ids = b_ids = []
+        spans = []
+        for ids, of in ((a_ids, a_bytes), (b_ids, b_bytes)):
+            at, own = 0, []
+            for i in ids:
+                own.append((at, at + len(of(i)), i))
+                at = own[-1][1]
+            spans.append(own)
+        links, k = [], 0
+        for s, e, i in spans[0]:
+            while k and spans[1][k - 1][1] > s:
+                k -= 1
+            while k < len(spans[1]) and spans[1][k][1] <= s:
+                k += 1
+            j = k
+            while j < len(spans[1]) and spans[1][j][0] < e:
+                links.append((i, spans[1][j][2]))
+                j += 1
+        cuts = sorted({e for _, e, _ in spans[0]} & {e for _, e, _ in spans[1]})
+        groups, x, y = [], 0, 0
+        for cut in cuts:
+            x2, y2 = x, y
+            while x2 < len(a_ids) and spans[0][x2][1] <= cut:
+                x2 += 1
+            while y2 < len(b_ids) and spans[1][y2][1] <= cut:
+                y2 += 1
+            groups.append(",".join(map(str, a_ids[x:x2])) + "|" + ",".join(map(str, b_ids[y:y2])))
+            x, y = x2, y2
+        docs.append((len(a_ids), len(b_ids), len(groups), links, ";".join(groups)))
+        for pair in set(links):
+            counts[pair] += 1
+    best = defaultdict(int)
+    for (i, _), n in counts.items():
+        best[i] = max(best[i], n)
+    return [(n_a, n_b, n_g, len(links), sum(counts[p] == best[p[0]] for p in links), sum(counts[p] for p in links), hashlib.sha256(g.encode()).hexdigest() if g else "") for n_a, n_b, n_g, links, g in docs]
+
+
+ALIGNED = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def test_alignment_query(spark):
+    rows = duckdb.sql(f"select doc_id, text from '{TINY}/documents.parquet' order by doc_id").fetchall()
+    got = queries.QUERIES["op13_tokenizer_alignment"](spark, TINY).select(*ALIGNED).collect()
+    want = _plain_alignment([t for _, t in rows])
+    assert sorted(map(tuple, got)) == [(i, *w) for (i, _), w in zip(rows, want)]
+
+
+def test_alignment_of_odd_texts_in_many_parts(spark, monkeypatch):
+    monkeypatch.setattr(alignment, "FAN", 2)
+    texts = ODD + ["of the " + t for t in ODD if t] + [f"word{i % 7} {i}" for i in range(40)]
+    rows = [(None if i == 3 else 4 if i == 5 else i, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame([(i, t, 1, "clash") for i, t in rows], "doc_id long, text string, part int, pairs string").repartition(9)
+    got = alignment.align(df, P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model"), P.PATTERN).select(*ALIGNED).collect()
+    want = [(i, *w) for (i, _), w in zip(rows, _plain_alignment([t for _, t in rows]))]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    assert alignment.align(df.limit(0), P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model"), P.PATTERN).count() == 0
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.sets(st.integers(0, (1 << 64) - 1), max_size=2000))
+def test_minimal_hash(keys):
+    keys = np.array(sorted(keys), np.uint64)
+    levels, table = alignment.CountIndex.build(keys)
+    index = alignment.CountIndex(levels, table)
+    assert sorted(index.numbers(keys).tolist()) == list(range(len(keys)))
+    absent = np.array([1 << 63 | 12345], np.uint64)
+    if absent[0] not in keys:
+        with pytest.raises(KeyError):
+            index.numbers(absent)
+
+
+def test_alignment_chunks_equal_whole_texts():
+    """Texts of odd white space: chunk by chunk as whole."""
+    tok, b, _, _ = _sides()
+    with open(P.path("byte_bpe_50k.json"), encoding="utf-8") as f, open(P.path("piece_bpe_32k.model"), "rb") as g:
+        aligner = alignment.Aligner(f.read(), g.read(), P.PATTERN)
+    assert aligner.cuts
+    rng = random.Random(1)
+    parts = ["a", "Word", " ", "  ", "\n", "\t", "\xa0", "\u2009", "\x1c", "\x85", ".", "'s", "é", "日", "12", "\u2028", "!?", "don't"]
+    for _ in range(1500):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 14)))
+        chunks = aligner.chunks(text)
+        assert [i for c in chunks for i in aligner._a_ids([c])[0]] == tok.encode(" " + text, add_special_tokens=False).ids
+        assert [i for ids in aligner._b_ids(chunks) for i in ids] == b.encode(text)
