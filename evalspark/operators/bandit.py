@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .ranking import top_k_per_group
-from .sequence import lagged, materialize, prefix_sums
+from .sequence import ROWS_PER_CHUNK, chunked, materialize, prefix_sums, rolled
 
 ORDER = ("ts", "event_id")
 
@@ -181,22 +181,22 @@ def replay_scores(feedback: DataFrame, d: int, alpha: float = 2.0, x: str = "x",
 
 # ----------------------------------------------------------------- BD-4
 def diversity_flags(feedback: DataFrame, arms: Sequence[str], window: int = 20, min_history: int = 10,
-                    model: str = "model", arm: str = "strategy", order: Sequence[str] = ORDER) -> DataFrame:
+                    model: str = "model", arm: str = "strategy", order: Sequence[str] = ORDER,
+                    rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
     """BD-4: from the ``window`` previous actions of the model (when at least
     ``min_history`` exist): diversity (share of arms used) < 0.4, the chosen
     arm's share > 0.6, and the under-used arms (share < 0.2), sorted.
 
-    Arm counts over the previous ``window`` rows are differences of per-arm
-    prefix counts (row seq-1 minus row seq-1-window), via 1:1 lag joins.
+    Arm counts over the previous ``window`` rows are rolling counts: a bounded frame
+    inside a chunk, the last rows before the chunk for its first ones.
     """
     arms = list(arms)
-    cols = {f"n{i}": (F.col(arm) == a).cast("long") for i, a in enumerate(arms)}
-    # the numbered rows are read three times (two lag joins): materialise them once
-    p = materialize(prefix_sums(feedback, [model], order, cols))
-    cum = [f"cum_n{i}" for i in range(len(arms))]
-    p = lagged(p, [model], 1, cum, "p1_")
-    p = lagged(p, [model], window + 1, cum, "pw_")
-    counts = [F.coalesce(F.col(f"p1_{c}"), F.lit(0)) - F.coalesce(F.col(f"pw_{c}"), F.lit(0)) for c in cum]
+    ch = chunked(feedback, [model], order, rows_per_chunk, least=window)
+    def is_(a: str):
+        return lambda v: v == a
+
+    p = rolled(ch, arm, {f"_n{i}": is_(a) for i, a in enumerate(arms)}, window, False)
+    counts = [F.col(f"_n{i}") for i in range(len(arms))]
     n_prev = F.least(F.col("seq") - 1, F.lit(window))
     used = sum((F.when(c > 0, 1).otherwise(0) for c in counts), F.lit(0))
     chosen = F.element_at(F.array(*counts), (F.array_position(F.array(*[F.lit(a) for a in arms]), F.col(arm))).cast("int"))

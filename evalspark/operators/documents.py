@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import contains_any
 from .ranking import top_k_per_group
+from .sequence import ROWS_PER_CHUNK, chunked
 
 TOKEN = r"[\p{L}\p{N}]+"
 
@@ -140,29 +141,40 @@ FRUSTRATION = ["i already said", "i told you", "still not", "this doesn't"]
 
 
 def feedback_signals(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role",
-                     text: str = "text") -> DataFrame:
+                     text: str = "text", rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
     """DX-9 (documents): for every assistant turn, the next user turn's
     signals -- correction, satisfaction, frustration (phrases, or the user
     repeating their previous message verbatim) -- and a missed opportunity
     (a correction, or the user supplying "here's the ...").
 
-    User turns are numbered per conversation with chunked running counts;
-    the next user turn of an assistant turn (user number + 1) and the
-    previous user message are 1:1 equi-joins, never pairs of turns.
+    The signals are read off a user turn before anything moves; a turn goes on with
+    these and a SHA-256, no text. Inside a chunk of a conversation windows give the next
+    and the previous user turn, the chunk's row carries them over its borders. A NULL
+    conversation is a conversation.
     """
-    from .sequence import materialize, prefix_sums
-    # numbered turns are read by three branches (users, previous user turn, assistant turns)
-    p = materialize(prefix_sums(conversations, [conv], [turn], {"u": (F.col(role) == "user").cast("long")}))
-    users = p.filter(F.col(role) == "user").select(conv, F.col("cum_u").alias("_u"), F.col(text).alias("_t"))
-    prev = users.select(conv, (F.col("_u") + 1).alias("_u"), F.col("_t").alias("_p"))
-    users = users.join(prev, [conv, "_u"], "left")
-    asst = p.filter(F.col(role) == "assistant").select(conv, F.col(turn).alias("assistant_turn"),
-                                                       (F.col("cum_u") + 1).alias("_u"))
-    nxt = asst.join(users, [conv, "_u"])
-    low = F.lower(F.col("_t"))
+    said = F.col(role) == "user"
+    low = F.lower(F.col(text))
     corr = contains_any(low, CORRECTION)
-    rep = F.col("_p").isNotNull() & (F.col("_t") == F.col("_p"))
-    return nxt.select(
-        conv, "assistant_turn", corr.alias("user_corrected"), contains_any(low, SATISFACTION).alias("user_satisfied"),
-        (contains_any(low, FRUSTRATION) | rep).alias("user_frustrated"),
-        (corr | F.contains(low, F.lit("here's the"))).alias("missed_opportunity"))
+    signals = F.struct(corr.alias("user_corrected"), contains_any(low, SATISFACTION).alias("user_satisfied"), contains_any(low, FRUSTRATION).alias("frustrated"),
+                       (corr | F.contains(low, F.lit("here's the"))).alias("missed_opportunity"))
+    turns = conversations.select(conv, turn, F.col(role).alias("_role"), F.when(said, signals).alias("_signals"), F.when(said, F.coalesce(F.sha2(text, 256), F.lit(""))).alias("_h"))
+    ch = chunked(turns.where(F.col("_role").isin("user", "assistant")), [conv], [turn], rows_per_chunk)
+    prior, following = ch.window(Window.unboundedPreceding, -1), ch.window(1, Window.unboundedFollowing)
+    local = ch.rows.withColumn("_prev", F.last("_h", ignorenulls=True).over(prior))
+    # what an assistant turn has to know of the user turn: its signals, its digest and whether one came before it in the chunk
+    heard = F.when(F.col("_h").isNotNull(), F.struct("_signals", "_h", "_prev"))
+    local = local.withColumn("_next", F.first(heard, ignorenulls=True).over(following))
+    ends = ch.totals(F.min_by(F.struct("_signals", "_h"), F.when(F.col("_h").isNotNull(), F.col(turn))).alias("_first"),
+                     F.max_by("_h", F.when(F.col("_h").isNotNull(), F.col(turn))).alias("_last"))
+    ends = ends.withColumn("_before", F.last("_last", ignorenulls=True).over(ch.chunks_before))
+    after = F.struct("_first", "_before")
+    ends = ends.select(*ch.part, "_before", F.first(F.when(F.col("_first._h").isNotNull(), after), ignorenulls=True).over(ch.chunks_after).alias("_after"))
+    rows = ch.joined(local.where("_role = 'assistant'"), ends)
+    here = F.col("_next").isNotNull()
+    # the first user turn of a later chunk follows the last one before that chunk
+    next_ = F.when(here, F.struct(F.col("_next._signals").alias("s"), F.col("_next._h").alias("h"), F.coalesce("_next._prev", "_before").alias("p"))) \
+        .otherwise(F.struct(F.col("_after._first._signals").alias("s"), F.col("_after._first._h").alias("h"), F.col("_after._before").alias("p")))
+    out = rows.withColumn("_n", next_).where("_n.h is not null")
+    rep = F.coalesce((F.col("_n.h") != "") & (F.col("_n.h") == F.col("_n.p")), F.lit(False))
+    return out.select(conv, F.col(turn).alias("assistant_turn"), F.col("_n.s.user_corrected").alias("user_corrected"), F.col("_n.s.user_satisfied").alias("user_satisfied"),
+                      (F.col("_n.s.frustrated") | rep).alias("user_frustrated"), F.col("_n.s.missed_opportunity").alias("missed_opportunity"))

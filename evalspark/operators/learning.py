@@ -1,19 +1,19 @@
 """Continuous-learning metrics over the feedback history (LR-*, WN-13).
 
-"Last N" figures use ``top_k_per_group`` (exact); running windows
-over the ordered history use ``sequence.prefix_sums`` + 1:1 lag joins, so
-no model's whole history is ever sorted in a single task.
+"Last N" figures use ``top_k_per_group`` (exact); windows over the ordered
+history run inside the chunks of ``sequence`` with what they need carried over the
+borders, so no model's whole history is ever sorted in a single task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ranking import early_late_delta, top_k_per_group
-from .sequence import lagged, materialize, prefix_sums
+from .sequence import ROWS_PER_CHUNK, chunked, prefix_sums, rolled
 
 ORDER = ("ts", "event_id")
 
@@ -32,35 +32,56 @@ def _ranked_last(df: DataFrame, by: Sequence[str], n: int, order=ORDER) -> DataF
 # ----------------------------------------------------------------- LR-1
 def session_rollup(feedback: DataFrame, user: str = "session_user", gap_minutes: int = 30,
                    strategy: str = "strategy", quality: str = "quality_score", success: str = "success",
-                   order: Sequence[str] = ORDER) -> DataFrame:
+                   order: Sequence[str] = ORDER, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
     """LR-1: sessions per user (a new session starts after a gap of at least
     ``gap_minutes``): interactions, successes, mean quality, strategies
     explored, best strategy by mean quality (ties -> name), and the gain of
-    the last 5 over the first 5 when the session has at least 10 rows."""
-    p = materialize(prefix_sums(feedback, [user], order))
-    p = lagged(p, [user], 1, ["ts"], "prev_")
-    new = (F.col("prev_ts").isNull() |
-           (F.col("ts").cast("timestamp") >= F.col("prev_ts").cast("timestamp")
-            + F.make_interval(mins=F.lit(gap_minutes))))
-    p = p.withColumn("_new", new.cast("long")).withColumnRenamed("seq", "user_seq")
-    s = prefix_sums(p.drop("prev_ts"), [user], order, {"sess": F.col("_new")}).withColumnRenamed("cum_sess", "session_no")
-    s = materialize(s.drop("seq"))   # read by the bounds, the join back and the best-strategy branch
-    bounds = s.groupBy(user, "session_no").agg(F.min("user_seq").alias("_first"), F.max("user_seq").alias("_last"),
-                                               F.min("ts").alias("session_start"), F.max("ts").alias("session_end"))
-    j = s.join(bounds, [user, "session_no"])
-    g = j.groupBy(user, "session_no", "session_start", "session_end").agg(
-        F.count(F.lit(1)).alias("interactions"), F.count_if(F.col(success)).alias("successes"),
-        F.avg(quality).alias("average_quality"),
-        F.array_sort(F.collect_set(strategy)).alias("strategies_explored"),
-        F.avg(F.when(F.col("user_seq") < F.col("_first") + 5, F.col(quality))).alias("_early"),
-        F.avg(F.when(F.col("user_seq") > F.col("_last") - 5, F.col(quality))).alias("_late"))
-    best = (j.groupBy(user, "session_no", strategy).agg(F.avg(quality).alias("_m"))
-            .withColumn("_r", F.row_number().over(Window.partitionBy(user, "session_no")
-                                                  .orderBy(F.desc("_m"), F.asc(strategy))))
-            .filter("_r = 1").select(user, "session_no", F.col(strategy).alias("best_strategy")))
-    return (g.join(best, [user, "session_no"])
-            .withColumn("improvement_rate",
-                        F.when(F.col("interactions") >= 10, F.col("_late") - F.col("_early")).otherwise(F.lit(0.0)))
+    the last 5 over the first 5 when the session has at least 10 rows.
+
+    A segmented scan: rows are cut into sessions inside their chunk, one row per chunk
+    says whether its first row begins a session and where sessions that cross its
+    borders begin and end, and the positions from either end give everything else in one
+    aggregate. A NULL user is a user."""
+    def gap(earlier: Column, later: Column) -> Column:
+        return later.cast("timestamp") >= earlier.cast("timestamp") + F.make_interval(mins=F.lit(gap_minutes))
+
+    ch = chunked(feedback, [user], order, rows_per_chunk)
+    local = ch.rows.withColumn("_lc", F.row_number().over(ch.ordered)).withColumn("_prev", F.lag("ts").over(ch.ordered))
+    # the first row of a chunk is left to the chunk's row
+    local = local.withColumn("_new", F.coalesce(gap(F.col("_prev"), F.col("ts")), F.lit(False)))
+    at = F.when(F.col("_new"), F.col("_lc"))
+    local = (local.withColumn("_ls", F.count_if("_new").over(ch.window()))
+             .withColumn("_start", F.max(at).over(ch.window()))
+             .withColumn("_next", F.min(at).over(ch.window(1, Window.unboundedFollowing))))
+    tot = ch.totals(F.count(F.lit(1)).alias("_tc"), F.count_if("_new").alias("_ts"), F.min("ts").alias("_first"), F.max("ts").alias("_last"),
+                    F.min(at).alias("_first_new"), F.max(at).alias("_last_new"), of=local)
+    tot = tot.withColumn("_head", F.coalesce(gap(F.lag("_last").over(ch.chunks), F.col("_first")), F.lit(True)))
+    tot = tot.withColumn("_oc", F.coalesce(F.sum("_tc").over(ch.chunks_before), F.lit(0)))
+    begins = F.when(F.col("_head"), F.col("_oc") + 1)
+    tot = tot.select(
+        *ch.part, "_oc", F.col("_head").cast("long").alias("_head"),
+        F.coalesce(F.sum(F.col("_ts") + F.col("_head").cast("long")).over(ch.chunks_before), F.lit(0)).alias("_os"),
+        F.coalesce(begins, F.last(F.coalesce(F.col("_oc") + F.col("_last_new"), begins), ignorenulls=True).over(ch.chunks_before)).alias("_from"),
+        F.coalesce(F.first(F.coalesce(begins, F.col("_oc") + F.col("_first_new")), ignorenulls=True).over(ch.chunks_after) - 1,
+                   F.sum("_tc").over(ch.chunks.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("_to"))
+    rows = ch.joined(local, tot)
+    seq = F.col("_oc") + F.col("_lc")
+    rows = rows.select(user, strategy, success, quality, "ts", (F.col("_os") + F.col("_head") + F.col("_ls")).alias("session_no"),
+                       (seq - F.coalesce(F.col("_oc") + F.col("_start"), F.col("_from"))).alias("_at"),
+                       (F.coalesce(F.col("_oc") + F.col("_next") - 1, F.col("_to")) - seq).alias("_left"))
+    q = F.col(quality)
+    parts = rows.groupBy(user, "session_no", strategy).agg(
+        F.min("ts").alias("_s"), F.max("ts").alias("_e"), F.count(F.lit(1)).alias("_n"), F.count_if(F.col(success)).alias("_ok"),
+        *(x for name, c in (("q", q), ("early", F.when(F.col("_at") < 5, q)), ("late", F.when(F.col("_left") < 5, q)))
+          for x in (F.sum(c).alias(f"_{name}"), F.count(c).alias(f"_n_{name}"))))
+    mean = F.col("_q") / F.nullif(F.col("_n_q"), F.lit(0))
+    g = parts.groupBy(user, "session_no").agg(
+        F.min("_s").alias("session_start"), F.max("_e").alias("session_end"), F.sum("_n").alias("interactions"), F.sum("_ok").alias("successes"),
+        (F.sum("_q") / F.nullif(F.sum("_n_q"), F.lit(0))).alias("average_quality"), F.array_sort(F.collect_set(strategy)).alias("strategies_explored"),
+        *((F.sum(f"_{x}") / F.nullif(F.sum(f"_n_{x}"), F.lit(0))).alias(f"_{x}") for x in ("early", "late")),
+        F.min_by(strategy, F.struct(mean.isNull(), -mean, strategy)).alias("best_strategy"))
+    return (g.withColumn("improvement_rate",
+                         F.when(F.col("interactions") >= 10, F.col("_late") - F.col("_early")).otherwise(F.lit(0.0)))
             .drop("_early", "_late"))
 
 
@@ -118,35 +139,46 @@ def recommend_phase(metrics: DataFrame) -> DataFrame:
 
 # ----------------------------------------------------------------- LR-4
 def phase_path(feedback: DataFrame, model: str = "model", success: str = "success", window: int = 50,
-               order: Sequence[str] = ORDER) -> DataFrame:
+               order: Sequence[str] = ORDER, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
     """LR-4: the forward-only phase machine, checked after every interaction.
 
-    The success rate of the last ``window`` rows at every position is a
-    difference of prefix sums; each transition happens at the first position
-    after the previous transition where its rule holds. Output per model:
-    the position (and time) of each transition and the final phase.
+    The success rate of the last ``window`` rows at every position is a rolling
+    count; each transition happens at the first position after the previous
+    transition where its rule holds. Output per model: the position (and time) of each
+    transition and the final phase. A NULL model is a model.
+
+    Per chunk of a model: from each phase that it may be entered in, the first position
+    of every transition; the chunks are then folded in order, a row a chunk.
     """
-    p = materialize(prefix_sums(feedback, [model], order, {"s": F.col(success).cast("long")})
-                    .select(model, "seq", "ts", "cum_s"))
-    p = lagged(p, [model], window, ["cum_s"], "w_")
-    rate = (F.col("cum_s") - F.coalesce(F.col("w_cum_s"), F.lit(0))) / F.least(F.col("seq"), F.lit(window))
-    # the three transition searches read the same numbered rows
-    p = materialize(p.select(model, "seq", "ts", rate.alias("rate")))
-    out = p.select(model).distinct()
-    prev = None
-    for frm, to, n_min, s_min in TRANSITIONS:
-        cand = p.filter((F.col("seq") >= n_min) & (F.col("rate") >= s_min))
-        if prev is not None:
-            cand = cand.join(out.select(model, F.col(f"{prev}_at").alias("_p")), model) \
-                       .filter(F.col("_p").isNotNull() & (F.col("seq") > F.col("_p")))
-        first = cand.groupBy(model).agg(F.min_by(F.struct("seq", "ts"), F.col("seq")).alias("_f"))
-        out = (out.join(first, model, "left")
-               .withColumn(f"{to}_at", F.col("_f.seq")).withColumn(f"{to}_ts", F.col("_f.ts")).drop("_f"))
-        prev = to
-    final = (F.when(F.col("refinement_at").isNotNull(), "refinement")
-             .when(F.col("exploitation_at").isNotNull(), "exploitation")
-             .when(F.col("balanced_at").isNotNull(), "balanced").otherwise("exploration"))
-    return out.withColumn("final_phase", final)
+    ch = chunked(feedback.select(model, success, *order), [model], order, rows_per_chunk, least=window)
+    p = rolled(ch, success, {"_s": lambda s: s}, window, True)
+    rate = F.col("_s") / F.least(F.col("seq"), F.lit(window))
+    p = p.select(model, *ch.part, "seq", "ts", *(F.when((F.col("seq") >= n) & (rate >= least), F.col("seq")).alias(f"_h{i}") for i, (_, _, n, least) in enumerate(TRANSITIONS)))
+    chunk, n = Window.partitionBy(*ch.part), len(TRANSITIONS)
+    # _t<i>_<j>: the first position of transition j in a chunk that is entered before transition i
+    for i in range(n):
+        for j in range(i, n):
+            holds = F.col(f"_h{j}") if i == j else F.when(F.col(f"_h{j}") > F.col(f"_t{i}_{j - 1}"), F.col(f"_h{j}"))
+            p = p.withColumn(f"_t{i}_{j}", F.min(holds).over(chunk))
+    pairs = [(i, j) for i in range(n) for j in range(i, n)]
+    per_chunk = p.groupBy(model, *ch.part).agg(*(F.min_by(F.struct("seq", "ts"), F.when(F.col("seq") == F.col(f"_t{i}_{j}"), F.col("seq"))).alias(f"_f{i}_{j}") for i, j in pairs))
+    path = per_chunk.groupBy(model).agg(F.array_sort(F.collect_list(F.struct("_chunk", *(f"_f{i}_{j}" for i, j in pairs)))).alias("_chunks"))
+    nothing = F.lit(None).cast(per_chunk.schema["_f0_0"].dataType)
+    state = F.struct(F.lit(0).alias("done"), *(nothing.alias(to) for _, to, _, _ in TRANSITIONS))
+
+    def entered(acc: Column, found: Column) -> Column:
+        names = [to for _, to, _, _ in TRANSITIONS]
+        out = acc
+        for i in range(n):
+            made = [found[f"_f{i}_{j}"] for j in range(i, n)]
+            done = F.lit(i) + sum((m["seq"].isNotNull().cast("int") for m in made), F.lit(0))
+            new = F.struct(done.alias("done"), *((acc[names[j]] if j < i else made[j - i]).alias(names[j]) for j in range(n)))
+            out = F.when(acc["done"] == i, new).otherwise(out)
+        return out
+
+    out = path.select(model, F.aggregate("_chunks", state, entered).alias("_p"))
+    last = F.element_at(F.array(F.lit(TRANSITIONS[0][0]), *(F.lit(to) for _, to, _, _ in TRANSITIONS)), F.col("_p.done") + 1)
+    return out.select(model, *(c for _, to, _, _ in TRANSITIONS for c in (F.col(f"_p.{to}.seq").alias(f"{to}_at"), F.col(f"_p.{to}.ts").alias(f"{to}_ts"))), last.alias("final_phase"))
 
 
 # ----------------------------------------------------------------- LR-5
