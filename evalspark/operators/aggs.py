@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import task_language, tier
+from .keys import join_keys
 from .quantiles import quantiles
 
 
@@ -221,7 +222,7 @@ def model_benchmark_summary(df: DataFrame, success: str = "success",
             .withColumn("_r", F.row_number().over(
                 Window.partitionBy("model").orderBy(F.desc("_n"), F.asc(strategy))))
             .filter("_r = 1").select("model", F.col(strategy).alias("common_strategy")))
-    return base.join(mode, "model").withColumn("status", tier("success_rate", "status"))
+    return join_keys(base, mode, ["model"]).withColumn("status", tier("success_rate", "status"))
 
 
 def run_summary(df: DataFrame, by: str = "model", passed: str = "passed") -> DataFrame:

@@ -134,8 +134,8 @@ def render_prompts(problems: DataFrame, models: DataFrame, examples: DataFrame |
     examples by id, then "# Now complete:" + prompt; chain_of_thought =
     "Let's solve this step by step:" + prompt + "# Step-by-step solution:".
 
-    The (model, template) table is configuration-sized and broadcast into
-    the cross product; the examples are two rows, broadcast too.
+    The product is the result itself; the planner broadcasts the smaller side where it
+    is under the threshold. The examples are two rows and broadcast.
     """
     from ..functions.columns import model_type as mt
     spark = problems.sparkSession
@@ -153,7 +153,7 @@ def render_prompts(problems: DataFrame, models: DataFrame, examples: DataFrame |
                                                             lambda s: s["b"]), ""), F.lit("")).alias("_examples"))
     else:
         ex = spark.createDataFrame([("",)], "_examples string")
-    x = problems.crossJoin(F.broadcast(mt_)).crossJoin(F.broadcast(ex))
+    x = problems.crossJoin(mt_).crossJoin(F.broadcast(ex))
     p = F.col("prompt")
     text = (F.when(F.col("template") == "direct", F.concat(F.regexp_replace(p, r"\s+$", ""), F.lit("\n    ")))
             .when(F.col("template") == "instruction", F.concat(F.lit("Complete this Python function:\n\n"), p))

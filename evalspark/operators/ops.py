@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .keys import join_keys
 from .quantiles import quantiles
 
 # fixed values: parameters that never change a result, and the ones that do
@@ -185,7 +186,7 @@ def health_check(classified: DataFrame, order: Sequence[str] = ("ts", "event_id"
     total = classified.groupBy(*by).agg(F.count(F.lit(1)).alias("errors"))
     last = last_n(classified, by, order, 10).groupBy(*by).agg(
         F.count_if(F.col("severity") == "critical").alias("critical_last_10"))
-    j = total.join(last, by) if by else total.crossJoin(last)
+    j = join_keys(total, last, by) if by else total.crossJoin(last)
     return j.withColumn("healthy", (F.col("errors") < 5) | (F.col("critical_last_10") == 0))
 
 

@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .keys import join_keys
+
 DEFAULT_KS = (1, 5, 10)
 
 
@@ -167,10 +169,10 @@ def pass_at_k_report(samples: DataFrame, by=("model",), ks: Iterable[int] = DEFA
            .withColumn("p", pass_at_k_expr("n", "c", "k"))
            .groupBy(*by, "k")
            .agg((F.sum(F.col("p") * F.col("w")) / F.sum("w")).alias("pass_at_k")))
-    out = totals.join(est, by) if by else totals.crossJoin(est)
+    out = join_keys(totals, est, by) if by else totals.crossJoin(est)
     if with_interval:
         ci = cell_bootstrap(cl, by, ks, n_boot, confidence, seed)
-        out = out.join(ci, by + ["k"], "left")
+        out = join_keys(out, ci, by + ["k"], "left")
     return out
 
 

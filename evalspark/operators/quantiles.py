@@ -12,7 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sequence import _join_keys, prefix_sums
+from .keys import join_keys
+from .sequence import prefix_sums
 
 
 def quantiles(df: DataFrame, by: Sequence[str], value: str, points: dict[str, float]) -> DataFrame:
@@ -22,7 +23,7 @@ def quantiles(df: DataFrame, by: Sequence[str], value: str, points: dict[str, fl
     by = list(by)
     counts = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
     running = prefix_sums(counts, by, ["_v"], {"c": F.col("_c")})
-    sized = _join_keys(running, counts.groupBy(*by).agg(F.sum("_c").alias("_n")), by)
+    sized = join_keys(running, counts.groupBy(*by).agg(F.sum("_c").alias("_n")), by)
     at = {name: F.lit(float(p)) * (F.col("_n") - 1) for name, p in points.items()}
     # the value at position i (from 0) is the first whose running count is over i
     ends = [F.min(F.when(F.col("cum_c") > f(at[name]), F.col("_v"))).alias(f"_{side}_{name}")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import tier
+from .keys import join_keys
 
 
 # ----------------------------------------------------------------- WN-1
@@ -66,7 +67,8 @@ def early_late_delta(df: DataFrame, by: Sequence[str], value: str, order: Sequen
     gain = late - early; ``learning_rate`` = clamp(2 gain, 0, 1) when the
     group has at least ``min_rows`` rows (default 2k), else 0. First and last
     k come from ``top_k_per_group``, the
-    row count from a partial aggregate; the three are joined on the group.
+    row count from a partial aggregate; the three are joined on the group, and a
+    NULL group is a group.
     """
     by = list(by)
     min_rows = 2 * k if min_rows is None else min_rows
@@ -75,7 +77,7 @@ def early_late_delta(df: DataFrame, by: Sequence[str], value: str, order: Sequen
              .groupBy(*by).agg(F.avg(value).alias("early_mean")))
     late = (top_k_per_group(df, by, [F.desc(c) for c in order], k)
             .groupBy(*by).agg(F.avg(value).alias("late_mean")))
-    g = rows.join(early, by).join(late, by) if by else rows.crossJoin(early).crossJoin(late)
+    g = join_keys(join_keys(rows, early, by), late, by) if by else rows.crossJoin(early).crossJoin(late)
     gain = F.col("late_mean") - F.col("early_mean")
     return g.select("*", gain.alias("gain"),
                     F.when(F.col("rows") >= min_rows, F.least(F.greatest(2 * gain, F.lit(0.0)), F.lit(1.0)))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as PT
 from ..functions import pyparse
 from ..functions import text as TX
+from .keys import join_keys
 
 PRESETS = {"default": 0.3, "strict": 0.6, "lenient": 0.1}
 
@@ -275,7 +276,7 @@ def function_analysis(functions: DataFrame, by: Sequence[str] = ()) -> DataFrame
     common = (functions.groupBy(*by, "name").agg(F.count(F.lit(1)).alias("_n"))
               .withColumn("_r", F.row_number().over(w)).filter("_r = 1")
               .select(*by, F.col("name").alias("most_common_name")))
-    return g.join(common, by) if by else g.crossJoin(common)
+    return join_keys(g, common, by) if by else g.crossJoin(common)
 
 
 # ----------------------------------------------------------------- TX-19

@@ -26,27 +26,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from .keys import join_keys
+
 ROWS_PER_CHUNK = 2_000_000
 SAMPLES = 32  # sampled tuples a chunk, at least
 FAN = 64      # bounds compared at each level of the search
 
 
-def _join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Equi-join on ``keys`` that also matches NULL keys (a NULL group is a group)."""
-    keys = list(keys)
-    if not keys:
-        return left.crossJoin(F.broadcast(right))
-    if not any(left.schema[k].nullable for k in keys):
-        return left.join(right, keys, how)
-    r = right.select(*[F.col(k).alias(f"_rk_{k}") for k in keys],
-                     *[F.col(c) for c in right.columns if c not in keys])
-    cond = None
-    for k in keys:
-        c = left[k].eqNullSafe(r[f"_rk_{k}"])
-        cond = c if cond is None else cond & c
-    return left.join(r, cond, how).drop(*[f"_rk_{k}" for k in keys])
-
-
 def _search(levels: Sequence[str], tuple_: Column) -> Column:
     """How many of the bounds in the last of ``levels`` are <= ``tuple_``; every
     level holds each ``FAN``-th bound of the next."""
@@ -63,7 +49,7 @@ def _bounds(df: DataFrame, keys: list[str], tuple_: Column, rows_per_chunk: int,
     per_chunk = max(SAMPLES, 2 * least)
     large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows_per_chunk)
     large = large.withColumn("_c", F.ceil(F.col("_n") / F.lit(float(rows_per_chunk))))
-    rows = _join_keys(df.select(*keys, tuple_.alias("_o")), large, keys)
+    rows = join_keys(df.select(*keys, tuple_.alias("_o")), large, keys)
     share = F.shiftrightunsigned(F.xxhash64("_o"), 11) / F.lit(float(1 << 53))
     sample = rows.where(share < F.col("_c") * F.lit(float(per_chunk)) / F.col("_n")).distinct()
     sampled = sample.groupBy(*keys, "_c").agg(F.sort_array(F.collect_list("_o")).alias("_s"))
@@ -85,7 +71,7 @@ def with_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     bounds = _bounds(df, keys, tuple_, rows_per_chunk, least)
     levels = ["_l0", "_l1", "_l2"]
     # without a key the one row, or none, becomes one row
-    j = _join_keys(df, bounds, keys, "left") if keys else df.crossJoin(F.broadcast(bounds.agg(*(F.first(x).alias(x) for x in levels))))
+    j = join_keys(df, bounds, keys, "left") if keys else df.crossJoin(F.broadcast(bounds.agg(*(F.first(x).alias(x) for x in levels))))
     chunk = F.when(F.col("_l2").isNull(), F.lit(0)).otherwise(_search(levels, tuple_))
     return j.withColumn("_chunk", chunk.cast("long")).drop(*levels)
 

@@ -198,3 +198,17 @@ def test_jn8_reads_each_side_once(spark, views):
     keyed = ops.cache_key(views.cache_entries).select("entry_id", "cache_key", "ts")
     plan = ops.cache_lookup_flags(keyed.select("entry_id", "cache_key"), keyed, "1998-08-02", 86400)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 1
+
+
+def test_null_groups_are_kept(spark):
+    """AG-13, AG-16, PK-4, WN-9, LR-5, WN-11: a NULL group has its row."""
+    from evalspark.operators import aggs, learning, ops, passk, ranking, responses
+
+    n = 12
+    base = spark.range(2 * n).withColumn("model", F.when(F.col("id") % 2 == 0, "m")).withColumns({
+        "success": F.col("id") % 3 == 0, "is_conversational": F.lit(False), "strategy": F.lit("direct"), "execution_time": F.lit(1.0), "ts": F.col("id").cast("timestamp"),
+        "event_id": F.col("id"), "quality_score": F.col("id").cast("double"), "problem_id": F.col("id") % 4, "passed": F.col("id") % 3 == 0, "severity": F.lit("critical"),
+        "name": F.lit("f"), "signature": F.lit("f()"), "body": F.lit("x")})
+    for df in (aggs.model_benchmark_summary(base), responses.function_analysis(base, ["model"]), passk.pass_at_k_report(base, ["model"], (1,), with_interval=True, n_boot=10),
+               ranking.early_late_delta(base, ["model"], "quality_score", ["ts", "event_id"]), learning.strategy_evolution(base), ops.health_check(base, by=["model"])):
+        assert sorted(str(r["model"]) for r in df.collect()) == ["None", "m"]
