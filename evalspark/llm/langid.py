@@ -6,15 +6,17 @@ product of their probabilities (a forward algorithm); a text's is the product ov
 its words (maximal runs of letters, lower-cased, each with the word-start mark).
 
 The piece probabilities come from expectation maximisation (expected piece counts
-over all segmentations, forward-backward) on the word counts of a sample of labelled
-rows: ``FIT_DOCS`` distinct texts a language, those with the smallest hash. Everything
+over all segmentations, forward-backward, both kept in scale) on the word counts of a
+sample of labelled rows: ``FIT_DOCS`` whole distinct texts a language, those with the
+smallest hash. Spark counts their words, and a task a language fits them; the driver
+gets one number for every piece and language. The ``LANGUAGES`` most frequent values of
+lang are learned, so that a dirty column cannot make the model larger than that. All
 else covers all rows.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,9 +29,8 @@ from pyspark.sql import types as T
 from .common import hash_sample, prepared
 
 FIT_DOCS = 400       # distinct labelled texts a language that the probabilities are fitted on, at most
-FIT_CHARS = 20_000   # of a fitted row, so many characters at most (fitting only)
+LANGUAGES = 256      # learned, the most frequent ones
 ROUNDS = 3           # of expectation maximisation
-MAX_PIECE = 8        # longest piece used, in characters
 UNKNOWN = 1e-9       # probability of a character that is no piece
 START = "▁"     # word-start mark of the vocabulary
 UNDETERMINED = "und"
@@ -55,7 +56,7 @@ def sentencepiece_vocabulary(path: str) -> list[str]:
             body = piece.removeprefix(START)
             if body and body.isalpha():
                 found.add(piece)
-    return sorted(p for p in found if len(p) <= MAX_PIECE)
+    return sorted(found)
 
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -154,6 +155,26 @@ def word_scores(words: list[str], lattice: Lattice, probabilities: np.ndarray) -
     return out
 
 
+def _scaled_sums(width: int, longest: int, n: int, starts: np.ndarray, step) -> tuple[np.ndarray, np.ndarray]:
+    """(sums, log scales) of paths to positions 0..width for ``n`` words: position
+    ``starts`` of a word has one path, ``step(at, size, sums)`` is what arrives ``at``
+    from ``size`` positions before."""
+    sums, scales = np.zeros((width + 1, n)), np.zeros((width + 1, n))
+    tail, scale = [np.zeros(n) for _ in range(longest)], np.zeros(n)
+    for at in range(width + 1):
+        total = (starts == at).astype(np.float64)  # nothing came before, so its scale is 1
+        for size in range(1, min(longest, at) + 1):
+            total += step(at, size, tail[-size])
+        sums[at], scales[at] = total, scale
+        tail = [*tail[1:], total]
+        if at % 8 == 7:
+            top = np.max(tail, axis=0)
+            top[top <= 0] = 1.0
+            tail = [t / top for t in tail]
+            scale = scale + np.log(top)
+    return sums, scales
+
+
 def expected_counts(words: list[str], weights: np.ndarray, lattice: Lattice, probabilities: np.ndarray) -> np.ndarray:
     """Expected use of every piece over all segmentations of the words (one language)."""
     counts = np.zeros(len(probabilities))
@@ -162,23 +183,31 @@ def expected_counts(words: list[str], weights: np.ndarray, lattice: Lattice, pro
         lengths = np.fromiter(map(len, own), np.int64, len(own)) + 1
         width, n = int(lengths.max()), len(own)
         matches = lattice.match(_codes(own, width))
-        before = np.zeros((width + 1, n))
-        before[0] = 1
-        for end in range(1, width + 1):
-            for size in range(1, min(lattice.longest, end) + 1):
-                before[end] += before[end - size] * probabilities[matches[end - size, size - 1]]
-        after = np.zeros((width + 1, n))
-        after[lengths, np.arange(n)] = 1
-        total = np.maximum(before[lengths, np.arange(n)], 1e-300)
-        for at in range(width - 1, -1, -1):
+        before, up = _scaled_sums(width, lattice.longest, n, np.zeros(n), lambda at, size, sums: sums * probabilities[matches[at - size, size - 1]])
+        # positions counted from the block's end: a word begins where its letters end
+        after, down = _scaled_sums(width, lattice.longest, n, width - lengths, lambda at, size, sums: sums * probabilities[matches[width - at, size - 1]])
+        with np.errstate(divide="ignore"):  # no path: minus infinity
+            before, after, chances = np.log(before) + up, np.log(after) + down, np.log(probabilities)
+        whole = before[lengths, np.arange(n)]
+        for at in range(width):
             for size in range(1, min(lattice.longest, width - at) + 1):
-                piece = matches[at, size - 1]
-                step = probabilities[piece] * after[at + size]
-                after[at] += step
-                counts += np.bincount(piece, before[at] * step / total * weights[block], len(probabilities))
+                piece, end = matches[at, size - 1], width - at - size
+                use = np.exp(before[at] + chances[piece] + after[end] - whole)
+                counts += np.bincount(piece, use * weights[block], len(probabilities))
     return counts
 
 
+def fitted(words: list[str], weights: np.ndarray, lattice: Lattice) -> np.ndarray:
+    """Piece probabilities of one language, then the fallback's, then zero."""
+    n = len(lattice.pieces)
+    p = np.full(n + 2, 1.0 / n)
+    p[-1], p[-2] = 0.0, UNKNOWN
+    for _ in range(ROUNDS):
+        expected = expected_counts(words, weights, lattice, p)[:n] + 0.01
+        p[:n] = expected / expected.sum()
+    return p
+
+
 @dataclass
 class Model:
     """Languages, their pieces and the natural probabilities of the pieces."""
@@ -207,28 +236,34 @@ class Model:
         return [UNDETERMINED if e else self.languages[b] for b, e in zip(best.tolist(), empty.tolist())], np.where(empty, 0.0, score)
 
 
+def _word_counts(texts: DataFrame) -> DataFrame:
+    """(lang, word, n) of (lang, text)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = pa.array(words_of(text), pa.string()).value_counts()
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), words.field(0), words.field(1)], ["lang", "word", "n"])
+
+    return texts.mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+
+
 def fit(labelled: DataFrame, pieces: list[str], text_col: str = "text", lang_col: str = "lang") -> Model:
     """Fit on at most ``FIT_DOCS`` distinct texts of each language of ``labelled`` (rows with a
     null language or text are left out)."""
+    spark = prepared(labelled.sparkSession)
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
-    sizes = {r["lang"]: r["n"] for r in rows.select("lang", "h").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a language
-    picked = hash_sample(rows.select("lang", "h", F.substring("text", 1, FIT_CHARS).alias("text")).dropDuplicates(["lang", "h"]), "lang", "h", sizes, FIT_DOCS)
-    counts: dict[str, Counter] = {}
-    for lang, text in picked.select("lang", "text").toLocalIterator():
-        counts.setdefault(lang, Counter()).update(words_of(text))
-    languages = sorted(counts)
-    lattice = Lattice(pieces)
-    table = np.zeros((len(pieces) + 2, len(languages)))
-    for k, lang in enumerate(languages):
-        words = sorted(counts[lang])
-        weights = np.array([counts[lang][w] for w in words], np.float64)
-        p = np.full(len(pieces) + 2, 1.0 / len(pieces))
-        p[-1], p[-2] = 0.0, UNKNOWN
-        for _ in range(ROUNDS):
-            expected = expected_counts(words, weights, lattice, p)[:len(pieces)] + 0.01
-            p[:len(pieces)] = expected / expected.sum()
-        table[:, k] = p
-    return Model(languages, pieces, table)
+    common = rows.select("lang", "h").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    picked = hash_sample(rows.dropDuplicates(["lang", "h"]), "lang", "h", {r["lang"]: r["n"] for r in common.collect()}, FIT_DOCS)
+    shipped = spark.sparkContext.broadcast(pieces)
+
+    def one(key: tuple, words: pa.Table) -> pa.Table:
+        p = fitted(words.column("word").to_pylist(), words.column("n").to_numpy().astype(np.float64), Lattice(shipped.value))
+        return pa.table({"lang": [key[0].as_py()], "p": pa.array([p.tolist()], pa.list_(pa.float64()))})
+
+    # the words of FIT_DOCS texts, counted, are one language's group
+    found = sorted((r["lang"], r["p"]) for r in _word_counts(picked.select("lang", "text")).groupBy("lang").applyInArrow(one, "lang string, p array<double>").collect())
+    table = np.array([p for _, p in found]).T if found else np.zeros((len(pieces) + 2, 0))
+    return Model([lang for lang, _ in found], pieces, table)
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

@@ -54,6 +54,36 @@ def test_forward_sums_all_segmentations():
     assert np.isfinite(long).all()
 
 
+def test_expected_counts_of_long_words():
+    """Every letter of a word is used once, however long the word or rare its letters:
+    400 letters, a script without spaces, characters that are no piece."""
+    pieces = sorted({langid.START, *"abcde", "ab", "cde", "abcdeabcdeab", "日本", "日"})
+    lattice = langid.Lattice(pieces)
+    p = np.append(np.full(len(pieces), 1 / len(pieces)), [langid.UNKNOWN, 0.0])
+    sizes = np.array([len(x) for x in pieces] + [1, 0])
+    for word in ("abcde" * 80, "日本語" * 150, "x" * 36, "x" * 700, "a"):
+        got = langid.expected_counts([word, "ab"], np.array([2.0, 0.0]), lattice, p)
+        assert got @ sizes == pytest.approx(2 * (len(word) + 1))
+    apart = langid.expected_counts(["a" * 400], np.array([1.0]), langid.Lattice(["a", langid.START]), np.array([0.5, 0.5, langid.UNKNOWN, 0.0]))
+    assert apart.tolist() == pytest.approx([400.0, 1.0, 0.0, 0.0])
+
+
+def test_whole_vocabulary_and_texts_are_used(spark):
+    """The longest pieces are in; what stands behind the 20,000th character teaches too."""
+    pieces = langid.sentencepiece_vocabulary(queries.tokenizer_path("piece_bpe_32k.model"))
+    assert max(map(len, pieces)) > 12
+    rows = [(i, "so " * 9000 + "quuxly " * 50, "aa") for i in range(3)] + [(i + 3, "so " * 9000 + "zimbor " * 50, "bb") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, pieces)
+    assert model.predict(["quuxly", "zimbor"])[0] == ["aa", "bb"]
+
+
+def test_languages_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LANGUAGES", 2)
+    rows = [(f"text {i}", lang) for lang, n in (("x", 5), ("y", 4), ("dirty", 1)) for i in range(n)]
+    assert langid.fit(spark.createDataFrame(rows, "text string, lang string"), ["a", "t", langid.START]).languages == ["x", "y"]
+
+
 def test_expected_counts_match_enumeration():
     pieces = sorted({langid.START, "a", "b", "ab"})
     table = np.array([0.4, 0.3, 0.2, 0.1, langid.UNKNOWN, 0.0])
