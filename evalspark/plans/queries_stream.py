@@ -88,7 +88,7 @@ def _ss5(v):
 @query("ss6_stream_phase")
 def _ss6(v):
     fb = v.feedback.select("event_id", "model", "success", "ts")
-    s = _read_stream(v, fb, _stage(v, fb, "phase"))
+    s = _read_stream(v, fb, _stage(v, SS.with_heartbeat(fb), "phase"))
     return SS.run_to_table(SS.stream_phase(s), "append")
 
 

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
 from ..operators.bandit import arm_statistics
 from ..operators.learning import TRANSITIONS
@@ -25,6 +25,7 @@ from ..session import checkpoint_dir
 from ..sources.io import by_fitness
 
 WATERMARK = "10 minutes"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def event_time(df: DataFrame, ts: str = "ts") -> DataFrame:
@@ -116,49 +117,96 @@ def current_upsert_table(spark: SparkSession, path: str, key: str, ts: str = "ts
 PHASE_OUT = T.StructType([T.StructField("model", T.StringType()), T.StructField("seq", T.LongType()),
                           T.StructField("ts", T.TimestampType()), T.StructField("from_phase", T.StringType()),
                           T.StructField("to_phase", T.StringType())])
-PHASE_STATE = T.StructType([T.StructField("phase", T.StringType()), T.StructField("count", T.LongType()),
-                            T.StructField("buffer", T.ArrayType(T.IntegerType()))])
-
-
-def _phase_step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.exists:
-        phase, count, buf = state.get
-        buf = list(buf)
-    else:
-        phase, count, buf = "exploration", 0, []
-    # the frames of a micro-batch come in any order: 17 bytes a row are kept of each, not the frame
-    parts = [(f["ts"].to_numpy("datetime64[ns]").astype("int64"), f["event_id"].to_numpy("int64"), f["success"].fillna(False).to_numpy(bool)) for f in pdfs]
-    times, ids, flags = (np.concatenate(c) for c in zip(*parts))
-    order = np.lexsort((ids, times))
-    out = []
+PHASE_ROWS = 50          # success flags that a rate looks back on
+HOLD_MICROS = 60_000_000  # rows wait in slots of this length
+
+
+def phase_transitions(phase: str, count: int, flags: np.ndarray, new: np.ndarray) -> tuple[str, list[tuple[int, str, str]]]:
+    """Run the phase machine over ``new`` success flags, in order, after ``count`` rows
+    of which ``flags`` are the last ones: (phase after them, [(index in new, from, to)])."""
     rules = {frm: (to, n, s) for frm, to, n, s in TRANSITIONS}
-    for at in order:
-        ts, ok = pd.Timestamp(times[at]), flags[at]
-        count += 1
-        buf.append(1 if ok else 0)
-        if len(buf) > 50:
-            buf = buf[-50:]
-        if phase in rules:
-            to, n_min, s_min = rules[phase]
-            if count >= n_min and sum(buf) / len(buf) >= s_min:
-                out.append((key[0], count, ts, phase, to))
-                phase = to
-    state.update((phase, count, buf))
-    if out:
-        yield pd.DataFrame(out, columns=[f.name for f in PHASE_OUT.fields])
+    sums = np.concatenate([[0], np.cumsum(np.concatenate([flags, new]))])
+    ends = np.arange(len(flags) + 1, len(sums))
+    starts = np.maximum(ends - PHASE_ROWS, 0)
+    rates, seq = (sums[ends] - sums[starts]) / (ends - starts), count + 1 + np.arange(len(new))
+    at, out = 0, []
+    while phase in rules:
+        to, n_min, s_min = rules[phase]
+        holds = np.flatnonzero((seq[at:] >= n_min) & (rates[at:] >= s_min))
+        if not len(holds):
+            break
+        at += int(holds[0])
+        out.append((at, phase, to))
+        phase, at = to, at + 1
+    return phase, out
+
+
+class PhaseProcessor(StatefulProcessor):
+    """Holds a model's rows in slots of ``HOLD_MICROS`` until the watermark has passed a
+    slot's end -- an event-time timer tells -- and then runs the phase machine over them by
+    (ts, event_id). No row can come late for a slot that has been run, so the result does
+    not depend on the borders of micro-batches. The state is the phase, a count, the last
+    ``PHASE_ROWS`` flags and the open slots; a model in its last phase holds nothing."""
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.phase = handle.getValueState("phase", "phase string, count long, flags array<boolean>")
+        self.slots = handle.getMapState("slots", "slot long", "times array<long>, ids array<long>, flags array<boolean>")
+
+    def _now(self) -> tuple[str, int, np.ndarray]:
+        phase, count, flags = self.phase.get() if self.phase.exists() else ("exploration", 0, [])
+        return phase, count, np.array(flags, bool)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        if self._now()[0] == TRANSITIONS[-1][1]:
+            return
+        for frame in rows:
+            frame = frame[frame["event_id"].notna()]  # a heartbeat only moves the watermark
+            times = frame["ts"].to_numpy("datetime64[us]").astype("int64")
+            for slot, own in frame.assign(t=times, slot=times // HOLD_MICROS).groupby("slot"):
+                if self.slots.containsKey((int(slot),)):
+                    had = self.slots.getValue((int(slot),))
+                else:
+                    had = ([], [], [])
+                    self.handle.registerTimer((int(slot) + 1) * HOLD_MICROS // 1000)
+                added = (own["t"].tolist(), own["event_id"].astype("int64").tolist(), own["success"].fillna(False).astype(bool).tolist())
+                self.slots.updateValue((int(slot),), tuple([*h, *a] for h, a in zip(had, added)))
+        return
+        yield
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        closed = timerValues.getCurrentWatermarkInMs() * 1000 // HOLD_MICROS  # slots below it are complete
+        phase, count, flags = self._now()
+        out = []
+        for slot in sorted(s for (s,) in self.slots.keys() if s < closed):
+            times, ids, new = (np.array(c) for c in self.slots.getValue((slot,)))
+            order = np.lexsort((ids, times))
+            phase, found = phase_transitions(phase, count, flags, new[order])
+            out += [(key[0], count + i + 1, pd.Timestamp(int(times[order[i]]), unit="us"), frm, to) for i, frm, to in found]
+            count, flags = count + len(new), np.concatenate([flags, new[order]])[-PHASE_ROWS:]
+            self.slots.removeKey((slot,))
+        self.phase.update((phase, int(count), flags.tolist()))
+        if phase == TRANSITIONS[-1][1]:
+            self.slots.clear()
+        if out:
+            yield pd.DataFrame(out, columns=[f.name for f in PHASE_OUT.fields])
 
 
 def stream_phase(feedback: DataFrame, watermark: str = WATERMARK) -> DataFrame:
-    """SS-6: LR-4's forward-only phase machine as it happens.
-
-    ``applyInPandasWithState`` per model; the state (phase, interaction
-    count, the last 50 success flags) travels with the data and survives
-    restarts through the checkpoint. Rows are ordered by (ts, event_id)
-    within a micro-batch. Emits one row per transition.
-    """
+    """SS-6: LR-4's forward-only phase machine as it happens, one row per transition, in
+    event time (:class:`PhaseProcessor`, on the RocksDB state store that
+    ``transformWithState`` needs). A transition is given once the watermark has passed it.
+    Rows without an ``event_id`` are heartbeats; ``with_heartbeat`` closes a finite input."""
+    feedback.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     s = event_time(feedback).withWatermark("ts", watermark).select("model", "ts", "event_id", "success")
-    return s.groupBy("model").applyInPandasWithState(
-        _phase_step, PHASE_OUT, PHASE_STATE, "append", GroupStateTimeout.NoTimeout)
+    return s.groupBy("model").transformWithStateInPandas(PhaseProcessor(), PHASE_OUT, "Append", "EventTime")
+
+
+def with_heartbeat(df: DataFrame, after: str = "1 day", ts: str = "ts") -> DataFrame:
+    """``df`` and one more row, ``after`` its last one and NULL but for the time: it moves
+    the watermark past all others."""
+    last = df.agg((F.max(ts) + F.expr(f"interval {after}")).alias(ts))
+    return df.unionByName(last.select(*((F.col(ts) if c == ts else F.lit(None)).cast(df.schema[c].dataType).alias(c) for c in df.columns)))
 
 
 # ----------------------------------------------------------------- helpers

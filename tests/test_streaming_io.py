@@ -33,17 +33,39 @@ def test_ss2_equals_bd1(spark, views):
         assert g.b == pytest.approx(e.b, rel=1e-12)
 
 
+def _phase_positions(feedback):
+    return {(r.model, ph): r[f"{ph}_at"] for r in LR.phase_path(feedback).collect()
+            for ph in ("balanced", "exploitation", "refinement") if r[f"{ph}_at"] is not None}
+
+
 def test_ss6_equals_lr4(spark, views):
     fb = views.feedback.select("event_id", "model", "success", "ts")
-    trans = SS.run_to_table(SS.stream_phase(_stream(spark, fb)), "append").collect()
-    got = {(r.model, r.to_phase): r.seq for r in trans}
-    path = LR.phase_path(views.feedback).collect()
-    exp = {}
-    for r in path:
-        for ph in ("balanced", "exploitation", "refinement"):
-            if r[f"{ph}_at"] is not None:
-                exp[(r.model, ph)] = r[f"{ph}_at"]
-    assert got == exp
+    trans = SS.run_to_table(SS.stream_phase(_stream(spark, SS.with_heartbeat(fb))), "append").collect()
+    assert {(r.model, r.to_phase): r.seq for r in trans} == _phase_positions(views.feedback)
+
+
+def test_ss6_does_not_depend_on_batches(spark):
+    """Rows shuffled over many micro-batches, ties in time, a NULL model, a model in its last phase early."""
+    import random
+
+    rng = random.Random(4)
+    rows = [(i, rng.choice(["a", "a", "a", "b", None]), rng.random() < 0.2 + i / 900, f"2024-01-01 {i // 400:02d}:{i // 7 % 57:02d}:00") for i in range(1200)]
+    df = spark.createDataFrame(rows, "event_id long, model string, success boolean, ts string").withColumn("ts", F.to_timestamp("ts"))
+    want = _phase_positions(df)
+    path = tempfile.mkdtemp(prefix="evalspark-stage-") + "/data"
+    schema = df.schema
+    order = sorted(rows, key=lambda r: r[0] + rng.randrange(150))  # a row comes up to 150 rows late
+    for k in range(0, 1200, 130):
+        spark.createDataFrame(order[k:k + 130], "event_id long, model string, success boolean, ts string").withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.mode("append").parquet(path)
+    SS.with_heartbeat(df).where("event_id is null").coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    got = SS.run_to_table(SS.stream_phase(stream, "3 hours"), "append").collect()
+    assert {(r.model, r.to_phase): r.seq for r in got} == want and len(got) == len(want) and len(want) > 4
+    by_seq = {}
+    for m in ("a", "b", None):
+        own = sorted((r for r in rows if r[1] == m), key=lambda r: (r[3], r[0]))
+        by_seq |= {(m, i + 1): r[3] for i, r in enumerate(own)}
+    assert all(str(r.ts) == by_seq[r.model, r.seq] for r in got)
 
 
 def test_ss4_sessions_match_batch(spark, views):
