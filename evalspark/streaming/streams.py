@@ -82,21 +82,83 @@ def stream_sessions(feedback: DataFrame, gap: str = "30 minutes", watermark: str
 
 
 # ----------------------------------------------------------------- SS-5
+MERGE = 8      # runs that are merged into one of the next tier
+FILES = 32     # files of a run, dealt by the key
+
+
+def _newest(rows: DataFrame, key: str, ts: str, tie: str | None) -> DataFrame:
+    """Newest row per key (IO-11 semantics); among equal times and ties the later batch."""
+    order = F.struct(F.col(ts), *([F.col(tie)] if tie else []), F.col("_batch"))
+    cols = [c for c in rows.columns if c != key]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*cols), order).alias("_r")).select(key, "_r.*")
+
+
+def _runs(spark: SparkSession, path: str) -> list[tuple[int, int]]:
+    """The (first, last) batches of the complete runs below ``path``."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(at)]
+    whole = [n for n in names if n.startswith("run=") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
+    return sorted(tuple(int(x) for x in n.removeprefix("run=").split("-")) for n in whole)
+
+
+def current_runs(spark: SparkSession, path: str) -> list[tuple[int, int]]:
+    """The runs that make up the table: from the first batch on, always the longest one.
+    At most ``MERGE - 1`` of every tier, that is (MERGE - 1) * log(batches) / log(MERGE)."""
+    out, at = [], None
+    for first, last in sorted(_runs(spark, path), key=lambda r: (r[0], -r[1])):
+        if at is None or first > at:
+            out.append((first, last))
+            at = last
+    return out
+
+
+def _read_runs(spark: SparkSession, path: str, runs: list[tuple[int, int]], schema: T.StructType | None = None) -> DataFrame:
+    reader = spark.read.schema(schema) if schema else spark.read
+    return reader.parquet(*(f"{path}/run={a}-{b}" for a, b in runs))
+
+
+def _write_run(rows: DataFrame, key: str, path: str, first: int, last: int) -> None:
+    rows.repartition(FILES, key).write.mode("overwrite").parquet(f"{path}/run={first}-{last}")
+
+
+def _drop_runs(spark: SparkSession, path: str, runs: list[tuple[int, int]]) -> None:
+    jvm = spark.sparkContext._jvm
+    for a, b in runs:
+        at = jvm.org.apache.hadoop.fs.Path(f"{path}/run={a}-{b}")
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def stream_upsert(stream: DataFrame, key: str, path: str, ts: str = "ts", tie: str | None = None,
                   checkpoint: str | None = None, trigger_available_now: bool = True):
     """SS-5: newest row per key. There is no watermark: a row counts however
     late it comes, and an exact duplicate changes nothing. Every micro-batch is
-    reduced to its newest row per key (IO-11 semantics) and written to
-    ``<path>/batch_id=<n>`` (overwrite of its own directory, so a retried
-    batch replaces itself -- exactly once). ``current_upsert_table`` gives the
-    merged table. Returns the started query."""
+    reduced to its newest row per key and written as the run ``<path>/run=<n>-<n>``
+    of at most ``FILES`` files. Whenever ``MERGE`` runs of a tier are complete they are
+    merged into one of the next, so a row is rewritten once a tier and a read sees a
+    bounded number of files however many batches there were. A run is complete with its
+    ``_SUCCESS`` file and never changes but by a retry of its own batch, which writes the
+    same rows -- exactly once; merged runs stay until the tier above is merged, for
+    readers that have listed them. ``current_upsert_table`` gives the merged table.
+    Returns the started query."""
     s = event_time(stream, ts)
-
-    def per_batch(batch: DataFrame, batch_id: int) -> None:
-        order = F.struct(F.col(ts), *([F.col(tie)] if tie else []))
-        cols = [c for c in batch.columns if c != key]
-        newest = batch.groupBy(key).agg(F.max_by(F.struct(*cols), order).alias("_r")).select(key, "_r.*")
-        newest.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
+    path = path.rstrip("/")
+
+    def per_batch(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        newest = _newest(batch.withColumn("_batch", F.lit(n).cast("long")), key, ts, tie)
+        _write_run(newest, key, path, n, n)
+        size = 1
+        while (n + 1) % (size * MERGE) == 0:
+            parts = [(k, k + size - 1) for k in range(n + 1 - size * MERGE, n + 1, size)]
+            _write_run(_newest(_read_runs(spark, path, parts, newest.schema), key, ts, tie), key, path, n + 1 - size * MERGE, n)
+            size *= MERGE
+        # what a tier before the last merged one still holds of these batches is read by nobody now
+        whole = _runs(spark, path)
+        _drop_runs(spark, path, [r for r in whole if any(a <= r[0] and r[1] <= b and (b - a + 1) > MERGE * (r[1] - r[0] + 1) for a, b in whole)])
 
     ck = checkpoint or f"{checkpoint_dir(stream.sparkSession).rstrip('/')}/evalspark-stream/{uuid.uuid4().hex}"
     w = s.writeStream.foreachBatch(per_batch).option("checkpointLocation", ck)
@@ -105,12 +167,9 @@ def stream_upsert(stream: DataFrame, key: str, path: str, ts: str = "ts", tie: s
 
 
 def current_upsert_table(spark: SparkSession, path: str, key: str, ts: str = "ts", tie: str | None = None) -> DataFrame:
-    """The merged SS-5 table: newest row per key over all batches (later batch wins a tie)."""
-    t = spark.read.parquet(path)
-    cols = [c for c in t.columns if c not in (key,)]
-    order = F.struct(F.col(ts), F.col("batch_id"), *([F.col(tie)] if tie else []))
-    return t.groupBy(key).agg(F.max_by(F.struct(*[c for c in cols if c != "batch_id"]), order).alias("_r")) \
-        .select(key, "_r.*")
+    """The SS-5 table: newest row per key over its current runs."""
+    path = path.rstrip("/")
+    return _newest(_read_runs(spark, path, current_runs(spark, path)), key, ts, tie).drop("_batch")
 
 
 # ----------------------------------------------------------------- SS-6
