@@ -2,9 +2,9 @@
 
 Each task holds its texts' distinct pieces (matches of the tokenizer's pattern) in an
 in-memory DuckDB. A piece is rows (position, token), at first its bytes. One step of
-the recursive query finds every piece's leftmost pair of minimum rank in the merge
-table, replaces it by the merged token and looks up the ranks of the two pairs that
-changed; a piece without a mergeable pair is finished. Decoding joins the ids of the
+the recursive query finds every piece's leftmost pair of minimum rank (the least key
+rank << 20 | position of its rows), replaces it by the merged token and looks up the
+ranks of the two pairs that changed; a piece without a mergeable pair is finished. Decoding joins the ids of the
 documents with the vocabulary and concatenates the tokens' bytes in an aggregate
 ordered by position.
 
@@ -22,7 +22,7 @@ from __future__ import annotations
 import base64
 import heapq
 from collections.abc import Iterator
-from itertools import islice
+from itertools import islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -33,29 +33,29 @@ from pyspark.sql import types as T
 from .common import prepared, ragged
 
 BATCH_CHARS = 8_000_000   # of text that a task encodes at once (a longer text: alone)
-PIECES = 60_000           # pieces in one recursive query
+ROWS = 4_000_000          # of all steps of one recursive query, at most (a piece of n bytes: under n * n / 2)
 KNOWN = 400_000           # pieces whose tokens a worker remembers; then it begins anew
 LONG_PIECE = 512
-MEMORY = "300MB"          # of a task's DuckDB; it spills to the task's temporary folder beyond
+MEMORY = "400MB"          # of a task's DuckDB, which writes no files: ROWS bounds what it holds
 
 CONTRACT = """
-with recursive step(n, piece, pos, follows, token, next_token, rank) as (
-    select 0, piece, pos, follows, token, next_token, m.rank
+with recursive step(n, piece, pos, follows, token, next_token, key) as (
+    select 0, piece, pos, follows, token, next_token, m.rank::bigint << 20 | pos
     from (select piece, pos, token, lead(pos) over w as follows, lead(token) over w as next_token
           from bytes window w as (partition by piece order by pos))
     left join merges m on m.pair = (token::bigint << 32) | next_token
   union all
-    select n, piece, pos, follows, token, next_token, m.rank
-    from (select s.n + 1 as n, s.piece, s.pos,
-                 case when s.pos = b.pos then gone.follows else s.follows end as follows,
-                 case when s.pos = b.pos then b.rank else s.token end as token,
-                 case when s.pos = b.pos then gone.next_token when s.follows = b.pos then b.rank else s.next_token end as next_token
+    select n, piece, pos, follows, token, next_token, case when changed then m.rank::bigint << 20 | pos else key end
+    from (select s.n + 1 as n, s.piece, s.pos, s.key, s.pos = g.pos or s.follows = g.pos as changed,
+                 case when s.pos = g.pos then g.follows else s.follows end as follows,
+                 case when s.pos = g.pos then g.rank else s.token end as token,
+                 case when s.pos = g.pos then g.next_token when s.follows = g.pos then g.rank else s.next_token end as next_token
           from step s
-          join (select piece, min(rank) as rank, arg_min(pos, rank::bigint << 20 | pos) as pos, arg_min(follows, rank::bigint << 20 | pos) as follows
-                from step where rank is not null group by piece) b on b.piece = s.piece
-          left join step gone on gone.piece = s.piece and gone.pos = b.follows and s.pos = b.pos
-          where s.pos <> b.follows)
-    left join merges m on m.pair = (token::bigint << 32) | next_token
+          join (select b.piece, (b.least & 1048575)::int as pos, (b.least >> 20)::int as rank, b.gone, x.follows, x.next_token
+                from (select piece, min(key) as least, arg_min(follows, key) as gone from step where key is not null group by piece) b
+                join step x on x.piece = b.piece and x.pos = b.gone) g on g.piece = s.piece
+          where s.pos <> g.gone)
+    left join merges m on m.pair = case when changed then (token::bigint << 32) | next_token end
 )
 select piece, token from step semi join (select piece, max(n) as n from step group by piece) last using (piece, n) order by piece, pos
 """
@@ -75,6 +75,14 @@ def splitter(pattern: str):
     return regex.compile(pattern.replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}"))
 
 
+class _Numbers(dict):
+    """key -> its rank in order of first sight."""
+
+    def __missing__(self, key):
+        self[key] = n = len(self)
+        return n
+
+
 class Codec:
     """Encoder and decoder of one vocabulary."""
 
@@ -85,7 +93,7 @@ class Codec:
         self._forget()
         self.byte_tokens = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
         merges = [(ranks[t[:k]] << 32 | ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": ""})
         self._load("merges", {"pair": pa.array([p for p, _ in merges], pa.int64()), "rank": pa.array([r for _, r in merges], pa.int32())})
         # a byte b is the symbol U+0100 + b, so that tokens that are no whole characters are texts too
         self._load("vocabulary", {"token": pa.array(list(ranks.values()), pa.int32()), "symbols": pa.array(["".join(chr(256 + b) for b in t) for t in ranks])})
@@ -138,8 +146,8 @@ class Codec:
             else:
                 rest.append(i)
         rest.sort(key=lambda i: len(pieces[i]))  # pieces of like length take like numbers of steps
-        for k in range(0, len(rest), PIECES):
-            own = rest[k:k + PIECES]
+        held = np.cumsum([len(pieces[i]) * (len(pieces[i]) + 1) // 2 for i in rest]) // ROWS
+        for own in (rest[a:b] for a, b in pairwise([0, *(np.flatnonzero(np.diff(held)) + 1).tolist(), len(rest)]) if b > a):
             tokens, sizes = self._contract([pieces[i] for i in own])
             ends = np.cumsum(sizes)
             for i, a, b in zip(own, (ends - sizes).tolist(), ends.tolist()):
@@ -148,7 +156,7 @@ class Codec:
         return np.concatenate([np.asarray(f, np.int32) for f in found]) if found else np.zeros(0, np.int32), sizes
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}  # piece -> its number
+        self.known = _Numbers()  # piece -> its number
         self.tokens, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64)  # of all known pieces
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -156,8 +164,8 @@ class Codec:
         if len(self.known) > KNOWN:
             self._forget()
         index, had = self.known, len(self.known)
-        number = index.setdefault
-        refs = [np.fromiter((number(p, len(index)) for p in self.find(t)) if t else (), np.int32) for t in texts]
+        number = index.__getitem__
+        refs = [np.fromiter(map(number, self.find(t)) if t else (), np.int32) for t in texts]
         new = [p.encode() for p in islice(index, had, None)]
         tokens, sizes = self.pieces(new)
         self.tokens, self.sizes = np.concatenate([self.tokens, tokens]), np.concatenate([self.sizes, sizes])
