@@ -8,9 +8,9 @@ Scale design:
 * BD-1 keeps A = I + sum x x^T and b = sum r x as d(d+1)/2 + d additive
   sum columns: one hash aggregate with map-side partial sums, so a hot
   (model, arm) costs nothing extra and the result has one row per arm.
-* Solving A^-1 happens on those arm rows only (pandas, numpy), then the
-  per-model arm parameters are joined to the contexts; the UCB of every arm
-  is evaluated in one pass with higher-order array functions.
+* Solving A^-1 is an elimination unrolled as column expressions, on those arm rows
+  only; the per-model arm parameters are joined to the contexts and the UCB of every
+  arm is evaluated in one pass with higher-order array functions.
 * BD-3 (scores before each event) uses distributed prefix sums
   (``sequence.prefix_sums``) instead of a per-arm window.
 """
@@ -19,10 +19,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .ranking import top_k_per_group
 from .sequence import ROWS_PER_CHUNK, chunked, materialize, prefix_sums, rolled
@@ -60,43 +58,53 @@ def arm_statistics(feedback: DataFrame, d: int, by: Sequence[str] = ("model", "s
                     (F.col("reward_sum") / F.col("count")).alias("mean_reward"), "successes")
 
 
-def _unpack(packed: np.ndarray, d: int) -> np.ndarray:
-    """(n, d(d+1)/2) packed upper triangles -> (n, d, d) symmetric matrices."""
-    n = packed.shape[0]
-    m = np.zeros((n, d, d))
-    iu = np.triu_indices(d)
-    m[:, iu[0], iu[1]] = packed
-    m[:, iu[1], iu[0]] = packed
-    return m
+def _minus(first: Column, *products: tuple[Column, Column]) -> Column:
+    """``first`` less the products, one after another."""
+    for x, y in products:
+        first = first - x * y
+    return first
 
 
-def solve_arms(stats: DataFrame, d: int, by: Sequence[str] = ("model", "strategy")) -> DataFrame:
-    """A^-1, theta = A^-1 b, ||theta|| and trace(A^-1) for every arm row.
+def _sum(terms: Sequence[Column]) -> Column:
+    total = terms[0]
+    for t in terms[1:]:
+        total = total + t
+    return total
 
-    One row per arm, so the numpy work is on (#models x #arms) matrices of
-    size d x d -- independent of the number of feedback rows.
-    """
+
+def eliminated(df: DataFrame, a, d: int) -> DataFrame:
+    """``df`` with the elimination of a symmetric positive definite d x d matrix, whose
+    upper entries are ``a(i, j)``, unrolled as columns: A = L U with rows ``_u<k>_<j>`` of U
+    and ``_l<j>_<k>`` = ``_u<k>_<j>`` / ``_u<k>_<k>``. Every step is a projection of its
+    own, so no expression grows beyond d products."""
+    c = F.col
+    for k in range(d):
+        df = df.select("*", *(_minus(a(k, j), *((c(f"_l{k}_{m}"), c(f"_u{m}_{j}")) for m in range(k))).alias(f"_u{k}_{j}") for j in range(k, d)))
+        df = df.select("*", *((c(f"_u{k}_{j}") / c(f"_u{k}_{k}")).alias(f"_l{j}_{k}") for j in range(k + 1, d)))
+    return df
+
+
+def forward(df: DataFrame, sides: dict[str, Sequence[Column]], d: int) -> DataFrame:
+    """With ``_<name><k>`` = (L^-1 r)_k of every right side ``name`` -> r after ``eliminated``."""
+    for k in range(d):
+        df = df.select("*", *(_minus(r[k], *((F.col(f"_l{k}_{m}"), F.col(f"_{name}{m}")) for m in range(k))).alias(f"_{name}{k}") for name, r in sides.items()))
+    return df
+
+
+def solve_arms(stats: DataFrame, d: int, by: Sequence[str] = ("model", "strategy")) -> DataFrame:
+    """A^-1, theta = A^-1 b, ||theta|| and trace(A^-1) for every arm row, as column
+    expressions: with M = L^-1, A^-1 = M^T diag(U)^-1 M."""
     by = list(by)
-    schema = T.StructType([f for f in stats.schema.fields if f.name in by] + [
-        T.StructField("a_inv", T.ArrayType(T.DoubleType())), T.StructField("theta", T.ArrayType(T.DoubleType())),
-        T.StructField("theta_norm", T.DoubleType()), T.StructField("confidence_trace", T.DoubleType())])
-
-    def run(it):
-        for pdf in it:
-            if pdf.empty:
-                continue
-            packed = np.stack(pdf["a_packed"].to_numpy())
-            bs = np.stack(pdf["b"].to_numpy())
-            inv = np.linalg.inv(_unpack(packed, d))
-            theta = np.einsum("nij,nj->ni", inv, bs)
-            out = pdf[by].copy()
-            out["a_inv"] = list(inv.reshape(len(pdf), d * d))
-            out["theta"] = list(theta)
-            out["theta_norm"] = np.linalg.norm(theta, axis=1)
-            out["confidence_trace"] = np.trace(inv, axis1=1, axis2=2)
-            yield out
-
-    return stats.select(*by, "a_packed", "b").mapInPandas(run, schema)
+    place = {p: k for k, p in enumerate(_pairs(d))}
+    df = eliminated(stats.select(*by, "a_packed", "b"), lambda i, j: F.col("a_packed")[place[i, j]], d)
+    unit = {f"m{i}_": [F.lit(1.0 if k == i else 0.0) for k in range(d)] for i in range(d)}
+    df = forward(df, {"y": [F.col("b")[k] for k in range(d)], **unit}, d)
+    m, diagonal = (lambda i, k: F.col(f"_m{i}_{k}")), (lambda k: F.col(f"_u{k}_{k}"))
+    inverse = [_sum([m(i, k) * m(j, k) / diagonal(k) for k in range(max(i, j), d)]) for i in range(d) for j in range(d)]
+    theta = [_sum([m(i, k) * F.col(f"_y{k}") / diagonal(k) for k in range(i, d)]) for i in range(d)]
+    df = df.select(*by, F.array(*inverse).alias("a_inv"), F.array(*theta).alias("theta"))
+    return df.select("*", F.sqrt(_sum([F.col("theta")[i] * F.col("theta")[i] for i in range(d)])).alias("theta_norm"),
+                     _sum([F.col("a_inv")[i * d + i] for i in range(d)]).alias("confidence_trace"))
 
 
 def _quad(x: Column, a_inv: Column, d: int) -> Column:
@@ -144,8 +152,9 @@ def replay_scores(feedback: DataFrame, d: int, alpha: float = 2.0, x: str = "x",
     computed from the arm's history **before** the event.
 
     Prefix sums of the x x^T and r x terms per (model, arm) come from
-    ``prefix_sums`` (exclusive = inclusive minus the row's own term); the
-    batched solve runs in ``mapInPandas`` with numpy over each Arrow batch.
+    ``prefix_sums`` (exclusive = inclusive minus the row's own term). One elimination of
+    the row's matrix serves both right sides: with y = L^-1 b and z = L^-1 x,
+    x^T A^-1 b = sum z y / diag(U) and x^T A^-1 x = sum z z / diag(U).
     """
     feedback = feedback.withColumn(x, context(x, d))
     by = list(by)
@@ -153,30 +162,14 @@ def replay_scores(feedback: DataFrame, d: int, alpha: float = 2.0, x: str = "x",
     cols = {f"a{i}_{j}": xs[i] * xs[j] for i, j in _pairs(d)}
     cols.update({f"b{i}": F.col(reward) * xs[i] for i in range(d)})
     p = prefix_sums(feedback, by, order, cols)
-    a_prev = F.array(*[F.col(f"cum_a{i}_{j}") - xs[i] * xs[j] + (1.0 if i == j else 0.0) for i, j in _pairs(d)])
-    b_prev = F.array(*[F.col(f"cum_b{i}") - F.col(reward) * xs[i] for i in range(d)])
-    keep = [c for c in feedback.columns]
-    q = p.select(*keep, F.col("seq").alias("arm_seq"), a_prev.alias("_a"), b_prev.alias("_b"))
-    schema = T.StructType([f for f in q.schema.fields if f.name not in ("_a", "_b")] + [
-        T.StructField("predicted", T.DoubleType()), T.StructField("width", T.DoubleType()),
-        T.StructField("ucb", T.DoubleType())])
-
-    def run(it):
-        for pdf in it:
-            if pdf.empty:
-                continue
-            a = _unpack(np.stack(pdf["_a"].to_numpy()), d)
-            b = np.stack(pdf["_b"].to_numpy())
-            xv = np.stack(pdf[x].to_numpy())
-            theta = np.linalg.solve(a, b[..., None])[..., 0]
-            ainv_x = np.linalg.solve(a, xv[..., None])[..., 0]
-            pred = np.einsum("ni,ni->n", xv, theta)
-            width = alpha * np.sqrt(np.maximum(np.einsum("ni,ni->n", xv, ainv_x), 0.0))
-            out = pdf.drop(columns=["_a", "_b"])
-            out["predicted"], out["width"], out["ucb"] = pred, width, pred + width
-            yield out
-
-    return q.mapInPandas(run, schema)
+    before = [(F.col(f"cum_a{i}_{j}") - xs[i] * xs[j] + (1.0 if i == j else 0.0)).alias(f"_a{i}_{j}") for i, j in _pairs(d)]
+    before += [(F.col(f"cum_b{i}") - F.col(reward) * xs[i]).alias(f"_b{i}") for i in range(d)]
+    q = p.select(*feedback.columns, F.col("seq").alias("arm_seq"), *before)
+    q = eliminated(q, lambda i, j: F.col(f"_a{i}_{j}"), d)
+    q = forward(q, {"y": [F.col(f"_b{i}") for i in range(d)], "z": xs}, d)
+    each = lambda r: _sum([F.col(f"_z{k}") * F.col(f"_{r}{k}") / F.col(f"_u{k}_{k}") for k in range(d)])
+    q = q.select(*feedback.columns, "arm_seq", each("y").alias("predicted"), (F.lit(float(alpha)) * F.sqrt(F.greatest(each("z"), F.lit(0.0)))).alias("width"))
+    return q.withColumn("ucb", F.col("predicted") + F.col("width"))
 
 
 # ----------------------------------------------------------------- BD-4

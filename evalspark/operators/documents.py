@@ -1,11 +1,9 @@
 """Operators the reference specifies in its documents (DX-*), over the
 document, benchmark, label and conversation tables.
 
-DX-1 (n-gram contamination) is the heavy one: the benchmark side (items and
-their n-grams) is small and bounded by the benchmark; the corpus side is
-tokenised per row, its n-grams streamed through a broadcast hash join
-against the item n-grams, and only hits are shuffled (grouped by
-(document, item)).
+DX-1 (n-gram contamination) is the heavy one: the corpus side is tokenised per
+row, its n-grams are probed against a Bloom filter of the items' n-grams before they
+become rows, and only what may be a hit is joined and grouped.
 """
 
 from __future__ import annotations
@@ -35,6 +33,38 @@ def ngrams(words: Column, n: int) -> Column:
     return F.when(F.size(words) >= n, grams).otherwise(F.array().cast("array<string>"))
 
 
+BLOOM_BITS = 16      # a key of the filter, about; two are probed: 1.4 % pass by chance
+BLOOM_WORDS = 1 << 20  # of 64 bits, at most (8 MB): with more keys more pass by chance, none is lost
+
+
+def bloom_words(keys: DataFrame, key: str) -> DataFrame:
+    """One row ``_bits``: a Bloom filter over the long ``key``, as an array of 64-bit words
+    (a power of two of them), built by an aggregate."""
+    sized = keys.agg(F.count(F.lit(1)).alias("_n")).select(
+        F.least(F.lit(BLOOM_WORDS), F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.col("_n") * (BLOOM_BITS / 64), F.lit(2.0)))))).cast("long").alias("_size"))
+    at = keys.crossJoin(F.broadcast(sized)).select(F.explode(F.array(*(_place(F.col(key), F.col("_size"), k) for k in (0, 1)))).alias("p"))
+    words = at.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b"))
+    # words without a key are zero
+    every = sized.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("_size") - 1)).alias("w"))
+    dense = every.join(words, "w", "left").select("w", F.coalesce("b", F.lit(0).cast("long")).alias("b"))
+    return dense.agg(F.transform(F.array_sort(F.collect_list(F.struct("w", "b"))), lambda x: x["b"]).alias("_bits"))
+
+
+def _place(key: Column, words: Column, k: int) -> Column:
+    """The ``k``-th bit of a key in a filter of ``words`` words."""
+    return (F.shiftrightunsigned(key, 31 * k)).bitwiseAND(words * 64 - 1)
+
+
+def might_hold(bits: Column, key: Column) -> Column:
+    """Whether the filter ``bits`` may hold ``key``; False is certain."""
+    size = F.size(bits).cast("long")
+
+    def probe(k: int) -> Column:
+        p = _place(key, size, k)
+        return F.getbit(F.get(bits, F.shiftright(p, 6).cast("int")), p.bitwiseAND(F.lit(63)).cast("int")) == 1
+    return probe(0) & probe(1)
+
+
 def ngram_contamination(corpus: DataFrame, items: DataFrame, n: int = 8, doc_id: str = "doc_id",
                         item_id: str = "item_id", text: str = "text") -> DataFrame:
     """DX-1 (specified in the documents): for every (document, item) that
@@ -42,24 +72,31 @@ def ngram_contamination(corpus: DataFrame, items: DataFrame, n: int = 8, doc_id:
     distinct n-grams and containment = shared / item n-grams.
 
     N-grams meet by their 64-bit ``xxhash64``, and a meeting counts only if a second,
-    independent hash agrees too (128 bits in all). Which side is broadcast, if any, is
-    the planner's choice by size.
+    independent hash agrees too (128 bits in all). A Bloom filter over the items' hashes
+    (at most 8 MB, broadcast) is probed inside a document's array of hashes, so an
+    n-gram becomes a row, and is hashed a second time, only if it may be an item's.
     """
-    # tokens are a column first: a lambda over the tokenising expression would run the regex for every n-gram
-    def grams(df: DataFrame, key: str, second: str) -> DataFrame:
-        """n-grams of every text as (key, hash, second hash)."""
-        t = df.select(key, tokens(text).alias("_w"))
-        pair = lambda i: F.struct(F.xxhash64(F.slice("_w", i, n)).alias("h"), F.xxhash64(F.lit(n), F.slice("_w", i, n)).alias(second))
-        return t.filter(F.size("_w") >= n).select(key, F.inline(F.transform(F.sequence(F.lit(1), F.size("_w") - (n - 1)), pair)))
-
-    it = grams(items, item_id, "_i").distinct()
+    # tokens and hashes are columns first: a lambda over the expressions would run them for every n-gram
+    def hashed(df: DataFrame, key: str) -> DataFrame:
+        t = df.select(key, tokens(text).alias("_w")).filter(F.size("_w") >= n)
+        return t.select(key, "_w", F.transform(F.sequence(F.lit(1), F.size("_w") - (n - 1)), lambda i: F.xxhash64(F.slice("_w", i, n))).alias("_h"))
+
+    def rows(df: DataFrame, key: str, places: Column, second: str) -> DataFrame:
+        pair = lambda i: F.struct(F.get("_h", i).alias("h"), F.xxhash64(F.lit(n), F.slice("_w", i + 1, n)).alias(second))
+        return df.select(key, F.inline(F.transform(places, pair)))
+
+    every = F.sequence(F.lit(0), F.size("_h") - 1)
+    it = rows(hashed(items, item_id), item_id, every, "_i").distinct()
     totals = it.groupBy(item_id).agg(F.count(F.lit(1)).alias("item_ngrams"))
-    hits = (grams(corpus, doc_id, "_d").join(it, "h").where("_d = _i")
+    probed = hashed(corpus, doc_id).crossJoin(F.broadcast(bloom_words(it.select("h").distinct(), "h")))
+    may = F.filter(every, lambda i: might_hold(F.col("_bits"), F.get("_h", i)))
+    hits = (rows(probed, doc_id, may, "_d").join(it, "h").where("_d = _i")
             .groupBy(doc_id, item_id).agg(F.count_distinct("h", "_i").alias("shared_ngrams")))
     return (hits.join(totals, item_id)
             .withColumn("containment", F.col("shared_ngrams") / F.col("item_ngrams")))
 
 
+
 def paraphrase_drop(samples: DataFrame, original: str = "direct", paraphrase: str = "instruction",
                     keys: Sequence[str] = ("model", "problem_id"), template: str = "template",
                     passed: str = "passed") -> DataFrame:

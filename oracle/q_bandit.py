@@ -246,3 +246,102 @@ g AS (SELECT model, count(*) AS rows, avg(score) FILTER (WHERE ra <= 5) AS e, av
 SELECT model, rows, round(e, 6) AS early_mean, round(l, 6) AS late_mean, round(l - e, 6) AS gain,
        round(CASE WHEN rows >= 10 THEN least(greatest(2 * (l - e), 0.0), 1.0) ELSE 0.0 END, 6) AS learning_rate
 FROM g""", "eval_results")
+
+
+# ----------------------------------------------------------------- elimination
+def _less(first: str, products) -> str:
+    return "(" + " - ".join([first, *(f"{x} * {y}" for x, y in products)]) + ")"
+
+
+def _eliminated(source: str, entry, sides: dict[str, list[str]]) -> str:
+    """``source`` (a FROM item) with the elimination of a symmetric D x D matrix and the forward
+    substitution of right sides, a subselect for each step."""
+    at = source
+    steps = []
+    for k in range(D):
+        steps.append([f"{_less(entry(k, j), [(f'l{k}_{m}', f'u{m}_{j}') for m in range(k)])} AS u{k}_{j}" for j in range(k, D)])
+        steps.append([f"u{k}_{j} / u{k}_{k} AS l{j}_{k}" for j in range(k + 1, D)])
+    for k in range(D):
+        steps.append([f"{_less(r[k], [(f'l{k}_{m}', f'{n}{m}') for m in range(k)])} AS {n}{k}" for n, r in sides.items()])
+    for step in steps:
+        if step:
+            at = f"(SELECT *, {', '.join(step)} FROM {at})"
+    return at
+
+
+def _plus(terms) -> str:
+    return "(" + " + ".join(terms) + ")"
+
+
+_STATS = "(SELECT model, strategy, " + ", ".join(
+    f"sum((x[{i + 1}] * x[{j + 1}])::DECIMAL(28,12))::DOUBLE + {1.0 if i == j else 0.0} AS a{i}_{j}" for i, j in PAIRS) + ", " + ", ".join(
+    f"sum((quality_score * x[{i + 1}])::DECIMAL(28,12))::DOUBLE AS b{i}" for i in range(D)) + " FROM feedback GROUP BY model, strategy)"
+_UNIT = {f"m{i}_": [("1.0" if k == i else "0.0") + "::DOUBLE" for k in range(D)] for i in range(D)}
+_ARMS = _eliminated(_STATS, lambda i, j: f"a{i}_{j}", {"y": [f"b{i}" for i in range(D)], **_UNIT})
+_INV = {(i, j): _plus(f"m{i}_{k} * m{j}_{k} / u{k}_{k}" for k in range(max(i, j), D)) for i in range(D) for j in range(D)}
+_THETA = [_plus(f"m{i}_{k} * y{k} / u{k}_{k}" for k in range(i, D)) for i in range(D)]
+SOLVED = ("arms AS (SELECT *, sqrt(" + _plus(f"t{i} * t{i}" for i in range(D)) + ") AS theta_norm, " + _plus(f"i{i}_{i}" for i in range(D)) + " AS confidence_trace FROM (SELECT model, strategy, "
+          + ", ".join(f"{_THETA[i]} AS t{i}" for i in range(D)) + ", " + ", ".join(f"{e} AS i{i}_{j}" for (i, j), e in _INV.items()) + f" FROM {_ARMS}))")
+_QUAD = "0.0::DOUBLE + " + " + ".join(f"f.x[{i + 1}] * a.i{i}_{j} * f.x[{j + 1}]" for i in range(D) for j in range(D))
+SCORED = ("scored AS (SELECT f.event_id, f.model, a.strategy AS arm, 0.0::DOUBLE + " + " + ".join(f"f.x[{i + 1}] * a.t{i}" for i in range(D))
+          + f" + 2.0 * sqrt(greatest({_QUAD}, 0.0)) AS ucb FROM feedback f JOIN arms a ON f.model = a.model)")
+
+_reg("bd2_score_contexts", f"""
+WITH {SOLVED}, {SCORED},
+best AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY ucb DESC, arm) AS r FROM scored)
+SELECT event_id, model, arm AS best_arm, round(ucb, 6) AS best_ucb FROM best WHERE r = 1""", FB)
+
+_reg("bd4_diversity_override", f"""
+WITH {SOLVED}, {SCORED},
+f AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY ts, event_id) AS seq FROM feedback),
+w AS (SELECT a.event_id, a.model, a.strategy, a.seq, least(a.seq - 1, 20) AS n_prev,
+       count(DISTINCT b.strategy) AS used, count(*) FILTER (WHERE b.strategy = a.strategy) AS chosen,
+       {_cnt}
+      FROM f a LEFT JOIN f b ON a.model = b.model AND b.seq BETWEEN a.seq - 20 AND a.seq - 1
+      GROUP BY a.event_id, a.model, a.strategy, a.seq),
+e AS (SELECT event_id, model, strategy, seq - 1 >= 10 AND (used / {NA} < 0.4 OR chosen / n_prev > 0.6) AS enforce,
+             string_split({_under}, ',') AS under FROM w),
+picks AS (SELECT e.event_id, s.arm, row_number() OVER (PARTITION BY e.event_id ORDER BY s.ucb DESC, s.arm) AS r
+          FROM e JOIN scored s USING (event_id) WHERE e.enforce AND list_contains(e.under, s.arm))
+SELECT e.event_id, e.model, e.strategy, e.enforce, p.arm AS override_arm FROM e LEFT JOIN picks p ON p.event_id = e.event_id AND p.r = 1""", FB)
+
+_reg("bd5_strategy_performance_theta", f"""
+WITH {PERF}, {SOLVED}
+SELECT p.model, p.strategy, total_trials, round(mean_reward, 6) AS mean_reward, round(success_rate, 6) AS success_rate,
+       round(recent_mean_reward, 6) AS recent_mean_reward, round(recent_std_reward, 6) AS recent_std_reward,
+       round(CASE WHEN total_trials > 0 THEN theta_norm ELSE 0.0 END, 6) AS theta_norm,
+       round(CASE WHEN total_trials > 0 THEN confidence_trace ELSE 1.0 END, 6) AS confidence_trace
+FROM perf p LEFT JOIN arms USING (model, strategy)""", FB)
+
+_BEFORE = ("(SELECT *, row_number() OVER w AS arm_seq, " + ", ".join(
+    f"sum(x[{i + 1}] * x[{j + 1}]) OVER w - x[{i + 1}] * x[{j + 1}] + {1.0 if i == j else 0.0} AS a{i}_{j}" for i, j in PAIRS) + ", " + ", ".join(
+    f"sum(quality_score * x[{i + 1}]) OVER w - quality_score * x[{i + 1}] AS b{i}" for i in range(D))
+    + " FROM feedback WINDOW w AS (PARTITION BY model, strategy ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))")
+_REPLAYED = _eliminated(_BEFORE, lambda i, j: f"a{i}_{j}", {"y": [f"b{i}" for i in range(D)], "z": [f"x[{i + 1}]" for i in range(D)]})
+REPLAY = ("replay AS (SELECT *, predicted + width AS ucb FROM (SELECT *, " + _plus(f"z{k} * y{k} / u{k}_{k}" for k in range(D)) + " AS predicted, 2.0 * sqrt(greatest("
+          + _plus(f"z{k} * z{k} / u{k}_{k}" for k in range(D)) + f", 0.0)) AS width FROM {_REPLAYED}))")
+
+_reg("bd3_replay_scores", f"""
+WITH {REPLAY}
+SELECT event_id, model, strategy, arm_seq, round(predicted, 6) AS predicted, round(width, 6) AS width, round(ucb, 6) AS ucb FROM replay""", FB)
+
+ADAPT = "adapt AS (SELECT *, ucb < 0.6 AS exploration, least(quality_score / greatest(predicted, 0.1), 2.0) AS effectiveness FROM replay)"
+_reg("bd9_adaptation_rows", f"""
+WITH {REPLAY}, {ADAPT}
+SELECT event_id, model, strategy, round(ucb, 6) AS ucb, round(predicted, 6) AS predicted, exploration,
+       round(effectiveness, 6) AS adaptation_effectiveness FROM adapt""", FB)
+
+_reg("bd10_adaptation_analytics", f"""
+WITH {REPLAY}, {ADAPT},
+r AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY ts, event_id) AS up,
+             row_number() OVER (PARTITION BY model ORDER BY ts DESC, event_id DESC) AS down, count(*) OVER (PARTITION BY model) AS n FROM adapt),
+g AS (SELECT model, any_value(n) AS n, count(*) FILTER (WHERE success) AS ok, least(20, any_value(n) // 2) AS w,
+             avg(quality_score) FILTER (WHERE up <= 10) AS early10, avg(quality_score) FILTER (WHERE down <= 10) AS late10,
+             sum(quality_score) FILTER (WHERE up <= least(20, n // 2)) AS early_w, sum(quality_score) FILTER (WHERE down <= least(20, n // 2)) AS late_w,
+             avg(exploration::DOUBLE) FILTER (WHERE down <= 50) AS rate FROM r GROUP BY model)
+SELECT model, n AS total_requests, ok AS successful_adaptations, round(ok / greatest(n, 1), 6) AS success_rate,
+       round(CASE WHEN n >= 10 THEN greatest(0.0, least((late10 - early10) * 2.0, 1.0)) ELSE 0.0 END, 6) AS adaptation_efficiency,
+       round(CASE WHEN n >= 5 AND w > 0 THEN early_w / w END, 6) AS early_avg_quality, round(CASE WHEN n >= 5 AND w > 0 THEN late_w / w END, 6) AS recent_avg_quality,
+       round(CASE WHEN n >= 5 AND w > 0 THEN (late_w - early_w) / w END, 6) AS quality_improvement,
+       CASE WHEN n >= 5 AND w > 0 THEN CASE WHEN late_w > early_w THEN 'improving' ELSE 'stable' END END AS learning_trajectory,
+       round(rate, 6) AS current_exploration_rate FROM g""", FB)
