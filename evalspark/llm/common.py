@@ -42,9 +42,17 @@ def put_bytes(spark: SparkSession, name: str, data: bytes) -> str:
     return path
 
 
+BATCH_BYTES = 16 << 20  # of an Arrow batch for the Python workers, about
+
+
 def prepared(spark: SparkSession) -> SparkSession:
-    """The session, with this package importable in the Python workers."""
+    """The session, with this package importable in the Python workers, and with Arrow
+    batches of at most ``BATCH_BYTES`` where the session does not ask for smaller ones:
+    rows are whole texts, and their number says nothing about a batch's size."""
     ship_package(spark)
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(setting, str(64 << 20)).rstrip("bB")) > BATCH_BYTES:
+        spark.conf.set(setting, str(BATCH_BYTES))
     return spark
 
 

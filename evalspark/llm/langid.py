@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,8 @@ UNKNOWN = 1e-9       # probability of a character that is no piece
 START = "▁"     # word-start mark of the vocabulary
 UNDETERMINED = "und"
 CELLS = 2_000_000    # word positions handled at once
+SLICE = 4_000_000    # characters of text handled at once, about
+KNOWN = 250_000      # words that a task remembers; then it begins anew
 _WORDS = re.compile(r"[^\W\d_]+").findall
 
 
@@ -216,26 +219,45 @@ class Model:
     pieces: list[str]
     probabilities: np.ndarray
 
-    def predict(self, texts: list[str | None], lattice: Lattice | None = None) -> tuple[list[str], np.ndarray]:
+    def predict(self, texts: list[str | None], scorer: Scorer | None = None) -> tuple[list[str], np.ndarray]:
         """(language, posterior probability) of each text; ``und`` and 0 without a letter
         or without any language to choose from."""
-        lattice = lattice or Lattice(self.pieces)
-        index: dict[str, int] = {}
-        refs = [np.fromiter((index.setdefault(w, len(index)) for w in words_of(t)), np.int64) for t in texts]
-        sums = np.zeros((len(texts), len(self.languages)))
-        if self.languages and index:
-            scores = word_scores(list(index), lattice, self.probabilities)
-            for i, r in enumerate(refs):
-                if len(r):
-                    sums[i] = scores[r].sum(axis=0)
         if not self.languages:
             return [UNDETERMINED] * len(texts), np.zeros(len(texts))
+        sums, empty = (scorer or Scorer(self)).sums(texts)
         best = sums.argmax(axis=1)
         score = 1.0 / np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1)
-        empty = np.fromiter((len(r) == 0 for r in refs), bool, len(refs))
         return [UNDETERMINED if e else self.languages[b] for b, e in zip(best.tolist(), empty.tolist())], np.where(empty, 0.0, score)
 
 
+class Scorer:
+    """Scores of texts by a model; a word is scored once as long as it is remembered."""
+
+    def __init__(self, model: Model):
+        self.lattice, self.probabilities = Lattice(model.pieces), model.probabilities
+        self.known: dict[str, int] = {}
+        self.scores = np.zeros((0, len(model.languages)))
+
+    def _sums(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.known) > KNOWN:
+            self.known, self.scores = {}, self.scores[:0]
+        index, had = self.known, len(self.known)
+        refs = [np.fromiter((index.setdefault(w, len(index)) for w in words_of(t)), np.int32) for t in texts]
+        new = list(islice(index, had, None))
+        if new:
+            self.scores = np.concatenate([self.scores, word_scores(new, self.lattice, self.probabilities)])
+        sums = np.array([self.scores[r].sum(axis=0) for r in refs]).reshape(len(texts), self.scores.shape[1])
+        return sums, np.fromiter((len(r) == 0 for r in refs), bool, len(refs))
+
+    def sums(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(log P(text | language) of each text, whether it has no letter), a few million
+        characters at a time."""
+        ends = np.cumsum([len(t or "") for t in texts]) // SLICE
+        cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(texts)]
+        found = [self._sums(texts[a:b]) for a, b in pairwise(cuts)]
+        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
 def _word_counts(texts: DataFrame) -> DataFrame:
     """(lang, word, n) of (lang, text)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,11 +301,10 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = None
+        own, scorer = shipped.value, None
         for batch in batches:
-            own = shipped.value
-            lattice = lattice or Lattice(own.pieces)
-            lang, score = own.predict(batch.column(at).to_pylist(), lattice)
+            scorer = scorer or Scorer(own)
+            lang, score = own.predict(batch.column(at).to_pylist(), scorer)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))

@@ -179,13 +179,12 @@ def group_ids(prints: DataFrame) -> DataFrame:
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """The rows of ``docs`` that stay: of every component the document with the
     smallest id (of rows that repeat it, one; without any id in the component, one
-    row)."""
-    mark, group = "__fingerprint", "__component"
-    marked = stored(with_fingerprint(docs, text_col, shingle, mark), "simhash-docs")
-    named = group_ids(marked.select(F.col(id_col).cast("long").alias("doc_id"), F.col(mark).alias("fingerprint")))
-    # the row of a component that stays is named by its (id, fingerprint)
-    rows = marked.select(F.col(id_col).cast("long").alias("i"), F.col(mark).alias("fingerprint")).join(named, "fingerprint")
-    stays = rows.groupBy("root").agg(F.min(F.struct(F.col("i").isNull().alias("n"), "i", "fingerprint")).alias("s"))
-    stays = stays.select(F.col("s.i").alias("__i"), F.col("s.fingerprint").alias("__f"))
-    kept = marked.join(stays, marked[id_col].cast("long").eqNullSafe(F.col("__i")) & (F.col(mark) == F.col("__f")), "left_semi")
-    return kept.dropDuplicates([id_col, mark]).select(docs.columns)
+    row). Rows are numbered in the written table; numbers, ids and fingerprints are
+    compared, and a text moves once, to its number."""
+    mark, row = "__fingerprint", "__row"
+    marked = stored(with_fingerprint(docs, text_col, shingle, mark).withColumn(row, F.monotonically_increasing_id()), "simhash-docs")
+    small = marked.select(F.col(id_col).cast("long").alias("doc_id"), F.col(mark).alias("fingerprint"), row)
+    named = group_ids(small).select("fingerprint", "root")
+    first = small.groupBy("fingerprint").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", row)).alias("s"))
+    stays = first.join(named, "fingerprint").groupBy("root").agg(F.min("s").alias("s")).select(F.col(f"s.{row}").alias(row))
+    return marked.join(stays, row, "left_semi").select(docs.columns)
