@@ -13,15 +13,12 @@ any shuffle and reach the bootstrap as a handful of cells.
 
 from __future__ import annotations
 
-import zlib
 from typing import Iterable, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from ..functions import draws
 from .keys import join_keys
 
 DEFAULT_KS = (1, 5, 10)
@@ -85,67 +82,36 @@ def pass_at_k(samples: DataFrame, by=("model",), ks: Iterable[int] = DEFAULT_KS,
 
 # ----------------------------------------------------------------------
 # PK-3
-def _seed(seed: int, key: str) -> int:
-    return zlib.crc32(f"{seed}|{key}".encode()) & 0x7FFFFFFF
-
-
-def _unbiased_np(n: np.ndarray, c: np.ndarray, k: int) -> np.ndarray:
-    out = np.empty(len(n), dtype=float)
-    for j, (nn, cc) in enumerate(zip(n, c)):
-        ke = min(k, nn)
-        if cc == 0:
-            out[j] = 0.0
-        elif nn - cc < ke:
-            out[j] = 1.0
-        else:
-            out[j] = 1.0 - float(np.prod(1.0 - ke / np.arange(nn - cc + 1, nn + 1)))
-    return out
-
-
 def pass_at_k_bootstrap(samples: DataFrame, by=("model",), ks: Iterable[int] = DEFAULT_KS,
                         n_boot: int = 1000, confidence: float = 0.95, seed: int = 42,
                         problem: str = "problem_id", passed: str = "passed") -> DataFrame:
     """PK-3: percentile bootstrap interval of PK-2, resampling problems.
 
-    A replicate draws N problems with replacement; since problems enter only
-    through their (n, c) cell this equals multinomial counts over the cells
-    with probabilities w/N. One ``applyInPandas`` call per group sees only
-    that group's cells (bounded size); the random stream is keyed by
-    (seed, group), never by partition, so the result is reproducible.
-    Interval: numpy's linear percentile at (1-conf)/2 and 1-(1-conf)/2.
+    Every problem of a replicate counts Poisson(1) times (the Poisson bootstrap); problems
+    enter only through their (n, c) cell, so a cell counts Poisson(w) times, one draw
+    whatever the number of problems. The draw is a function of (seed, group, cell,
+    replicate): reproducible anywhere. A replicate without a problem does not count.
+    Interval: linear percentile at (1-conf)/2 and 1-(1-conf)/2.
     """
     by = _cols(by)
     return cell_bootstrap(cells(problem_counts(samples, by, problem, passed), by), by, ks, n_boot, confidence, seed)
 
 
+def _interval(reps: DataFrame, by: list[str], value: str, confidence: float) -> DataFrame:
+    alpha = (1.0 - confidence) / 2.0
+    ends = reps.groupBy(*by).agg(F.percentile(value, F.array(F.lit(alpha), F.lit(1.0 - alpha))).alias("_e"))  # of n_boot values
+    return ends.select(*by, F.col("_e")[0].alias("ci_low"), F.col("_e")[1].alias("ci_high"))
+
+
 def cell_bootstrap(cl: DataFrame, by: Iterable[str], ks: Iterable[int], n_boot: int, confidence: float, seed: int) -> DataFrame:
     """PK-3 over (n, c) cells."""
     by, ks = _cols(by), [int(k) for k in ks]
-    alpha = (1.0 - confidence) / 2.0
-    schema = T.StructType(
-        [f for f in cl.schema.fields if f.name in by]
-        + [T.StructField("k", T.IntegerType()), T.StructField("ci_low", T.DoubleType()),
-           T.StructField("ci_high", T.DoubleType())])
-
-    def boot(pdf: pd.DataFrame) -> pd.DataFrame:
-        key = "|".join(str(pdf[b].iloc[0]) for b in by)
-        rng = np.random.default_rng(_seed(seed, key))
-        n = pdf["n"].to_numpy(dtype=np.int64)
-        c = pdf["c"].to_numpy(dtype=np.int64)
-        w = pdf["w"].to_numpy(dtype=np.int64)
-        total = int(w.sum())
-        draws = rng.multinomial(total, w / total, size=n_boot)  # n_boot x cells
-        rows = []
-        for k in ks:
-            reps = draws @ _unbiased_np(n, c, k) / total
-            lo, hi = np.percentile(reps, [alpha * 100, (1 - alpha) * 100])
-            rows.append([pdf[b].iloc[0] for b in by] + [k, float(lo), float(hi)])
-        return pd.DataFrame(rows, columns=by + ["k", "ci_low", "ci_high"])
-
-    if not by:
-        cl = cl.withColumn("_all", F.lit(0))
-        return cl.groupBy("_all").applyInPandas(boot, schema)
-    return cl.groupBy(*by).applyInPandas(boot, schema)
+    values = cl.select(*by, "n", "c", "w", *(pass_at_k_expr("n", "c", k).alias(f"_p{k}") for k in ks))
+    drawn = values.withColumn("_rep", F.explode(F.sequence(F.lit(1), F.lit(n_boot))))
+    drawn = draws.with_poisson(drawn, {"_x": (F.col("w"), draws.uniform(F.lit(seed), *map(F.col, by), F.col("n"), F.col("c"), F.col("_rep")))})
+    reps = drawn.groupBy(*by, "_rep").agg(F.sum("_x").alias("_n"), *(F.sum(F.col("_x") * F.col(f"_p{k}")).alias(f"_s{k}") for k in ks)).where("_n > 0")
+    long = reps.select(*by, F.explode(F.array(*(F.struct(F.lit(k).alias("k"), (F.col(f"_s{k}") / F.col("_n")).alias("v")) for k in ks))).alias("r"))
+    return _interval(long.select(*by, "r.k", "r.v"), [*by, "k"], "v", confidence)
 
 
 # ----------------------------------------------------------------------
@@ -216,33 +182,21 @@ def plugin_bootstrap(agg: DataFrame, by: Sequence[str], n_boot: int = 1000,
                      variant: str = "statistical") -> DataFrame:
     """PK-6: interval of PK-5 by resampling attempts.
 
-    Resampling n attempts with replacement only matters through the new
-    success count, c* ~ Binomial(n, c/n): one draw per replicate, so a
-    group of any size costs O(n_boot). Input: rows (group..., n, c, k).
+    Every attempt of a replicate counts Poisson(1) times, so its successes are
+    Poisson(c) and its failures Poisson(n - c): two draws a replicate for a group of
+    any size, each a function of (seed, group, kind, replicate). Input: rows (group...,
+    n, c, k); an empty group has the interval 0 to 0.
     """
     by = list(by)
-    alpha = (1.0 - confidence) / 2.0
-    in_schema = agg.schema
-    out_schema = T.StructType(list(in_schema.fields) + [
-        T.StructField("ci_low", T.DoubleType()), T.StructField("ci_high", T.DoubleType())])
-
-    def run(it):
-        for pdf in it:
-            lows, highs = [], []
-            for _, r in pdf.iterrows():
-                n, c, k = int(r["n"]), int(r["c"]), int(r["k"])
-                if n == 0:
-                    lows.append(0.0); highs.append(0.0); continue
-                key = "|".join(str(r[b]) for b in by) + f"|{k}"
-                rng = np.random.default_rng(_seed(seed, key))
-                cs = rng.binomial(n, c / n, size=n_boot)
-                short = k > n if variant == "statistical" else k >= n
-                reps = cs / n if short else 1.0 - (1.0 - cs / n) ** k
-                lo, hi = np.percentile(reps, [alpha * 100, (1 - alpha) * 100])
-                lows.append(float(lo)); highs.append(float(hi))
-            yield pdf.assign(ci_low=lows, ci_high=highs)
-
-    return agg.mapInPandas(run, out_schema)
+    groups = agg.select(*by, "n", "c").distinct().withColumn("_rep", F.explode(F.sequence(F.lit(1), F.lit(n_boot))))
+    number = lambda kind: draws.uniform(F.lit(seed), *map(F.col, by), F.lit(kind), F.col("_rep"))
+    drawn = draws.with_poisson(groups, {"_s": (F.col("c"), number("success")), "_f": (F.col("n") - F.col("c"), number("failure"))}).drop("n", "c", "_rep")
+    reps = join_keys(agg.where("n > 0"), drawn, by) if by else agg.where("n > 0").crossJoin(drawn)
+    short = (F.col("k") > F.col("n")) if variant == "statistical" else (F.col("k") >= F.col("n"))
+    rate = F.col("_s") / F.nullif(F.col("_s") + F.col("_f"), F.lit(0.0))  # a replicate without an attempt does not count
+    value = F.when(short, rate).otherwise(F.lit(1.0) - F.pow(F.lit(1.0) - rate, F.col("k").cast("double")))
+    ends = _interval(reps.select(*by, "k", value.alias("v")), [*by, "k"], "v", confidence)
+    return join_keys(agg, ends, [*by, "k"], "left").withColumns({c: F.when(F.col("n") == 0, F.lit(0.0)).otherwise(F.col(c)) for c in ("ci_low", "ci_high")})
 
 
 def best_of_templates(samples: DataFrame, by=("model",), ks: Iterable[int] = (1, 5, 10, 100),

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import normal_cdf
 from ..functions.tails import chi2_sf_col, t_two_sided_col
+from .keys import join_keys
 
 
 # ----------------------------------------------------------------- ST-1
@@ -208,4 +209,4 @@ def template_report(samples: DataFrame, by: Sequence[str] = ("model", "template"
     if not with_interval:
         return pk
     ci = plugin_bootstrap(pk.select(*by, F.col("total_samples").alias("n"), "c", "k"), by, n_boot)
-    return pk.join(ci.drop("n", "c"), by + ["k"], "left")
+    return join_keys(pk, ci.drop("n", "c"), by + ["k"], "left")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import draws
 from .base import _reg
 
 # ---------------------------------------------------------------- pass@k
@@ -107,3 +108,48 @@ SELECT model, count(*) AS languages_completed, count(*) FILTER (WHERE p1 = 0) AS
        round(avg(p10), 6) AS mean_pass_at_10
 FROM wide GROUP BY model
 """, "eval_samples")
+
+
+# ---------------------------------------------------------------- bootstrap intervals
+# cells of (n, c) with their problems, 1000 replicates, one Poisson draw a cell and replicate
+_CELLS = """cells AS (SELECT model, n, c, k, any_value(p) AS p, count(*) AS w FROM est GROUP BY model, n, c, k)"""
+_REPS = ("reps AS (SELECT model, k, rep, sum(x * p) / sum(x) AS v FROM "
+         + draws.drawn("cells, range(1, 1001) r(rep)", "model, k, p, rep", {"x": ("w", draws.uniform("'42'", "model", "n", "c", "rep"))})
+         + " GROUP BY model, k, rep HAVING sum(x) > 0)")
+_ENDS = "ends AS (SELECT model, k, quantile_cont(v, [0.025, 0.975]) AS e FROM reps GROUP BY model, k)"
+INTERVAL = f"{draws.CDF}, {_CELLS}, {_REPS}, {_ENDS}"
+_LOW_HIGH = "round(e[1], 6) AS ci_low, round(e[2], 6) AS ci_high"
+
+_reg("pk3_pass_at_k_bootstrap", f"WITH {PK1}, {INTERVAL} SELECT model, k, {_LOW_HIGH} FROM ends", "eval_samples")
+
+_REPORT = """tot AS (SELECT model, count(*) AS num_problems, CAST(sum(n) AS BIGINT) AS total_samples,
+               sum(c) / sum(n) AS success_rate FROM counts GROUP BY model),
+rep AS (SELECT e.model, e.k, t.num_problems, t.total_samples, t.success_rate, avg(e.p) AS pass_at_k
+        FROM est e JOIN tot t USING (model)
+        GROUP BY e.model, e.k, t.num_problems, t.total_samples, t.success_rate)"""
+_reg("pk4_pass_at_k_report_with_interval", f"""WITH {PK1}, {INTERVAL}, {_REPORT}
+SELECT model, k, num_problems, total_samples, round(success_rate, 6) AS success_rate, round(pass_at_k, 6) AS pass_at_k, {_LOW_HIGH}
+FROM rep LEFT JOIN ends USING (model, k)""", "eval_samples")
+
+_reg("flagship_pass_at_k_leaderboard_with_interval", f"""WITH {PK1}, {INTERVAL}, {_REPORT}
+SELECT model, k, num_problems, total_samples, round(success_rate, 6) AS success_rate, round(pass_at_k, 6) AS pass_at_k, {_LOW_HIGH},
+       CAST(row_number() OVER (PARTITION BY k ORDER BY pass_at_k DESC, model) AS INTEGER) AS rank
+FROM rep LEFT JOIN ends USING (model, k)""", "eval_samples")
+
+
+def plugin_interval(agg: str, ks: str) -> str:
+    """CTEs with the interval of the plug-in estimator for groups (model, template, n, c)."""
+    success, failure = (draws.uniform("'42'", "model", "template", f"'{kind}'", "rep") for kind in ("success", "failure"))
+    drawn = draws.drawn(f"{agg}, range(1, 1001) r(rep)", "model, template, n", {"s": ("c", success), "f": ("n - c", failure)})
+    return f"""{draws.CDF}, ks AS (SELECT unnest({ks}) AS k),
+preps AS (SELECT model, template, k, CASE WHEN k > n THEN s / (s + f) ELSE 1 - pow(1 - s / (s + f), k) END AS v FROM {drawn}, ks WHERE s + f > 0),
+ends AS (SELECT model, template, k, quantile_cont(v, [0.025, 0.975]) AS e FROM preps GROUP BY ALL)"""
+
+
+_AGG = "agg AS (SELECT model, template, count(*) AS n, count(*) FILTER (WHERE passed) AS c FROM eval_samples GROUP BY model, template)"
+_reg("pk6_plugin_bootstrap", f"""WITH {_AGG}, {plugin_interval('agg', '[1, 5]')}
+SELECT model, template, n, c, k, {_LOW_HIGH} FROM (SELECT * FROM agg, ks) LEFT JOIN ends USING (model, template, k)""", "eval_samples")
+
+_reg("st7_template_report_with_interval", f"""WITH {_AGG}, {plugin_interval('agg', '[1, 5, 10, 100]')}
+SELECT model, template, n AS total_samples, c, k, round({PLUGIN.format(short='k > n')}, 6) AS pass_at_k, round(c / n, 6) AS success_rate, {_LOW_HIGH}
+FROM (SELECT * FROM agg, ks) LEFT JOIN ends USING (model, template, k)""", "eval_samples")

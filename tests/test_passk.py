@@ -95,3 +95,31 @@ def test_entry_smoke(spark):
     rows = df.collect()
     assert len(rows) > 0
     assert {"model", "k", "pass_at_k", "ci_low", "ci_high", "rank"} <= set(df.columns)
+
+
+def test_draws_have_the_right_distribution(spark):
+    """Normal quantiles against the standard library, Poisson quantiles against their
+    definition for small means and their moments for large ones, draws against their text."""
+    import hashlib
+    import math
+    import statistics
+
+    from pyspark.sql import functions as F
+    from evalspark.functions import draws
+
+    u = F.col("u")
+    df = spark.createDataFrame([(x,) for x in (1e-9, 0.001, 0.02, 0.3, 0.5, 0.7, 0.98, 0.9999)], "u double")
+    for r in df.select("u", draws.normal_quantile(u, u - 0.5, (u - 0.5) * (u - 0.5)).alias("z")).collect():
+        assert r.z == pytest.approx(statistics.NormalDist().inv_cdf(r.u), abs=1e-7)
+    rows = spark.range(4000).selectExpr("id", "explode(array(0, 1, 3, 16, 17, 400, 1000000)) as mean")
+    got = draws.with_poisson(rows, {"x": (F.col("mean"), draws.uniform(F.lit("s"), F.col("mean"), F.col("id")))})
+    for r in got.groupBy("mean").agg(F.avg("x").alias("m"), F.var_samp("x").alias("v")).collect():
+        assert abs(r.m - r["mean"]) <= 4 * math.sqrt(max(r["mean"], 1e-9) / 4000) + 1e-9
+        assert r.v == pytest.approx(r["mean"], rel=0.12)
+    one = got.where("mean = 3 and id = 7").first()
+    p = (int(hashlib.md5(b"s|3|7").hexdigest()[:13], 16) + 0.5) / (1 << 52)
+    k, total = 0, math.exp(-3)
+    while total < p:
+        k += 1
+        total += math.exp(-3) * 3 ** k / math.factorial(k)
+    assert one.x == k
