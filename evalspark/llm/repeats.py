@@ -199,6 +199,7 @@ def _depth(lcp: list[int], first: int, last: int) -> int:
 ANCHORS = "gram long, context long, doc_id long, t long, at int, before int, after int"
 SPANS = "doc_id long, t long, first int, last int"
 KEY = ["doc_id", "t"]
+REPORT = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"]
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -364,25 +365,26 @@ def merged(spans) -> list[tuple[int, int]]:
 
 
 def removal_report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of ``docs``."""
-    spans, texts = repeated_spans(docs, length=length)
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the remaining text of every
+    row of ``docs`` (in the text, a character of which bytes are removed is left out)."""
+    spans, _ = repeated_spans(docs, length=length)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for r in batch.to_pylist():
-                raw, runs = r["text"].encode(), merged(r["spans"])
-                edges = [0, *(e for run in runs for e in run), len(raw)]
-                kept = hashlib.sha256()
-                for a, b in zip(edges[::2], edges[1::2]):
-                    kept.update(raw[a:b])
-                rows.append((r["doc_id"], r["t"], sum(b - a for a, b in runs), len(runs), kept.hexdigest()))
-            types = [*[pa.int64()] * 4, pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate(types)], [*KEY, "n_removed", "n_spans", "kept"])
-
-    done = _on_key(texts, spans, "inner").mapInArrow(cut, "doc_id long, t long, n_removed long, n_spans long, kept string").dropDuplicates(KEY)
-    every = _texts(docs, "doc_id", "text").select(*KEY, F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole"))
-    return _on_key(every, done, "left").select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept", "whole").alias("kept_sha256"))
+            for doc, text, found in zip(*(c.to_pylist() for c in batch.columns)):
+                raw, runs = text.encode(), merged(found)
+                if runs:
+                    edges = [0, *(e for run in runs for e in run), len(raw)]
+                    left = b"".join(raw[x:y] for x, y in zip(edges[::2], edges[1::2]))
+                    rows.append((doc, len(raw), len(raw) - len(left), len(runs), hashlib.sha256(left).hexdigest(), left.decode(errors="ignore")))
+                else:
+                    rows.append((doc, len(raw), 0, 0, hashlib.sha256(raw).hexdigest(), text))
+            types = [*[pa.int64()] * 4, pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate(types)], REPORT)
+
+    joined = _on_key(_texts(docs, "doc_id", "text"), spans, "left").select("doc_id", "text", "spans")
+    return joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:

@@ -116,7 +116,8 @@ def _reports(rows, length):
     raw = [(t or "").encode() for _, t in rows]
     for (i, _), b, own in zip(rows, raw, cover(raw, length)):
         runs = sum(1 for k, c in enumerate(own) if c and (k == 0 or not own[k - 1]))
-        yield i, len(b), sum(own), runs, hashlib.sha256(bytes(x for x, c in zip(b, own) if not c)).hexdigest()
+        kept = bytes(x for x, c in zip(b, own) if not c)
+        yield i, len(b), sum(own), runs, hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore")
 
 
 def test_repeats_on_documents(spark):
