@@ -7,6 +7,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -337,6 +338,27 @@ def test_short_items(spark):
     assert sorted(r.doc_id for r in decontaminate.clean(docs, items).collect()) == [2, 4, 7, 8, 9]
 
 
+def test_one_word_items_delete_no_ordinary_text(spark):
+    items = spark.createDataFrame([(1, "Yes"), (2, "Not at all."), (3, ITEM)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "I said yes to all of it."), (2, "Yes, and not at all late."), (3, "He nodded. Yes! They left."), (4, "It is not at all"), (5, "not at all"), (6, ITEM), (7, "3.5 Yes.no")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in decontaminate.clean(docs, items).collect()) == [1, 2, 4, 7]
+
+
+def test_sql_has_every_kind_of_row(spark):
+    """Templates, other-case copies, edited copies, short items: as many rows in SQL."""
+    items = [(1, ITEM), (7, ITEM), (2, None), (3, "Yes"), (4, "What is the capital of France?"), (5, "one Two 3 km Four five Six 7 m eight")]
+    words_ = ITEM.split()
+    edited = " ".join([*words_[:9], "Other", *words_[9:]])
+    docs = [(1, ITEM), (2, ITEM.upper()), (3, ITEM.lower()), (4, edited), (5, "Yes. No."), (6, "so what is the capital of France then"), (7, None), (8, ""), (None, ITEM), (1, ITEM), (9, "One two 4 km four Five six 8 m eight")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    i = spark.createDataFrame(items, "item_id long, text string")
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": [r[0] for r in docs], "text": [r[1] for r in docs]}))
+    con.register("benchmark", pa.table({"item_id": [r[0] for r in items], "text": [r[1] for r in items]}))
+    got = rows(decontaminate.contaminated(d, i).drop("text_hash"))
+    assert got == sorted(con.execute(decontaminate.oracle()).fetchall(), key=repr) and len(got) == 7
+
+
 def test_rows_of_the_sql_stay(spark):
     con = duckdb.connect()
     for t in ("documents", "benchmark"):
