@@ -331,9 +331,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     twice = stored(every.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "repeated-grams")
     marks = stored(every.join(twice, "gram", "left_semi"), "repeated-anchors")
     release(spark)
-    counts = marks.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*KEY, "at")).alias("one"))
-    # what occurs once need only be compared where its gram has other contexts
-    grams = counts.groupBy("gram").agg(F.count(F.lit(1)).alias("contexts"), F.min("n").alias("least"))
+    counts = stored(marks.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*KEY, "at")).alias("one")), "contexts")
+    # what occurs once need only be compared where its gram has other contexts; tables of their own, for the same reason
+    grams = stored(counts.groupBy("gram").agg(F.count(F.lit(1)).alias("contexts"), F.min("n").alias("least")), "grams")
     known = counts.join(grams, "gram")
     compare = F.when((F.col("contexts") > 1) & (F.col("least") == 1), F.struct(*KEY, "at").eqNullSafe(F.col("one"))).otherwise(F.lit(False))
     found = marks.join(known, ["gram", "context"]).select(*KEY, F.struct("gram", "at", "before", "after", (F.col("n") > 1).alias("copy"), compare.alias("compare"), (F.col("contexts") > group).alias("hot")).alias("a")).where("a.copy or a.compare")
