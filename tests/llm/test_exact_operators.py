@@ -197,26 +197,45 @@ def test_topk_ties_gaps_and_repeated_rows(spark):
     rows += [(i, [0.5] * 6) for i in range(300, 340)] + [(400, None), (420, [1.0, None]), (440, [float("nan")] * 6), (460, [float("inf")]), (None, [1.0] * 6), (500, [2.0, 3.0]), (520, []), (0, rows[0][1]), (540, [1e9] * 6)]
     df = spark.createDataFrame([(i, v, "c") for i, v in rows], "vec_id long, embedding array<double>, score string")
     got = sorted(map(tuple, topk.top_k(df, F.col("id") % 20 == 0).collect()))
-    good = {}
-    for i, v in rows:
-        if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
-            q = [int(np.floor(64 * x)) for x in v]
-            good[i] = min(good.get(i, q), q)
+    # every row is a candidate and, by its id, a query: rows that repeat an id too
+    good = [(i, [int(np.floor(64 * x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     want = []
-    for i, q in good.items():
+    for n, (i, q) in enumerate(good):
         if i % 20 == 0:
-            scored = sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in good.items() if j != i)[:20]
+            scored = sorted((-sum(a * b for a, b in zip(q, v)), j) for m, (j, v) in enumerate(good) if m != n)[:20]
             want += [(i, r, j, -s) for r, (s, j) in enumerate(scored, 1)]
     assert got == sorted(want)
     assert topk.top_k(df.limit(0), F.col("id") % 20 == 0).count() == 0
 
 
+def test_topk_of_rows_that_repeat_an_id(spark):
+    df = spark.createDataFrame([(20, [1.0, 0.0]), (20, [2.0, 0.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, topk.top_k(df, F.col("id") % 20 == 0).collect()))
+    assert got == sorted([(20, 1, 20, 8192), (20, 2, 1, 4096), (20, 1, 1, 8192), (20, 2, 20, 8192)])
+
+
+def test_topk_in_many_tiles(spark, monkeypatch):
+    """Lengths that differ, blocks that need only the first tiles: the same as brute force."""
+    for name, n in (("BUCKET", 20), ("QUERIES", 7), ("TILE", 2)):
+        monkeypatch.setattr(topk, name, n)
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(700, 5)) * np.exp(rng.normal(size=(700, 1)) * 1.5)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    q = np.floor(64 * v).astype(np.int64)
+    want = []
+    for i in range(0, 700, 20):
+        scores = q @ q[i]
+        order = sorted((j for j in range(700) if j != i), key=lambda j: (-scores[j], j))[:20]
+        want += [(i, r, j, int(scores[j])) for r, j in enumerate(order, 1)]
+    assert sorted(map(tuple, topk.top_k(df, F.col("id") % 20 == 0).collect())) == want
+
+
 def test_pruning_drops_only_lower_scores():
     rng = np.random.default_rng(5)
     v = np.floor(rng.normal(size=(400, 8)) * 40)
     norms = np.sqrt((v * v).sum(axis=1))
     by = np.argsort(-norms)
-    block = topk.Block({"ids": by.astype("<i8").tobytes(), "norms": norms[by].tobytes(), "vectors": v[by].tobytes(), "dims": 8})
+    block = topk.Block({"ids": by.astype("<i8").tobytes(), "rows": by.astype("<i8").tobytes(), "norms": norms[by].tobytes(), "vectors": v[by].tobytes(), "dims": 8})
     pruned = 0
     for q in v[:60]:
         scores = block.vectors @ q
