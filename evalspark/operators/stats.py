@@ -144,27 +144,25 @@ def performance_insights(df: DataFrame) -> DataFrame:
     Rules: overall mean > 0.8 / > 0.6 / else; best and worst model and a gap
     > 0.3 (more than one model); hardest and easiest language (more than one
     language); pass@10 over pass@1 gain > 0.5 / > 0.2 / else (when both
-    columns exist); mean time > 60 or < 5. Everything is reduced to one row
-    of aggregates first; the ranking of models and languages runs on the
-    aggregated rows.
+    columns exist); mean time > 60 or < 5. One GROUPING SETS pass gives the overall,
+    model and language means, a second aggregate over those few rows the one row that
+    the rules read.
     """
-    overall = df.agg(F.avg("score").alias("mean_score"), F.avg("execution_time").alias("mean_time"))
-    by_model = df.groupBy("model").agg(F.avg("score").alias("m"))
-    by_lang = df.groupBy("language").agg(F.avg("score").alias("m"))
-    # best: highest mean, ties -> smallest name; worst: lowest mean, ties -> largest name
-    wb = Window.orderBy(F.desc("m"), F.asc("model"))
-    ranked_m = by_model.withColumn("r", F.row_number().over(wb)).withColumn(
-        "rr", F.row_number().over(Window.orderBy(F.asc("m"), F.desc("model"))))
-    best = ranked_m.filter("r = 1").select(F.col("model").alias("best"), F.col("m").alias("best_m"))
-    worst = ranked_m.filter("rr = 1").select(F.col("model").alias("worst"), F.col("m").alias("worst_m"))
-    ranked_l = by_lang.withColumn("r", F.row_number().over(Window.orderBy(F.asc("m"), F.asc("language")))) \
-        .withColumn("rr", F.row_number().over(Window.orderBy(F.desc("m"), F.desc("language"))))
-    hard = ranked_l.filter("r = 1").select(F.col("language").alias("hard"), F.col("m").alias("hard_m"))
-    easy = ranked_l.filter("rr = 1").select(F.col("language").alias("easy"), F.col("m").alias("easy_m"))
-    n_models = by_model.agg(F.count(F.lit(1)).alias("n_models"))
-    n_langs = by_lang.agg(F.count(F.lit(1)).alias("n_langs"))
-    row = (overall.crossJoin(n_models).crossJoin(n_langs).crossJoin(best).crossJoin(worst)
-           .crossJoin(hard).crossJoin(easy))
+    passes = [c for c in ("pass@1", "pass@10") if c in df.columns]
+    g = df.groupingSets([["model"], ["language"], []], "model", "language").agg(
+        F.grouping_id().alias("gid"), F.avg("score").alias("m"), F.avg("execution_time").alias("t"), *(F.avg(f"`{c}`").alias(c) for c in passes))
+    overall, by_model, by_language = (F.col("gid") == k for k in (3, 1, 2))
+    known = F.col("m").isNotNull()
+    of = lambda which, c: F.max(F.when(which, F.col(f"`{c}`")))
+    at = lambda which, key: F.when(which & known, key)
+    row = g.agg(
+        of(overall, "m").alias("mean_score"), of(overall, "t").alias("mean_time"), F.count_if(by_model).alias("n_models"), F.count_if(by_language).alias("n_langs"),
+        # best: highest mean, ties -> smallest name; worst: lowest mean, ties -> largest name
+        F.min_by("model", at(by_model, F.struct(-F.col("m"), "model"))).alias("best"), F.max(F.when(by_model, F.col("m"))).alias("best_m"),
+        F.max_by("model", at(by_model, F.struct(-F.col("m"), "model"))).alias("worst"), F.min(F.when(by_model, F.col("m"))).alias("worst_m"),
+        F.min_by("language", at(by_language, F.struct("m", "language"))).alias("hard"), F.min(F.when(by_language, F.col("m"))).alias("hard_m"),
+        F.max_by("language", at(by_language, F.struct("m", "language"))).alias("easy"), F.max(F.when(by_language, F.col("m"))).alias("easy_m"),
+        *(of(overall, c).alias(f"p{c.removeprefix('pass@')}") for c in passes))
 
     def rule(cond: Column, code: str, subject: Column, value: Column) -> Column:
         return F.when(cond, F.struct(F.lit(code).alias("code"), subject.cast("string").alias("subject"),
@@ -184,9 +182,7 @@ def performance_insights(df: DataFrame) -> DataFrame:
         rule(F.col("mean_time") > 60, "high_execution_time", F.lit(None), F.col("mean_time")),
         rule(F.col("mean_time") < 5, "fast_execution", F.lit(None), F.col("mean_time")),
     ]
-    if "pass@1" in df.columns and "pass@10" in df.columns:
-        pk = df.agg(F.avg("`pass@1`").alias("p1"), F.avg("`pass@10`").alias("p10"))
-        row = row.crossJoin(pk)
+    if len(passes) == 2:
         gain = F.when(F.col("p1") > 0, (F.col("p10") - F.col("p1")) / F.col("p1")).otherwise(F.lit(0.0))
         rules += [rule(gain > 0.5, "high_pass_at_k_gain", F.lit(None), gain),
                   rule((gain <= 0.5) & (gain > 0.2), "moderate_pass_at_k_gain", F.lit(None), gain),

@@ -101,11 +101,33 @@ def _pj10(v):
                                   ("aggressive", "conservative", "selective", "disabled")])
 
 
+@query("pj10_cacheable_with_metrics")
+def _pj10m(v):
+    """Results with metrics, a third of them with a pass@ metric, some with none at all."""
+    third = F.col("entry_id") % 3
+    metrics = F.when(third == 0, F.create_map(F.lit("pass@1"), F.col("score"))).when(third == 1, F.create_map(F.lit("exact_match"), F.col("score")))
+    c = v.cache_entries.withColumn("metrics", F.coalesce(metrics, F.create_map().cast("map<string,double>")))
+    return c.select("entry_id", *[ops.cacheable(c, s).alias(s) for s in ("conservative", "selective")])
+
+
+def _both_keys(rows, code=None):
+    """Aggressive and conservative keys of the same rows, in one projection."""
+    a = ops.cache_key(rows, "aggressive", code=code).withColumnsRenamed({c: f"a_{c}" for c in ("params_canonical", "params_hash", "cache_key")})
+    both = ops.cache_key(a, "conservative", code=code)
+    return both.select("entry_id", F.col("a_params_canonical").alias("params_canonical"), F.col("a_params_hash").alias("params_hash"),
+                       F.col("a_cache_key").alias("cache_key"), F.col("cache_key").alias("conservative_key"))
+
+
 @query("pj11_cache_key")
 def _pj11(v):
-    a = _keyed(v).select("entry_id", "params_canonical", "params_hash", "cache_key")
-    c = _keyed(v, "conservative").select("entry_id", F.col("cache_key").alias("conservative_key"))
-    return a.join(c, "entry_id")
+    return _both_keys(v.cache_entries)
+
+
+@query("pj11_cache_key_with_code")
+def _pj11c(v):
+    """Keys of requests that carry code, no code and empty code."""
+    code = F.when(F.col("entry_id") % 4 == 0, F.lit("")).when(F.col("entry_id") % 4 > 1, F.concat(F.lit("def f():\n    return "), (F.col("entry_id") % 50).cast("string")))
+    return _both_keys(v.cache_entries.withColumn("code", code), "code")
 
 
 @query("jn8_cache_lookup")

@@ -182,6 +182,13 @@ def _st6(v):
     return stats.performance_insights(_results(v))
 
 
+@query("st6_performance_insights_with_pass_metrics")
+def _st6p(v):
+    """The rules of the pass@10 gain: the columns of a run scored once and ten times."""
+    one = F.least(F.greatest(F.col("score"), F.lit(0.0)), F.lit(1.0))
+    return stats.performance_insights(_results(v).withColumns({"pass@1": one, "pass@10": F.lit(1.0) - F.pow(F.lit(1.0) - one, F.lit(10.0))}))
+
+
 @query("st7_template_report")
 def _st7(v):
     return stats.template_report(v.eval_samples, with_interval=False)

@@ -61,7 +61,8 @@ def suite_report(results: DataFrame, suites: DataFrame, suite: str, path: str |
     completed = joins.complete_failed(expected, results).withColumn("suite_name", F.lit(suite))
     out = {"expected": expected, "completed": completed, "summary": aggs.suite_summary(completed)}
     if path:
-        # a numeric, spread-out order column lets the chunked numbering split a large suite
-        done = completed.withColumn("ts", F.current_timestamp()).withColumn("_row", F.monotonically_increasing_id())
-        io.write_suite_report(done, path, max_results_per_document, order=("_row",))
+        # by model and task, so that a retry or a second run writes the same documents
+        at = "timestamp" if "timestamp" in results.columns else "ts"
+        done = completed.drop("ts").crossJoin(F.broadcast(results.agg(F.max(at).alias("ts"))))
+        io.write_suite_report(done, path, max_results_per_document, order=("model", "task", "harness", "score", "execution_time"))
     return out

@@ -285,22 +285,24 @@ def stage_in_time_slices(df: DataFrame, path: str, slices: int = 4, ts: str = "t
 def run_to_table(stream_df: DataFrame, mode: str = "complete", name: str | None = None) -> DataFrame:
     """Run a streaming query to completion (AvailableNow) into parquet in the
     shared checkpoint folder and return the final result as a batch
-    DataFrame. ``complete``: each micro-batch overwrites the table with the
-    full result; ``append``: micro-batches are appended (one directory per
-    batch, so a retried batch replaces itself)."""
+    DataFrame. Every micro-batch writes a directory of its own, so a retried batch
+    replaces itself and a reader never meets half a table. ``complete``: the newest
+    one is the full result; ``append``: all of them are."""
     spark = stream_df.sparkSession
     name = name or f"evalspark_{uuid.uuid4().hex[:12]}"
     base = f"{checkpoint_dir(spark).rstrip('/')}/evalspark-stream/{name}"
     out = f"{base}/table"
 
+    done: list[int] = []
+
     def sink(batch: DataFrame, batch_id: int) -> None:
-        if mode == "complete":
-            batch.write.mode("overwrite").parquet(out)
-        else:
-            batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        done.append(batch_id)
 
     q = (stream_df.writeStream.outputMode(mode).foreachBatch(sink)
          .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
-    t = spark.read.schema(stream_df.schema).parquet(out) if mode == "complete" else spark.read.parquet(out)
-    return t.drop("batch_id") if "batch_id" in t.columns else t
+    if not done:
+        return spark.createDataFrame([], stream_df.schema)
+    batches = done[-1:] if mode == "complete" else sorted(set(done))
+    return spark.read.schema(stream_df.schema).parquet(*(f"{out}/batch_id={n}" for n in batches))

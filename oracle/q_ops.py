@@ -138,7 +138,12 @@ SELECT entry_id, true AS aggressive, false AS conservative,
 FROM cache_entries""", "cache_entries")
 
 
-def keyed(src: str, strategy: str = "aggressive") -> str:
+_reg("pj10_cacheable_with_metrics", """
+SELECT entry_id, coalesce(success, true) AND coalesce(score, 0) > 0 AND entry_id % 3 = 0 AS conservative,
+       coalesce(success, false) AND coalesce(execution_time, 0) > 5.0 AS selective FROM cache_entries""", "cache_entries")
+
+
+def keyed(src: str, strategy: str = "aggressive", code: str = "NULL") -> str:
     excluded = "('save_results', 'results_dir', 'debug', 'verbose', 'timestamp', 'session_id', 'output_file')"
     critical = ("('n_samples', 'temperature', 'limit', 'max_length_generation', 'target_language', "
                 "'safe_mode', 'container_isolation')")
@@ -150,7 +155,7 @@ def keyed(src: str, strategy: str = "aggressive") -> str:
            FROM kv WHERE k NOT IN {excluded} AND NOT starts_with(k, '_'){extra} GROUP BY entry_id),
   base AS (SELECT s.*, coalesce(kept.canon, '') AS params_canonical FROM {src} s LEFT JOIN kept USING (entry_id))
   SELECT *, substr(sha256(params_canonical), 1, 16) AS params_hash,
-         sha256(concat_ws('|', task_name, model_name, lower(language), substr(sha256(params_canonical), 1, 16))) AS cache_key
+         sha256(concat_ws('|', task_name, model_name, lower(language), substr(sha256(params_canonical), 1, 16), CASE WHEN {code} <> '' THEN substr(sha256({code}), 1, 16) END)) AS cache_key
   FROM base)"""
 
 
@@ -158,6 +163,11 @@ _reg("pj11_cache_key", f"""
 SELECT a.entry_id, a.params_canonical, a.params_hash, a.cache_key, c.cache_key AS conservative_key
 FROM {keyed('cache_entries')} a JOIN {keyed('cache_entries', 'conservative')} c USING (entry_id)""", "cache_entries")
 
+_CODE = "CASE entry_id % 4 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE 'def f():' || chr(10) || '    return ' || (entry_id % 50) END"
+_reg("pj11_cache_key_with_code", f"""
+SELECT a.entry_id, a.params_canonical, a.params_hash, a.cache_key, c.cache_key AS conservative_key
+FROM {keyed('cache_entries', code=_CODE)} a JOIN {keyed('cache_entries', 'conservative', _CODE)} c USING (entry_id)""", "cache_entries")
+
 REQ = """(SELECT * REPLACE (replace(parameters, '"verbose":true', '"verbose":false') AS parameters) FROM cache_entries)"""
 _reg("jn8_cache_lookup", f"""
 WITH req AS (SELECT entry_id, cache_key FROM {keyed(REQ)}),

@@ -285,6 +285,30 @@ rows AS (
   UNION ALL SELECT 'fast_execution', NULL, mt FROM o WHERE mt < 5)
 SELECT code, subject, round(value, 6) AS value FROM rows"""), "eval_results")
 
+_reg("st6_performance_insights_with_pass_metrics", R("""
+WITH o AS (SELECT avg(score) AS ms, avg(execution_time) AS mt FROM res),
+bm AS (SELECT model, avg(score) AS m FROM res GROUP BY model),
+bl AS (SELECT language, avg(score) AS m FROM res GROUP BY language),
+best AS (SELECT model, m FROM bm ORDER BY m DESC, model LIMIT 1),
+worst AS (SELECT model, m FROM bm ORDER BY m, model DESC LIMIT 1),
+hard AS (SELECT language, m FROM bl ORDER BY m, language LIMIT 1),
+easy AS (SELECT language, m FROM bl ORDER BY m DESC, language DESC LIMIT 1),
+cnt AS (SELECT (SELECT count(*) FROM bm) AS nm, (SELECT count(*) FROM bl) AS nl),
+rows AS (
+  SELECT 'excellent_overall' AS code, CAST(NULL AS VARCHAR) AS subject, ms AS value FROM o WHERE ms > 0.8
+  UNION ALL SELECT 'good_overall', NULL, ms FROM o WHERE ms <= 0.8 AND ms > 0.6
+  UNION ALL SELECT 'low_overall', NULL, ms FROM o WHERE ms <= 0.6
+  UNION ALL SELECT 'best_model', best.model, best.m FROM best, cnt WHERE nm > 1
+  UNION ALL SELECT 'worst_model', worst.model, worst.m FROM worst, cnt WHERE nm > 1
+  UNION ALL SELECT 'large_model_gap', NULL, best.m - worst.m FROM best, worst, cnt WHERE nm > 1 AND best.m - worst.m > 0.3
+  UNION ALL SELECT 'hardest_language', hard.language, hard.m FROM hard, cnt WHERE nl > 1
+  UNION ALL SELECT 'easiest_language', easy.language, easy.m FROM easy, cnt WHERE nl > 1
+  UNION ALL SELECT 'high_execution_time', NULL, mt FROM o WHERE mt > 60
+  UNION ALL SELECT 'fast_execution', NULL, mt FROM o WHERE mt < 5
+  UNION ALL SELECT CASE WHEN gain > 0.5 THEN 'high_pass_at_k_gain' WHEN gain > 0.2 THEN 'moderate_pass_at_k_gain' ELSE 'low_pass_at_k_gain' END, NULL, gain
+  FROM (SELECT CASE WHEN avg(p) > 0 THEN (avg(1 - pow(1 - p, 10)) - avg(p)) / avg(p) ELSE 0 END AS gain FROM (SELECT least(greatest(score, 0), 1) AS p FROM res)))
+SELECT code, subject, round(value, 6) AS value FROM rows"""), "eval_results")
+
 _reg("st7_template_report", """
 WITH agg AS (SELECT model, template, count(*) AS n, count(*) FILTER (WHERE passed) AS c
              FROM eval_samples GROUP BY model, template),
