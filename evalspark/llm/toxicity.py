@@ -8,8 +8,10 @@ less in its posterior. A linear classifier is trained on the posterior labels of
 sample and scores every text.
 
 Fitted on a sample of at most ``FIT_DOCS`` labelled rows of either class (those with
-the smallest hash of id), of each the first ``FIT_CHARS`` characters; class shares and
-the pair rates cover all rows. Scoring reads whole texts.
+the smallest hash of id), whole texts; class shares and the pair rates cover all rows.
+Executors count the sample's features and turn its texts into indices; the driver gets
+the features that tell the classes apart and, for each row, the numbers of those it has.
+``MINED`` and ``FEATURES`` are the size of the model.
 """
 
 from __future__ import annotations
@@ -25,10 +27,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import hash_sample, prepared
+from .common import hash_sample, prepared, stored
 
 FIT_DOCS = 3000
-FIT_CHARS = 40_000
 MINED = 64          # mined voters, at most
 FEATURES = 4000     # of the classifier, at most
 PREFIXES = (4, 5, 6)
@@ -144,15 +145,12 @@ class Model:
         return self
 
 
-def mine(docs: list[tuple[int, set[str]]]) -> list[str]:
-    """Features that occur in toxic rows and hardly in clean ones, the most frequent first."""
-    counts = [Counter(), Counter()]
-    for y, found in docs:
-        counts[y].update(found)
-    n = [sum(y == k for y, _ in docs) for k in (0, 1)]
-    if not min(n):
+def mine(counts: list[tuple[str, int, int]], clean: int, toxic: int) -> list[str]:
+    """Features (name, clean rows, toxic rows) that occur in toxic rows and hardly in clean
+    ones, the most frequent first."""
+    if not clean or not toxic:
         return []
-    rows = [(c, w) for w, c in counts[1].items() if w.endswith("*") and c >= max(3, 0.02 * n[1]) and counts[0][w] / n[0] <= 0.02 * c / n[1]]
+    rows = [(c1, w) for w, c0, c1 in counts if w.endswith("*") and c1 >= max(3, 0.02 * toxic) and c0 / clean <= 0.02 * c1 / toxic]
     rows.sort(key=lambda x: (-x[0], len(x[1]), x[1]))
     chosen: list[str] = []
     for _, w in rows:  # a longer prefix of one that is chosen says nothing new
@@ -161,20 +159,44 @@ def mine(docs: list[tuple[int, set[str]]]) -> list[str]:
     return chosen[:MINED]
 
 
-def select_features(docs: list[tuple[int, set[str]]]) -> list[str]:
+def feature_counts(sample: DataFrame) -> DataFrame:
+    """(feature, clean, toxic): in how many rows of ``sample`` (toxic, text) of each class."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [Counter(), Counter()]
+            for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found[y].update(features(word_set(text)))
+            names = list(found[0] | found[1])
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([c[w] for w in names], pa.int64()) for c in found)], ["feature", "clean", "toxic"])
+
+    return sample.select("toxic", "text").mapInArrow(count, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+
+
+def telling(counts: DataFrame, clean: int, toxic: int) -> list[str]:
     """The features whose presence differs most between the classes (chi square)."""
-    counts = [Counter(), Counter()]
-    for y, found in docs:
-        counts[y].update(found)
-    n = np.array([max(sum(y == k for y, _ in docs), 1) for k in (0, 1)], np.float64)
-    names = [w for w in counts[0] | counts[1] if counts[0][w] + counts[1][w] >= 5]
-    if not names:
-        return []
-    have = np.array([[counts[0][w], counts[1][w]] for w in names], np.float64)
-    share = have.sum(axis=1) / n.sum()
-    chi = (have[:, 1] / n[1] - have[:, 0] / n[0]) ** 2 / np.maximum(share * (1 - share) * (1 / n).sum(), 1e-12)
-    picked = [i for i in np.argsort(-chi, kind="stable")[:FEATURES].tolist() if chi[i] > 15]
-    return [names[i] for i in picked]
+    n0, n1 = max(clean, 1), max(toxic, 1)
+    share = (F.col("clean") + F.col("toxic")) / float(n0 + n1)
+    gap = F.col("toxic") / float(n1) - F.col("clean") / float(n0)
+    chi = gap * gap / F.greatest(share * (1 - share) * (1 / n0 + 1 / n1), F.lit(1e-12))
+    rows = counts.where("clean + toxic >= 5").select("feature", chi.alias("chi")).where("chi > 15").orderBy(F.desc("chi"), "feature").limit(FEATURES)
+    return [r["feature"] for r in rows.collect()]
+
+
+def indexed(sample: DataFrame, mined: list[str], names: list[str]) -> list[tuple[int, list[int], list[int]]]:
+    """(toxic, voters that fire, features of ``names`` that are there) of each row, sorted."""
+    index = {w: i for i, w in enumerate(names)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vote = Votes(mined)
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            fired = [np.nonzero(vote(t))[0].tolist() for t in texts]
+            have = [sorted(index[w] for w in features(word_set(t)) & index.keys()) for t in texts]
+            kinds = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fired, kinds), pa.array(have, kinds)], ["toxic", "fired", "have"])
+
+    rows = sample.select("toxic", "text").mapInArrow(run, "toxic int, fired array<int>, have array<int>").collect()  # of the sample
+    return sorted((r["toxic"], r["fired"], r["have"]) for r in rows)
 
 
 def train(rows: list[np.ndarray], dims: int, labels: np.ndarray, importance: np.ndarray, rounds: int = 500, ridge: float = 3e-5) -> tuple[np.ndarray, float]:
@@ -254,15 +276,19 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column) -> Model:
     shares = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     picked = hash_sample(marked.select("toxic", F.xxhash64("doc_id").alias("h"), "doc_id"), "toxic", "h", shares, FIT_DOCS).select("doc_id", "toxic")
     # at most 2 * FIT_DOCS rows of two numbers
-    texts = rows.select("doc_id", F.substring("text", 1, FIT_CHARS).alias("text")).join(F.broadcast(picked), "doc_id").toLocalIterator()
-    sample = [(r["toxic"], r["text"] or "") for r in texts]
-    sample.sort()
-    found = [(y, features(word_set(t))) for y, t in sample]
-    mined = mine(found)
-    names = select_features(found)
-    vote = Votes(mined)
-    votes = np.array([vote(t) for _, t in sample]).reshape(len(sample), vote.n)
-    gold = np.array([y for y, _ in sample], np.int64)
+    sample = stored(rows.join(F.broadcast(picked), "doc_id").select("toxic", F.coalesce("text", F.lit("")).alias("text")), "toxic-sample")
+    sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    clean, toxic = sizes.get(0, 0), sizes.get(1, 0)
+    counts = stored(feature_counts(sample), "toxic-features")
+    # each in a fiftieth of the toxic rows and hardly in clean ones
+    frequent = counts.where((F.col("toxic") >= max(3, 0.02 * toxic)) & F.endswith("feature", F.lit("*")) & (F.col("clean") / max(clean, 1) <= 0.02 * F.col("toxic") / max(toxic, 1))).collect()
+    mined = mine([tuple(r) for r in frequent], clean, toxic)
+    names = telling(counts, clean, toxic)
+    found = indexed(sample, mined, names)
+    votes = np.zeros((len(found), len(FIXED) + len(mined)))
+    for row, (_, fired, _) in zip(votes, found):
+        row[fired] = 1
+    gold = np.array([y for y, _, _ in found], np.int64)
     pairs, _ = _pair_rates(rows, mined)
     total = sum(shares.values())
     share = float(np.clip(shares.get(1, 0) / total, 0.005, 0.995)) if total and len(shares) == 2 else PRIOR
@@ -270,18 +296,17 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column) -> Model:
     def rates(k: int) -> np.ndarray:
         if (gold == k).any():
             return (votes[gold == k].sum(axis=0) + (0.5 if k else 0.1)) / ((gold == k).sum() + 1.0)
-        unknown = np.full(vote.n, 0.3 if k else 0.002)  # no labelled row: voters are taken at their word
+        unknown = np.full(votes.shape[1], 0.3 if k else 0.002)  # no labelled row: voters are taken at their word
         unknown[len(FIXED) - 1] = 0.05 if k else 0.95
         return unknown
 
-    if not len(sample):  # nothing to fit or train on: every voter has its first say
+    if not found:  # nothing to fit or train on: every voter has its first say
         yes = np.log(rates(1) / rates(0))
         silent = len(FIXED) - 1  # its part is what the others' silence leaves
         return Model(float(np.log(share / (1 - share)) + yes[silent]), {}, [*(yes[:silent] - yes[silent]), 0.0]).ready()
     labels_of = fit_label_model(pairs, share, rates(1), rates(0)).posterior(votes)
     importance = np.where(gold == 1, share / max((gold == 1).mean(), 1e-9), (1 - share) / max((gold == 0).mean(), 1e-9))
-    index = {w: len(FIXED) + i for i, w in enumerate(names)}
-    sparse = [np.array([*np.nonzero(v[:len(FIXED) - 1])[0].tolist(), *(index[w] for w in f if w in index)], np.int64) for v, (_, f) in zip(votes, found)]
+    sparse = [np.array([*(i for i in fired if i < len(FIXED) - 1), *(len(FIXED) + i for i in have)], np.int64) for _, fired, have in found]
     w, bias = train(sparse, len(FIXED) + len(names), labels_of, importance)
     return Model(float(bias), {n: float(x) for n, x in zip(names, w[len(FIXED):])}, w[:len(FIXED)].tolist()).ready()
 

@@ -370,3 +370,13 @@ def test_decontamination_has_no_python(spark):
     docs, items = (queries.table(spark, SF, t) for t in ("documents", "benchmark"))
     plan = decontaminate.contaminated(docs, items)._jdf.queryExecution().toString()
     assert not any(w in plan for w in ("Python", "Pandas", "Arrow", "CartesianProduct"))
+
+
+def test_toxicity_learns_from_whole_texts(spark):
+    """What stands behind the 40,000th character counts, and the driver gets indices only."""
+    sample = spark.createDataFrame([(1, "so " * 20_000 + "zzquxo", ), (0, "so fine"), (1, "zzquxo"), (0, "")], "toxic int, text string")
+    counts = {r["feature"]: (r["clean"], r["toxic"]) for r in toxicity.feature_counts(sample).collect()}
+    assert counts["zzquxo"] == (0, 2) and counts["zzqu*"] == (0, 2) and counts["so"] == (1, 1)
+    found = toxicity.indexed(sample, ["zzqu*"], ["fine", "zzquxo"])
+    voter = len(toxicity.FIXED)
+    assert [(y, voter in fired, have) for y, fired, have in found] == sorted([(1, True, [1]), (0, False, [0]), (1, True, [1]), (0, False, [])])
