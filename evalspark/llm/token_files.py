@@ -8,7 +8,8 @@ every block and the escaped values. Parts are consecutive ranges of doc_id, so
 in the whole id stream is known from the part totals alone.
 
 Nulls: a null text is empty (only the end id is written); a null doc_id sorts
-first. Rows that repeat a doc_id are all written, next to each other. An empty
+first. Rows that repeat a doc_id are all written, next to each other and in the order of
+their texts' XXH64. An empty
 table gives an empty file set. Other columns are ignored.
 """
 
@@ -177,7 +178,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, id_col: str =
                 number, first = number + 1, first + len(whole)
 
     key = F.col(id_col).cast("long")
-    (docs.select(key.alias("id"), F.col(text_col).alias("text")).repartitionByRange("id").sortWithinPartitions("id")
+    # rows that repeat an id go by their text's hash: the same order in every run, and ranges can split them
+    rows = docs.select(key.alias("id"), F.col(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
+    (rows.repartitionByRange("id", "h").sortWithinPartitions("id", "h").drop("h")
      .mapInArrow(encode, SEGMENT_SCHEMA).write.parquet(path))
 
 

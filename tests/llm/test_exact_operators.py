@@ -65,6 +65,16 @@ def test_token_files(spark, tmp_path):
     assert token_files.token_file_digests(odd_documents(spark).limit(0), P.path("word_bpe_49k.json")).count() == 0
 
 
+def test_token_files_order_rows_that_repeat_an_id(spark, tmp_path):
+    rows = [(7, f"text {i}") for i in range(40)] + [(None, f"none {i}") for i in range(40)]
+    digests = []
+    for k, n in enumerate((2, 5)):
+        df = spark.createDataFrame(rows[::-1] if k else rows, "doc_id long, text string").repartition(n)
+        got = token_files.token_file_digests(df, P.path("word_bpe_49k.json"), str(tmp_path / str(k))).collect()
+        digests.append(sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in got))
+    assert digests[0] == digests[1] and [r[1] for r in digests[0]] == [None] * 40 + [7] * 40
+
+
 # --- BPE ------------------------------------------------------------------------
 
 def _tiktoken():
