@@ -6,15 +6,17 @@ are the A-B occurrences whose bytes overlap; offsets where both end cut it into
 
 1. First pass: documents are aligned in parts (``PART_CHARS`` characters of one Arrow
    batch). A part gives its distinct id pairs with the number of its documents that hold
-   them, packed by buckets of the pair's hash, and is written with its texts.
+   them, packed by buckets of the pair's hash, the links of each of its distinct chunks
+   as numbers of those pairs, and of each document what needs no counts, with the numbers
+   of its chunks.
 2. The distinct pairs of a bucket are united in a tree (``FAN`` sets at a time) and get a
    minimal perfect hash: levels of bits, a key takes the bit of the first level on which
    no other key claims it, its number is the rank of that bit. The keys lie in a table
    in the order of their numbers, so that a lookup verifies the key.
 3. A group of ``FAN`` parts becomes a dense vector of counts a bucket, indexed by that
    hash; the vectors are summed in a tree, ``FAN`` at a time.
-4. Each part's pairs are looked up; its counts travel to the part, whose documents are
-   aligned again and read them off.
+4. Each part's pairs are looked up; its counts travel to the part, are summed over each
+   chunk's links once, and each document sums its chunks. No text is encoded twice.
 
 All that meets in a task is bounded by ``FAN``, a part, and the vocabularies: there are at
 most (ids of A) x (ids of B) pairs, so a bucket has a ``BUCKETS``-th of 1.6 billion at the
@@ -287,20 +289,13 @@ class Aligner:
     def read(self, texts: list[str | None]) -> list[np.ndarray]:
         """The numbers of each text's chunks, in order; of a text that does not come
         back byte by byte, none."""
-        if len(self.known) > KNOWN:
-            self.forget()
         had, number = len(self.known), self.known.__getitem__
-        refs = [np.fromiter(map(number, self.chunks(t)), np.int64) for t in texts]
+        refs = [np.fromiter(map(number, self.chunks(t)), np.int32) for t in texts]
         new = list(islice(self.known, had, None))
         for k in range(0, len(new), 20_000):
             self._learn(new[k:k + 20_000])
         return [r[:0] if self.bad[r].any() else r for r in refs]
 
-    def pairs(self, refs: np.ndarray) -> np.ndarray:
-        """The distinct linked pairs of a document."""
-        own = np.unique(refs)
-        return np.unique(self.links[ragged(self.starts[own], self.n_links[own])])
-
 
 _ALIGNERS: list[tuple] = []  # of this worker: at most one, kept from task to task
 
@@ -313,9 +308,25 @@ def _aligner(made_of: tuple) -> Aligner:
 
 # --- first pass -----------------------------------------------------------------------
 
-PARTS = "part long, id long, text string, packed array<struct<bucket:int,pairs:binary,n:binary>>"
+PARTS = "part long, id long, n_a long, n_b long, n_groups long, n_links long, digest binary, refs binary, sizes binary, links binary, packed array<struct<bucket:int,pairs:binary,n:binary>>"
 _PACKED = pa.list_(pa.struct([("bucket", pa.int32()), ("pairs", pa.binary()), ("n", pa.binary())]))
-_ARROW_PARTS = pa.schema([("part", pa.int64()), ("id", pa.int64()), ("text", pa.string()), ("packed", _PACKED)])
+_ARROW_PARTS = pa.schema([*((c, pa.int64()) for c in ("part", "id", "n_a", "n_b", "n_groups", "n_links")), *((c, pa.binary()) for c in ("digest", "refs", "sizes", "links")), ("packed", _PACKED)])
+
+
+def planes(numbers: np.ndarray) -> bytes:
+    """Numbers below 2^32: the lowest bytes of all, then the next ones (small numbers compress well)."""
+    return np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def unplaned(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
+def _sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The sum of each run of ``lengths`` values."""
+    ends = np.cumsum(lengths)
+    totals = np.concatenate([[0], np.cumsum(values)])
+    return totals[ends] - totals[ends - lengths]
 
 
 def _buckets(keys: np.ndarray) -> np.ndarray:
@@ -349,11 +360,31 @@ def _first_pass(made_of) -> Callable:
             whole = texts.to_pylist()
             for x, y in _slices(whole):
                 aligner = _aligner(made_of.value)
-                held = [aligner.pairs(r) for r in aligner.read(whole[x:y]) if len(r)]
-                pairs, counts = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-                own = [pa.array([part] * (y - x), pa.int64()), ids.slice(x, y - x), texts.slice(x, y - x).cast(pa.string()), pa.nulls(y - x, _PACKED)]
-                yield pa.RecordBatch.from_arrays(own, schema=_ARROW_PARTS)
-                yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip((part, None, None, _pack(pairs, counts)), _ARROW_PARTS)], schema=_ARROW_PARTS)
+                refs = aligner.read(whole[x:y])
+                used = np.zeros(len(aligner.known), bool)
+                for r in refs:
+                    used[r] = True
+                own, place = np.flatnonzero(used), np.cumsum(used, dtype=np.int32) - 1
+                sizes = aligner.n_links[own]
+                # links as numbers of the part's pairs
+                pairs, links = np.unique(aligner.links[ragged(aligner.starts[own], sizes)], return_inverse=True)
+                starts, counts = np.cumsum(sizes) - sizes, np.zeros(len(pairs), np.int64)
+                sums, digests, numbers = [[] for _ in SUMS], [], []
+                for r in refs:
+                    at = place[r]
+                    chunks = np.unique(at)
+                    counts[np.unique(links[ragged(starts[chunks], sizes[chunks])])] += 1
+                    for out, v in zip(sums, (aligner.n_a, aligner.n_b_tokens, aligner.n_groups, aligner.n_links)):
+                        out.append(int(v[r].sum()))
+                    digests.append(hashlib.sha256(";".join(map(aligner.groups.__getitem__, r.tolist())).encode()).digest() if len(r) else None)
+                    numbers.append(planes(at))
+                none = lambda t: pa.nulls(y - x, t)  # noqa: B023, E731
+                rows = [pa.array([part] * (y - x), pa.int64()), ids.slice(x, y - x), *(pa.array(v, pa.int64()) for v in sums), pa.array(digests, pa.binary()), pa.array(numbers, pa.binary()), none(pa.binary()), none(pa.binary()), none(_PACKED)]
+                yield pa.RecordBatch.from_arrays(rows, schema=_ARROW_PARTS)
+                last = (part, *[None] * 7, planes(sizes), planes(links), _pack(pairs, counts))
+                yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(last, _ARROW_PARTS)], schema=_ARROW_PARTS)
+                if len(aligner.known) > KNOWN:
+                    aligner.forget()
                 part += 1
     return run
 
@@ -458,33 +489,31 @@ def _with_index(packed: DataFrame, index: DataFrame, groups: int) -> DataFrame:
 
 # --- second pass ------------------------------------------------------------------------
 
+SUMS = ("n_a", "n_b", "n_groups", "n_links")
 ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
-def _second_pass(made_of, best) -> Callable:
-    """Rows by (part, kind): a part's counts, then its documents."""
+def _second_pass(n_b: int, best) -> Callable:
+    """Rows by (part, kind): a part's counts, the links of its chunks, its documents."""
     names = [c.split()[0] for c in ALIGNED.split(", ")]
 
-    def aligned(ids: pa.Array, texts: list, pairs: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        aligner = _aligner(made_of.value)
-        refs = aligner.read(texts)
-        own, at = np.unique(np.concatenate(refs), return_inverse=True) if refs else (np.zeros(0, np.int64),) * 2
-        sizes = aligner.n_links[own]
-        links = aligner.links[ragged(aligner.starts[own], sizes)]
-        count = counts[np.searchsorted(pairs, links)] if len(links) else np.zeros(0, np.int64)
-        top = count == best.value[links.astype(np.int64) // aligner.n_b]
-        stops = np.cumsum(sizes)
-        per_chunk = [(c := np.concatenate([[0], np.cumsum(x)]))[stops] - c[stops - sizes] for x in (top, count)]
-        columns = [aligner.n_a[own], aligner.n_b_tokens[own], aligner.n_groups[own], sizes, *per_chunk]
-        n = np.fromiter(map(len, refs), np.int64, len(refs))
-        ends = np.cumsum(n)
-        sums = [pa.array((c := np.concatenate([[0], np.cumsum(x[at])]))[ends] - c[ends - n], pa.int64()) for x in columns]
-        groups = aligner.groups
-        digests = [hashlib.sha256(";".join([groups[i] for i in r.tolist()]).encode()).hexdigest() if len(r) else "" for r in refs]
-        return pa.RecordBatch.from_arrays([ids, *sums, pa.array(digests, pa.string())], names)
+    def per_chunk(found: list[tuple], sizes: np.ndarray, links: np.ndarray) -> list[np.ndarray]:
+        """Of each chunk: links whose count is their A id's highest, and the sum of counts."""
+        pairs, counts = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+        order = np.argsort(pairs)  # the numbers in links are places in this order
+        pairs, counts = pairs[order], counts[order]
+        top = counts == best.value[pairs.astype(np.int64) // n_b]
+        return [_sums(v[links], sizes) for v in (top, counts)]
+
+    def documents(rows: pa.RecordBatch, chunks: list[np.ndarray]) -> pa.RecordBatch:
+        refs = [unplaned(r) for r in rows.column(8).to_pylist()]
+        n, at = np.fromiter(map(len, refs), np.int64, len(refs)), np.concatenate(refs)
+        digests = [d.hex() if d else "" for d in rows.column(7).to_pylist()]
+        return pa.RecordBatch.from_arrays([*(rows.column(c) for c in range(2, 7)), *(pa.array(_sums(v[at], n), pa.int64()) for v in chunks), pa.array(digests, pa.string())], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, found, pairs, counts = None, [], None, None
+        part, found, chunks = None, [], []
+        _ALIGNERS.clear()  # the first pass left it to this worker
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -493,15 +522,15 @@ def _second_pass(made_of, best) -> Callable:
             changes = np.flatnonzero((np.diff(parts, prepend=parts[0] - 1) != 0) | (np.diff(kinds, prepend=-1) != 0))
             for x, y in zip(changes.tolist(), [*changes[1:].tolist(), len(parts)]):
                 if part is None or parts[x] != part:
-                    part, found, pairs = parts[x], [], None
+                    part, found = parts[x], []
+                rows = batch.slice(x, y - x)
                 if kinds[x] == 0:
-                    found += [(np.frombuffer(p, "<u8"), np.frombuffer(c, "<i8")) for p, c in zip(batch.column(4).slice(x, y - x).to_pylist(), batch.column(5).slice(x, y - x).to_pylist())]
-                    continue
-                if pairs is None:
-                    pairs, counts = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
-                    order = np.argsort(pairs)
-                    pairs, counts = pairs[order], counts[order]
-                yield aligned(batch.column(2).slice(x, y - x), batch.column(3).slice(x, y - x).to_pylist(), pairs, counts)
+                    found += [(np.frombuffer(p, "<u8"), np.frombuffer(c, "<i8")) for p, c in zip(rows.column(8).to_pylist(), rows.column(9).to_pylist())]
+                elif kinds[x] == 1:
+                    chunks = per_chunk(found, *(unplaned(rows.column(c)[0].as_py()) for c in (8, 9)))
+                    found = []
+                else:
+                    yield from (documents(rows.slice(k, 256), chunks) for k in range(0, y - x, 256))
     return run
 
 
@@ -532,12 +561,15 @@ def align(docs: DataFrame, a_path: str, b_path: str, pattern: str, id_col: str =
     index = written(counted, "index")
 
     # one number for each id of A
-    tops = index.select("keys", "counts").mapInArrow(_highest(Aligner(*sides).n_b), "a long, best long").groupBy("a").agg(F.max("best").alias("best")).toArrow()
+    n_b = Aligner(*sides).n_b
+    tops = index.select("keys", "counts").mapInArrow(_highest(n_b), "a long, best long").groupBy("a").agg(F.max("best").alias("best")).toArrow()
     best = np.zeros(int(max(tops.column("a").to_pylist(), default=0)) + 1, np.int64)
     best[tops.column("a").to_numpy()] = tops.column("best").to_numpy()
 
     found = _streamed(_with_index(packed, index, groups), ["bucket", "grp"], ["part"], _looked_up, "part long, pairs binary, counts binary")
-    none = lambda c, t: F.lit(None).cast(t).alias(c)
-    rows = parts.where("packed is null").select("part", F.lit(1).alias("kind"), "id", "text", none("pairs", "binary"), none("counts", "binary"))
-    rows = rows.unionByName(found.select("part", F.lit(0).alias("kind"), none("id", "long"), none("text", "string"), "pairs", "counts"))
-    return rows.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(_second_pass(made_of, spark.sparkContext.broadcast(best)), ALIGNED)
+    empty_sums = [F.lit(None).cast("long").alias(c) for c in ("id", *SUMS)]
+    digest = F.lit(None).cast("binary").alias("digest")
+    rows = found.select("part", F.lit(0).alias("kind"), *empty_sums, digest, F.col("pairs").alias("x"), F.col("counts").alias("y"))
+    rows = rows.unionByName(parts.where("packed is not null").select("part", F.lit(1).alias("kind"), *empty_sums, digest, F.col("sizes").alias("x"), F.col("links").alias("y")))
+    rows = rows.unionByName(parts.where("packed is null").select("part", F.lit(2).alias("kind"), "id", *SUMS, "digest", F.col("refs").alias("x"), F.lit(None).cast("binary").alias("y")))
+    return rows.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(_second_pass(n_b, spark.sparkContext.broadcast(best)), ALIGNED)

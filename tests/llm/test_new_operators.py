@@ -10,6 +10,7 @@ from collections import defaultdict
 import duckdb
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -338,6 +339,37 @@ def test_alignment_of_odd_texts_in_many_parts(spark, monkeypatch):
     assert alignment.align(df.limit(0), P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model"), P.PATTERN).count() == 0
 
 
+def test_second_pass_of_alignment_encodes_nothing(monkeypatch):
+    """From what the first pass writes and the pairs' counts alone come the documents' rows."""
+    import pyspark
+    from types import SimpleNamespace as Box
+
+    texts = ["of the word", None, "", "of the " * 50, "Häuser 日本", "x\u2581y"]
+    with open(P.path("byte_bpe_50k.json"), encoding="utf-8") as f, open(P.path("piece_bpe_32k.model"), "rb") as g:
+        made_of = Box(value=(f.read(), g.read(), P.PATTERN))
+    monkeypatch.setattr(pyspark.TaskContext, "get", classmethod(lambda cls: Box(partitionId=lambda: 0)))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], ["id", "text"])
+    documents, last = (b.to_pylist() for b in alignment._first_pass(made_of)([batch]))
+    monkeypatch.setattr(alignment, "_aligner", lambda made_of: pytest.fail("a text is encoded again"))
+    n_b, top = alignment.Aligner(*made_of.value).n_b, {}
+    for p in last[0]["packed"]:
+        for pair, n in zip(np.frombuffer(p["pairs"], "<u8").tolist(), np.frombuffer(p["n"], "<u4").tolist()):
+            top[pair // n_b] = max(top.get(pair // n_b, 0), n)
+    best = np.array([top.get(i, 0) for i in range(max(top) + 1)])
+    nothing = dict.fromkeys(("id", *alignment.SUMS, "digest", "x", "y"))
+    rows = [{"part": 0, "kind": 0} | nothing | {"x": p["pairs"], "y": np.frombuffer(p["n"], "<u4").astype("<i8").tobytes()} for p in last[0]["packed"]]
+    rows += [{"part": 0, "kind": 1} | nothing | {"x": last[0]["sizes"], "y": last[0]["links"]}]
+    rows += [{"part": 0, "kind": 2} | nothing | {c: d[c] for c in ("id", *alignment.SUMS, "digest")} | {"x": d["refs"]} for d in documents]
+    schema = pa.schema([("part", pa.int64()), ("kind", pa.int32()), *((c, pa.int64()) for c in ("id", *alignment.SUMS)), *((c, pa.binary()) for c in ("digest", "x", "y"))])
+    got = [tuple(r.values()) for b in alignment._second_pass(n_b, Box(value=best))(pa.RecordBatch.from_pylist([r], schema) for r in rows) for r in b.to_pylist()]
+    assert got == [(i, *w) for i, w in enumerate(_plain_alignment(texts))]
+
+
+@given(st.lists(st.integers(0, (1 << 32) - 1)))
+def test_planes(numbers):
+    assert alignment.unplaned(alignment.planes(np.array(numbers, np.int64))).tolist() == numbers
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.sets(st.integers(0, (1 << 64) - 1), max_size=2000))
 def test_minimal_hash(keys):
