@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -100,21 +101,24 @@ def catalog_result_files(files: DataFrame, name: str = "file_name", content: str
     generations_); the 10-digit epoch in the name, its date; for metrics
     files model (cleaned) and benchmark from the ``config`` of the content;
     for generation files the benchmark is the last name part."""
-    stem = F.regexp_replace(F.col(name), r"\.json$", "")
-    parts = F.split(stem, "_")
-    epoch = F.element_at(F.filter(parts, lambda p: p.rlike("^[0-9]{10}$")), 1)
+    # steps of their own: one projection would work out the parts anew at every use
+    files = files.withColumn("__parts", F.regexp_replace(F.col(name), r"\.json$", ""))
+    stem, parts = F.col("__parts"), F.split("__parts", "_")
     kind = (F.when(stem.startswith("suite_"), "suite").when(stem.startswith("metrics_"), "metrics")
             .when(stem.startswith("generations_") & (F.size(parts) >= 3), "generations"))
-    ts = F.when(kind == "generations", parts[1]).otherwise(F.coalesce(epoch, F.lit("0")))
-    out = files.select("*", kind.alias("type"), ts.alias("timestamp"))
+    # a file without a type has no element to explode; a filter on the type would be pushed
+    # below the steps, with the whole expression of the name at each use
+    out = files.select("*", F.explode(F.array_compact(F.array(kind))).alias("type")).withColumn("__parts", parts)
+    kind, parts = F.col("type"), F.col("__parts")
+    epoch = F.element_at(F.filter(parts, lambda p: p.rlike("^[0-9]{10}$")), 1)
+    out = out.withColumn("timestamp", F.when(kind == "generations", parts[1]).otherwise(F.coalesce(epoch, F.lit("0"))))
     cfg_model = F.get_json_object(F.col(content), "$.config.model") if content else F.lit(None)
     cfg_task = F.get_json_object(F.col(content), "$.config.tasks") if content else F.lit(None)
-    return (out.filter(F.col("type").isNotNull())
-            .withColumn("date", F.to_date(F.timestamp_seconds(F.col("timestamp").try_cast("long"))))
+    return (out.withColumn("date", F.to_date(F.timestamp_seconds(F.col("timestamp").try_cast("long"))))
             .withColumn("model", F.when(F.col("type") == "metrics",
                                         clean_model_name(F.coalesce(cfg_model, F.lit("unknown")))))
             .withColumn("benchmark", F.when(F.col("type") == "metrics", F.coalesce(cfg_task, F.lit("unknown")))
-                        .when(F.col("type") == "generations", F.element_at(parts, -1))))
+                        .when(F.col("type") == "generations", F.element_at(parts, -1))).drop("__parts"))
 
 
 # ----------------------------------------------------------------- IO-6
@@ -122,11 +126,17 @@ def write_organized(df: DataFrame, root: str, mode: str = "overwrite") -> dict[s
     """IO-6: three partitioned layouts (by date, by model, by benchmark) for
     non-suite rows, and suites apart. Returns the paths written."""
     paths = {k: f"{root.rstrip('/')}/{k}" for k in ("by_date", "by_model", "by_benchmark", "suites")}
-    rows = df.filter(F.col("type") != "suite")
-    rows.write.mode(mode).partitionBy("date").parquet(paths["by_date"])
-    rows.write.mode(mode).partitionBy("model").parquet(paths["by_model"])
-    rows.write.mode(mode).partitionBy("benchmark").parquet(paths["by_benchmark"])
-    df.filter(F.col("type") == "suite").write.mode(mode).partitionBy("date").parquet(paths["suites"])
+    kept = df.storageLevel != StorageLevel.NONE
+    df = df if kept else df.persist()  # four writes, one computation
+    try:
+        rows = df.filter(F.col("type") != "suite")
+        rows.write.mode(mode).partitionBy("date").parquet(paths["by_date"])
+        rows.write.mode(mode).partitionBy("model").parquet(paths["by_model"])
+        rows.write.mode(mode).partitionBy("benchmark").parquet(paths["by_benchmark"])
+        df.filter(F.col("type") == "suite").write.mode(mode).partitionBy("date").parquet(paths["suites"])
+    finally:
+        if not kept:
+            df.unpersist()
     return paths
 
 

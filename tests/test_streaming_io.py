@@ -167,6 +167,33 @@ def test_io6_write_organized(spark):
     assert spark.read.parquet(paths["suites"]).count() == 1
 
 
+def test_io6_computes_its_rows_once(spark):
+    computed = spark.sparkContext.accumulator(0)
+    rows = [("metrics", "2024-09-09", "m1", "humaneval"), ("generations", "2024-09-10", None, "mbpp"),
+            ("suite", "2024-09-09", None, None)]
+
+    def counted(row):
+        computed.add(1)
+        return row
+
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 1).map(counted), "type string, date string, model string, benchmark string")
+    paths = io.write_organized(df, tempfile.mkdtemp(prefix="evalspark-org-"))
+    assert computed.value == 3
+    assert [spark.read.parquet(paths[k]).count() for k in ("by_date", "by_model", "by_benchmark", "suites")] == [2, 2, 2, 1]
+    assert not df.is_cached
+
+
+def test_io5_works_out_a_name_once(spark):
+    names = ["suite_m_1725868800.json", "metrics_m_1725868800.json", "generations_1725868800_mbpp.json", "generations_x.json", "other.json", None]
+    files = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "id long, n string").select("id", F.concat("n", F.lit("")).alias("file_name"), F.lit("{}").alias("content"))
+    found = io.catalog_result_files(files)
+    assert found.columns == ["id", "file_name", "content", "type", "timestamp", "date", "model", "benchmark"]
+    assert [(r.id, r.type, r.timestamp, r.benchmark) for r in found.filter("type != 'suite'").orderBy("id").collect()] == [
+        (1, "metrics", "1725868800", "unknown"), (2, "generations", "1725868800", "mbpp")]
+    plan = found.filter("type != 'suite'")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_replace(") == 1
+
+
 def test_io9_language_harness(spark):
     lines = [("r1", 1, "loading"), ("r1", 2, '{"results": {"hellaswag": {"acc": 0.41, "acc_norm": 0.52}}}'),
              ("r1", 3, '{"results": {"other": {"acc": 0.9}}}'),
