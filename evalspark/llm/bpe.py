@@ -30,10 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import prepared, ragged
+from .common import lean, prepared, ragged
 
-BATCH_CHARS = 8_000_000   # of text that a task encodes at once (a longer text: alone)
-ROWS = 4_000_000          # of all steps of one recursive query, at most (a piece of n bytes: under n * n / 2)
+BATCH_CHARS = 2_000_000   # of text that a task encodes at once (a longer text: alone)
+ROWS = 1_000_000          # of all steps of one recursive query, at most (a piece of n bytes: under n * n / 2)
 KNOWN = 400_000           # pieces whose tokens a worker remembers; then it begins anew
 LONG_PIECE = 512
 MEMORY = "400MB"          # of a task's DuckDB, which writes no files: ROWS bounds what it holds
@@ -87,21 +87,35 @@ class Codec:
     """Encoder and decoder of one vocabulary."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        import duckdb
-
         self.ranks, self.find = ranks, splitter(pattern).findall
         self._forget()
         self.byte_tokens = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
         merges = [(ranks[t[:k]] << 32 | ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": ""})
-        self._load("merges", {"pair": pa.array([p for p, _ in merges], pa.int64()), "rank": pa.array([r for _, r in merges], pa.int32())})
-        # a byte b is the symbol U+0100 + b, so that tokens that are no whole characters are texts too
-        self._load("vocabulary", {"token": pa.array(list(ranks.values()), pa.int32()), "symbols": pa.array(["".join(chr(256 + b) for b in t) for t in ranks])})
-
-    def _load(self, name: str, columns: dict) -> None:
-        self.db.register("loaded", pa.table(columns))
-        self.db.execute(f"create or replace table {name} as select * from loaded")
-        self.db.unregister("loaded")
+        self.tables = {
+            "merges": pa.table({"pair": pa.array([p for p, _ in merges], pa.int64()), "rank": pa.array([r for _, r in merges], pa.int32())}),
+            # a byte b is the symbol U+0100 + b, so that tokens that are no whole characters are texts too
+            "vocabulary": pa.table({"token": pa.array(list(ranks.values()), pa.int32()), "symbols": pa.array(["".join(chr(256 + b) for b in t) for t in ranks])}),
+        }
+        self._db = None
+
+    @property
+    def db(self):
+        """The database, with its tables; opened when it is first used after :meth:`close`."""
+        if self._db is None:
+            import duckdb
+
+            self._db = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": ""})
+            for name, rows in self.tables.items():
+                self._db.register("loaded", rows)
+                self._db.execute(f"create table {name} as select * from loaded")
+                self._db.unregister("loaded")
+        return self._db
+
+    def close(self) -> None:
+        """Close the database, whose buffers outlast its queries; known pieces stay."""
+        if self._db is not None:
+            self._db.close()
+            self._db = None
 
     def _contract(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(tokens of all pieces one after another, number of tokens of each)."""
@@ -217,16 +231,21 @@ def encode_and_decode(docs: DataFrame, ranks_path: str, pattern: str, text_col:
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            codec = _codec(shipped.value, pattern)
-            for part, texts in _slices(batch, batch.column(at).to_pylist()):
-                ids, lengths = codec.encode(texts)
-                decoded = codec.decode(ids, lengths)
-                offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
-                lists = pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(decoded, pa.binary())], [*names, "ids", "decoded"])
-
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())]))
+        codec = None
+        try:
+            for batch in batches:
+                codec = codec or _codec(shipped.value, pattern)
+                for part, texts in _slices(batch, batch.column(at).to_pylist()):
+                    ids, lengths = codec.encode(texts)
+                    decoded = codec.decode(ids, lengths)
+                    offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
+                    lists = pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))
+                    yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(decoded, pa.binary())], [*names, "ids", "decoded"])
+        finally:
+            if codec:
+                codec.close()
+
+    return docs.mapInArrow(lean(run), T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())]))
 
 
 def digests(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:

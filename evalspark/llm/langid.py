@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import hash_sample, prepared
+from .common import hash_sample, lean, prepared
 
 FIT_DOCS = 400       # distinct labelled texts a language that the probabilities are fitted on, at most
 LANGUAGES = 256      # learned, the most frequent ones
@@ -266,7 +266,7 @@ def _word_counts(texts: DataFrame) -> DataFrame:
                 words = pa.array(words_of(text), pa.string()).value_counts()
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), words.field(0), words.field(1)], ["lang", "word", "n"])
 
-    return texts.mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(lean(run), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
 def fit(labelled: DataFrame, pieces: list[str], text_col: str = "text", lang_col: str = "lang") -> Model:
@@ -307,4 +307,4 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             lang, score = own.predict(batch.column(at).to_pylist(), scorer)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(lean(run), T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))

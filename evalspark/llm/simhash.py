@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import prepared, stored, utf8_views
+from .common import lean, prepared, stored, utf8_views
 from .components import components
 
 SEGMENTS = (22, 21, 21)
@@ -70,7 +70,7 @@ def with_fingerprint(docs: DataFrame, text_col: str = "text", shingle: int = 3,
             prints = np.fromiter((fingerprint(t, shingle) for t in utf8_views(batch.column(at))), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints.view(np.int64))], [*batch.schema.names, name])
 
-    return docs.mapInArrow(add, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
+    return docs.mapInArrow(lean(add), T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
 
 
 @cache
@@ -130,7 +130,7 @@ def _arrow_pairs(prints: DataFrame, make, names: tuple[str, str]) -> DataFrame:
                 row, value = make(own[k:k + 8192].view(np.uint64))
                 yield pa.RecordBatch.from_arrays([pa.array(value.astype(np.int64)), pa.array(own[k:k + 8192][row])], list(names))
 
-    return prints.mapInArrow(run, f"{names[0]} long, {names[1]} long")
+    return prints.mapInArrow(lean(run), f"{names[0]} long, {names[1]} long")
 
 
 def _points(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
