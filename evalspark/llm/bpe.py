@@ -1,12 +1,12 @@
 """Byte-level BPE encoding and decoding with DuckDB recursive queries.
 
 Each task holds its texts' distinct pieces (matches of the tokenizer's pattern) in an
-in-memory DuckDB. A piece is rows (position, token), at first its bytes. One step of
-the recursive query finds every piece's leftmost pair of minimum rank (the least key
-rank << 20 | position of its rows), replaces it by the merged token and looks up the
-ranks of the two pairs that changed; a piece without a mergeable pair is finished. Decoding joins the ids of the
-documents with the vocabulary and concatenates the tokens' bytes in an aggregate
-ordered by position.
+in-memory DuckDB. A piece is one row: the list of its tokens, at first its bytes, and
+the list of the ranks of its pairs. One step of the recursive query finds every piece's
+leftmost pair of minimum rank, puts the merged token in its place and looks up the ranks
+of the two pairs that changed; a piece without a mergeable pair is finished. Decoding
+picks each document's tokens, in their order, from the list of the vocabulary and joins
+their bytes.
 
 The merge table follows from the ranks alone: two tokens merge where their bytes
 together are a token, and that token's rank is the pair's. A piece that is a token
@@ -33,33 +33,26 @@ from pyspark.sql import types as T
 from .common import lean, prepared, ragged
 
 BATCH_CHARS = 2_000_000   # of text that a task encodes at once (a longer text: alone)
-ROWS = 1_000_000          # of all steps of one recursive query, at most (a piece of n bytes: under n * n / 2)
+ROWS = 1_000_000          # list entries of all steps of one recursive query, about (a piece of n bytes: n * n / 2)
 KNOWN = 400_000           # pieces whose tokens a worker remembers; then it begins anew
 LONG_PIECE = 512
 MEMORY = "400MB"          # of a task's DuckDB, which writes no files: ROWS bounds what it holds
+NONE = (1 << 31) - 1      # the rank of a pair that is no token, and the token before and after a piece
 
-CONTRACT = """
-with recursive step(n, piece, pos, follows, token, next_token, key) as (
-    select 0, piece, pos, follows, token, next_token, m.rank::bigint << 20 | pos
-    from (select piece, pos, token, lead(pos) over w as follows, lead(token) over w as next_token
-          from bytes window w as (partition by piece order by pos))
-    left join merges m on m.pair = (token::bigint << 32) | next_token
+CONTRACT = f"""
+with recursive step(piece, tokens, ranks, least) as (
+    select piece, tokens, ranks, list_min(ranks) from words
   union all
-    select n, piece, pos, follows, token, next_token, case when changed then m.rank::bigint << 20 | pos else key end
-    from (select s.n + 1 as n, s.piece, s.pos, s.key, s.pos = g.pos or s.follows = g.pos as changed,
-                 case when s.pos = g.pos then g.follows else s.follows end as follows,
-                 case when s.pos = g.pos then g.rank else s.token end as token,
-                 case when s.pos = g.pos then g.next_token when s.follows = g.pos then g.rank else s.next_token end as next_token
-          from step s
-          join (select b.piece, (b.least & 1048575)::int as pos, (b.least >> 20)::int as rank, b.gone, x.follows, x.next_token
-                from (select piece, min(key) as least, arg_min(follows, key) as gone from step where key is not null group by piece) b
-                join step x on x.piece = b.piece and x.pos = b.gone) g on g.piece = s.piece
-          where s.pos <> g.gone)
-    left join merges m on m.pair = case when changed then (token::bigint << 32) | next_token end
+    select piece, tokens, ranks, list_min(ranks)
+    from (select piece, list_concat(tokens[:i], [least], tokens[i + 3:]) as tokens,
+                 list_concat(ranks[:i - 1], [coalesce(b.rank, {NONE}), coalesce(a.rank, {NONE})], ranks[i + 3:]) as ranks
+          from (select *, list_position(ranks, least) - 1 as i from step where least < {NONE})
+          left join merges b on b.pair = (tokens[i]::bigint << 32) | least
+          left join merges a on a.pair = (least::bigint << 32) | tokens[i + 3])
 )
-select piece, token from step semi join (select piece, max(n) as n from step group by piece) last using (piece, n) order by piece, pos
+select tokens[2:-2] as tokens from step where least = {NONE} order by piece
 """
-DECODE = "select doc, string_agg(symbols, '' order by pos) as text from ids join vocabulary using (token) group by doc order by doc"
+DECODE = "select doc, array_to_string(list_select((select list(symbols order by token) from vocabulary), list_transform(tokens, lambda t: t + 1)), '') as text from ids"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -90,11 +83,18 @@ class Codec:
         self.ranks, self.find = ranks, splitter(pattern).findall
         self._forget()
         self.byte_tokens = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
+        self.byte_pairs = np.full((257, 257), NONE, np.int32)  # 256: the border of a piece
+        for t, r in ranks.items():
+            if len(t) == 2 and t[:1] in ranks and t[1:] in ranks:
+                self.byte_pairs[t[0], t[1]] = r
         merges = [(ranks[t[:k]] << 32 | ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
+        symbols: list = [None] * (max(ranks.values(), default=-1) + 1)
+        for t, r in ranks.items():
+            symbols[r] = "".join(chr(256 + b) for b in t)
         self.tables = {
             "merges": pa.table({"pair": pa.array([p for p, _ in merges], pa.int64()), "rank": pa.array([r for _, r in merges], pa.int32())}),
-            # a byte b is the symbol U+0100 + b, so that tokens that are no whole characters are texts too
-            "vocabulary": pa.table({"token": pa.array(list(ranks.values()), pa.int32()), "symbols": pa.array(["".join(chr(256 + b) for b in t) for t in ranks])}),
+            # a byte b is the symbol U+0100 + b, so that tokens that are no whole characters are texts too; an id that no token has: null
+            "vocabulary": pa.table({"token": np.arange(len(symbols), dtype=np.int32), "symbols": pa.array(symbols, pa.string())}),
         }
         self._db = None
 
@@ -120,12 +120,18 @@ class Codec:
     def _contract(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(tokens of all pieces one after another, number of tokens of each)."""
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        data = np.frombuffer(b"".join(pieces), np.uint8)
-        positions = np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        self.db.register("bytes", pa.table({"piece": np.repeat(np.arange(len(pieces), dtype=np.int32), sizes), "pos": positions.astype(np.int32), "token": self.byte_tokens[data]}))
-        made = self.db.sql(CONTRACT).to_arrow_table()
-        self.db.unregister("bytes")
-        return made.column("token").to_numpy(), np.bincount(made.column("piece").to_numpy(), minlength=len(pieces))
+        starts = np.concatenate([[0], np.cumsum(sizes + 2)])  # a piece lies between two borders
+        data = np.full(starts[-1], 256, np.int64)
+        data[ragged(starts[:-1] + 1, sizes)] = np.frombuffer(b"".join(pieces), np.uint8)
+        tokens = np.append(self.byte_tokens, np.int32(NONE))[data]
+        if (tokens[:-1][tokens[1:] != NONE] < 0).any():
+            raise ValueError("a byte that is no token has no pairs")
+        ranks = self.byte_pairs[data[ragged(starts[:-1], sizes + 1)], data[ragged(starts[:-1] + 1, sizes + 1)]]
+        lists = lambda values, sizes: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(values, pa.int32()))
+        self.db.register("words", pa.table({"piece": np.arange(len(pieces), dtype=np.int32), "tokens": lists(tokens, sizes + 2), "ranks": lists(ranks, sizes + 1)}))
+        made = self.db.sql(CONTRACT).to_arrow_table().column("tokens").combine_chunks()
+        self.db.unregister("words")
+        return made.flatten().to_numpy(), made.value_lengths().to_numpy()
 
     def _contract_long(self, piece: bytes) -> list[int]:
         """One piece, contracted leftmost pair of minimum rank first, with a heap."""
@@ -192,8 +198,8 @@ class Codec:
 
     def decode(self, ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
         """The bytes of each run of ``lengths`` ids."""
-        docs = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
-        self.db.register("ids", pa.table({"doc": docs, "pos": np.arange(len(ids), dtype=np.int64), "token": ids.astype(np.int32)}))
+        offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
+        self.db.register("ids", pa.table({"doc": np.arange(len(lengths), dtype=np.int32), "tokens": pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))}))
         made = self.db.sql(DECODE).to_arrow_table()
         self.db.unregister("ids")
         out = [b""] * len(lengths)

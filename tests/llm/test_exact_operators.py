@@ -106,6 +106,30 @@ def test_long_pieces_contract_alike():
         assert codec._contract([piece.encode()])[0].tolist() == want
 
 
+def test_codec_holds_a_row_a_piece_and_a_row_a_document():
+    codec = bpe.Codec(bpe.read_ranks(P.path("byte_bpe_50k.tiktoken")), P.PATTERN)
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abehtnors") for _ in range(10)) for _ in range(20_000)]
+    codec.db.execute("set memory_limit = '48MB'")  # rows of all positions and steps do not fit
+    tokens, sizes = codec._contract([w.encode() for w in words])
+    enc, ends = _tiktoken(), np.cumsum(sizes)
+    assert all(tokens[e - n:e].tolist() == enc._encode_single_piece(w) for w, n, e in zip(words[::20], sizes[::20], ends[::20]))
+    assert codec.decode(np.tile(tokens, 10), np.tile(sizes, 10)) == [w.encode() for w in words] * 10
+    codec.close()
+
+
+def test_codec_of_ranks_with_gaps():
+    ranks = {bytes([b]): b for b in range(256)} | {b"ab": 300, b"cd": 301, b"bc": 299, b"abcd": 1000, b"aa": 302, b"aaa": 303}
+    codec, enc = bpe.Codec(ranks, r"\S+|\s+"), tiktoken.Encoding("gaps", pat_str=r"\S+|\s+", mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcd ") for _ in range(rng.randint(0, 30))) for _ in range(500)] + ["", None]
+    ids, sizes = codec.encode(texts)
+    assert ids.tolist() == [i for t in texts for i in enc.encode_ordinary(t or "")]
+    assert codec.decode(ids, sizes) == [(t or "").encode() for t in texts]
+    assert codec.decode(np.array([97, 5000, -1, 280, 98]), np.array([3, 0, 2])) == [b"a", b"", b"b"]  # ids of no token
+    codec.close()
+
+
 # --- repeats --------------------------------------------------------------------
 
 def cover(raw, length):
