@@ -7,8 +7,9 @@ columns of documents; all keep rows that they have nothing against, null ids inc
 1. language_id: documents without a language (null text, no letter) go.
 2. simhash_near_dedup: of every near-duplicate component one document stays, the one
    with the smallest doc_id.
-3. suffix_array_dedup: every string of 400 bytes that occurs twice is cut out of all
-   texts; n_chars follows; documents of which nothing but white space is left go.
+3. suffix_array_dedup: every string of 400 bytes that occurs twice, and every passage of
+   over 50 words that three or more documents hold, is cut out of all texts; n_chars
+   follows; documents of which nothing but white space is left go.
 4. benchmark_decontamination: documents that hold a benchmark item go.
 5. byte_level_bpe: the ids of every document, and whether they decode to its text.
 """
@@ -32,7 +33,7 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = repeats.without_repeats(docs, length=400)
+    cut = repeats.without_repeats(docs, length=400, words=51)
     kept = cut.where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
     return kept.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 

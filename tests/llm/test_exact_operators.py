@@ -435,3 +435,60 @@ def test_codec_closes_its_database_and_opens_it_again():
     assert [x.tolist() for x in codec.encode(texts + ["anotherunsplittableword"])][0][:len(first[0])] == first[0].tolist() == again[0].tolist()
     assert codec.decode(*first) == plain == [(t or "").encode() for t in texts]
     codec.close()
+
+
+def word_cover(texts, words, holders):
+    """Bytes in runs of ``words`` words that so many texts hold, per text."""
+    import re
+
+    found = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", b)] for b in texts]
+    keys = [[tuple(b[x:y] for x, y in w[k:k + words]) for k in range(len(w) - words + 1)] for b, w in zip(texts, found)]
+    counts = Counter(k for own in keys for k in set(own))
+    out = []
+    for b, w, own in zip(texts, found, keys):
+        mask = bytearray(len(b))
+        for k, key in enumerate(own):
+            if counts[key] >= holders:
+                x, y = w[k][0], w[k + words - 1][1]
+                mask[x:y] = b"\1" * (y - x)
+        out.append(mask)
+    return out
+
+
+def passage_texts():
+    rng = random.Random(11)
+    line = lambda n: " ".join("".join(rng.choice("abcdeü") for _ in range(rng.randint(1, 6))) for _ in range(n))
+    short, long, two = line(53), line(90), line(60)
+    rows = [(i, f"{line(rng.randint(0, 80))} {short} {line(rng.randint(0, 80))}") for i in range(12)]
+    rows += [(20 + i, f"{line(30)}\n{' '.join(long.split()[i:i + 60 + i])}\t{line(300)}") for i in range(12)]
+    rows += [(40 + i, f"{line(40)} {two} {line(40)}") for i in range(2)]  # two rows only
+    rows += [(50, "  ".join(short.split())), (51, "\n" + short.replace(" ", "\n")), (52, None), (53, ""), (54, "the " * 400), (55, "the " * 60 + line(9)), (56, "the " * 51), (57, line(100) + f" {short} " * 3)]
+    return rows + [(None, f"x {short} y"), (58, short), (58, short), (59, " ".join(short.split()[:50]))]
+
+
+def test_passages_by_words_against_all_windows(spark):
+    rows = passage_texts()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    keys = {(r.doc_id, r.text): r.t for r in docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("t")).collect()}
+    raw = [(t or "").encode() for _, t in rows]
+    for holders in (2, 3):
+        found = {(r.doc_id, r.t): repeats.merged(r.spans) for r in repeats.passage_spans(docs, holders=holders).collect()}
+        for (i, t), own in zip(rows, word_cover(raw, 51, holders)):
+            mine = bytearray(len(own))
+            for a, b in found.get((i, keys[(i, t)]), []):
+                mine[a:b] = b"\1" * (b - a)
+            assert mine == own, (i, holders)
+    assert repeats.passage_spans(docs.limit(0)).count() == 0
+
+
+def test_pipeline_cuts_passages_of_over_50_words(spark):
+    rng = random.Random(5)
+    line = lambda n: " ".join("".join(rng.choice("abcdef") for _ in range(rng.randint(2, 6))) for _ in range(n))
+    passage, short = line(51), line(50)
+    assert len(passage.encode()) < 400
+    own = [(line(40), line(60)) for _ in range(8)]
+    texts = [f"{a} {passage} {b}" for a, b in own[:3]] + [f"{a} {short} {b}" for a, b in own[3:6]] + [f"{a} {b}" for a, b in own[6:]]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.suffix_array_dedup(spark, docs, TINY).collect()}
+    want = [f"{a}  {b}" for a, b in own[:3]] + texts[3:]
+    assert got == {i: (t, len(t)) for i, t in enumerate(want)}
